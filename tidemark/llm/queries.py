@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, quality, sharding, urls, winnow
+from tidemark.llm import mixing, quality, sharding, simhash, urls, winnow
 from tidemark.llm.common import table
 
 #: Target weights of the documents' sources; any other source shares the weight of ``other``.
@@ -18,6 +17,10 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -35,7 +38,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_urls": op3_urls, "op6_quality": op6_quality, "op7_winnow": op7_winnow, "op8_shard": op8_shard, "op9_mix": op9_mix,
+    "op3_urls": op3_urls, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_winnow": op7_winnow, "op8_shard": op8_shard, "op9_mix": op9_mix,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for v, h, p in urls.RULES)

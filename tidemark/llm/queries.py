@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import mixing, quality, sharding, simhash, urls, winnow
+from tidemark.llm import mixing, pii, quality, sharding, simhash, urls, winnow
 from tidemark.llm.common import table
 
 #: Target weights of the documents' sources; any other source shares the weight of ``other``.
 WEIGHTS = {"src0": 20} | {f"src{i}": 5 if i < 10 else 4 for i in range(1, 20)}
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
@@ -38,7 +42,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_urls": op3_urls, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_winnow": op7_winnow, "op8_shard": op8_shard, "op9_mix": op9_mix,
+    "op1_pii": op1_pii, "op3_urls": op3_urls, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_winnow": op7_winnow, "op8_shard": op8_shard, "op9_mix": op9_mix,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for v, h, p in urls.RULES)

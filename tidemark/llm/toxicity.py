@@ -1,7 +1,7 @@
 """Toxicity by a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed character n-grams (3 to 5 bytes, word ends marked) of its distinct lower-case words; presence
-counts. With p and q the smoothed document counts of a feature among toxic and other training rows, its ratio is
+A text's features are the hashed character n-grams (3 to 6 characters, word ends marked) of its distinct lower-case words, counted by
+words. With p and q the smoothed document counts of a feature among toxic and other training rows, its ratio is
 ``log((p / |p|) / (q / |q|))``; features of small ratio are dropped, the rest are scaled by it, and a logistic regression with an L2
 penalty gives their weights.
 
@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 12_000
-BITS = 18
-LENGTHS = (3, 4, 5)
-MIN_RATIO = 0.7
+BITS = 20
+LENGTHS = (3, 4, 5, 6)
+MIN_RATIO = 1.5
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Byte classes: letters and bytes of other scripts stay, digits become 0, all else parts words.
@@ -39,15 +39,16 @@ def features(text: str | None) -> np.ndarray:
     found = set((text or "").lower().encode("utf-8", "ignore").translate(_CLASSES).split())
     if not found:
         return np.empty(0, np.int64)
-    a = np.frombuffer(b" " + b" ".join(found) + b" ", np.uint8)
+    line = b" " + b" ".join(found) + b" "
+    a = np.frombuffer(line.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
     ends = np.concatenate([[0], np.cumsum(a == 32)])
     out = []
-    h = a.astype(np.uint64)
+    h = a
     for n in range(2, max(LENGTHS) + 1):
         m = len(a) - n + 1
         if m <= 0:
             break
-        h = h[:m] * np.uint64(263) + a[n - 1 :]
+        h = h[:m] * np.uint64(0x100000001B3) + a[n - 1 :]
         if n in LENGTHS:
             inner = ends[n - 1 : n - 1 + m] - ends[1 : m + 1] == 0  # a space may only come first or last
             out.append((h[inner] * _STEP + np.uint64(n)) * _STEP >> np.uint64(64 - BITS))
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np
 
     def selected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = (np.unique(features(t)) for t in pdf["text"])
+            own = (features(t) for t in pdf["text"])
             yield pd.DataFrame({"label": pdf["label"], "f": [x[sent.value[x]].astype(np.int32) for x in own]})
 
     got = train.mapInPandas(selected, "label int, f array<int>").toPandas()
@@ -139,7 +140,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: fl
 
         def scored(texts: pd.Series) -> pd.Series:
             w = weights.value
-            z = np.array([w[np.unique(features(t))].sum(dtype=np.float64) + bias for t in texts], float)
+            z = np.array([w[features(t)].sum(dtype=np.float64) + bias for t in texts], float)
             return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
         value = F.pandas_udf(scored, "double")("text")

@@ -140,3 +140,13 @@ def mix(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows:
     lacking = F.aggregate(F.filter("lacks", lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["lack"])
     position = F.col("slot") * block_rows + F.pmod(F.col("n"), F.lit(block_rows)) - lacking
     return found.select("doc_id", "source", "mix_source", "block", "slot", "deadline", position.cast("long").alias("position"))
+
+
+def in_order(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All documents with all columns, dealt over ranges of their mixed positions and sorted in each, so that files hold the mixed order.
+
+    Rows that share a doc_id are placed together at the first of their positions.
+    """
+    at = mix(docs, weights, other, block_rows).groupBy("doc_id").agg(F.min("position").alias("_position")).withColumnRenamed("doc_id", "_id")
+    placed = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)

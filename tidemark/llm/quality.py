@@ -127,3 +127,9 @@ def strip_lines(docs: DataFrame, lines: DataFrame, host: str = "source") -> Data
     both = own.join(cuts.withColumnRenamed("doc_id", "_id").withColumnRenamed("content", "_c"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_c")))
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("cuts", i))
     return both.select("doc_id", F.array_join(kept, "\n").alias("text"))
+
+
+def keep_good(docs: DataFrame, **limits) -> DataFrame:
+    """The documents that ``quality`` keeps, with all columns. Rejected ids leave by an anti join, so Spark may broadcast them if they are few."""
+    gone = quality(docs, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, mixing, pii, quality, sharding, simhash, toxicity, urls, winnow
+from tidemark.llm import langid, mixing, pii, quality, sentencepiece, sharding, simhash, toxicity, urls, winnow
 from tidemark.llm.common import table
 
 #: Target weights of the documents' sources; any other source shares the weight of ``other``.
@@ -25,6 +25,10 @@ def op3_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_winnow": op7_winnow, "op8_shard": op8_shard, "op9_mix": op9_mix, "op10_langid": op10_langid,
+    "op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_winnow": op7_winnow, "op8_shard": op8_shard, "op9_mix": op9_mix, "op10_langid": op10_langid,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for v, h, p in urls.RULES)

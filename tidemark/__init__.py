@@ -1,0 +1 @@
+"""Market-signal analytics and training-data operators on Spark."""

@@ -1,0 +1 @@
+"""Inputs."""

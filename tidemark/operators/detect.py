@@ -62,15 +62,21 @@ def _hit_columns(rows: DataFrame, raw) -> DataFrame:
 def merge_candidates(hits: DataFrame) -> DataFrame:
     """One candidate per company and type: the best hit, the distinct patterns in order of encounter, the count of distinct sources.
 
-    Patterns are reduced to their first occurrence before they are listed, so a list is never longer than the rule table.
+    The texts are searched once. Hits are first reduced map-side to one row per company, type, source and pattern, so that what is
+    listed for a company and type is bounded by its sources times the rule table, however many documents it has.
     """
-    best = F.min_by(F.struct("source_type", "source_name", "ref", "base_score", "raw_score", "doc_date", "doc_no", "source_text", "text"), F.struct(-F.col("raw_score"), *ORDER))
-    merged = hits.groupBy(*KEY).agg(best.alias("best"))
-    counted = hits.groupBy(*KEY).agg(F.count_distinct("source_type", "source_name").alias("corroboration"))
-    firsts = hits.select(*KEY, *ORDER, F.posexplode("patterns").alias("pos", "pattern")).groupBy(*KEY, "pattern").agg(F.min(F.struct(*ORDER, "pos")).alias("first"))
-    listed = firsts.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "pattern"))), lambda x: x["pattern"]).alias("patterns"))
-    out = merged.join(counted, KEY).join(listed, KEY)
-    return out.select(*KEY, "best.*", F.col("corroboration").cast("int").alias("corroboration"), "patterns", X.entities(F.col("best.text")).alias("entities")).drop("text")
+    best = F.struct("source_type", "source_name", "ref", "base_score", "raw_score", "doc_date", "doc_no", "source_text", "text").alias("best")
+    at = F.struct((-F.col("raw_score")).alias("least"), *ORDER).alias("at")
+    rows = hits.select(*KEY, best, at, *ORDER, F.posexplode("patterns").alias("pos", "pattern"))
+    one = rows.groupBy(*KEY, F.col("best.source_type").alias("source_type"), F.col("best.source_name").alias("source_name"), "pattern").agg(
+        F.min(F.struct(*ORDER, "pos")).alias("first"), F.min_by("best", "at").alias("best"), F.min("at").alias("at"))
+    merged = one.groupBy(*KEY).agg(
+        F.min_by("best", "at").alias("best"), F.size(F.collect_set(F.struct("source_type", "source_name"))).alias("corroboration"),
+        F.array_sort(F.collect_list(F.struct("first", "pattern"))).alias("listed"),
+    )
+    patterns = F.array_distinct(F.transform("listed", lambda x: x["pattern"]))
+    out = merged.select(*KEY, "best.*", "corroboration", patterns.alias("patterns"))
+    return out.withColumn("entities", X.entities(F.col("text"))).drop("text")
 
 
 def detect(filings: DataFrame, news: DataFrame, rules: Sequence = V.RULES) -> DataFrame:

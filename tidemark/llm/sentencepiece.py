@@ -25,6 +25,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -61,9 +62,10 @@ class Pieces:
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
     closed: dict[str, bool] = field(default_factory=dict)
     floor: float = 0.0
+    automaton: object = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"units": {}, "pairs": {}, "closed": {}}
+        return self.__dict__ | {"units": {}, "pairs": {}, "closed": {}, "automaton": None}
 
     # -- weights ---------------------------------------------------------------------------------------------
 
@@ -156,43 +158,59 @@ class Pieces:
 
     def path(self, text: str) -> list[str]:
         """Pieces of a text between two borders."""
-        if self.bpe:
-            return self._only_path(text)
         best = self.forward(text, 0, "", len(text))
         last = max(best[len(text)].items(), key=lambda x: x[1][0])[0]
         return self.trace(best, 0, len(text), last)
 
-    def _only_path(self, text: str) -> list[str]:
-        """As ``path``, for BPE: each prefix has one path, so one last piece per end is enough."""
-        pairs, longest, scores, usable = self.pairs, self.longest, self.scores, self.usable
-        last = [""] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for s in range(end - longest if end > longest else 0, end):
-                piece = text[s:end]
-                if piece in scores or end - s == 1:
-                    prev = last[s]
-                    if prev:
-                        ok = pairs.get((prev, piece))
-                        if ok is None:
-                            ok = usable(piece) and self.allowed(prev, piece)
-                            pairs[prev, piece] = ok
-                    else:
-                        ok = usable(piece)
-                    if ok:
-                        last[end] = piece
-                        break
+    def _prepare(self) -> None:
+        """The automaton of all usable pieces, which finds every edge of a lattice in one pass, and what may follow each piece."""
+        self.automaton = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            if self.usable(piece):
+                self.automaton.add_word(piece, (piece, len(piece), i, {}))
+        self.automaton.make_automaton()
+        self.letters = {p for p in self.ids if len(p) == 1}
+        self.followed = 0
+
+    def _unit_ids(self, text: str) -> list[int]:
+        """Ids of the path of a text between two borders, for BPE: each prefix has one path, so one last edge per end is enough.
+
+        Edges come by their end and, for one end, longest first.
+        """
+        if self.automaton is None:
+            self._prepare()
+        if not self.letters.issuperset(text):
+            return self.to_ids(self.path(text))
+        back: list = [None] * (len(text) + 1)
+        for end, edge in self.automaton.iter(text):
+            end += 1
+            if back[end] is None:
+                piece, n, _, _ = edge
+                if n < end:
+                    before = back[end - n]
+                    ok = before[3].get(piece)
+                    if ok is None:
+                        ok = before[3][piece] = self.merged(before[0] + piece) == [before[0], piece]
+                        self.followed += 1
+                    if not ok:
+                        continue
+                back[end] = edge
         out, end = [], len(text)
         while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+            edge = back[end]
+            out.append(edge[2])
+            end -= edge[1]
+        out.reverse()
+        if self.followed > MOST_PAIRS:
+            self._prepare()
+        return out
 
     def unit(self, text: str) -> np.ndarray:
         got = self.units.get(text)
         if got is None:
             if len(self.units) >= MOST_UNITS:
                 self.units.clear()
-            got = self.units[text] = np.array(self.to_ids(self.path(text)), np.int32)
+            got = self.units[text] = np.array(self._unit_ids(text) if self.bpe else self.to_ids(self.path(text)), np.int32)
         return got
 
     def cuts(self, text: str) -> list[int]:

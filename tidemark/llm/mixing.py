@@ -135,8 +135,9 @@ def mix(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows:
     w = weight_of[F.col("mix_source")]
     tau = F.floor(F.col("_last") / w).cast("long")
     last = last.join(p, (F.col("mix_source") == F.col("_s")) & (F.pmod(F.col("_last"), w).cast("int") == F.col("j")) & (tau >= F.col("tau_from")) & (tau < F.col("tau_to")))
-    last = last.select(F.struct((F.col("slot_from") + (tau - F.col("tau_from")) * F.col("unit_slots") + F.col("at")).alias("slot"), "lack").alias("x")).groupBy().agg(F.collect_list("x").alias("lacks")).withColumn("_one", F.lit(1))
-    found = found.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one")  # one row, with one entry per source
+    last = last.select("mix_source", F.struct((F.col("slot_from") + (tau - F.col("tau_from")) * F.col("unit_slots") + F.col("at")).alias("slot"), "lack").alias("x"))
+    lacks = last.groupBy().agg(F.collect_list("mix_source").alias("names"), F.collect_list("x").alias("lacks")).select(F.explode("names").alias("_m"), "lacks")
+    found = found.join(F.broadcast(lacks), F.col("mix_source") == F.col("_m"))  # sources x sources entries
     lacking = F.aggregate(F.filter("lacks", lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["lack"])
     position = F.col("slot") * block_rows + F.pmod(F.col("n"), F.lit(block_rows)) - lacking
     return found.select("doc_id", "source", "mix_source", "block", "slot", "deadline", position.cast("long").alias("position"))

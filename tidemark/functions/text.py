@@ -9,24 +9,27 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
 
-def rule_hits(text: Column, rules: Sequence = V.RULES) -> Column:
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def rule_hits(text: str, rules: Sequence = V.RULES) -> Column:
     """array of (signal_type, base_score, patterns): for each type its best rule that matches and that rule's matching patterns.
 
-    Patterns are literals, so each compiles once per task, and lower rules are only searched if no better one matches. Of rules
-    with equal scores the earlier one wins. A null text has no hits.
+    ``text`` is a column's name or an SQL expression. Patterns are literals, so each compiles once per task, and lower rules are only
+    searched if no better one matches. Of rules with equal scores the earlier one wins. A null text has no hits. The body is a
+    lambda over the lower-cased text, which is computed once and keeps the long body out of the generated code; it is given as SQL text, as that
+    is read in one step.
     """
-    def of_text(low: Column) -> Column:
-        hits = []
-        for kind in dict.fromkeys(r[0] for r in rules):
-            best = []
-            for _, score, patterns in sorted((r for r in rules if r[0] == kind), key=lambda r: -r[1]):
-                any_ = low.rlike("(?iUd)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
-                found = F.filter(F.array(*[F.when(low.rlike("(?iUd)" + p), F.lit(p)) for p in patterns]), lambda x: x.isNotNull())
-                best.append(F.when(any_, F.struct(F.lit(kind).alias("signal_type"), F.lit(score).alias("base_score"), found.alias("patterns"))))
-            hits.append(F.coalesce(*best))
-        return F.filter(F.array(*hits), lambda x: x.isNotNull())
-
-    return once(F.lower(text), of_text)
+    hits = []
+    for kind in dict.fromkeys(r[0] for r in rules):
+        best = []
+        for _, score, patterns in sorted((r for r in rules if r[0] == kind), key=lambda r: -r[1]):
+            any_ = sql_string("(?iUd)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
+            found = ", ".join(f"if(t rlike {sql_string('(?iUd)' + p)}, {sql_string(p)}, null)" for p in patterns)
+            best.append(f"if(t rlike {any_}, named_struct('signal_type', {sql_string(kind)}, 'base_score', double({score}), 'patterns', filter(array({found}), p -> p is not null)), null)")
+        hits.append(f"coalesce({', '.join(best)})")
+    return F.expr(f"element_at(transform(array(lower({text})), t -> filter(array({', '.join(hits)}), h -> h is not null)), 1)")
 
 
 def once(value: Column, body) -> Column:

@@ -36,7 +36,7 @@ def filing_hits(filings: DataFrame, rules: Sequence = V.RULES) -> DataFrame:
         "company_id", F.lit(0).alias("src_no"), F.lit(0.0).alias("rank_no"), F.col("filing_date").alias("doc_date"), "doc_no",
         F.lit("filing").alias("source_type"), F.col("form_type").alias("source_name"), F.col("accession_number").alias("ref"), credibility.alias("credibility"), text.alias("text"),
     ).filter(F.length(F.trim("text")) > 0)
-    rows = rows.withColumn("hit", F.explode(X.rule_hits(F.col("text"), rules)))
+    rows = rows.withColumn("hit", F.explode(X.rule_hits("text", rules)))
     return _hit_columns(rows, F.least(F.col("hit.base_score") * F.col("credibility"), F.lit(1.0)))
 
 
@@ -47,7 +47,7 @@ def news_hits(news: DataFrame, rules: Sequence = V.RULES, weakest: float = V.WEA
         F.lit("news").alias("source_type"), F.col("source").alias("source_name"), F.lit(None).cast("string").alias("ref"),
         X.contained_credibility(F.col("source")).alias("credibility"), F.concat_ws(" ", "title", "snippet").alias("text"), "relevance_score",
     ).filter(F.length(F.trim("text")) > 0)
-    rows = rows.withColumn("hit", F.explode(X.rule_hits(F.col("text"), rules)))
+    rows = rows.withColumn("hit", F.explode(X.rule_hits("text", rules)))
     scored = _hit_columns(rows, F.least(F.col("hit.base_score") * F.col("credibility") * F.col("relevance_score"), F.lit(1.0)))
     return scored.filter(F.col("raw_score") >= weakest)
 

@@ -65,7 +65,7 @@ def corroboration(news: DataFrame, delay: str = "1 day", length: str = "30 days"
 def _hit_array():
     from tidemark.functions import text as X
 
-    found = X.rule_hits(F.concat_ws(" ", "title", "snippet"))
+    found = X.rule_hits("concat_ws(' ', title, snippet)")
     credibility = X.contained_credibility(F.col("source"))
     return F.transform(found, lambda h: F.struct(h["signal_type"].alias("signal_type"), F.least(h["base_score"] * credibility * F.col("relevance_score"), F.lit(1.0)).alias("raw")))
 

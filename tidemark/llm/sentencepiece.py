@@ -22,6 +22,7 @@ left out.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,8 +36,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 16_384
-MOST_UNITS, MOST_PAIRS = 500_000, 500_000
+CHUNK = 65_536
+#: Units in each of two generations of the cache, and known pairs.
+MOST_UNITS, MOST_PAIRS = 120_000, 400_000
+#: Texts that are turned into ids at once.
+TEXTS_AT_ONCE = 500
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -58,14 +62,15 @@ class Pieces:
     longest: int
     breaks: bool
     line_breaks: bool
-    units: dict[str, np.ndarray] = field(default_factory=dict)
+    units: dict[str, bytes] = field(default_factory=dict)
+    old_units: dict[str, bytes] = field(default_factory=dict)
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
     closed: dict[str, bool] = field(default_factory=dict)
     floor: float = 0.0
     automaton: object = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"units": {}, "pairs": {}, "closed": {}, "automaton": None}
+        return self.__dict__ | {"units": {}, "old_units": {}, "pairs": {}, "closed": {}, "automaton": None}
 
     # -- weights ---------------------------------------------------------------------------------------------
 
@@ -205,12 +210,16 @@ class Pieces:
             self._prepare()
         return out
 
-    def unit(self, text: str) -> np.ndarray:
+    def unit(self, text: str) -> bytes:
+        """Ids of a unit as 32-bit numbers. Units in use move to the young generation of the cache, so frequent ones stay."""
         got = self.units.get(text)
         if got is None:
+            got = self.old_units.get(text)
+            if got is None:
+                got = array("i", self._unit_ids(text) if self.bpe else self.to_ids(self.path(text))).tobytes()
             if len(self.units) >= MOST_UNITS:
-                self.units.clear()
-            got = self.units[text] = np.array(self._unit_ids(text) if self.bpe else self.to_ids(self.path(text)), np.int32)
+                self.old_units, self.units = self.units, {}
+            self.units[text] = got
         return got
 
     def cuts(self, text: str) -> list[int]:
@@ -222,13 +231,9 @@ class Pieces:
         if not text:
             return np.empty(0, np.int32)
         if not self.breaks:
-            return self.unit(text)
-        units, seen = self.units, self.unit
-        parts = []
-        for u in (_UNIT_LINE if self.line_breaks else _UNIT).findall(text):
-            got = units.get(u)
-            parts.append(seen(u) if got is None else got)
-        return np.concatenate(parts)
+            return np.frombuffer(self.unit(text), np.int32)
+        seen = self.unit
+        return np.frombuffer(b"".join([seen(u) for u in (_UNIT_LINE if self.line_breaks else _UNIT).findall(text)]), np.int32)
 
     def prepared(self, text: str) -> str:
         return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
@@ -395,8 +400,10 @@ def _small(rows: DataFrame, sent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
         for b in batches:
-            ids = [v.whole(v.prepared(t or "")) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_sha256"), _ids_column(ids)], ["doc_id", "text_sha256", "ids"])
+            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
+                part = b.slice(at, TEXTS_AT_ONCE)
+                ids = [v.whole(v.prepared(t or "")) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_sha256"), _ids_column(ids)], ["doc_id", "text_sha256", "ids"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, text_sha256 string, ids array<int>")

@@ -32,7 +32,7 @@ def test_query(spark, duck, small, name):
     df = QUERIES[name](spark, small)
     columns = sorted(df.columns)
     rows = sorted(tuple(map(plain, r)) for r in df.select(*columns).collect())
-    assert rows
+    assert rows or name == "validate"  # no violations in these tables
     if name in ORACLES:
         found = duck.sql(ORACLES[name])
         assert sorted(found.columns) == columns

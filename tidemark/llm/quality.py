@@ -106,19 +106,23 @@ def removed_words(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOC
     return once.groupBy("doc_id", "content").agg(F.sum("n").alias("n_removed"))
 
 
-def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
-    """doc_id, the base counts, base_failed, n_removed (words in boilerplate lines) and kept of every document."""
+def _verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     rows = base_rules(docs.select("doc_id", "text", F.xxhash64(text_of()).alias("_content")), ["doc_id", "_content"])
     gone = removed_words(docs, host, min_docs, max_share).select(F.col("doc_id").alias("_id"), F.col("content").alias("_c"), "n_removed")
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_content") == F.col("_c")), "left")
     left = F.col("n_words") - F.coalesce("n_removed", F.lit(0))
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", "_content", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         (~F.col("base_failed") & (left >= F.lit(min_kept_share) * F.col("n_words"))).alias("kept"),
     )
 
 
+def quality(docs: DataFrame, **limits) -> DataFrame:
+    """doc_id, the base counts, base_failed, n_removed (words in boilerplate lines) and kept of every document."""
+    return _verdicts(docs, **limits).drop("_content")
+
+
 def strip_lines(docs: DataFrame, lines: DataFrame, host: str = "source") -> DataFrame:
     """doc_id and text without its boilerplate lines, for documents that lose any (``lines`` from ``frequent_lines``)."""
     hit = line_rows(docs, host).join(lines.select("host", "line"), ["host", "line"]).select("doc_id", "content", "pos").distinct()
@@ -130,6 +134,6 @@ def strip_lines(docs: DataFrame, lines: DataFrame, host: str = "source") -> Data
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
-    """The documents that ``quality`` keeps, with all columns. Rejected ids leave by an anti join, so Spark may broadcast them if they are few."""
-    gone = quality(docs, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The documents that ``quality`` keeps, with all columns. Rejected rows (doc_id and text) leave by an anti join, so Spark may broadcast them if they are few."""
+    gone = _verdicts(docs, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("_content").alias("_c")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64(text_of()) == F.col("_c")), "left_anti")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, text_of
 from tidemark.llm.graph import components
 
 #: Words to a shingle of the registered query and its XXH64 seed.
@@ -192,7 +192,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_least(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """One document of each component, with all columns: the one of least doc_id (nulls last), then of least text hash.
+
+    ``rows`` has doc_id, content (``xxhash64`` of the text) and root (any name of the component) of every row. Rows of other
+    texts stay apart though they share a doc_id or have none.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
+    least = rows.groupBy("root").agg(F.min(own).alias("least"))
+    key = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("\u0000null"))
+    kept = least.select(key("least.doc_id").alias("_id"), F.col("least.content").alias("_content")).distinct()
+    keyed = docs.withColumns({"_id": key("doc_id"), "_content": F.xxhash64(text_of())})
+    return keyed.join(kept, ["_id", "_content"], "left_semi").dropDuplicates(["_id", "_content"]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents of least doc_id of each component, with all columns; of rows that share that doc_id, one."""
-    kept = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """The document of least (doc_id, text hash) of each component, with all columns."""
+    rows = cut(docs.select("doc_id", F.xxhash64(text_of()).alias("content"), F.pandas_udf(_simhash_column, "long")("text").alias("fp")))
+    roots = components(links(rows.select("fp").distinct()))
+    named = rows.join(roots, F.col("fp") == F.col("node"), "left")
+    return keep_least(docs, named.select("doc_id", "content", F.coalesce("root", "fp").alias("root")))

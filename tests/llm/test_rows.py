@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidemark.llm import quality, simhash
+from tidemark.llm import quality, similar, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -11,7 +11,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, None, "a", len(t or "")) for i, t in rows], DOCS)
 
 
-@pytest.mark.parametrize("stage", [simhash.keep_one])
+@pytest.mark.parametrize("stage", [simhash.keep_one, lambda d: simhash.keep_least(d, similar.classes(d))])
 def test_rows_without_an_id_of_their_own_stay_apart(spark, stage):
     own = lambda k: " ".join(f"own{k}x{i}" for i in range(80))
     rows = [(None, own(1)), (None, own(2)), (None, own(2)), (7, own(3)), (7, own(4)), (8, own(4)), (9, own(1)), (None, None)]

@@ -1,5 +1,6 @@
 """Which rows stay when ids are null or repeated."""
 
+import corpus_pipeline
 import pytest
 
 from tidemark.llm import quality, similar, simhash
@@ -25,3 +26,14 @@ def test_rejected_row_leaves_others_of_its_id(spark):
     rows = [(None, good(1)), (None, "bad"), (None, good(2)), (3, "bad"), (3, good(3))]
     got = sorted((r["text"] for r in quality.keep_good(frame(spark, rows)).collect()))
     assert got == [good(1), good(2), good(3)]
+
+
+def test_quality_stage_removes_shared_lines(spark):
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))  # noqa: E731  digits count as equal in lines
+    own = lambda i: " ".join(f"own{name(i)}x{name(k)}" for k in range(200))
+    menu = "home about contact imprint"
+    rows = [(i if i else None, f"{own(i)}\n{menu}\n{own(500 + i)}", None, "h", 0) for i in range(30)]
+    rows += [(40, f"{own(40)}\n{menu}", None, "other", 7), (41, "bad", None, "h", 3), (None, own(42), None, "h", 9), (1, own(43), None, None, 9)]
+    got = {(r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    expected = {(i if i else None, t := f"{own(i)}\n{own(500 + i)}", len(t)) for i in range(30)}
+    assert got == expected | {(40, f"{own(40)}\n{menu}", 7), (None, own(42), 9), (1, own(43), 9)}

@@ -137,3 +137,22 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The documents that ``quality`` keeps, with all columns. Rejected rows (doc_id and text) leave by an anti join, so Spark may broadcast them if they are few."""
     gone = _verdicts(docs, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("_content").alias("_c")).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64(text_of()) == F.col("_c")), "left_anti")
+
+
+def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
+    """The documents that ``quality`` keeps, with all columns, without their boilerplate lines; n_chars follows the text.
+
+    Rejections and cuts come back in one join on doc_id and text hash, so texts are shuffled once. A row is cut only where
+    its own host has the line.
+    """
+    gone = _verdicts(docs, host, min_docs, max_share, min_kept_share).filter(~F.col("kept")).select("doc_id", F.col("_content").alias("content"), F.lit(True).alias("gone"), F.lit(None).cast("struct<host:string,pos:int>").alias("cut"))
+    hit = line_rows(docs, host).join(frequent_lines(docs, host, min_docs, max_share), ["host", "line"])
+    cuts = hit.select("doc_id", "content", F.lit(False).alias("gone"), F.struct("host", "pos").alias("cut"))
+    fate = gone.unionByName(cuts).groupBy("doc_id", "content").agg(F.max("gone").alias("_out"), F.collect_set("cut").alias("_cuts"))  # at most the lines of one document
+    fate = fate.withColumnsRenamed({"doc_id": "_id", "content": "_content"})
+    both = docs.join(fate, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_content")), "left").filter(~F.coalesce("_out", F.lit(False)))
+    at = F.transform(F.filter("_cuts", lambda x: x["host"] == F.coalesce(F.col(host), F.lit(""))), lambda x: x["pos"])
+    text = let(at, lambda p: F.when(F.size(p) > 0, F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(p, i)), "\n")).otherwise(F.col("text")))
+    changed = F.coalesce(F.size("_cuts") > 0, F.lit(False))
+    both = both.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
+    return both.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

@@ -17,7 +17,7 @@ table gives no rows; extra columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +32,8 @@ MOST_SLOTS = 1024
 PARTS = 256
 
 
-def numbered(docs: DataFrame, weights: Mapping[str, int]) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, source, mix_source, n: place in the source from 0) and the row counts of the sources.
+def numbered(docs: DataFrame, weights: Mapping[str, int], carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, source, mix_source, n: place in the source from 0, and the columns to carry) and the row counts of the sources.
 
     The order in a source is that of a hash of doc_id; parts are ranges of the hash, so they are numbered side by side and
     shifted by the counts of the parts before: sources x parts rows, a bound that allows the broadcast.
@@ -41,14 +41,14 @@ def numbered(docs: DataFrame, weights: Mapping[str, int]) -> tuple[DataFrame, Da
     mix = F.when(F.col("source").isin(*weights), F.col("source")).otherwise(F.lit(OTHER))
     draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000null")), F.lit("mix"))
     part = F.shiftrightunsigned(draw, 56).cast("int") if PARTS == 256 else F.pmod(draw, F.lit(PARTS))
-    rows = docs.select("doc_id", "source", mix.alias("mix_source"), draw.alias("_draw")).withColumn("_part", part)
+    rows = docs.select("doc_id", "source", mix.alias("mix_source"), draw.alias("_draw"), *carry).withColumn("_part", part)
     counts = rows.groupBy("mix_source", "_part").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("mix_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = counts.select("mix_source", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("mix_source", "_part").orderBy("_draw", "doc_id")) - 1
+    place = F.row_number().over(Window.partitionBy("mix_source", "_part").orderBy("_draw", "doc_id", *carry)) - 1
     rows = rows.withColumn("_place", place).join(F.broadcast(shifts), ["mix_source", "_part"])
     totals = counts.groupBy("mix_source").agg(F.sum("_rows").alias("rows"))
-    return rows.select("doc_id", "source", "mix_source", (F.col("_before") + F.col("_place")).alias("n")), totals
+    return rows.select("doc_id", "source", *carry, "mix_source", (F.col("_before") + F.col("_place")).alias("n")), totals
 
 
 def _weights(weights: Mapping[str, int], other: int) -> dict[str, int]:
@@ -117,9 +117,12 @@ def schedule(totals: DataFrame, weights: Mapping[str, int], other: int = 1, bloc
     return rows.join(F.broadcast(names), F.col("job.ord") == F.col("ord")).select("mix_source", "weight", F.col("job.j").alias("j"), "tau_from", "tau_to", "slot_from", "unit_slots", "at", F.col("job.deadline").alias("unit_deadline"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, source, mix_source, block, slot, deadline and position (gapless from 0) of every row."""
-    rows, totals = numbered(docs, weights)
+def mix(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows: int = BLOCK_ROWS, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, mix_source, block, slot, deadline and position (gapless from 0) of every row, and the columns to carry.
+
+    Rows of one doc_id are told apart, and so ordered, by the columns carried.
+    """
+    rows, totals = numbered(docs, weights, carry)
     plan = schedule(totals, weights, other, block_rows)
     full = _weights(weights, other)
     weight_of = F.create_map(*[x for s, w in full.items() for x in (F.lit(s), F.lit(w))])
@@ -140,7 +143,7 @@ def mix(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows:
     found = found.join(F.broadcast(lacks), F.col("mix_source") == F.col("_m"))  # sources x sources entries
     lacking = F.aggregate(F.filter("lacks", lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["lack"])
     position = F.col("slot") * block_rows + F.pmod(F.col("n"), F.lit(block_rows)) - lacking
-    return found.select("doc_id", "source", "mix_source", "block", "slot", "deadline", position.cast("long").alias("position"))
+    return found.select("doc_id", "source", "mix_source", "block", "slot", "deadline", position.cast("long").alias("position"), *carry)
 
 
 def in_order(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:

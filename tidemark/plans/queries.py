@@ -650,7 +650,7 @@ def stream_dedup(f):
 
 @query()
 def stream_corroboration(f):
-    return J.run(J.corroboration(_news_stream(f)), J.shared_folder(f.spark, "corroboration"))
+    return J.newest_corroboration(_news_stream(f), J.shared_folder(f.spark, "corroboration"))
 
 
 @query("SELECT * FROM memory")

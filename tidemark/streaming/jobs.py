@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators import detect as D
 from tidemark.operators import history as H
@@ -54,7 +55,7 @@ def dedup(news: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def corroboration(news: DataFrame, delay: str = "1 day", length: str = "30 days", slide: str = "1 day") -> DataFrame:
-    """Distinct sources and best score per company, type and sliding window. Rows later than the watermark are dropped."""
+    """Distinct sources and best score per company, type and sliding window; on a stream, rows later than the watermark are dropped."""
     rows = _event_time(news).withWatermark("published_at", delay).withColumn("_hit", F.explode(_hit_array()))
     rows = rows.filter(F.col("_hit.raw") >= 0.2)
     out = rows.groupBy(F.window("published_at", length, slide).alias("w"), "company_id", F.col("_hit.signal_type").alias("signal_type")).agg(
@@ -62,6 +63,27 @@ def corroboration(news: DataFrame, delay: str = "1 day", length: str = "30 days"
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "company_id", "signal_type", "sources", "best_score")
 
 
+def newest_corroboration(news: DataFrame, folder: str, **windows) -> DataFrame:
+    """``corroboration`` of all that has arrived, windows that are still open included.
+
+    Each batch writes the rows it changed (update mode) into its own folder, so a repeated batch adds none; the newest row of a
+    window, company and type counts.
+    """
+    spark = news.sparkSession
+    rows = corroboration(news, **windows)
+    key = ["window_start", "window_end", "company_id", "signal_type"]
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = rows.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = StructType([*rows.schema.fields, StructField("batch", LongType())])
+    saved = spark.read.schema(schema).parquet(f"{folder}/rows")
+    last = saved.groupBy(*key).agg(F.max_by(F.struct("sources", "best_score"), "batch").alias("r"))
+    return last.select(*key, "r.sources", "r.best_score")
+
+
 def _hit_array():
     from tidemark.functions import text as X
 

@@ -40,7 +40,7 @@ def _calibrated(rows: DataFrame, adjusted: Column, factor: Column) -> DataFrame:
     rate = F.when(lone, F.least(F.col("_band.rate"), F.lit(V.UNCONFIRMED_RATE))).otherwise(F.col("_band.rate"))
     return (
         rows.withColumn("severity", F.when(lone, "high").otherwise(F.col("_band.severity"))).withColumn("_rate", rate)
-        .withColumn("confidence", F.round(F.least(F.col("_rate") * corroboration_multiplier(F.col("corroboration")) * factor, F.lit(1.0)), 3))
+        .withColumn("confidence", X.rounded(F.least(F.col("_rate") * corroboration_multiplier(F.col("corroboration")) * factor, F.lit(1.0)), 3))
         .withColumn("rate", F.round("_rate", 3)).drop("_band", "_rate")
     )
 
@@ -104,12 +104,13 @@ def score(found: DataFrame, company: DataFrame, *, as_of: dt.datetime, complianc
     w = V.ALPHA_WEIGHTS
     rows = found.join(company.select("company_id", "ticker", "exchange"), "company_id", "left")
     rows = rows.withColumn("liquidity", liquidity_tier(F.col("ticker"), F.col("exchange")))
+    # a tenth more or less can decide on a review, so the sum is rounded as a decimal
     raw = (
         X.lookup(F.col("severity"), V.SEVERITY_WEIGHT, 0.28) * w["severity"] + X.lookup(F.col("source_name"), V.CREDIBILITY, V.DEFAULT_CREDIBILITY) * w["credibility"]
         + (1.0 - 1.0 / (1.0 + 0.8 * F.col("corroboration"))) * w["corroboration"]
         + decay(F.col("doc_date"), as_of, V.RECENCY_HALF_LIFE, V.RECENCY_FLOOR) * w["recency"] + X.lookup(F.col("liquidity"), V.LIQUIDITY_WEIGHT, 0.2) * w["liquidity"]
     )
-    rows = expected_move(rows.withColumn("alpha", F.round(raw * 100, 1)))
+    rows = expected_move(rows.withColumn("alpha", X.rounded(raw * 100, 1)))
     low = F.lit(compliance) & (F.col("confidence") < V.REVIEW_CONFIDENCE)
     reason = (
         F.when(F.col("alpha") >= V.REVIEW_ALPHA, F.concat(F.lit("Alpha score "), F.round("alpha", 0).cast("int").cast("string"), F.lit(" ≥ threshold 70")))

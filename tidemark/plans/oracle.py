@@ -16,6 +16,11 @@ def double(value: float) -> str:
     return f"CAST({value} AS DOUBLE)"
 
 
+def half_up(value: str, digits: int) -> str:
+    """Rounded half up as a decimal of eight places, as the engine does where a value can end on a half."""
+    return f"round(CAST({value} AS DECIMAL(20, 8)), {digits})::DOUBLE"
+
+
 def contained_credibility(column: str) -> str:
     return "CASE " + " ".join(f"WHEN contains(lower({column}), {text(k.lower())}) THEN {double(v)}" for k, v in V.CREDIBILITY.items()) + f" ELSE {double(V.DEFAULT_CREDIBILITY)} END"
 
@@ -58,7 +63,7 @@ _RATE = f"CASE WHEN b.severity = 'critical' AND corroboration < {V.CRITICAL_SOUR
 
 
 def _calibrated(source: str, factor: str) -> str:
-    return f"""SELECT a.* EXCLUDE (adj), adj AS adjusted_score, {_SEVERITY('adj')} AS severity, round(least(({_RATE}) * ({multiplier('corroboration')}) * {factor}, {double(1)}), 3) AS confidence, round({_RATE}, 3) AS rate
+    return f"""SELECT a.* EXCLUDE (adj), adj AS adjusted_score, {_SEVERITY('adj')} AS severity, {half_up(f"least(({_RATE}) * ({multiplier('corroboration')}) * {factor}, {double(1)})", 3)} AS confidence, round({_RATE}, 3) AS rate
 FROM ({source}) a LEFT JOIN bands b ON a.signal_type = b.type AND adj >= b.lo AND adj < b.hi"""
 
 
@@ -88,9 +93,9 @@ WHERE rn = 1"""
 
 def _scored(source: str, ticker: str, as_of: str) -> str:
     w = V.ALPHA_WEIGHTS
-    alpha = (
-        f"round(100 * ({exact('severity', V.SEVERITY_WEIGHT, 0.28)} * {double(w['severity'])} + {exact('source_name', V.CREDIBILITY, V.DEFAULT_CREDIBILITY)} * {double(w['credibility'])} + (1 - 1 / (1 + {double(0.8)} * corroboration)) * {double(w['corroboration'])}"
-        f" + greatest(pow({double(0.5)}, (epoch(TIMESTAMP '{as_of}') - epoch(doc_date::TIMESTAMP)) / 86400.0 / 14), {double(0.3)}) * {double(w['recency'])} + {exact('liquidity', V.LIQUIDITY_WEIGHT, 0.2)} * {double(w['liquidity'])}), 1)"
+    alpha = half_up(
+        f"100 * ({exact('severity', V.SEVERITY_WEIGHT, 0.28)} * {double(w['severity'])} + {exact('source_name', V.CREDIBILITY, V.DEFAULT_CREDIBILITY)} * {double(w['credibility'])} + (1 - 1 / (1 + {double(0.8)} * corroboration)) * {double(w['corroboration'])}"
+        f" + greatest(pow({double(0.5)}, (epoch(TIMESTAMP '{as_of}') - epoch(doc_date::TIMESTAMP)) / 86400.0 / 14), {double(0.3)}) * {double(w['recency'])} + {exact('liquidity', V.LIQUIDITY_WEIGHT, 0.2)} * {double(w['liquidity'])})", 1
     )
     return f"""SELECT *, review_reason IS NOT NULL AS review FROM (SELECT *, CASE WHEN alpha >= 70 THEN 'Alpha score ' || round(alpha)::INT || ' ≥ threshold 70' WHEN severity = 'critical' THEN 'Severity CRITICAL requires mandatory review' END AS review_reason FROM (
   SELECT s.*, {alpha} AS alpha, coalesce(m.direction, 'neutral') AS direction, coalesce(m.low_pct, 0) AS low_pct, coalesce(m.high_pct, 0) AS high_pct, coalesce(m.comparable_n, 0) AS comparable_n, coalesce(m.move_confidence, 'low') AS move_confidence

@@ -75,7 +75,7 @@ def query(sql: str | None = None):
     return register
 
 
-r6 = lambda c: F.round(c, 6).alias(c)
+r6 = lambda c: X.rounded(F.col(c), 6).alias(c)
 
 # ---- detection -----------------------------------------------------------------------------------------------
 
@@ -85,17 +85,17 @@ def rule_hits(f):
     return D.filing_hits(f.filing).select("company_id", "doc_no", "signal_type", "base_score", F.array_join("patterns", " | ").alias("patterns"))
 
 
-@query("SELECT company_id, doc_no, signal_type, round(raw_score, 6) AS raw_score, source_name, ref FROM hits WHERE src_no = 0")
+@query("SELECT company_id, doc_no, signal_type, " + O.half_up("raw_score", 6) + " AS raw_score, source_name, ref FROM hits WHERE src_no = 0")
 def candidates_filings(f):
     return D.filing_hits(f.filing).select("company_id", "doc_no", "signal_type", r6("raw_score"), "source_name", "ref")
 
 
-@query("SELECT company_id, doc_no, signal_type, round(raw_score, 6) AS raw_score, source_name FROM hits WHERE src_no = 1")
+@query("SELECT company_id, doc_no, signal_type, " + O.half_up("raw_score", 6) + " AS raw_score, source_name FROM hits WHERE src_no = 1")
 def candidates_news(f):
     return D.news_hits(f.news).select("company_id", "doc_no", "signal_type", r6("raw_score"), "source_name")
 
 
-@query("SELECT company_id, signal_type, source_type, source_name, doc_no, round(raw_score, 6) AS raw_score, corroboration, patterns FROM cand")
+@query("SELECT company_id, signal_type, source_type, source_name, doc_no, " + O.half_up("raw_score", 6) + " AS raw_score, corroboration, patterns FROM cand")
 def candidate_merge(f):
     return f.candidates.select("company_id", "signal_type", "source_type", "source_name", "doc_no", r6("raw_score"), "corroboration", F.array_join("patterns", " | ").alias("patterns"))
 
@@ -126,12 +126,12 @@ def registry(f):
 # ---- calibration and score -----------------------------------------------------------------------------------
 
 
-@query("SELECT company_id, signal_type, corroboration, round(adjusted_score, 6) AS adjusted_score, severity, confidence, rate FROM cal")
+@query("SELECT company_id, signal_type, corroboration, " + O.half_up("adjusted_score", 6) + " AS adjusted_score, severity, confidence, rate FROM cal")
 def calibrate(f):
     return f.calibrated.select("company_id", "signal_type", "corroboration", r6("adjusted_score"), "severity", "confidence", "rate")
 
 
-@query("SELECT company_id, signal_type, round(adjusted_score, 6) AS adjusted_score, severity, confidence, rate, round(precision_factor, 6) AS precision_factor, round(fp_factor, 6) AS fp_factor, sector_factor FROM adaptive")
+@query("SELECT company_id, signal_type, " + O.half_up("adjusted_score", 6) + " AS adjusted_score, severity, confidence, rate, " + O.half_up("precision_factor", 6) + " AS precision_factor, " + O.half_up("fp_factor", 6) + " AS fp_factor, sector_factor FROM adaptive")
 def adaptive_calibrate(f):
     return S.adaptive_calibrate(f.candidates, f.company, f.stats).select("company_id", "signal_type", r6("adjusted_score"), "severity", "confidence", "rate", r6("precision_factor"), r6("fp_factor"), "sector_factor")
 
@@ -638,7 +638,7 @@ def _run_stream(f) -> DataFrame:
     return f.spark.sql(VIEWS["v_run"], orders=J.table_stream(f.spark, f"{f.dir}/orders.parquet"))
 
 
-@query("SELECT company_id, signal_type, doc_no, source_name, round(raw_score, 6) AS raw_score FROM hits WHERE src_no = 1")
+@query("SELECT company_id, signal_type, doc_no, source_name, " + O.half_up("raw_score", 6) + " AS raw_score FROM hits WHERE src_no = 1")
 def stream_hits(f):
     return J.run(J.hits(_news_stream(f)), J.shared_folder(f.spark, "hits"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tidemark.functions import text as X
 from tidemark.operators import detect as D
 from tidemark.operators import history as H
 
@@ -41,7 +42,7 @@ def run(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
 
 def hits(news: DataFrame) -> DataFrame:
     """Rule hits of arriving news; stateless."""
-    return D.news_hits(news).select("company_id", "signal_type", "doc_no", "source_name", F.round("raw_score", 6).alias("raw_score"))
+    return D.news_hits(news).select("company_id", "signal_type", "doc_no", "source_name", X.rounded(F.col("raw_score"), 6).alias("raw_score"))
 
 
 def _event_time(news: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def corroboration(news: DataFrame, delay: str = "1 day", length: str = "30 days"
     rows = _event_time(news).withWatermark("published_at", delay).withColumn("_hit", F.explode(_hit_array()))
     rows = rows.filter(F.col("_hit.raw") >= 0.2)
     out = rows.groupBy(F.window("published_at", length, slide).alias("w"), "company_id", F.col("_hit.signal_type").alias("signal_type")).agg(
-        F.size(F.collect_set("source")).alias("sources"), F.round(F.max("_hit.raw"), 6).alias("best_score"))
+        F.size(F.collect_set("source")).alias("sources"), X.rounded(F.max("_hit.raw"), 6).alias("best_score"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "company_id", "signal_type", "sources", "best_score")
 
 
@@ -85,8 +86,6 @@ def newest_corroboration(news: DataFrame, folder: str, **windows) -> DataFrame:
 
 
 def _hit_array():
-    from tidemark.functions import text as X
-
     found = X.rule_hits("concat_ws(' ', title, snippet)")
     credibility = X.contained_credibility(F.col("source"))
     return F.transform(found, lambda h: F.struct(h["signal_type"].alias("signal_type"), F.least(h["base_score"] * credibility * F.col("relevance_score"), F.lit(1.0)).alias("raw")))

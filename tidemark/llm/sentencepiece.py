@@ -6,27 +6,31 @@ result and of no other path of pieces that are their own BPE result: in a text,
 a border would also run in the two pieces alone. So the heaviest path is exactly the library's encoding, for BPE and for unigram models. A
 character without a piece is an unknown step and becomes its bytes.
 
-No piece has a space after another character, so a path always breaks before a space that follows a non-space: such units are independent and
-encoded once per distinct unit. A giant text is split into chunks of ``CHUNK`` characters wherever they fall. The state at a border is the
-piece that crosses it or ends there (its end, its text); a chunk gives the matrix of best weights from each state at its left border to each at
-its right one, looking as far as the longest piece beyond both. Matrices of a document are multiplied in (max, +), which is associative; the
-best states are read off, and then each chunk is traced back alone between its two states.
-
-Scale: small texts take one pass in Arrow batches and no shuffle. Chunks of giant texts are cut by a checkpoint, so both passes see the same rows;
-only the matrices and the ids of giant texts are grouped, by document. Caches of units and pairs are bounded and only save time.
-
-Defined results: null and empty texts have no ids; U+2581 in a text is a space, as in the library; equal rows get equal ids; extra columns are
-left out.
+No piece has a space after another character, so a path always breaks before a space that follows a non-space: such units are independent. All
+new units of a batch of texts are scanned side by side in numpy: for each place in them the best weight over the edges that end there, with the
+edge that gives it (``scan``); then all are traced back at once.
+
+Every text is dealt in chunks of ``CHUNK`` characters wherever they fall. The state at a border is the piece that crosses it or ends there (its
+end, its text); a chunk gives the matrix of best weights from each state at its left border to each at its right one, looking as far as the longest
+piece beyond both. Matrices of a document are multiplied in (max, +) up a tree of ``ARITY`` children a node, which works as the product is
+associative; then the best states are read off down the tree, and each chunk is traced back alone between its two states. The only chunk of a text has
+no border inside the text, so it needs no matrix and is traced at once, by the same function.
+
+Scale: one pass in Arrow batches, without a shuffle, for texts of one chunk. The chunks of longer ones are spread over the cluster and cut by a
+checkpoint, so all passes see the same rows; a group of a tree's level holds at most ARITY matrices. Only the ids of one document come together, in its own
+row. Caches of units and pairs are bounded and only save time.
+
+Defined results: null and empty texts have no ids; U+2581 in a text is a space, as in the library; equal rows get equal ids; an empty table gives no rows;
+extra columns are left out.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -36,11 +40,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 65_536
-#: Units in each of two generations of the cache, and known pairs.
-MOST_UNITS, MOST_PAIRS = 120_000, 400_000
-#: Texts that are turned into ids at once.
-TEXTS_AT_ONCE = 500
+CHUNK = 8_192
+#: Children of a node in the tree of matrix products.
+ARITY = 16
+#: Units kept between batches.
+MOST_UNITS = 200_000
+#: Characters that are turned into ids at once.
+CHARS_AT_ONCE = 2_000_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -49,6 +55,99 @@ State = tuple[int, str]
 EDGE: State = (0, "")
 
 
+def _mixed(h: np.ndarray, length: int) -> np.ndarray:
+    h = (h + np.uint64(length)) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+class _Edges:
+    """Tables that find all edges of many lattices at once: hashes of the usable pieces and of their beginnings, and what may follow what."""
+
+    BITS, MIX, STEP = 22, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
+
+    def __init__(self, v: Pieces):
+        self.v = v
+        self.names = [p for p in v.ids if v.usable(p)]
+        self.unknown = len(self.names)
+        self.ids = np.array([*[v.ids[p] for p in self.names], -1], np.int32)
+        self.scores = np.array([*[v.scores[p] for p in self.names], v.floor])
+        by_length: dict[int, list[int]] = {}
+        for i, p in enumerate(self.names):
+            by_length.setdefault(len(p), []).append(i)
+        self.longest = max(by_length)
+        begins: dict[int, set[str]] = {}
+        for p in self.names:
+            for n in range(1, len(p) + 1):
+                begins.setdefault(n, set()).add(p[:n])
+        self.starts = np.zeros(1 << self.BITS, bool)
+        for n, names in begins.items():
+            self.starts[self._slot(self._hash(sorted(names), n))] = True
+        self.exact = {n: self._sorted(self._hash([self.names[i] for i in own], n), np.array(own)) for n, own in by_length.items()}
+        self.keys, self.good = np.full(1 << self.BITS, -1), np.zeros(1 << self.BITS, bool)
+
+    @classmethod
+    def _hash(cls, names: list[str], n: int) -> np.ndarray:
+        c = np.frombuffer("".join(names).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n).astype(np.uint64)
+        h = np.zeros(len(c), np.uint64)
+        for k in range(n):
+            h = h * cls.STEP + c[:, k] + np.uint64(1)
+        return _mixed(h, n)
+
+    @classmethod
+    def _slot(cls, h: np.ndarray) -> np.ndarray:
+        return (h * cls.MIX >> np.uint64(64 - cls.BITS)).astype(np.int64)
+
+    @staticmethod
+    def _sorted(h: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(h)
+        return h[order], own[order]
+
+    def find(self, text: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """start, size and piece of all edges; ``room`` is how many characters are left in the unit. A character without a piece is an unknown step."""
+        at = np.arange(len(text))
+        h = np.zeros(len(text), np.uint64)
+        starts, sizes, pieces = [], [], []
+        for n in range(1, self.longest + 1):
+            live = np.flatnonzero(room[at] >= n)
+            at = at[live]
+            if not len(at):
+                break
+            h = h[live] * self.STEP + text[at + n - 1] + np.uint64(1)
+            key = _mixed(h, n)
+            if n in self.exact:
+                known, own = self.exact[n]
+                where = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                hit = known[where] == key
+                found, piece = at[hit], own[where[hit]]
+                if n == 1:
+                    found, piece = at, np.where(hit, own[where], self.unknown)
+                starts.append(found)
+                pieces.append(piece)
+                sizes.append(np.full(len(found), n))
+            may = self.starts[self._slot(key)]
+            at, h = at[may], h[may]
+        empty = np.empty(0, np.int64)
+        return np.concatenate([*starts, empty]), np.concatenate([*sizes, empty]), np.concatenate([*pieces, empty])
+
+    def allowed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether piece b may follow piece a; a character without a piece takes part in no merge. Known pairs stay in a table of fixed size."""
+        key = a * (self.unknown + 1) + b
+        slot = self._slot(key.astype(np.uint64))
+        out = self.good[slot]
+        free = (a == self.unknown) | (b == self.unknown)
+        new = np.flatnonzero((self.keys[slot] != key) & ~free)
+        if len(new):
+            fresh, back = np.unique(key[new], return_inverse=True)
+            names, n = self.names, self.unknown + 1
+            ok = np.array([self.v.allowed(names[k // n], names[k % n]) for k in fresh.tolist()])
+            out[new] = ok[back]
+            at = self._slot(fresh.astype(np.uint64))
+            self.keys[at], self.good[at] = fresh, ok
+            # two new pairs of one slot: the later key stays, so its own answer must
+            self.good[at] = ok[np.searchsorted(fresh, self.keys[at])]
+        return out | free
+
+
 @dataclass
 class Pieces:
     """A vocabulary with its kind, and bounded caches."""
@@ -63,54 +162,56 @@ class Pieces:
     breaks: bool
     line_breaks: bool
     units: dict[str, bytes] = field(default_factory=dict)
-    old_units: dict[str, bytes] = field(default_factory=dict)
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
-    closed: dict[str, bool] = field(default_factory=dict)
+    growth: dict[str, tuple] = field(default_factory=dict)
     floor: float = 0.0
-    automaton: object = None
+    edges: _Edges | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"units": {}, "old_units": {}, "pairs": {}, "closed": {}, "automaton": None}
+        return self.__dict__ | {"units": {}, "edges": None}
 
     # -- weights ---------------------------------------------------------------------------------------------
 
-    def merged(self, text: str) -> list[str]:
-        """Merge neighbours with the best piece, leftmost of equals, until none is left."""
-        parts, score, none = list(text), self.scores.get, -np.inf
-        ranks = [score(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
-        while ranks:
+    def grown(self, piece: str) -> tuple[list[tuple[str, float]], list[tuple[str, float]]] | None:
+        """The first and the last part of a piece while its characters merge, each with the score of the merge that ends it; None if they do not
+        become the piece, or if a merge has a better score than the one before."""
+        parts, score, none = list(piece), self.scores.get, -np.inf
+        left, right, worst = [], [], np.inf
+        while len(parts) > 1:
+            ranks = [score(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
             best = max(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
+            if best == none or best > worst:
+                return None
+            i, worst = ranks.index(best), best
+            if i == 0:
+                left.append((parts[0], best))
+            if i == len(parts) - 2:
+                right.append((parts[-1], best))
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = score(parts[i - 1] + parts[i], none)
-            if i < len(ranks):
-                ranks[i] = score(parts[i] + parts[i + 1], none)
-        return parts
+        return [*left, (piece, none)], [*right, (piece, none)]
 
     def usable(self, piece: str) -> bool:
-        if piece not in self.scores:
-            return len(piece) == 1
-        if not self.bpe or len(piece) == 1:
-            return True
-        ok = self.closed.get(piece)
-        if ok is None:
-            ok = self.closed[piece] = self.merged(piece) == [piece]
-        return ok
+        return len(piece) == 1 or (piece in self.scores if not self.bpe else piece in self.growth)
 
     def allowed(self, a: str, b: str) -> bool:
-        """Whether piece b may follow piece a; anything may follow a border."""
-        if not self.bpe or not a:
-            return True
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merged(a + b) == [a, b]
-        return ok
+        """Whether piece b may follow piece a; anything may follow a border.
+
+        Two pieces stay apart if, as both grow in order of their merges' scores, no merge across their border ever comes first. Of equal
+        scores the leftmost merge comes first.
+        """
+        if not self.bpe or not a or a not in self.growth or b not in self.growth:
+            return True  # a character without a piece takes part in no merge
+        xs, ys, score, i, j = self.growth[a][1], self.growth[b][0], self.scores.get, 0, 0
+        while True:
+            (x, end_x), (y, end_y) = xs[i], ys[j]
+            across = score(x + y)
+            if across is not None and across > end_x and across >= end_y:
+                return False
+            if end_x >= end_y:
+                if end_x == -np.inf:
+                    return True
+                i += 1
+            else:
+                j += 1
 
     def score(self, piece: str) -> float:
         return self.scores.get(piece, self.floor)
@@ -161,88 +262,96 @@ class Pieces:
                 out.append(i)
         return out
 
-    def path(self, text: str) -> list[str]:
-        """Pieces of a text between two borders."""
-        best = self.forward(text, 0, "", len(text))
-        last = max(best[len(text)].items(), key=lambda x: x[1][0])[0]
-        return self.trace(best, 0, len(text), last)
-
-    def _prepare(self) -> None:
-        """The automaton of all usable pieces, which finds every edge of a lattice in one pass, and what may follow each piece."""
-        self.automaton = ahocorasick.Automaton()
-        for piece, i in self.ids.items():
-            if self.usable(piece):
-                self.automaton.add_word(piece, (piece, len(piece), i, {}))
-        self.automaton.make_automaton()
-        self.letters = {p for p in self.ids if len(p) == 1}
-        self.followed = 0
-
-    def _unit_ids(self, text: str) -> list[int]:
-        """Ids of the path of a text between two borders, for BPE: each prefix has one path, so one last edge per end is enough.
-
-        Edges come by their end and, for one end, longest first.
+    def scan(self, units: list[str]) -> list[bytes]:
+        """Ids, as 32-bit numbers, of the heaviest paths of texts between two borders.
+
+        Step t takes all edges that end t characters into their unit: the weight of a path is that of the path before, plus the piece's
+        score, plus (BPE) 0 or minus infinity for the pair of pieces; the greatest of each end stays. Of the paths of a BPE prefix only its
+        BPE result is not minus infinity, so one last piece for each end carries all that the pairs need.
         """
-        if self.automaton is None:
-            self._prepare()
-        if not self.letters.issuperset(text):
-            return self.to_ids(self.path(text))
-        back: list = [None] * (len(text) + 1)
-        for end, edge in self.automaton.iter(text):
-            end += 1
-            if back[end] is None:
-                piece, n, _, _ = edge
-                if n < end:
-                    before = back[end - n]
-                    ok = before[3].get(piece)
-                    if ok is None:
-                        ok = before[3][piece] = self.merged(before[0] + piece) == [before[0], piece]
-                        self.followed += 1
-                    if not ok:
-                        continue
-                back[end] = edge
-        out, end = [], len(text)
-        while end:
-            edge = back[end]
-            out.append(edge[2])
-            end -= edge[1]
-        out.reverse()
-        if self.followed > MOST_PAIRS:
-            self._prepare()
+        if self.edges is None:
+            self.edges = _Edges(self)
+        e = self.edges
+        lens = np.fromiter(map(len, units), np.int64, len(units))
+        text = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum(lens) - lens
+        offset = np.arange(len(text)) - np.repeat(first, lens)
+        start, size, piece = e.find(text, np.repeat(lens, lens) - offset)
+        end = start + size  # ends and starts count within ``text``; a unit's own first place stands for "before it"
+        depth = offset[start] + size
+        order = np.lexsort((-size, end, depth))
+        start, end, piece, depth = start[order], end[order], piece[order], depth[order]
+        weight = np.full(len(text) + 1, -np.inf)  # by the last character's place
+        last, back = np.full(len(text) + 1, -1), np.zeros(len(text) + 1, np.int64)
+        bounds = np.searchsorted(depth, np.arange(1, int(lens.max(initial=0)) + 2))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            s, t, p = start[a:b], end[a:b] - 1, piece[a:b]
+            inner = offset[s] > 0
+            total = np.where(inner, weight[s - 1], 0.0)
+            live = np.flatnonzero(total > -np.inf)
+            s, t, p, inner, total = s[live], t[live], p[live], inner[live], total[live] + e.scores[p[live]]
+            if self.bpe:
+                bad = inner.copy()
+                bad[inner] = ~e.allowed(last[s[inner] - 1], p[inner])
+                keep = np.flatnonzero(~bad)
+                s, t, p, total = s[keep], t[keep], p[keep], total[keep]
+            if not len(t):
+                continue
+            heads = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            best = np.maximum.reduceat(total, heads)
+            win = np.flatnonzero(total == np.repeat(best, np.diff(np.append(heads, len(t)))))[::-1]  # of equals the first, that is the longest, is written last
+            weight[t[win]], last[t[win]], back[t[win]] = total[win], p[win], s[win]
+        who = np.arange(len(units))[lens > 0]
+        at = (first + lens - 1)[lens > 0]
+        found = []
+        while len(who):
+            found.append((who, last[at]))
+            s = back[at]
+            more = offset[s] > 0
+            who, at = who[more], s[more] - 1
+        owner = np.concatenate([w for w, _ in found] or [np.empty(0, np.int64)])
+        pieces = np.concatenate([p for _, p in found] or [np.empty(0, np.int64)])
+        order = np.argsort(owner[::-1], kind="stable")
+        owner, pieces = owner[::-1][order], pieces[::-1][order]
+        data = e.ids[pieces].tobytes()
+        ends = (4 * np.cumsum(np.bincount(owner, minlength=len(units)))).tolist()
+        out = [data[a:b] for a, b in zip([0, *ends][:-1], ends, strict=True)]
+        for u in np.unique(owner[pieces == e.unknown]).tolist():  # characters without a piece become bytes
+            own, place = [], 0
+            for p in pieces[owner == u].tolist():
+                name = units[u][place] if p == e.unknown else e.names[p]
+                own.append(name)
+                place += len(name)
+            out[u] = np.array(self.to_ids(own), np.int32).tobytes()
         return out
 
-    def unit(self, text: str) -> bytes:
-        """Ids of a unit as 32-bit numbers. Units in use move to the young generation of the cache, so frequent ones stay."""
-        got = self.units.get(text)
-        if got is None:
-            got = self.old_units.get(text)
-            if got is None:
-                got = array("i", self._unit_ids(text) if self.bpe else self.to_ids(self.path(text))).tobytes()
-            if len(self.units) >= MOST_UNITS:
-                self.old_units, self.units = self.units, {}
-            self.units[text] = got
-        return got
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that begin and end at borders (spaces already replaced)."""
+        split = (_UNIT_LINE if self.line_breaks else _UNIT).findall if self.breaks else (lambda t: [t] if t else [])
+        parts = [split(t) for t in texts]
+        need = set(chain.from_iterable(parts))
+        new = sorted(need - self.units.keys())
+        if len(self.units) + len(new) > MOST_UNITS:
+            self.units = {u: self.units[u] for u in need if u in self.units}
+        self.units.update(zip(new, self.scan(new), strict=True))
+        return [np.frombuffer(b"".join(map(self.units.__getitem__, p)), np.int32) for p in parts]
 
     def cuts(self, text: str) -> list[int]:
         """Places where every path breaks."""
         return [m.end() for m in re.finditer(f"[^{SPACE}](?={SPACE})", text)] if self.breaks else []
 
-    def whole(self, text: str) -> np.ndarray:
-        """Ids of a text that begins and ends at borders (spaces already replaced)."""
-        if not text:
-            return np.empty(0, np.int32)
-        if not self.breaks:
-            return np.frombuffer(self.unit(text), np.int32)
-        seen = self.unit
-        return np.frombuffer(b"".join([seen(u) for u in (_UNIT_LINE if self.line_breaks else _UNIT).findall(text)]), np.int32)
-
     def prepared(self, text: str) -> str:
         return (SPACE if self.dummy_prefix and text else "") + text.replace(" ", SPACE)
 
     # -- chunks ----------------------------------------------------------------------------------------------
 
+    def _breaks_at(self, text: str, border: int) -> bool:
+        """Whether every path breaks at a border: an end of the text, or before a space after another character."""
+        return border <= 0 or border >= len(text) or (self.breaks and text[border] == SPACE and text[border - 1] != SPACE)
+
     def states(self, text: str, border: int) -> list[State]:
         """Pieces that cross or end at a border inside ``text``, by their end relative to it."""
-        if border <= 0 or border >= len(text) or (self.breaks and text[border] == SPACE and text[border - 1] != SPACE):
+        if self._breaks_at(text, border):
             return [EDGE]
         found = []
         for s in range(max(0, border - self.longest), border):
@@ -255,7 +364,7 @@ class Pieces:
     def _arrivals(self, text: str, lo: int, best: dict, hi: int) -> dict[State, tuple[float, int, str]]:
         """States at border ``hi`` reached from the lattice ``best`` over text up to it: weight, and the end and piece before."""
         out: dict[State, tuple[float, int, str]] = {}
-        if hi >= len(text) or (self.breaks and text[hi] == SPACE and text[hi - 1] != SPACE):
+        if self._breaks_at(text, hi):
             for p, (w, _, _) in best.get(hi, {}).items():
                 if EDGE not in out or w > out[EDGE][0]:
                     out[EDGE] = (w, hi, p)
@@ -293,27 +402,39 @@ class Pieces:
                 out.extend((state, j, x[0]) for j, x in self._arrivals(text, at, best, hi).items())
         return out
 
-    def between(self, text: str, lo: int, hi: int, enter: State, leave: State) -> np.ndarray:
-        """Ids of the pieces that start in the chunk [lo, hi), entered and left in the given states."""
-        at, last = lo + enter[0], enter[1]
-        if at >= hi:
-            return np.empty(0, np.int32)
-        inner = [c for c in self.cuts(text) if lo < c < hi]
-        parts: list[np.ndarray] = []
-        if inner and at <= inner[0]:
-            if at < inner[0]:
-                best = self.forward(text, at, last, inner[0])
-                end = max(best[inner[0]].items(), key=lambda x: x[1][0])[0]
-                parts.append(np.array(self.to_ids(self.trace(best, at, inner[0], end)), np.int32))
-            parts.append(self.whole(text[inner[0] : inner[-1]]))
-            at, last = inner[-1], ""
-        best = self.forward(text, at, last, hi)
-        _, s, prev = self._arrivals(text, at, best, hi)[leave]
-        pieces = self.trace(best, at, s, prev)
-        if s < hi:
-            pieces.append(leave[1] if self.bpe else text[s : hi + leave[0]])
-        parts.append(np.array(self.to_ids(pieces), np.int32))
-        return np.concatenate(parts)
+    def between(self, chunks: list[tuple[str, int, int, State, State]]) -> list[np.ndarray]:
+        """Ids of the pieces that start in the chunks (text, lo, hi), entered and left in the given states.
+
+        What lies between a chunk's first and last certain break goes to one scan for all chunks.
+        """
+        heads, middles, tails = [], [], []
+        for text, lo, hi, enter, leave in chunks:
+            at, last = lo + enter[0], enter[1]
+            head, middle, tail = [], "", []
+            ends_sure = leave == EDGE and self._breaks_at(text, hi)
+            if at < hi:
+                if at == lo and enter == EDGE and ends_sure and self._breaks_at(text, lo):
+                    middle = text[lo:hi]
+                else:
+                    inner = [c for c in self.cuts(text) if lo < c < hi]
+                    if inner and at <= inner[0]:
+                        if at < inner[0]:
+                            best = self.forward(text, at, last, inner[0])
+                            end = max(best[inner[0]].items(), key=lambda x: x[1][0])[0]
+                            head = self.to_ids(self.trace(best, at, inner[0], end))
+                        middle = text[inner[0] : inner[-1]]
+                        at, last = inner[-1], ""
+                    best = self.forward(text, at, last, hi)
+                    _, s, prev = self._arrivals(text, at, best, hi)[leave]
+                    pieces = self.trace(best, at, s, prev)
+                    if s < hi:
+                        pieces.append(leave[1] if self.bpe else text[s : hi + leave[0]])
+                    tail = self.to_ids(pieces)
+            heads.append(head)
+            middles.append(middle)
+            tails.append(tail)
+        whole = self.whole(middles)
+        return [np.concatenate([np.array(h, np.int32), m, np.array(t, np.int32)]) if h or t else m for h, m, t in zip(heads, whole, tails, strict=True)]
 
     # -- decoding --------------------------------------------------------------------------------------------
 
@@ -353,8 +474,13 @@ def load(model: str = MODEL) -> Pieces:
             raw.append(b"")
     if not all(byte_ids):
         raise ValueError("the model must have byte pieces")
+    if not set("".join(ids)) <= ids.keys():
+        raise ValueError("each character of a piece must be a piece")
     breaks = not any(SPACE in p.lstrip(SPACE) for p in ids)
-    return Pieces(ids, scores, byte_ids, raw, proto.trainer_spec.model_type == 2, normal.add_dummy_prefix, max(map(len, ids)), breaks, not any("\n" in p for p in ids), floor=min(scores.values()) - UNKNOWN_PENALTY)
+    v = Pieces(ids, scores, byte_ids, raw, proto.trainer_spec.model_type == 2, normal.add_dummy_prefix, max(map(len, ids)), breaks, not any("\n" in p for p in ids), floor=min(scores.values()) - UNKNOWN_PENALTY)
+    if v.bpe:
+        v.growth = {p: g for p in ids if (g := v.grown(p)) is not None}
+    return v
 
 
 def product(a: list[tuple[State, State, float]], b: list[tuple[State, State, float]]) -> list[tuple[State, State, float]]:
@@ -370,20 +496,18 @@ def product(a: list[tuple[State, State, float]], b: list[tuple[State, State, flo
     return [(i, k, w) for (i, k), w in out.items()]
 
 
-def best_states(matrices: list[list[tuple[State, State, float]]]) -> list[State]:
-    """The states at all borders on the heaviest path, from the two ends inwards: each side's products meet at every border."""
-    before: list[dict[State, tuple[float, State]]] = [{EDGE: (0.0, EDGE)}]
+def best_states(matrices: list[list[tuple[State, State, float]]], enter: State = EDGE, leave: State = EDGE) -> list[State]:
+    """The states at the borders of neighbouring chunks on the heaviest path from ``enter`` to ``leave``, both included."""
+    before: list[dict[State, tuple[float, State]]] = [{enter: (0.0, enter)}]
     for m in matrices:
         now: dict[State, tuple[float, State]] = {}
         for i, j, w in m:
             if i in before[-1] and (j not in now or before[-1][i][0] + w > now[j][0]):
                 now[j] = (before[-1][i][0] + w, i)
         before.append(now)
-    state = EDGE
-    out = [state]
+    out = [leave]
     for step in before[:0:-1]:
-        state = step[state][1]
-        out.append(state)
+        out.append(step[out[-1]][1])
     return out[::-1]
 
 
@@ -391,72 +515,104 @@ _STATE = "struct<end:int,piece:string>"
 _MATRIX = f"array<struct<i:{_STATE},j:{_STATE},w:double>>"
 
 
+def _plain(m) -> list[tuple[State, State, float]]:
+    return [((x["i"]["end"], x["i"]["piece"]), (x["j"]["end"], x["j"]["piece"]), x["w"]) for x in m]
+
+
+def _rows(m: list[tuple[State, State, float]]) -> list[dict]:
+    return [{"i": {"end": i[0], "piece": i[1]}, "j": {"end": j[0], "piece": j[1]}, "w": w} for i, j, w in m]
+
+
 def _ids_column(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.int32)])))
 
 
-def _small(rows: DataFrame, sent) -> DataFrame:
+def _traced(sent):
+    """ids of chunks with the columns t, lo, hi, enter, leave in place of these; the others stay."""
+    own = ("t", "lo", "hi", "enter", "leave")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
         for b in batches:
-            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
-                part = b.slice(at, TEXTS_AT_ONCE)
-                ids = [v.whole(v.prepared(t or "")) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_sha256"), _ids_column(ids)], ["doc_id", "text_sha256", "ids"])
+            keep = [c for c in b.schema.names if c not in own]
+            size = np.cumsum(pa.compute.utf8_length(b.column("t")).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < b.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS_AT_ONCE, "right")))
+                part = b.slice(at, to - at)
+                at = to
+                t, lo, hi, enter, leave = (part.column(c).to_pylist() for c in own)
+                ids = v.between([(x, a, z, (i["end"], i["piece"]), (j["end"], j["piece"])) for x, a, z, i, j in zip(t, lo, hi, enter, leave, strict=True)])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], _ids_column(ids)], [*keep, "ids"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_sha256 string, ids array<int>")
+    return run
 
 
-def _giant(rows: DataFrame, sent, chunk: int) -> DataFrame:
-    v = sent.value
-    margin = v.longest
-    ready = F.concat(F.lit(SPACE if v.dummy_prefix else ""), F.translate("text", " ", SPACE))
-    rows = rows.select("doc_id", "text_sha256", F.monotonically_increasing_id().alias("row"), ready.alias("t"))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), ((F.length("t") - 1) / chunk).cast("int"))))
-    lo = F.col("part") * chunk
-    first = F.greatest(F.lit(0), lo - margin)
-    chunks = cut(rows.select(
-        "doc_id", "text_sha256", "row", "part", F.substring(F.col("t"), first + 1, lo - first + chunk + margin).alias("piece_text"),
-        (lo - first).alias("lo"), F.least(lo - first + chunk, F.length("t") - first).alias("hi"),
-    ))
+def _states_of(chunks: DataFrame, sent) -> DataFrame:
+    """row, part, enter and leave of the chunks of texts that have several: products up a tree, states down it."""
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = sent.value
         for b in batches:
-            m = [[{"i": {"end": i[0], "piece": i[1]}, "j": {"end": j[0], "piece": j[1]}, "w": w} for i, j, w in p.matrix(t, lo, hi)] for t, lo, hi in zip(b["piece_text"], b["lo"], b["hi"], strict=True)]
-            yield pd.DataFrame({"row": b["row"], "part": b["part"], "m": m})
+            yield pd.DataFrame({"row": b["row"], "part": b["part"], "m": [_rows(p.matrix(t, lo, hi)) for t, lo, hi in zip(b["t"], b["lo"], b["hi"], strict=True)]})
+
+    def up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        total = _plain(pdf["m"].iloc[0])
+        for m in pdf["m"].iloc[1:]:
+            total = product(total, _plain(m))
+        return pd.DataFrame({"row": pdf["row"].iloc[:1].to_list(), "part": [int(pdf["part"].iloc[0]) // ARITY], "m": [_rows(total)]})
 
-    def states(pdf: pd.DataFrame) -> pd.DataFrame:
+    def down(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")
-        found = best_states([[((x["i"]["end"], x["i"]["piece"]), (x["j"]["end"], x["j"]["piece"]), x["w"]) for x in m] for m in pdf["m"]])
+        i, j = pdf["enter"].iloc[0], pdf["leave"].iloc[0]
+        found = best_states([_plain(m) for m in pdf["m"]], (i["end"], i["piece"]), (j["end"], j["piece"]))
         s = [{"end": e, "piece": p} for e, p in found]
         return pd.DataFrame({"row": pdf["row"], "part": pdf["part"], "enter": s[:-1], "leave": s[1:]})
 
-    def traced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = sent.value
-        for b in batches:
-            ids = [p.between(t, lo, hi, (i["end"], i["piece"]), (j["end"], j["piece"])) for t, lo, hi, i, j in zip(b["piece_text"], b["lo"], b["hi"], b["enter"], b["leave"], strict=True)]
-            yield pd.DataFrame({"row": b["row"], "part": b["part"], "doc_id": b["doc_id"], "text_sha256": b["text_sha256"], "ids": ids})
-
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    found = chunks.select("row", "part", "piece_text", "lo", "hi").mapInPandas(matrices, f"row long, part int, m {_MATRIX}")
-    picked = found.groupBy("row").applyInPandas(states, f"row long, part int, enter {_STATE}, leave {_STATE}")
-    parts = chunks.join(picked, ["row", "part"]).mapInPandas(traced, f"row long, part int, doc_id {kind}, text_sha256 string, ids array<int>")
-    whole = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
-    return whole.select("doc_id", "text_sha256", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
+    level = cut(chunks.select("row", "part", "t", "lo", "hi").mapInPandas(matrices, f"row long, part int, m {_MATRIX}"))
+    levels, top = [level], level.agg(F.max("part")).first()[0]
+    while top:
+        node = F.floor(F.col("part") / ARITY)
+        level = cut(level.groupBy("row", node.alias("node")).applyInPandas(up, f"row long, part int, m {_MATRIX}"))
+        levels.append(level)
+        top //= ARITY
+    edge = F.struct(F.lit(0).alias("end"), F.lit("").alias("piece"))
+    found = levels[-1].select("row", "part", edge.alias("enter"), edge.alias("leave"))
+    for level in levels[-2::-1]:
+        above = found.select("row", F.col("part").alias("node"), "enter", "leave")
+        child = level.withColumn("node", F.floor(F.col("part") / ARITY).cast("int")).join(above, ["row", "node"])
+        found = child.groupBy("row", "node").applyInPandas(down, f"row long, part int, enter {_STATE}, leave {_STATE}")
+    return found
 
 
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text_sha256 and ids of every document."""
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
-    if chunk <= 2 * sent.value.longest:
+    v = sent.value
+    margin = v.longest
+    if chunk <= 2 * margin:
         raise ValueError("chunks must be longer than two of the longest piece")
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("text_sha256"))
-    small = _small(rows.filter(F.length("text") < chunk), sent)
-    return small.unionByName(_giant(rows.filter(F.length("text") >= chunk), sent, chunk))
+    ready = F.when(text == "", "").otherwise(F.concat(F.lit(SPACE if v.dummy_prefix else ""), F.translate(text, " ", SPACE)))
+    rows = docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), ready.alias("t"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    edge = F.struct(F.lit(0).alias("end"), F.lit("").alias("piece"))
+    one = rows.filter(F.length("t") <= chunk).select("doc_id", "text_sha256", "t", F.lit(0).alias("lo"), F.length("t").alias("hi"), edge.alias("enter"), edge.alias("leave"))
+    whole = one.mapInArrow(_traced(sent), f"doc_id {kind}, text_sha256 string, ids array<int>")
+    # one pass over a long text cuts it; each chunk also has the ends of its neighbours
+    several = rows.filter(F.length("t") > chunk).select("doc_id", "text_sha256", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("t", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("cells"))
+    cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
+    dealt = F.transform("cells", lambda c, i: F.struct(i.alias("part"), F.right(cell(i - 1), F.lit(margin)).alias("left"), c.alias("own"), F.left(cell(i + 1), F.lit(margin)).alias("right")))
+    several = several.select("doc_id", "text_sha256", "row", F.inline(dealt)).select(
+        "doc_id", "text_sha256", "row", "part", F.concat("left", "own", "right").alias("t"), F.length("left").alias("lo"), (F.length("left") + F.length("own")).alias("hi"))
+    chunks = cut(several.repartition("row", "part"))
+    if chunks.isEmpty():
+        return whole
+    parts = chunks.join(_states_of(chunks, sent), ["row", "part"]).mapInArrow(_traced(sent), f"row long, part int, doc_id {kind}, text_sha256 string, ids array<int>")
+    joined = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
+    return whole.unionByName(joined.select("doc_id", "text_sha256", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids")))
 
 
 def decode(rows: DataFrame, model: str = MODEL, to: str = "text") -> DataFrame:

@@ -230,7 +230,7 @@ def test_simhash_and_golay_keys_lose_no_link():
     for i in range(len(b)):
         for bit in r.choice(64, r.integers(1, 5), replace=False):
             b[i] ^= np.uint64(1) << np.uint64(bit)
-    key, fp, _ = simhash.key_rows(np.concatenate([a, b]))
+    key, fp = simhash.key_rows(np.concatenate([a, b]))
     by = {}
     for k, f in zip(key.tolist(), fp.view(np.uint64).tolist(), strict=True):
         by.setdefault(k, set()).add(f)

@@ -25,15 +25,28 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}") in taken:
+            pass
+        out.append(name)
+    return out
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of our own only where none is named."""
+    """The shared folder that the cluster names; a folder of our own only where none is named and all runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
@@ -44,5 +57,38 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows from which a key may count as hot, and the most keys that can: ``join_hot`` sends at most this many rows to all tasks.
+HOT_ROWS, MOST_HOT = 1_000, 1_000
+#: Rows up to which a counted table is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of ``rows`` narrow rows, to be broadcast if these are few; else the join shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int, spread: Column) -> DataFrame:
+    """``rows`` with the columns of ``side``, null where it lacks the key; no key's rows meet in one task.
+
+    ``side`` has one row for each key with ``n``, the number of its rows, which add up to ``total`` at most. Keys with a share of 1 / MOST_HOT or
+    more - so at most MOST_HOT of them - come by a broadcast; their rows then go through the join of the others dealt by ``spread``.
+    """
+    more = [c for c in side.columns if c not in (key, "n")]
+    if total < HOT_ROWS:
+        own = side.select(F.col(key).alias("_side_key"), *[F.col(c).alias(f"_side_{c}") for c in more])
+        return rows.join(own, F.col(key) == F.col("_side_key"), "left").select(*rows.columns, *[F.col(f"_side_{c}").alias(c) for c in more])
+    side = cut(side)  # it is read twice
+    cells = F.struct(*more)
+    least = max(HOT_ROWS, -(-total // MOST_HOT))
+    hot = side.filter(F.col("n") >= least).select(F.col(key).alias("_hot_key"), cells.alias("_hot"))
+    cold = side.filter(F.col("n") < least).select(F.col(key).alias("_cold_key"), cells.alias("_cold"), F.lit(0).alias("_cold_salt"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    marked = marked.withColumn("_salt", F.when(F.col("_hot_key").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(997))).cast("int"))
+    found = marked.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_salt") == F.col("_cold_salt")), "left")
+    own = F.coalesce("_hot", "_cold")
+    return found.select(*rows.columns, *[own[c].alias(c) for c in more])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

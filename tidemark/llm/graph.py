@@ -1,7 +1,7 @@
 """Connected components of an undirected edge table by alternating large-star and small-star steps.
 
-Each step is an aggregation (least neighbour, combined map-side) and an equi-join, so no neighbourhood is ever gathered. Every round is
-cut by a reliable checkpoint. The number of rounds grows with the logarithm of the longest path.
+Each step is an aggregation (least neighbour, combined map-side) and an equi-join, so no neighbourhood is ever gathered; the edges of a node that
+has very many are dealt over many tasks. Every round is cut by a reliable checkpoint. The number of rounds grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -9,19 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import HOT_ROWS, cut, join_hot
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return join_hot(both, least, "u", 2 * n, F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_hot(down, least, "u", n, F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -34,4 +34,5 @@ def components(edges: DataFrame) -> DataFrame:
         if print_ == seen or print_[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = print_
-        now = cut(_small_star(_large_star(now).distinct()).filter("u <> v").distinct())
+        large = _large_star(now, seen[0]).distinct()  # no more edges than before
+        now = cut(_small_star(large if seen[0] < HOT_ROWS else cut(large), seen[0]).filter("u <> v").distinct())

@@ -6,11 +6,15 @@ indices of the 24 words within one bit of it (1 or 6 different ones), so any two
 
 Pigeonhole: of 4 errors in three segments, either some segment is free of errors and one of the other two has at most 2, or each has an
 error and so two segments have exactly one, hence a half free of errors each, and the third has at most 2. Thus one of 18 combinations of two exact
-halves (20 to 22 bits) and the Golay key (12 bits) of a third segment agrees. Keys are joined by equality and verified on all 64 bits in
-the join itself. A pair is taken from the first combination that fits, so few links are seen twice.
+halves (20 to 22 bits) and the Golay key (12 bits) of a third segment agrees. So any two fingerprints within 4 bits share a key.
+
+The fingerprints of a key are first compared with one of them, its hub. The verified links give components; then those of a key that lie in
+different components are compared, so each pair of a key is either compared or linked already, and a family of near copies makes about as many
+links as it has members, not all pairs. The components are those of all links.
 
 Scale: only distinct fingerprints are keyed (copies were merged by a map-side combined aggregation), about 96 keys each; a third part of
-one fingerprint costs one row. Links then give connected components by star contraction with checkpoints.
+one fingerprint costs one row. Links then give connected components by star contraction with checkpoints. Hot fingerprints, keys and components
+are joined by ``join_hot``.
 
 Defined results: null and blank texts have fingerprint 0 and are linked like any other; null doc_ids never name a component unless all
 its ids are null; repeated rows get equal results; an empty table gives no rows; extra columns are left out.
@@ -25,10 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, text_of
+from tidemark.llm.common import BROADCAST_ROWS, cut, fresh_names, if_small, join_hot, text_of
 from tidemark.llm.graph import components
 
 #: Words to a shingle of the registered query and its XXH64 seed.
@@ -106,17 +110,16 @@ def _bits(fp: np.ndarray, first: int, n: int) -> np.ndarray:
     return (fp >> np.uint64(first) & np.uint64((1 << n) - 1)).astype(np.int64)
 
 
-def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, fp, whether the key is the segment's own codeword) of unsigned fingerprints."""
+def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, fp) of unsigned fingerprints."""
     golay = []
     for (a, n), (_, m) in HALVES:
         keys = golay_keys(_bits(fp, a, n + m))
-        own = keys[:, 0].copy()
         keys.sort(axis=1)
         fresh = np.ones(keys.shape, bool)
         fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
         row, col = np.nonzero(fresh)
-        golay.append((row, keys[row, col], keys[row, col] == own[row]))
+        golay.append((row, keys[row, col]))
     out = []
     for c, (exact, segment) in enumerate(COMBOS):
         head = np.zeros(len(fp), np.int64)
@@ -124,8 +127,8 @@ def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             first, n = HALVES[s][half]
             head = head << n | _bits(fp, first, n)
         head |= c << EXACT_BITS
-        row, index, own = golay[segment]
-        out.append((head[row] << 12 | index, fp[row].view(np.int64), own))
+        row, index = golay[segment]
+        out.append((head[row] << 12 | index, fp[row].view(np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -133,58 +136,45 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         for at in range(0, len(fp), 2000):
-            key, own, primary = key_rows(fp[at : at + 2000])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), pa.array(primary)], ["key", "fp", "primary"])
-
-
-def _mask(first: int, n: int) -> int:
-    m = ((1 << n) - 1) << first
-    return m - (1 << 64) if m >> 63 else m
-
-
-def _first_combo(x: Column) -> Column:
-    """The first combination whose exact halves agree and whose Golay segment differs in at most 2 bits."""
-    picks = []
-    for c, (exact, segment) in enumerate(COMBOS):
-        halves = 0
-        for s, half in exact:
-            halves |= _mask(*HALVES[s][half])
-        (a, n), (_, m) = HALVES[segment]
-        picks.append(F.when((x.bitwiseAND(F.lit(halves)) == 0) & (F.bit_count(x.bitwiseAND(F.lit(_mask(a, n + m)))) <= 2), F.lit(c)))
-    return F.coalesce(*picks)
-
-
-def _golay_difference(x: Column, combo: Column) -> Column:
-    out = None
-    for i, ((a, n), (_, m)) in enumerate(HALVES):
-        mine = combo.isin(*[c for c, (_, s) in enumerate(COMBOS) if s == i])
-        part = x.bitwiseAND(F.lit(_mask(a, n + m)))
-        out = F.when(mine, part) if out is None else out.when(mine, part)
-    return out
+            key, own = key_rows(fp[at : at + 2000])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], ["key", "fp"])
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs u < v of distinct fingerprints (column fp, no repeats) that differ in at most MOST_BITS bits."""
+    """Pairs u, v of distinct fingerprints (column fp, no repeats) within MOST_BITS bits; with them all such fingerprints are connected."""
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = fps.select("fp").repartition(parts, "fp")  # else few fingerprints would be keyed by one task
-    keys = spread.mapInArrow(_emit, "key long, fp long, primary boolean")
-    a, b = keys.select("key", F.col("fp").alias("u"), F.col("primary").alias("pu")), keys.select("key", F.col("fp").alias("v"), F.col("primary").alias("pv"))
-    x = F.col("u").bitwiseXOR(F.col("v"))
-    combo = _first_combo(x)
-    same = F.shiftright("key", 12 + EXACT_BITS) == combo
-    once = (_golay_difference(x, combo) != 0) | (F.col("pu") & F.col("pv"))
-    return a.join(b, "key").filter((F.col("u") < F.col("v")) & (F.bit_count(x) <= MOST_BITS) & same & once).select("u", "v").distinct()
+    keys = spread.mapInArrow(_emit, "key long, fp long")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MOST_BITS
+    shared = cut(keys.groupBy("key").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
+    size = shared.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    # most keys are those of one fingerprint and leave here
+    held = keys.join(if_small(shared, size["keys"]), "key") if size["keys"] <= BROADCAST_ROWS else join_hot(keys, shared, "key", size["rows"], F.col("fp")).filter("hub is not null")
+    bucket = cut(held.select("key", "fp", "hub"))
+    star = cut(bucket.filter((F.col("fp") != F.col("hub")) & near("fp", "hub")).select(F.col("hub").alias("u"), F.col("fp").alias("v")).distinct())
+    roots = components(star).withColumnRenamed("node", "_node")
+    known = bucket.join(roots, F.col("fp") == F.col("_node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("part"))
+    mixed = known.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("key")
+    left = cut(known.join(mixed, "key"))
+    a, b = left.select("key", F.col("fp").alias("u"), F.col("part").alias("pu")), left.select("key", F.col("fp").alias("v"), F.col("part").alias("pv"))
+    rest = a.join(b, "key").filter((F.col("pu") < F.col("pv")) & near("u", "v")).select("u", "v").distinct()
+    return star.unionByName(cut(rest))
+
+
+def _rooted(fps: DataFrame) -> DataFrame:
+    """``fps`` (fp and more, no repeated fp) with root, the least fingerprint of the component."""
+    roots = components(links(fps)).withColumnRenamed("node", "_node")
+    return fps.join(roots, F.col("fp") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("_node")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (least doc_id reachable by links) of every document."""
     rows = cut(fingerprints(docs))
-    reps = rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
-    roots = components(links(reps))
-    member = reps.join(roots, reps["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = member.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    total = rows.count()
+    member = cut(_rooted(cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("rows")))))
+    least = member.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count("*").alias("n"))
+    named = join_hot(member, least, "root", total, F.col("fp")).select("fp", "component_id", F.col("rows").alias("n"))
+    return join_hot(rows, named, "fp", total, F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -196,19 +186,19 @@ def keep_least(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """One document of each component, with all columns: the one of least doc_id (nulls last), then of least text hash.
 
     ``rows`` has doc_id, content (``xxhash64`` of the text) and root (any name of the component) of every row. Rows of other
-    texts stay apart though they share a doc_id or have none.
+    texts stay apart though they share a doc_id or have none. Helper columns have names that ``docs`` lacks.
     """
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "content")
     least = rows.groupBy("root").agg(F.min(own).alias("least"))
     key = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("\u0000null"))
-    kept = least.select(key("least.doc_id").alias("_id"), F.col("least.content").alias("_content")).distinct()
-    keyed = docs.withColumns({"_id": key("doc_id"), "_content": F.xxhash64(text_of())})
-    return keyed.join(kept, ["_id", "_content"], "left_semi").dropDuplicates(["_id", "_content"]).select(*docs.columns)
+    id_, content = fresh_names(docs, "id", "content")
+    kept = least.select(key("least.doc_id").alias(id_), F.col("least.content").alias(content)).distinct()
+    keyed = docs.withColumns({id_: key("doc_id"), content: F.xxhash64(text_of())})
+    return keyed.join(kept, [id_, content], "left_semi").dropDuplicates([id_, content]).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The document of least (doc_id, text hash) of each component, with all columns."""
     rows = cut(docs.select("doc_id", F.xxhash64(text_of()).alias("content"), F.pandas_udf(_simhash_column, "long")("text").alias("fp")))
-    roots = components(links(rows.select("fp").distinct()))
-    named = rows.join(roots, F.col("fp") == F.col("node"), "left")
-    return keep_least(docs, named.select("doc_id", "content", F.coalesce("root", "fp").alias("root")))
+    named = _rooted(cut(rows.groupBy("fp").agg(F.count("*").alias("n"))))
+    return keep_least(docs, join_hot(rows, named, "fp", rows.count(), F.col("content")).select("doc_id", "content", "root"))

@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -136,8 +138,8 @@ def judge(rules, host, path):
 
 def test_urls_against_brute_force(spark):
     pick = random.Random(4)
-    rules = [*urls.RULES, ("block", "a.b.com", "/"), ("allow", "b.com", "/x"), ("block", "b.com", ""), ("block", "deep.er.b.com", "/x/y"), ("allow", "co", "/")]
-    hosts = ["com", "b.com", "a.b.com", "z.a.b.com", "ab.com", "deep.er.b.com", "example.com", "www.example.com", "q.www.example.com", "net", "x.net", "co", "x.co", "", "."]
+    rules = [*urls.RULES, ("block", "a.b.com", "/"), ("block", "x-a.b.com", ""), ("allow", "a.b.com", "/x"), ("allow", "b.com", "/x"), ("block", "b.com", ""), ("block", "deep.er.b.com", "/x/y"), ("allow", "co", "/")]
+    hosts = ["com", "b.com", "a.b.com", "z.a.b.com", "x-a.b.com", "a-x.b.com", "y.x-a.b.com", "ab.com", "deep.er.b.com", "example.com", "www.example.com", "q.www.example.com", "net", "x.net", "co", "x.co", "", "."]
     rows = [(i, f"http://{pick.choice(hosts).upper()}{pick.choice(['', '/', '/en/', '/en/q', '/es/1', '/x', '/x/y', '/fr'])}{pick.choice(['', '?a=/en/', '#f'])}") for i in range(800)] + [(900, None), (901, "no scheme"), (902, "")]
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.rule_table(spark, rules), salts=3).collect()
     assert len(got) == len(rows)
@@ -324,6 +326,25 @@ def test_edited_texts(spark, monkeypatch):
 # ---- sharding and mixing -------------------------------------------------------------------------------------
 
 
+def draw(key, shard):
+    """xxhash64 of a string and an int as Spark chains it, by the library."""
+    h = xxhash.xxh64_intdigest(key.encode(), 42)
+    return xxhash.xxh64_intdigest(shard.to_bytes(4, "little"), h)
+
+
+def test_shards_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PART_ROWS", 100)
+    monkeypatch.setattr(sharding, "RUN_ROWS", 7)
+    rows = [(i, f"text {i}é") for i in range(1500)] + [(3, "other")] * 40 + [(None, f"t{i}") for i in range(30)] + [(None, None)] * 20
+    got = sharding.shard_documents(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)).collect()
+    assert sorted((str(r["doc_id"]), r["text_crc32"], r["size"]) for r in got) == sorted((str(i), zlib.crc32((t or "").encode()), len((t or "").encode()) + 16) for i, t in rows)
+    for r in got:
+        cost = [-math.log(((draw(str(r["doc_id"]) if r["doc_id"] is not None else "\0null", s) >> 11) + 0.5) / (1 << 53)) / w for s, w in enumerate([*sharding.WEIGHTS, 1.0])]
+        assert r["shard"] == min(range(40), key=cost.__getitem__) and r["grown_shard"] == min(range(41), key=cost.__getitem__)
+    for s in range(40):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
 def test_rendezvous_moves_only_into_the_new_shard(spark):
     rows = sharding.shard_documents(docs(spark, [f"t{i}" for i in range(2000)])).collect()
     assert all(r["grown_shard"] in (r["shard"], 40) for r in rows) and 0 < sum(r["grown_shard"] == 40 for r in rows) < 150

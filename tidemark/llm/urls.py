@@ -2,15 +2,15 @@
 
 The key of a host is its labels in reverse, each followed by a dot (``www.example.com`` is
 ``com.example.www.``), so a rule on a host covers the interval of keys from ``com.example.`` to just below
-``com.example/``. Intervals of rules nest or are disjoint. Rule starts, rule ends and the distinct hosts are
-sorted together; an event carries the stack of rules active after it (all nested rules, outermost first),
-and a host takes the stack of the last event before it. The stack's rules whose path the url's path
-starts with fit; the longest one (host and path together, then host) wins.
+``com.example/``. Intervals of rules nest or are disjoint. Starts and ends of all intervals and the distinct hosts are
+sorted together and swept in order: a start pushes its rules on the stack, an end pops them, and a host takes the stack as it
+is. The stack is kept level by level: the running sum of pushes and pops is its depth, and the rules at level d are those of the last
+start that made the depth d. The stack's rules whose path the url's path starts with fit; the longest one (host and path
+together, then host) wins.
 
 Scale: hosts are reduced to distinct ones before the sweep, so a hot host is one row. The sweep is dealt by
-the last two labels and a salt; a rule with two or more labels goes to its own domain's salts only, rules
-on one label are joined on by that label. Stacks come back to the pages by a join on the host, whose
-page side Spark can split.
+the last two labels and a salt; a rule with two or more labels goes to its own domain's salts, a rule on one label to each group of that
+label (one more event in each). Stacks come back to the pages by ``join_hot`` on the host.
 
 Defined results: a null url, or one without ``://``, has empty host and path and the default verdict; repeated
 pages give repeated rows; an empty table or rule list works; extra columns are left out.
@@ -23,6 +23,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import join_hot
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Salts that a domain's distinct hosts are dealt over; each of its rules is repeated as often.
 SALTS = 32
@@ -56,44 +58,39 @@ def _domain(key: Column) -> Column:
 
 def stacks(hosts: DataFrame, rules: DataFrame, salts: int = SALTS) -> DataFrame:
     """The active rules (outermost first) of each distinct ``host``."""
-    fields = F.struct("host", "path", "verdict")
-    levels = rules.dropDuplicates(["host", "path"]).groupBy("host").agg(F.array_sort(F.collect_list(fields)).alias("own")).withColumn("key", host_key(F.col("host")))
-    labels = F.size(F.split("host", r"\."))
-    top = levels.filter(labels == 1).select(F.col("key").alias("top_key"), F.col("own").alias("top"))
-    deep = levels.filter(labels > 1)
-
-    # Ancestors of a rule's host among the rules of its domain: its shorter suffixes, found by an equi-join.
-    parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.struct(i.alias("up"), F.array_join(F.slice(parts, i + 1, F.size(parts)), ".").alias("above")))
-    above = deep.select("key", F.inline(suffixes)).join(deep.select(F.col("host").alias("above"), F.col("own").alias("above_own")), "above")
-    above = above.groupBy("key").agg(F.flatten(F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("up", "above_own")))), lambda x: x["above_own"])).alias("outer"))
-    events = deep.join(above, "key", "left").withColumn("outer", F.coalesce("outer", F.array().cast(_STACK)))
-    start = F.struct(F.col("key").alias("at"), F.concat("outer", "own").alias("stack"))
-    end = F.struct(F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/")).alias("at"), F.col("outer").alias("stack"))
-    events = events.select(_domain(F.col("key")).alias("domain"), F.inline(F.array(start, end)))
-    events = events.select("domain", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "at", "stack", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"))
+    nodes = rules.dropDuplicates(["host", "path"]).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("host", "path", "verdict"))).alias("own"))
+    nodes = nodes.select(host_key(F.col("host")).alias("key"), F.size(F.split("host", r"\.")).alias("labels"), "own")
+    levels = nodes.agg(F.max("labels")).first()[0] or 0  # intervals nest at most as deep as the longest rule's labels
 
     key = host_key(F.col("host"))
     points = hosts.select(
         _domain(key).alias("domain"), F.pmod(F.xxhash64("host"), F.lit(salts)).cast("int").alias("salt"), key.alias("at"),
-        F.lit(None).cast(_STACK).alias("stack"), F.lit(1).alias("kind"), "host",
-    )
-    sweep = Window.partitionBy("domain", "salt").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = events.unionByName(points).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
-    empty = F.array().cast(_STACK)
-    label = F.concat(F.substring_index("at", ".", 1), F.lit("."))
-    return (
-        swept.withColumn("top_key", label).join(top, "top_key", "left")
-        .select("host", F.concat(F.coalesce("top", empty), F.coalesce("stack", empty)).alias("stack"))
+        F.lit(0).alias("step"), F.lit(None).cast(_STACK).alias("own"), "host",
     )
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    deep = nodes.filter("labels > 1").select(_domain(F.col("key")).alias("domain"), every_salt.alias("salt"), "key", "own")
+    groups = points.select("domain", "salt", F.concat(F.substring_index("domain", ".", 1), F.lit(".")).alias("key")).distinct()
+    top = groups.join(nodes.filter("labels = 1").select("key", "own"), "key").select("domain", "salt", "key", "own")
+    push = F.struct(F.col("key").alias("at"), F.lit(1).alias("step"), F.col("own").alias("own"))
+    pop = F.struct(F.concat(F.expr("left(key, length(key) - 1)"), F.lit("/")).alias("at"), F.lit(-1).alias("step"), F.lit(None).cast(_STACK).alias("own"))
+    events = deep.unionByName(top).select("domain", "salt", F.inline(F.array(push, pop))).withColumn("host", F.lit(None).cast("string"))
+
+    # a key's own interval starts before the host of that key; ends lie between keys
+    sweep = Window.partitionBy("domain", "salt").orderBy("at", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    swept = points.unionByName(events).withColumn("depth", F.sum("step").over(sweep))
+    level = lambda d: F.when(F.col("depth") >= d, F.last(F.when((F.col("step") == 1) & (F.col("depth") == d), F.col("own")), ignorenulls=True).over(sweep))
+    swept = swept.withColumns({f"level_{d}": level(d) for d in range(1, levels + 1)}).filter("step = 0")
+    stack = F.flatten(F.filter(F.array(F.array().cast(_STACK), *[F.col(f"level_{d}") for d in range(1, levels + 1)]), lambda x: x.isNotNull()))
+    return swept.select("host", stack.alias("stack"))
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int = SALTS) -> DataFrame:
     """page_id, host, path, rule (null if none fits) and verdict of every page's ``url``."""
     host, path = host_and_path(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    found = stacks(rows.select("host").distinct(), rules, salts).withColumnRenamed("host", "_host")
-    joined = rows.join(found, F.col("host") == F.col("_host"), "left")
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"))
+    found = stacks(hosts.select("host"), rules, salts).join(hosts.withColumnRenamed("host", "_host"), F.col("host") == F.col("_host")).drop("_host")
+    joined = join_hot(rows, found, "host", pages.count(), F.struct("page_id", "path"))
     fits = F.filter("stack", lambda r: F.col("path").startswith(r["path"]))
     ranked = F.transform(fits, lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("long"), F.length(r["host"]).alias("host_long"), F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict")))
     best = F.array_max(ranked)

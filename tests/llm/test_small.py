@@ -308,19 +308,47 @@ def test_winnowing_guarantee_and_ties(spark):
     assert [x["pos"] for x in same] == list(range(winnow.W - 1, 40 - winnow.K + 1))  # the rightmost of equal hashes in each window
 
 
-def test_edited_texts(spark, monkeypatch):
-    monkeypatch.setattr(winnow, "RANGE_ROWS", 7)
+def plain_winnow(text):
+    """(hash, position) pairs by the definition, each run hashed anew."""
+    codes = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        h = xxhash.xxh64_intdigest(w.lower().encode(), 42)
+        codes.append((h - (1 << 64) if h >> 63 else h) % winnow.PRIME)
+    runs = [codes] if 0 < len(codes) < winnow.K else [codes[i : i + winnow.K] for i in range(len(codes) - winnow.K + 1)]
+    hashes = [sum(c * pow(winnow.BASE, len(r) - 1 - j, winnow.PRIME) for j, c in enumerate(r)) % winnow.PRIME for r in runs]
+    chosen = []
+    for i in range(max(1, len(hashes) - winnow.W + 1) if hashes else 0):
+        part = [(h, -p) for p, h in enumerate(hashes[i : i + winnow.W], i)]
+        h, p = min(part)
+        if (h, -p) not in chosen:
+            chosen.append((h, -p))
+    return chosen
+
+
+@pytest.mark.parametrize("range_rows, coarse", [(7, 4), (7, 256), (1000, 256)])
+def test_edited_texts(spark, monkeypatch, range_rows, coarse):
+    monkeypatch.setattr(winnow, "RANGE_ROWS", range_rows)
+    monkeypatch.setattr(winnow, "COARSE", coarse)
     pick = random.Random(11)
-    texts = ["".join(pick.choice("ab é𝒳") for _ in range(pick.randint(0, 25))) for _ in range(120)]
-    d = docs(spark, texts)
-    got = {r["doc_id"]: r for r in winnow.compare_edited(d).collect()}
+    texts = ["".join(pick.choice("ab é𝒳") for _ in range(pick.randint(0, 25))) for _ in range(90)] + [" ".join(pick.choice(["x", "Y", "ü", "w1", "z"]) for _ in range(pick.randint(30, 120))) for _ in range(30)]
+    got = {r["doc_id"]: r for r in winnow.compare_edited(docs(spark, texts)).collect()}
+    digest = lambda hashes: "".join(f"{h:08x}" for h in hashes)
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if a or b else 1.0
+    own = [list(dict.fromkeys(h for h, _ in plain_winnow(t))) for t in texts]
     for i, t in enumerate(texts):
         half = len(t) // 2
         edited = t[: len(t) - half] + texts[i - 1][:half]
-        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        if edited == t:
-            assert got[i]["fingerprint"] == got[i]["edited_fingerprint"] and got[i]["near_edited"] == 1.0
-        assert 0 <= got[i]["near_next"] <= 1
+        e = list(dict.fromkeys(h for h, _ in plain_winnow(edited)))
+        r = got[i]
+        assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["fingerprint"] == digest(own[i]) and r["edited_fingerprint"] == digest(e) and r["positions"] == ",".join(str(p) for _, p in plain_winnow(t))
+        assert r["near_edited"] == pytest.approx(like(own[i], e)) and r["near_next"] == pytest.approx(like(own[i], own[i - 1]))
+
+
+def test_ids_that_are_text(spark):
+    rows = [(f"doc{i:03d}", f"text {i}") for i in range(50)]
+    got = {r["doc_id"]: r for r in winnow.compare_edited(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert len(got) == 50
 
 
 # ---- sharding and mixing -------------------------------------------------------------------------------------

@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 8_192
+CHUNK = 32_768
 #: Children of a node in the tree of matrix products.
 ARITY = 16
 #: Units kept between batches.
 MOST_UNITS = 200_000
 #: Characters that are turned into ids at once.
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 400_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 

@@ -1,10 +1,12 @@
 """Operators of the training-data subpackage on small fixtures, against brute force and on odd input."""
 
+import collections
 import hashlib
 import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -78,6 +80,78 @@ def test_patterns_find_unseen_identifiers_and_spare_clean_text(spark):
     assert got[12] == "secret:14:23" and got[13] == got[14] == ""
 
 
+def test_shape_alone_adds_no_span(spark):
+    texts = [f"alone word{i} AKIA{'ABCDEFGHIJKLMN01'[i:]}{'ABCDEFGHIJKLMN01'[:i]} here" for i in range(2)] + [f"the key: AKIA{'ABCDEFGHIJKLMN02'[i:]}{'ABCDEFGHIJKLMN02'[:i]} was seen" for i in range(4)] + ["the key: my-own-77 was seen"]
+    got = [r["spans"] for r in pii.report(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got[:2] == ["", ""] and got[2:6] == ["secret:9:29"] * 4 and got[6] == "secret:9:18"
+
+
+def plain_bootstrap(texts):
+    """Added spans (kind, start, end) of each text by the rules of the module, in plain Python, for texts without base entities."""
+    instances, uses = [], collections.Counter(w for t in texts for w in t.lower().split())
+    for n, t in enumerate(texts):
+        last = 0
+        for m in re.finditer(r"\S+", t):
+            tok = m.group(0)
+            if not re.search(r"[0-9@]|(?<=[A-Za-z_])=", tok):
+                continue
+            key = (re.match(r"([A-Za-z_][A-Za-z_.-]*[=:][\"']?)", tok) or [""])[0]
+            rest = tok[len(key):]
+            head = len(re.match(r"[\"'(\[{<]*", rest).group(0))
+            start, end = m.start() + len(key) + head, m.end() - (len(rest) - len(rest.rstrip("\"'.,;:!?)]}>")))
+            gap = t[last : m.start()].lower().split()
+            last = m.end()
+            letters = [i for i, w in enumerate(gap) if any(c.isalpha() for c in w)]
+            context, cue = (key.lower(), None) if key else (" ".join(gap[letters[-1] :]) + " " + re.match(r"[\"'(\[{<]*", tok).group(0), gap[letters[-1]]) if letters else ("", None)
+            if context and end - start >= 4:
+                value = t[start:end]
+                shape = re.match(r"(?:AKIA[0-9A-Z]{16}|(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,})$", value)
+                instances.append((n, context, cue, value, start, end, bool(shape)))
+    seen, cues, pairs = collections.Counter(), {}, collections.Counter()
+    for _, context, cue, value, *_ in instances:
+        seen[context] += 1
+        cues[context] = cue
+        pairs[context, value] += 1
+    total = {c: max(seen[c], uses.get(cues[c], 0)) for c in seen}
+    believed, chosen = {v for *_, v, _, _, s in instances if s}, set()
+    for _ in range(pii.ROUNDS):
+        good, support = collections.Counter(), collections.Counter()
+        for (c, v), k in pairs.items():
+            if v in believed:
+                good[c] += k
+                support[c] += 1
+        chosen = {c for c in good if support[c] >= pii.MIN_SUPPORT and good[c] / total[c] >= pii.MIN_CONFIDENCE}
+        believed |= {v for c, v in pairs if c in chosen}
+    return [sorted({("secret", a, b) for m, c, _, _, a, b, _ in instances if m == n and c in chosen}) for n in range(len(texts))]
+
+
+def test_added_spans_against_brute_force(spark):
+    pick = random.Random(21)
+    secret = lambda: "".join(pick.choice("abcdef") + pick.choice("0123456789") for _ in range(10))
+    other = lambda: "".join(pick.choice("ghijk") for _ in range(5)) + str(pick.randint(10, 99))
+    lead = ["token is", "token --", "pwd=", "password:", "see page", "in", "secret ("]
+    texts = []
+    for _ in range(250):
+        words = []
+        for _ in range(pick.randint(1, 6)):
+            words += [pick.choice(["some", "plain", "words", "token", "Über"]) for _ in range(pick.randint(0, 4))]
+            k = pick.choice(lead)
+            value = (secret if k in lead[:4] and pick.random() < 0.9 else other)()
+            words.append(f"{k}{value}" if k[-1] in "=:(" else f"{k} {value}{pick.choice(['', '.', ')'])}")
+        texts.append(" ".join(words))
+    got = [r["spans"] for r in pii.report(docs(spark, texts)).orderBy("doc_id").collect()]
+    want = [",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in plain_bootstrap(texts)]
+    assert got == want and any(got)
+
+
+def test_very_long_text_in_proportion(spark):
+    text = " ".join(f"token is ab{i:06d}cd and mail a{i}@b.org" for i in range(30_000))  # 240,000 tokens, 60,000 of them instances
+    t = time.perf_counter()
+    r = pii.report(docs(spark, [text])).first()
+    masked = pii.mask(docs(spark, [text])).first()["text"]
+    assert r["n_email"] == 30_000 and masked.count("[EMAIL]") == 30_000 and time.perf_counter() - t < 120
+
+
 def test_mask_replaces_spans(spark):
     got = {r["doc_id"]: r["text"] for r in pii.mask(docs(spark, ["mail é a@b.com now +1 (499) 555-6503.", "clean", None])).collect()}
     assert got == {0: "mail é [EMAIL] now [PHONE].", 1: "clean", 2: None}

@@ -20,6 +20,28 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def scan(values: Column, zero: Column, add, block: int = 64, levels: int = 3) -> Column:
+    """Running results of an associative ``add`` over an array, each with its own element, in about n x block steps.
+
+    A plain fold cannot list its steps without copying the list each time. Here the values fall into blocks, the totals of the blocks are scanned
+    the same way, and each element adds up its own block only.
+    """
+    def fold(a: Column) -> Column:
+        return F.aggregate(a, zero, add)
+
+    def short(a: Column) -> Column:
+        return F.transform(a, lambda x, i: fold(F.slice(a, 1, i + 1)))
+
+    def long(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(block)), lambda at: F.slice(a, at + 1, F.lit(block)))
+        return let(blocks, lambda bs: let(scan(F.transform(bs, fold), zero, add, block, levels - 1), lambda before: F.flatten(F.transform(
+            bs, lambda b, k: let(F.coalesce(F.get(before, k - 1), zero), lambda start: F.transform(b, lambda x, i: F.aggregate(F.slice(b, 1, i + 1), start, add)))))))
+
+    if levels == 1:
+        return let(values, short)
+    return let(values, lambda a: F.when(F.size(a) <= block, short(a)).otherwise(long(a)))
+
+
 def words(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

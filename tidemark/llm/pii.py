@@ -4,26 +4,27 @@ Base kinds are found by patterns, leftmost and non-overlapping, with offsets in
 linear: a look-behind (or the end of the last match) keeps a search from starting inside a run that has already failed, and possessive
 repeats keep the engine from backtracking or recursing on long runs. They match exactly what the plain ones match.
 
-The method: tokens that look like identifiers (a digit, ``@`` or ``key=value``) are instances; the words before them, or the key in the
-token, are lexical patterns. Seeds are the base entities and tokens of two secret-like shapes. On the graph of patterns and
-instances, a pattern's confidence is the share of its uses in the corpus - every use of its cue word, with an identifier or without - whose
-instance is believed; an instance that some pattern of at least ``MIN_CONFIDENCE`` and ``MIN_SUPPORT`` seeds holds is believed in the next round.
-After ``ROUNDS`` rounds the accepted patterns add their unseen instances as spans of the kind most of their believed instances have.
+The method: tokens that look like identifiers (a digit, ``@`` or ``key=value``, and at least ``LEAST_VALUE`` characters) are instances; the words
+before them, from the last word with a letter on, or the key in the token, are lexical patterns. Seeds are the base entities and tokens of two
+secret-like shapes. On the graph of patterns and instances, a pattern's confidence is the share of its uses in the corpus - every use of its cue
+word, with an identifier or without - whose instance is believed; an instance that some pattern of at least ``MIN_CONFIDENCE`` and ``MIN_SUPPORT``
+seeds holds is believed in the next round. After ``ROUNDS`` rounds the accepted patterns add their instances as spans of the kind most of their
+believed instances have. A seed's shape alone adds no span.
 
 Scale: texts are scanned twice and never shuffled. Words are counted with map-side aggregation; the graph holds distinct pairs. Base spans
-and instances are cut by a checkpoint, so each round works on small rows.
+and instances are cut by a checkpoint, so each round works on small rows. The steps of one text grow in proportion to it: offsets and the merge of
+tokens and base spans are running results (``scan``).
 
 Defined results: null texts are empty; rows that share doc_id and text get equal results; a null doc_id is kept; an empty table gives no rows;
-extra columns are left out.
+extra columns are left out by the reports and kept, whatever their names, by ``mask``.
 """
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACE, cut, let, text_of, words
+from tidemark.llm.common import cut, fresh_names, let, scan, text_of, words
 
 #: Base kinds in the order of their spans.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -39,10 +40,11 @@ TOKEN = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9@=]|(?<![A-Za-z_])=)*+[0-9@=
 KEYED = r"^([A-Za-z_][A-Za-z_.-]*[=:][\"']?)"
 #: Shapes whose tokens are seeds of the kind ``secret``.
 SECRET = r"^(?:AKIA[0-9A-Z]{16}|(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,})$"
-#: Code points before a token that are looked at for its lexical pattern.
-CONTEXT = 80
 ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE = 3, 3, 0.8
-LONGEST_CUE = 40
+#: Characters of the shortest instance that is no base entity: shorter ones are mere numbers.
+LEAST_VALUE = 4
+#: Characters of a page of a text that is masked.
+PAGE = 4_096
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -51,13 +53,10 @@ def spans(text: Column, pattern: str) -> Column:
     between = F.split(text, pattern, -1)
 
     def placed(m: Column, p: Column) -> Column:
-        steps = F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x))
-        return let(steps, lambda s: F.transform(m, lambda x, i: let(
-            F.aggregate(F.slice(s, 1, i + 1), F.lit(0), lambda a, n: a + n),
-            lambda end: F.struct((end - F.length(x)).alias("start"), end.alias("end"), x.alias("value"), F.get(p, i).alias("before")),
-        )))
+        ends = scan(F.transform(m, lambda x, i: F.length(F.get(p, i)) + F.length(x)), F.lit(0), lambda a, n: a + n)
+        return let(ends, lambda e: F.transform(m, lambda x, i: F.struct((F.get(e, i) - F.length(x)).alias("start"), F.get(e, i).alias("end"), x.alias("value"), F.get(p, i).alias("before"))))
 
-    return let(found, lambda m: let(between, lambda p: placed(m, p)))
+    return let(found, lambda m: F.when(F.size(m) == 0, F.array().cast("array<struct<start:int,end:int,value:string,before:string>>")).otherwise(let(between, lambda p: placed(m, p))))
 
 
 def _digits(value: Column) -> Column:
@@ -96,30 +95,47 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: of(kind, pattern) for kind, pattern in KINDS.items()}
 
 
+def _held_by(tokens: Column, base: Column) -> Column:
+    """For each token the base span (start, end, kind) that reaches furthest among those that begin before its end; null if there is none.
+
+    Tokens, at their last character, and base spans, at their first, are sorted together; the span is a running maximum.
+    """
+    reach = "struct<end:int,start:int,kind:string>"
+    at_token = F.transform(tokens, lambda t, i: F.struct((t["end"] - 1).alias("at"), F.lit(1).alias("is_token"), F.lit(None).cast(reach).alias("span")))
+    at_base = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(0).alias("is_token"), F.struct(b["end"].alias("end"), b["start"].alias("start"), b["kind"].alias("kind")).cast(reach).alias("span")))
+    events = F.array_sort(F.concat(at_token, at_base))
+    best = lambda e: scan(F.transform(e, lambda x: x["span"]), F.lit(None).cast(reach), lambda a, x: F.greatest(a, x))
+    # tokens do not overlap, so they come in their own order
+    return let(events, lambda e: let(best(e), lambda s: F.transform(F.filter(F.transform(e, lambda x, i: F.struct(x["is_token"].alias("is_token"), F.get(s, i).alias("span"))), lambda x: x["is_token"] == 1), lambda x: x["span"])))
+
+
 def candidates(text: Column, base: Column) -> Column:
     """array<struct<start,end,context,cue,value,kind>>: instances with their lexical pattern; kind is null if no base span or shape names it."""
-    def one(s: Column) -> Column:
+    def one(s: Column, held: Column) -> Column:
         key = F.regexp_extract(s["value"], KEYED, 1)
         rest = F.substring(s["value"], F.length(key) + 1, F.length(s["value"]))
-        tail = F.length(F.regexp_extract(rest, "([\"'.,;:!?)\\]}>]*)$", 1))
+        tail = F.length(F.regexp_extract(rest, "([\"'.,;:!?)\\]}>]*+)$", 1))
         head = F.length(F.regexp_extract(rest, "^([\"'(\\[{<]*)", 1))
         start = s["start"] + F.length(key) + head
         end = F.greatest(start, s["end"] - tail)
         value = F.substring(rest, head + 1, end - start)
-        window = F.lower(F.right(s["before"], F.lit(CONTEXT)))
         # the last word with a letter, and what follows it up to the token
-        left = F.regexp_extract(window, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D\p{L}]+)*)[\x20\x09-\x0D]+$", 1)
+        gap = words(F.lower(s["before"]))
+        lead = let(gap, lambda g: let(F.array_max(F.transform(g, lambda w, i: F.when(w.rlike(r"\p{L}"), i))), lambda last: F.when(last.isNotNull(), F.slice(g, last + 1, F.size(g)))))
         opened = F.regexp_extract(s["value"], "^([\"'(\\[{<]*)", 1)
-        context = F.when(key != "", F.lower(key)).when(left != "", F.concat(F.regexp_replace(left, r"[\x20\x09-\x0D]+", " "), F.lit(" "), opened)).otherwise(F.lit(""))
-        cue = F.when(key != "", F.lit(None).cast("string")).otherwise(F.element_at(F.split(left, SPACE), 1))
-        whole = F.filter(base, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
-        at = F.get(whole, 0)
-        kind = F.when(F.size(whole) > 0, at["kind"]).when(value.rlike(SECRET), F.lit("secret"))
-        first = (F.size(whole) == 0) | (at["start"] >= s["start"])  # later tokens of a base span have no pattern of their own
-        return F.struct(start.alias("start"), end.alias("end"), context.alias("context"), cue.alias("cue"), value.alias("value"), kind.alias("kind"), (F.size(whole) > 0).alias("is_base"), first.alias("first"))
+        inside = F.coalesce(held["end"] > s["start"], F.lit(False))
+        kind = F.when(inside, held["kind"]).when(value.rlike(SECRET), F.lit("secret"))
+        first = ~inside | (held["start"] >= s["start"])  # later tokens of a base span have no pattern of their own
+
+        def named(w: Column) -> Column:
+            context = F.when(key != "", F.lower(key)).when(w.isNotNull(), F.concat(F.array_join(w, " "), F.lit(" "), opened)).otherwise(F.lit(""))
+            cue = F.when(key == "", F.get(w, 0))
+            return F.struct(start.alias("start"), end.alias("end"), context.alias("context"), cue.alias("cue"), value.alias("value"), kind.alias("kind"), inside.alias("is_base"), first.alias("first"))
+
+        return let(lead, named)
 
-    all_ = F.transform(spans(text, TOKEN), one)
-    return F.filter(all_, lambda c: c["first"] & (c["is_base"] | (c["end"] > c["start"] + 3)) & (c["context"] != "") & (F.length(c["context"]) <= 2 * LONGEST_CUE))
+    all_ = let(spans(text, TOKEN), lambda t: let(_held_by(t, base), lambda h: F.transform(t, lambda s, i: one(s, F.get(h, i)))))
+    return F.filter(all_, lambda c: c["first"] & (c["is_base"] | (c["end"] - c["start"] >= LEAST_VALUE)) & (c["context"] != ""))
 
 
 def found_rows(docs: DataFrame) -> DataFrame:
@@ -134,7 +150,7 @@ def found_rows(docs: DataFrame) -> DataFrame:
 
 def cue_counts(docs: DataFrame) -> DataFrame:
     """How often each word (lower case) occurs in the corpus."""
-    rows = docs.select(F.explode(words(F.lower("text"))).alias("cue")).filter(F.length("cue") <= LONGEST_CUE)
+    rows = docs.select(F.explode(words(F.lower("text"))).alias("cue"))
     return rows.groupBy("cue").agg(F.count("*").alias("uses"))
 
 
@@ -163,10 +179,8 @@ def extract(docs: DataFrame) -> DataFrame:
     rows = cut(found_rows(docs))
     instances = rows.select("doc_id", "content", F.inline("found"))
     patterns = accepted_patterns(instances, cue_counts(docs))
-    free = instances.filter(~F.col("is_base"))
-    shaped = free.filter("kind is not null").select("doc_id", "content", "kind", "start", "end")
-    held = free.filter("kind is null").drop("kind").join(patterns, "context").select("doc_id", "content", "kind", "start", "end")
-    added = shaped.unionByName(held).groupBy("doc_id", "content").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))  # one document's spans
+    held = instances.filter(~F.col("is_base")).drop("kind").join(patterns, "context").select("doc_id", "content", "kind", "start", "end")
+    added = held.groupBy("doc_id", "content").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))  # one document's spans
     added = added.select(F.col("doc_id").alias("_id"), F.col("content").alias("_c"), "added")
     joined = rows.select("doc_id", "content", "base").join(added, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_c")), "left")
     return joined.select("doc_id", "content", "base", F.coalesce("added", F.array().cast(_SPAN)).alias("added"))
@@ -193,20 +207,40 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """The documents with all columns, each span of their texts (joined where they overlap) replaced by its kind in brackets."""
-    found = extract(docs)
+    """The documents with all columns, each span of their texts (joined where they overlap) replaced by its kind in brackets. Helper columns have
+    names that ``docs`` lacks."""
+    found = extract(docs.select("doc_id", "text"))
     every = F.concat(*[F.col(f"base.{k}") for k in KINDS], F.col("added"))
     by_start = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    hit = found.select(F.col("doc_id").alias("_id"), F.col("content").alias("_c"), by_start.alias("_spans")).filter(F.size("_spans") > 0).dropDuplicates(["_id", "_c"])
-    both = docs.withColumn("_k", F.xxhash64(text_of(), F.lit("content"))).join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_k") == F.col("_c")), "left")
+    id_, content, own, hits = fresh_names(docs, "id", "content", "own", "hits")
+    hit = found.select(F.col("doc_id").alias(id_), F.col("content").alias(content), by_start.alias(hits)).filter(F.size(hits) > 0).dropDuplicates([id_, content])
+    both = docs.withColumn(own, F.xxhash64(text_of(), F.lit("content"))).join(hit, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(content)), "left")
+
+    def pieces(text: Column) -> Column:
+        # how far the spans before reach: a span that begins further starts a new mask
+        reach = scan(F.transform(hits, lambda s: s["end"]), F.lit(0), lambda a, x: F.greatest(a, x))
+        starts = let(reach, lambda r: F.filter(F.transform(hits, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), i.alias("i"))), lambda s: (s["i"] == 0) | (s["start"] >= F.get(r, s["i"] - 1))))
+
+        def cells(s: Column, r: Column) -> Column:
+            last = lambda k: F.get(r, F.coalesce(F.get(s, k + 1)["i"], F.size(r)) - 1)  # noqa: E731  where mask k ends
+            masks = F.transform(s, lambda x, k: F.struct(x["start"].alias("start"), last(k).alias("end"), x["kind"].alias("kind")))
+            return let(masks, lambda m: F.transform(m, lambda x, k: F.struct(F.coalesce(F.get(m, k - 1)["end"], F.lit(0)).alias("from"), x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
+
+        return let(reach, lambda r: let(starts, lambda s: cells(s, r)))
+
+    def written(text: Column) -> Column:
+        # long texts are cut into pages first, so that a cell is found from its page's start, not from the text's
+        pages = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+        def part(p: Column, a: Column, b: Column) -> Column:
+            page = lambda x: F.floor(x / PAGE).cast("int")
+            return let(F.array_join(F.slice(p, page(a) + 1, page(b) - page(a) + 1), ""), lambda t: F.substring(t, a - page(a) * PAGE + 1, b - a))
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(F.lit(0), s["start"] - a["at"]))
-        return F.when(s["start"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))).otherwise(
-            F.struct(F.concat(a["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"), s["end"].alias("at")))
+        return let(pages, lambda p: let(pieces(text), lambda c: F.concat(
+            F.array_join(F.transform(c, lambda x: F.concat(part(p, x["from"], x["start"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))), ""),
+            part(p, F.element_at(c, -1)["end"], F.length(text)))))
 
-    folded = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(folded)
+    text = F.when(F.col(hits).isNull(), F.col("text")).otherwise(written(F.col("text")))
     return both.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns])
 
 

@@ -26,6 +26,7 @@ extra columns are left out.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -44,9 +45,9 @@ CHUNK = 32_768
 #: Children of a node in the tree of matrix products.
 ARITY = 16
 #: Units kept between batches.
-MOST_UNITS = 200_000
+MOST_UNITS = 150_000
 #: Characters that are turned into ids at once.
-CHARS_AT_ONCE = 400_000
+CHARS_AT_ONCE = 200_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -63,7 +64,7 @@ def _mixed(h: np.ndarray, length: int) -> np.ndarray:
 class _Edges:
     """Tables that find all edges of many lattices at once: hashes of the usable pieces and of their beginnings, and what may follow what."""
 
-    BITS, MIX, STEP = 22, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
+    BITS, MIX, STEP = 21, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
 
     def __init__(self, v: Pieces):
         self.v = v
@@ -439,8 +440,7 @@ class Pieces:
     # -- decoding --------------------------------------------------------------------------------------------
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return decoded(ids, self.raw, self.dummy_prefix)
 
 
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -479,10 +479,16 @@ def load(model: str = MODEL) -> Pieces:
     breaks = not any(SPACE in p.lstrip(SPACE) for p in ids)
     v = Pieces(ids, scores, byte_ids, raw, proto.trainer_spec.model_type == 2, normal.add_dummy_prefix, max(map(len, ids)), breaks, not any("\n" in p for p in ids), floor=min(scores.values()) - UNKNOWN_PENALTY)
     if v.bpe:
-        v.growth = {p: g for p in ids if (g := v.grown(p)) is not None}
+        name = {p: p for p in ids}  # parts of pieces are pieces: the same strings serve for both
+        v.growth = {p: tuple(tuple((name[x], w) for x, w in side) for side in g) for p in ids if (g := v.grown(p)) is not None}
     return v
 
 
+def decoded(ids: list[int], raw: list[bytes], dummy_prefix: bool) -> str:
+    text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
+    return text[1:] if dummy_prefix and text.startswith(" ") else text
+
+
 def product(a: list[tuple[State, State, float]], b: list[tuple[State, State, float]]) -> list[tuple[State, State, float]]:
     """(max, +) product of two transfer matrices."""
     by: dict[State, list[tuple[State, float]]] = {}
@@ -528,8 +534,9 @@ def _ids_column(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.empty(0, np.int32)])))
 
 
-def _traced(sent):
-    """ids of chunks with the columns t, lo, hi, enter, leave in place of these; the others stay."""
+def _traced(sent, check: bool = False):
+    """ids of chunks with the columns t, lo, hi, enter, leave in place of these; the others stay. ``check`` is for whole texts: it adds whether the
+    decoded ids have the hash text_sha256."""
     own = ("t", "lo", "hi", "enter", "leave")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -544,7 +551,11 @@ def _traced(sent):
                 at = to
                 t, lo, hi, enter, leave = (part.column(c).to_pylist() for c in own)
                 ids = v.between([(x, a, z, (i["end"], i["piece"]), (j["end"], j["piece"])) for x, a, z, i, j in zip(t, lo, hi, enter, leave, strict=True)])
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], _ids_column(ids)], [*keep, "ids"])
+                out, names = [*[part.column(c) for c in keep], _ids_column(ids)], [*keep, "ids"]
+                if check:
+                    same = [hashlib.sha256(v.decode(x.tolist()).encode()).hexdigest() == h for x, h in zip(ids, part.column("text_sha256").to_pylist(), strict=True)]
+                    out, names = [*out, pa.array(same, pa.bool_())], [*names, "round_trip"]
+                yield pa.RecordBatch.from_arrays(out, names)
 
     return run
 
@@ -587,8 +598,8 @@ def _states_of(chunks: DataFrame, sent) -> DataFrame:
     return found
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, text_sha256 and ids of every document."""
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, check: bool = False) -> DataFrame:
+    """doc_id, text_sha256 and ids of every document; with ``check`` also round_trip, whether decoding gives the text back."""
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
     v = sent.value
     margin = v.longest
@@ -600,7 +611,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     kind = docs.schema["doc_id"].dataType.simpleString()
     edge = F.struct(F.lit(0).alias("end"), F.lit("").alias("piece"))
     one = rows.filter(F.length("t") <= chunk).select("doc_id", "text_sha256", "t", F.lit(0).alias("lo"), F.length("t").alias("hi"), edge.alias("enter"), edge.alias("leave"))
-    whole = one.mapInArrow(_traced(sent), f"doc_id {kind}, text_sha256 string, ids array<int>")
+    whole = one.mapInArrow(_traced(sent, check), f"doc_id {kind}, text_sha256 string, ids array<int>{', round_trip boolean' if check else ''}")
     # one pass over a long text cuts it; each chunk also has the ends of its neighbours
     several = rows.filter(F.length("t") > chunk).select("doc_id", "text_sha256", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("t", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("cells"))
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
@@ -612,21 +623,24 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
         return whole
     parts = chunks.join(_states_of(chunks, sent), ["row", "part"]).mapInArrow(_traced(sent), f"row long, part int, doc_id {kind}, text_sha256 string, ids array<int>")
     joined = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
-    return whole.unionByName(joined.select("doc_id", "text_sha256", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids")))
+    joined = joined.select("doc_id", "text_sha256", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
+    if check:
+        joined = decode(joined, model, "_back").select("doc_id", "text_sha256", "ids", (F.sha2("_back", 256) == F.col("text_sha256")).alias("round_trip"))
+    return whole.unionByName(joined)
 
 
 def decode(rows: DataFrame, model: str = MODEL, to: str = "text") -> DataFrame:
     """Add the text of ``ids``."""
-    sent = rows.sparkSession.sparkContext.broadcast(load(model))
+    v = load(model)
+    sent = rows.sparkSession.sparkContext.broadcast((v.raw, v.dummy_prefix))
 
     def run(ids: pd.Series) -> pd.Series:
-        v = sent.value
-        return pd.Series([v.decode(x.tolist()) for x in ids])
+        return pd.Series([decoded(x.tolist(), *sent.value) for x in ids])
 
     return rows.withColumn(to, F.pandas_udf(run, "string")("ids"))
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_tokens, ids and whether decoding them gives the text back (U+2581 counts as a space)."""
-    back = decode(encode(docs, model, chunk), model, "_back")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("_back", 256) == F.col("text_sha256")).alias("round_trip"))
+    found = encode(docs, model, chunk, check=True)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")

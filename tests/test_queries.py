@@ -32,7 +32,7 @@ def test_query(spark, duck, small, name):
     df = QUERIES[name](spark, small)
     columns = sorted(df.columns)
     rows = sorted(tuple(map(plain, r)) for r in df.select(*columns).collect())
-    assert rows or name == "validate"  # no violations in these tables
+    assert rows
     if name in ORACLES:
         found = duck.sql(ORACLES[name])
         assert sorted(found.columns) == columns
@@ -45,8 +45,3 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
-
-
-def test_stream_equals_batch_once_per_title(spark, small):
-    got = QUERIES["stream_dedup"](spark, small)
-    assert got.count() >= got.distinct().count() > 0

@@ -37,6 +37,20 @@ def once(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running(values: Column, zero: Column, add, block: int = 64, levels: int = 3) -> Column:
+    """Running results of an associative ``add`` over an array, in steps that grow in proportion to it: blocks are added up, their totals
+    scanned the same way, and each element adds up its own block only."""
+    def fold(a: Column) -> Column:
+        return F.aggregate(a, zero, add)
+
+    def long(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(a) - 1, F.lit(block)), lambda at: F.slice(a, at + 1, F.lit(block)))
+        return once(blocks, lambda bs: once(running(F.transform(bs, fold), zero, add, block, levels - 1), lambda before: F.flatten(F.transform(
+            bs, lambda b, k: once(F.coalesce(F.get(before, k - 1), zero), lambda start: F.transform(b, lambda x, i: F.aggregate(F.slice(b, 1, i + 1), start, add)))))))
+
+    return once(values, lambda a: F.when(F.size(a) <= block, F.transform(a, lambda x, i: fold(F.slice(a, 1, i + 1)))).otherwise(long(a) if levels > 1 else F.transform(a, lambda x, i: fold(F.slice(a, 1, i + 1)))))
+
+
 def first_contained(text: Column, names: Mapping[str, object], default: Column, lower: bool = True) -> Column:
     """The value of the first key that ``text`` contains, in order of the keys."""
     chain = None
@@ -83,39 +97,43 @@ def entities(text: Column) -> Column:
     return F.slice(F.array_distinct(F.transform(found, lambda x: F.trim(x))), 1, V.MOST_ENTITIES)
 
 
-def matches_with_offsets(text: Column, pattern: str) -> Column:
-    """array of (start, clause) of all matches: the lengths of the pieces between them give the offsets, in characters."""
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    upto = lambda xs, n: F.aggregate(F.slice(xs, 1, n), F.lit(0), lambda a, x: a + F.length(x))
-    return F.transform(found, lambda m, i: F.struct((upto(pieces, i + 1) + upto(found, i)).alias("start"), m.alias("clause")))
-
-
 def clauses(text: Column, templates: Sequence = V.CLAUSES) -> Column:
-    """array of (kind_no, pattern_no, start, kind, confidence, clause, context) of all clause matches in a text."""
-    return once(text, lambda t: _clauses(t, templates))
+    """array of (kind_no, pattern_no, start, kind, confidence, clause, context) of all clause matches in a text.
+
+    A text is tested once for each kind; only where it holds one are the kind's patterns searched. Running sums of the lengths of the matches and of
+    the pieces between them give the offsets, in characters.
+    """
+    return once(text, lambda t: _placed(t, _matches(t, templates)))
 
 
-def _clauses(text: Column, templates: Sequence) -> Column:
+def _matches(text: Column, templates: Sequence) -> Column:
+    """array of (kind_no, pattern_no, kind, confidence, found, gaps) of the patterns that match, with the lengths of the pieces before each match."""
     out = []
     for k, (kind, confidence, patterns) in enumerate(templates):
+        own = []
         for p, pattern in enumerate(patterns):
-            rx = "(?iUd)" + pattern
-            found = matches_with_offsets(text, rx)
-            lo = lambda m: F.greatest(F.lit(0), m["start"] - V.CLAUSE_WINDOW)
-            hi = lambda m: m["start"] + F.length(m["clause"]) + V.CLAUSE_WINDOW
-            rows = F.transform(found, _clause_row(k, p, kind, confidence, text, lo, hi))
-            out.append(F.when(text.rlike(rx), rows).otherwise(F.array()))
-    return F.flatten(F.array(*out))
-
-
-def _clause_row(k: int, p: int, kind: str, confidence: float, text: Column, lo, hi):
-    def row(m: Column) -> Column:
-        return F.struct(
-            F.lit(k).alias("kind_no"), F.lit(p).alias("pattern_no"), m["start"].alias("start"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"),
-            F.trim(m["clause"]).alias("clause"), F.trim(F.substring(text, lo(m) + 1, hi(m) - lo(m))).alias("context"),
-        )
-
-    return row
+            rx = F.lit("(?iUd)" + pattern)
+            row = F.struct(
+                F.lit(k).alias("kind_no"), F.lit(p).alias("pattern_no"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"),
+                F.regexp_extract_all(text, rx, F.lit(0)).alias("found"), F.transform(F.split(text, "(?iUd)" + pattern, -1), F.length).alias("gaps"),
+            )
+            own.append(F.when(F.rlike(text, rx), row))
+        out.append(F.when(text.rlike("(?iUd)" + "|".join(f"(?:{p})" for p in patterns)), F.array(*own)))
+    return F.filter(F.flatten(F.filter(F.array(*out), lambda a: a.isNotNull())), lambda m: m.isNotNull())
+
+
+def _placed(text: Column, matches: Column) -> Column:
+    def row(m: Column, clause: Column, end: Column) -> Column:
+        start = end - F.length(clause)
+        lo = F.greatest(F.lit(0), start - V.CLAUSE_WINDOW)
+        context = F.trim(F.substring(text, lo + 1, end + V.CLAUSE_WINDOW - lo))
+        return F.struct(m["kind_no"].alias("kind_no"), m["pattern_no"].alias("pattern_no"), start.alias("start"), m["kind"].alias("kind"), m["confidence"].alias("confidence"), F.trim(clause).alias("clause"), context.alias("context"))
+
+    def of(m: Column) -> Column:
+        ends = running(F.transform(m["found"], lambda c, i: F.get(m["gaps"], i) + F.length(c)), F.lit(0), lambda a, n: a + n)
+        return once(ends, lambda e: F.transform(m["found"], lambda c, i: row(m, c, F.get(e, i))))
+
+    return F.flatten(F.transform(matches, of))
 
 
 def title_case(name: Column) -> Column:

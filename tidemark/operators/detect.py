@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -82,3 +82,22 @@ def merge_candidates(hits: DataFrame) -> DataFrame:
 def detect(filings: DataFrame, news: DataFrame, rules: Sequence = V.RULES) -> DataFrame:
     """Candidates of all companies."""
     return merge_candidates(filing_hits(filings, rules).unionByName(news_hits(news, rules)))
+
+
+def _rule_rows(spark: SparkSession, rules: Sequence) -> DataFrame:
+    return spark.createDataFrame([(t, float(s), i, len(ps)) for i, (t, s, ps) in enumerate(rules)], "signal_type string, score double, tier int, patterns bigint")
+
+
+def registry_tiers(hits: DataFrame, rules: Sequence = V.RULES) -> DataFrame:
+    """Each rule (signal_type, score, tier, patterns) with the hits it gave."""
+    given = hits.groupBy("signal_type", F.col("base_score").alias("score")).agg(F.count("*").alias("hits"))
+    return _rule_rows(hits.sparkSession, rules).join(given, ["signal_type", "score"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+
+
+def registry(hits: DataFrame, rules: Sequence = V.RULES) -> DataFrame:
+    """Per signal type the patterns, tiers and scores of its rules with the hits in these documents: all, by companies, and by the best rule."""
+    own = _rule_rows(hits.sparkSession, rules).groupBy("signal_type").agg(F.sum("patterns").alias("patterns"), F.max("score").alias("high"), F.min("score").alias("low"), F.count("*").alias("tiers"))
+    top = {t: max(s for k, s, _ in rules if k == t) for t, _, _ in rules}
+    best = F.count_if(F.col("base_score") == X.lookup(F.col("signal_type"), top, 0.0))
+    given = hits.groupBy("signal_type").agg(F.count("*").alias("hits"), F.count_distinct("company_id").alias("companies"), best.alias("best"))
+    return own.join(given, "signal_type", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("hits", "companies", "best")})

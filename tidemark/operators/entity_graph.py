@@ -6,12 +6,18 @@ Every operator answers for all nodes at once with equi-joins on node ids.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.store import cut
+
+#: Companies from which on a node is a hub: its companies are one class, listed once.
+HUB = 256
+#: Companies of an executive that one task pairs with the others.
+BUSY = 256
+
 
 def latest_edges(events: DataFrame, order: Sequence[str]) -> DataFrame:
     """The last written edge of each unordered pair."""
@@ -37,11 +43,73 @@ def connected_companies(nodes: DataFrame, edges: DataFrame, sources: DataFrame,
     return seen.filter("hops > 0").join(companies, "other", "left_semi")
 
 
+def near_companies(nodes: DataFrame, edges: DataFrame, sources: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The companies within two hops of each company of ``sources``, without a pair for each two companies of a hub.
+
+    Three tables: pairs (company, other, hops), all but those that only a hub gives; holds (company, hub) of sources and their hubs; members (hub, member).
+    A source is within two hops of all members of its hubs. A node is a hub with ``hub`` or more companies as neighbours.
+    """
+    companies = nodes.filter("node_type = 'company'").select("node_id")
+    steps = both_ways(edges).select("node", "other")
+    to_company = steps.join(companies, F.col("other") == F.col("node_id"), "left_semi")
+    hubs = cut(to_company.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") >= hub).select(F.col("node").alias("hub")))
+    first = steps.join(sources, F.col("node") == F.col("company"), "left_semi").select(F.col("node").alias("company"), F.col("other").alias("mid"))
+    holds = first.join(hubs, F.col("mid") == F.col("hub")).select("company", "hub")
+    members = to_company.join(hubs, F.col("node") == F.col("hub")).select("hub", F.col("other").alias("member"))
+    small = first.join(hubs, F.col("mid") == F.col("hub"), "left_anti")
+    low = to_company.join(hubs, F.col("node") == F.col("hub"), "left_anti").select(F.col("node").alias("_mid"), "other")
+    two = small.join(low, F.col("mid") == F.col("_mid")).select("company", "other", F.lit(2).alias("hops"))
+    one = first.join(companies, F.col("mid") == F.col("node_id"), "left_semi").select("company", F.col("mid").alias("other"), F.lit(1).alias("hops"))
+    pairs = one.unionByName(two).filter("company <> other").groupBy("company", "other").agg(F.min("hops").alias("hops"))
+    return pairs, holds, members
+
+
+def reach(nodes: DataFrame, edges: DataFrame, sources: DataFrame, hub: int = HUB, names: int = 10) -> DataFrame:
+    """company, connected (how many companies are within two hops) and second_order (the first of their names), from the tables of ``near_companies``.
+
+    Sources with the same hubs share one class: the union of the hubs' members, counted once, with its first names. To these come the pairs
+    that an anti-join finds outside the class.
+    """
+    pairs, holds, members = near_companies(nodes, edges, sources, hub)
+    pairs, members = cut(pairs.select("company", "other")), cut(members)
+    held = cut(holds.groupBy("company").agg(F.array_sort(F.collect_set("hub")).alias("hubs")).withColumn("cls", F.sha2(F.array_join("hubs", " "), 256)))
+    kinds = held.groupBy("cls").agg(F.first("hubs").alias("hubs")).select("cls", F.explode("hubs").alias("hub"))
+    union = kinds.join(members, "hub").select("cls", "member").distinct()
+    union = cut(union)
+    first = F.row_number().over(Window.partitionBy("cls").orderBy("member"))
+    least = union.withColumn("_r", first).filter(F.col("_r") <= names + 1).groupBy("cls").agg(F.array_sort(F.collect_list("member")).alias("class_names"))
+    classes = union.groupBy("cls").agg(F.count("*").alias("class_size")).join(least, "cls")
+    own = held.select("company", "cls").join(classes, "cls")
+    inside = union.select("cls", F.col("member").alias("company"), F.lit(1).alias("_self"))
+    own = own.join(inside, ["cls", "company"], "left")
+    outside = pairs.join(held.select("company", "cls"), "company", "left").join(union.select("cls", F.col("member").alias("other")), ["cls", "other"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("company").orderBy("other"))
+    more = outside.groupBy("company").agg(F.count("*").alias("n"))
+    listed = outside.withColumn("_r", place).filter(F.col("_r") <= names).groupBy("company").agg(F.collect_list("other").alias("names"))
+    none = F.array().cast("array<string>")
+    out = sources.select("company").join(own, "company", "left").join(more, "company", "left").join(listed, "company", "left")
+    both = F.array_sort(F.concat(F.filter(F.coalesce("class_names", none), lambda m: m != F.col("company")), F.coalesce("names", none)))
+    count = F.coalesce("class_size", F.lit(0)) - F.coalesce("_self", F.lit(0)) + F.coalesce("n", F.lit(0))
+    return out.select("company", count.cast("long").alias("connected"), F.array_join(F.slice(both, 1, names), ",").alias("second_order")).filter("connected > 0")
+
+
+def nodes_from_briefs(nodes: DataFrame, briefs: DataFrame, prefix: str = "c") -> DataFrame:
+    """The nodes with those of the briefs' companies added or refreshed: node_id, node_type, last_severity, last_alpha."""
+    seen = briefs.select(F.concat(F.lit(prefix), F.col("company_id").cast("string")).alias("node_id"), F.lit("company").alias("_type"), F.col("overall_severity").alias("last_severity"), F.coalesce("top_alpha", F.lit(0.0)).alias("last_alpha"))
+    return nodes.join(seen, "node_id", "full_outer").select("node_id", F.coalesce("_type", "node_type").alias("node_type"), "last_severity", "last_alpha")
+
+
 def shared_executives(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs of companies (company_a < company_b) with the number and names of the executives they share."""
     executives = nodes.filter("node_type = 'executive'").select("node_id")
     held = both_ways(edges).join(executives, F.col("node") == F.col("node_id"), "left_semi").select(F.col("node").alias("executive"), F.col("other").alias("company"))
-    pairs = held.withColumnRenamed("company", "company_a").join(held.withColumnRenamed("company", "company_b"), "executive").filter("company_a < company_b")
+    # an executive of one company shares it with none; the others meet by degree, so that no task holds all pairs of a busy one
+    busy = held.groupBy("executive").agg(F.count("*").alias("n")).filter("n > 1")
+    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / BUSY)).cast("int")
+    held = held.join(busy.select("executive", salts.alias("salts")), "executive")
+    left = held.withColumn("salt", F.pmod(F.xxhash64("company"), F.col("salts")).cast("int")).withColumnRenamed("company", "company_a").drop("salts")
+    right = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumnRenamed("company", "company_b").drop("salts")
+    pairs = left.join(right, ["executive", "salt"]).filter("company_a < company_b")
     return pairs.groupBy("company_a", "company_b").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("executive")), ",").alias("executives"))
 
 
@@ -66,8 +134,11 @@ def contagion(nodes: DataFrame, edges: DataFrame, distressed: DataFrame, depth:
     by = near.groupBy(F.col("node").alias("company")).agg(
         F.count_if(F.coalesce(lender, F.lit(False))).alias("lenders"), F.count_if(F.col("edge_type") == "board_overlap").alias("board_links"), F.count_if(F.coalesce(F.col("node_type") == "regulator", F.lit(False))).alias("regulators"),
     )
-    reach = connected_companies(nodes, edges, distressed, depth).groupBy("company").agg(F.count("*").alias("connected"), F.array_join(F.slice(F.array_sort(F.collect_list("other")), 1, 10), ",").alias("second_order"))
-    out = distressed.join(by, "company", "left").join(reach, "company", "left").join(nodes.select(F.col("node_id").alias("company"), F.lit(True).alias("_in")), "company", "left")
+    if depth == 2:
+        near_ones = reach(nodes, edges, distressed)
+    else:
+        near_ones = connected_companies(nodes, edges, distressed, depth).groupBy("company").agg(F.count("*").alias("connected"), F.array_join(F.slice(F.array_sort(F.collect_list("other")), 1, 10), ",").alias("second_order"))
+    out = distressed.join(by, "company", "left").join(near_ones, "company", "left").join(nodes.select(F.col("node_id").alias("company"), F.lit(True).alias("_in")), "company", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     level = F.when(F.col("_in").isNull() & F.col("lenders").isNull(), "unknown").when((zero("connected") > 5) | (zero("lenders") > 2), "systemic").when((zero("lenders") > 0) | (zero("board_links") > 0), "contained").otherwise("isolated")
     return out.select("company", level.alias("risk_level"), *[zero(c).alias(c) for c in ("lenders", "board_links", "regulators", "connected")], F.coalesce("second_order", F.lit("")).alias("second_order"))
@@ -82,25 +153,21 @@ def summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return by_node.unionByName(by_edge).select("what", "type", "n")
 
 
-def connected(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: nodes, components and whether the graph is connected.
 
     Least labels spread over edges and then jump to their own label's label; each round is cut by a reliable checkpoint in the shared folder
     and the loop ends when no label changes.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
-    labels = nodes.select(F.col("node_id").alias("node")).unionByName(ends).distinct().withColumn("label", F.col("node")).checkpoint()
-    steps = both_ways(edges).select("node", "other").checkpoint()
-    for _ in range(most_rounds):
+    labels = cut(nodes.select(F.col("node_id").alias("node")).unionByName(ends).distinct().withColumn("label", F.col("node")))
+    steps = cut(both_ways(edges).select("node", "other"))
+    changed = True
+    while changed:
         near = steps.join(labels.select(F.col("node").alias("other"), F.col("label").alias("_l")), "other").groupBy("node").agg(F.min("_l").alias("_l"))
         least = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("_l", "label")).alias("label"))
         jump = least.select(F.col("node").alias("_n"), F.col("label").alias("_j"))
-        now = least.join(jump, F.col("label") == F.col("_n"), "left").select("node", "old", F.least("label", F.coalesce("_j", "label")).alias("label")).checkpoint()
-        changed = now.filter("label <> old").limit(1).count()
+        now = cut(least.join(jump, F.col("label") == F.col("_n"), "left").select("node", "old", F.least("label", F.coalesce("_j", "label")).alias("label")))
+        changed = not now.filter("label <> old").isEmpty()
         labels = now.select("node", "label")
-        if not changed:
-            break
     return labels.groupBy().agg(F.count("*").alias("nodes"), F.count_distinct("label").alias("components")).withColumn("is_connected", F.col("components") == 1)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
-from tidemark.functions.text import rounded
+from tidemark.functions.text import once, rounded
 from tidemark.operators import detect as D
 from tidemark.operators import score as S
+from tidemark.sources.store import cut
 
 FEEDBACK = ("confirmed", "false_positive", "missed_event", "severity_too_high", "severity_too_low")
 
@@ -47,18 +49,31 @@ def ema_fold(values: Column, start: float, alpha: float, digits: int) -> Column:
     return F.aggregate(values, F.lit(start), lambda a, x: rounded(a + alpha * (x - a), digits))
 
 
-def source_reliability(feedback: DataFrame, order: Sequence[str], tail: int | None = None) -> DataFrame:
+def source_reliability(feedback: DataFrame, order: Sequence[str], tail: int = 512) -> DataFrame:
     """Reliability of each source: an exponential mean of its votes from 0.70 on, rounded at each step.
 
-    The step is contractive (0.85 to the power of the votes), so ``tail`` folds only a source's last votes: bounded memory for
-    sources with very many of them, exact up to the rounding of the steps.
+    A rounded step never reverses the order of two values. So where the last ``tail`` votes lead from 0 and from 1 to the same value, they do from
+    whatever the votes before made, and the value is exact; for the other sources the tail is made longer, up to all their votes. Only tails are
+    sorted and listed.
     """
     rows = feedback.select("source_name", F.when(F.col("was_correct"), 1.0).otherwise(0.0).alias("x"), *order)
-    if tail is not None:
-        back = F.row_number().over(Window.partitionBy("source_name").orderBy(*[F.desc(c) for c in order]))
-        rows = rows.withColumn("_back", back).filter(F.col("_back") <= tail)
-    votes = F.array_sort(F.collect_list(F.struct(*order, "x")))
-    return rows.groupBy("source_name").agg(F.count("*").alias("votes"), votes.alias("v")).select("source_name", "votes", ema_fold(F.transform("v", lambda s: s["x"]), 0.70, 0.15, 4).alias("reliability"))
+    left, done = cut(rows.groupBy("source_name").agg(F.count("*").alias("votes"))), []
+    back = F.row_number().over(Window.partitionBy("source_name").orderBy(*[F.desc(c) for c in order]))
+    ema = lambda start: ema_fold(F.transform("v", lambda s: s["x"]), start, 0.15, 4)
+    while True:
+        some = rows.join(left.select(F.col("source_name").alias("_s")), F.col("source_name").eqNullSafe(F.col("_s")), "left_semi").withColumn("_back", back).filter(F.col("_back") <= tail)
+        ends = some.groupBy(F.col("source_name").alias("_s")).agg(F.array_sort(F.collect_list(F.struct(*order, "x"))).alias("v")).join(left, F.col("_s").eqNullSafe(F.col("source_name")))
+        ends = ends.select("source_name", "votes", (F.col("votes") <= tail).alias("all"), ema(0.70).alias("reliability"), ema(0.0).alias("lo"), ema(1.0).alias("hi"))
+        ends = cut(ends.select("source_name", "votes", F.when(F.col("all"), F.col("reliability")).when(F.col("lo") == F.col("hi"), F.col("lo")).alias("reliability")))
+        done.append(ends.filter("reliability is not null"))
+        left = ends.filter("reliability is null").select("source_name", "votes")
+        if left.isEmpty():
+            break
+        tail *= 8
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 # ---- market outcomes -----------------------------------------------------------------------------------------
@@ -111,11 +126,22 @@ def _risk(severity: Column) -> Column:
     return F.create_map(*[F.lit(x) for kv in V.SEVERITY_RISK.items() for x in kv])[severity]
 
 
-def company_memory(runs: DataFrame, run_signals: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """Profile of each company after its runs in order (run_date, run_id), or from stored ``profiles`` on.
+#: Columns of a stored profile.
+PROFILE = (
+    "company_id bigint, rolling double, governance double, credit double, regulatory double, velocity double, risk_delta double, trend string, attention double, "
+    "runs bigint, n_signals bigint, leadership_changes bigint, debt_restructures bigint, regulatory_actions bigint"
+)
+_DIMS = ("rolling", "governance", "credit", "regulatory")
+_COUNTS = ("runs", "n_signals", "leadership_changes", "debt_restructures", "regulatory_actions")
+
+
+def company_memory(runs: DataFrame, run_signals: DataFrame, profiles: DataFrame | None = None, tail: int = 1_024) -> DataFrame:
+    """Profile of each company after its runs in order (run_date, run_id), or from stored ``profiles`` on, whose counts go on too.
 
     Within a run the run itself comes first, then its signals by alpha descending and type, as rolling risk is touched by both. Each
-    exponential mean (weight 0.25) is rounded at each step and is therefore folded in order over one company's own steps.
+    exponential mean (weight 0.25) is rounded at each step and is therefore folded in order over one company's own steps. Of a company with more
+    than ``tail`` steps only the last ones are listed: where they lead from the least and from the greatest state to the same one, that is exact;
+    for other companies the tail is made longer.
     """
     run_level = F.greatest(_risk(F.col("severity")), F.when(F.coalesce("top_alpha", F.lit(0.0)) != 0, F.col("top_alpha") * 0.9))
     dims = F.create_map(*[F.lit(x) for kv in V.RISK_DIMENSION.items() for x in kv])
@@ -125,33 +151,61 @@ def company_memory(runs: DataFrame, run_signals: DataFrame, profiles: DataFrame
     none = F.lit(None).cast("double")
     steps = heads.select("company_id", step(F.lit(0.0), F.lit(""), F.lit("run"), run_level, F.col("top_alpha"), F.col("n_signals")).alias("s"))
     steps = steps.unionByName(run_signals.select("company_id", step(1000.0 - F.coalesce("alpha", F.lit(0.0)), F.col("signal_type"), dims[F.col("signal_type")], _risk(F.col("severity")), none, F.lit(0)).alias("s")))
-    history = steps.groupBy("company_id").agg(F.array_sort(F.collect_list("s")).alias("steps"))
-    state = ("rolling", "governance", "credit", "regulatory", "velocity")
+    is_ = lambda kind: F.count_if(F.col("s.key") == kind)
+    left = steps.groupBy("company_id").agg(
+        F.count("*").alias("_steps"), F.coalesce(F.max("s.n"), F.lit(0.0)).alias("_most"), F.count_if(F.col("s.dim") == "run").alias("runs"), F.count_if(F.col("s.key") != "").alias("n_signals"),
+        is_("leadership_change").alias("leadership_changes"), is_("debt_restructuring").alias("debt_restructures"), is_("regulatory_action").alias("regulatory_actions"))
+    state = (*_DIMS, "velocity")
     if profiles is None:
-        history = history.withColumns({f"_{c}": F.lit(0.0) for c in state})
+        left = left.withColumns({f"_{c}": F.lit(0.0) for c in state})
     else:
-        stored = profiles.select("company_id", *[F.col(c).alias(f"_{c}") for c in state])
-        history = history.join(stored, "company_id", "left").withColumns({f"_{c}": F.coalesce(f"_{c}", F.lit(0.0)) for c in state})
+        stored = profiles.select("company_id", *[F.col(c).alias(f"_{c}") for c in (*state, *_COUNTS)])
+        left = left.join(stored, "company_id", "left").withColumns({f"_{c}": F.coalesce(f"_{c}", F.lit(0.0)) for c in state})
+        left = left.withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in _COUNTS}).drop(*[f"_{c}" for c in _COUNTS])
     to = lambda a, x: rounded(a + 0.25 * (x - a), 2)
 
     def fold(acc: Column, s: Column) -> Column:
         run = s["dim"] == "run"
         moved = lambda dim: F.when((s["dim"] == dim) | (run & F.lit(dim == "rolling")), to(acc[dim], s["value"])).otherwise(acc[dim])
         return F.struct(
-            *[moved(d).alias(d) for d in ("rolling", "governance", "credit", "regulatory")],
+            *[moved(d).alias(d) for d in _DIMS],
             F.when(run, to(acc["velocity"], s["n"])).otherwise(acc["velocity"]).alias("velocity"),
             F.when(run, acc["rolling"]).otherwise(acc["before"]).alias("before"), F.when(run, s["alpha"]).otherwise(acc["last_alpha"]).alias("last_alpha"),
         )
 
-    start = F.struct(*[F.col(f"_{c}").alias(c) for c in state], F.lit(0.0).alias("before"), none.alias("last_alpha"))
-    out = history.withColumn("p", F.aggregate("steps", start, fold))
+    def folded(start: dict[str, Column]) -> Column:
+        return F.aggregate("steps", F.struct(*[start[c].alias(c) for c in state], start["rolling"].alias("before"), none.alias("last_alpha")), fold)
+
+    zero = dict.fromkeys(state, F.lit(0.0))
+    back = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("s")))
+    done: DataFrame | None = None
+    while True:
+        some = steps.join(left.select("company_id"), "company_id", "left_semi") if done is not None else steps
+        some = some.withColumn("_back", back).filter(F.col("_back") <= tail)
+        ends = some.groupBy("company_id").agg(F.array_sort(F.collect_list("s")).alias("steps")).join(left, "company_id")
+        whole = F.col("_steps") <= tail
+        ends = ends.withColumn("lo", folded({c: F.when(whole, F.col(f"_{c}")).otherwise(zero[c]) for c in state}))
+        ends = ends.withColumn("hi", F.when(~whole, folded(dict.fromkeys(_DIMS, F.lit(100.0)) | {"velocity": F.greatest("_most", "_velocity")})))
+        known = whole | (F.exists("steps", lambda s: s["dim"] == "run") & (F.col("lo") == F.col("hi")))
+        ends = ends.withColumn("p", F.when(known, F.col("lo"))).drop("steps", "lo", "hi")
+        if done is None:
+            most = left.agg(F.max("_steps")).first()[0] or 0
+            if most <= tail:  # all companies are folded whole
+                done = ends
+                break
+        ends = cut(ends)
+        sure = ends.filter("p is not null")
+        done = sure if done is None else done.unionByName(sure)
+        left = ends.filter("p is null").drop("p")
+        if left.isEmpty():
+            break
+        tail *= 8
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), c))
     delta = F.col("p.rolling") - F.col("p.before")
-    return out.select(
-        "company_id", *[clamp(F.col(f"p.{d}")).alias(d) for d in ("rolling", "governance", "credit", "regulatory")], F.col("p.velocity").alias("velocity"),
+    return done.select(
+        "company_id", *[clamp(F.col(f"p.{d}")).alias(d) for d in _DIMS], F.col("p.velocity").alias("velocity"),
         rounded(delta, 2).alias("risk_delta"), F.when(delta > 5, "deteriorating").when(delta < -5, "improving").otherwise("stable").alias("trend"),
-        clamp(rounded(F.col("p.velocity") * 10 + F.coalesce("p.last_alpha", F.lit(0.0)) * 0.3, 1)).alias("attention"),
-        F.size(F.filter("steps", lambda s: s["dim"] == "run")).cast("long").alias("runs"), F.size(F.filter("steps", lambda s: s["dim"] != "run")).cast("long").alias("n_signals"),
+        clamp(rounded(F.col("p.velocity") * 10 + F.coalesce("p.last_alpha", F.lit(0.0)) * 0.3, 1)).alias("attention"), *[F.col(c).cast("long").alias(c) for c in _COUNTS],
     )
 
 
@@ -159,6 +213,12 @@ def signal_density(run_signals: DataFrame) -> DataFrame:
     return run_signals.groupBy("company_id", "signal_type").agg(F.count("*").alias("n"))
 
 
+def signal_totals(run_signals: DataFrame) -> DataFrame:
+    """Signals of each company in all, and those of the three counted types."""
+    is_ = lambda kind: F.count_if(F.col("signal_type") == kind)
+    return run_signals.groupBy("company_id").agg(F.count("*").alias("total"), is_("leadership_change").alias("leadership_changes"), is_("debt_restructuring").alias("debt_restructures"), is_("regulatory_action").alias("regulatory_actions"))
+
+
 def repeated_patterns(run_signals: DataFrame, least: int = 3) -> DataFrame:
     often = signal_density(run_signals).filter(F.col("n") >= least)
     return often.groupBy("company_id").agg(F.array_join(F.array_sort(F.collect_list("signal_type")), ",").alias("patterns"))
@@ -205,14 +265,26 @@ def run_diff(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("company_id", "s
 # ---- audit chains --------------------------------------------------------------------------------------------
 
 
-def audit_build(events: DataFrame) -> DataFrame:
-    """Chain the payloads of each ``chain`` in order of ``seq``: data_hash is the SHA-256 of the payload and the hash before it."""
-    none = F.array().cast("array<struct<seq:int,payload:string,prev_hash:string,data_hash:string>>")
+def audit_build(events: DataFrame, block: int = 256) -> DataFrame:
+    """Chain the payloads of each ``chain`` in order of ``seq``: data_hash is the SHA-256 of the payload and the hash before it.
+
+    A chain is sequential by its nature. Its entries are folded in blocks; a block's list is added once, so the work grows with the chain's length.
+    """
+    entry = "struct<seq:int,payload:string,prev_hash:string,data_hash:string>"
     lists = events.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), "payload"))).alias("events"))
-    # F.get yields null before the first entry, where element_at(-1) of an empty list would fail
-    first = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["data_hash"], F.lit("GENESIS"))
-    link = lambda acc, e: F.concat(acc, F.array(F.struct(e["seq"].alias("seq"), e["payload"].alias("payload"), first(acc).alias("prev_hash"), F.sha2(F.concat(e["payload"], F.lit("|"), first(acc)), 256).alias("data_hash"))))
-    return lists.select("chain", F.inline(F.aggregate("events", none, link)))
+    state = lambda last, done: F.struct(last.alias("last"), done.alias("done"))
+
+    def link(acc: Column, e: Column) -> Column:
+        made = F.struct(e["seq"].alias("seq"), e["payload"].alias("payload"), acc["last"].alias("prev_hash"), F.sha2(F.concat(e["payload"], F.lit("|"), acc["last"]), 256).alias("data_hash"))
+        return once(made, lambda m: state(m["data_hash"], F.concat(acc["done"], F.array(m))))
+
+    def add(acc: Column, part: Column) -> Column:
+        own = F.aggregate(part, state(acc["last"], F.array().cast(f"array<{entry}>")), link)
+        return once(own, lambda o: state(o["last"], F.concat(acc["done"], F.array(o["done"]))))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size("events") - 1, F.lit(block)), lambda at: F.slice("events", at + 1, F.lit(block)))
+    chained = F.aggregate(blocks, state(F.lit("GENESIS"), F.array().cast(f"array<array<{entry}>>")), add, lambda acc: F.flatten(acc["done"]))
+    return lists.select("chain", F.inline(chained))
 
 
 def audit_verify(chain: DataFrame) -> DataFrame:
@@ -234,6 +306,44 @@ def alerts(briefs: DataFrame, watchlist: DataFrame) -> DataFrame:
     return rows.withColumn("by_severity", by_severity).withColumn("by_alpha", F.coalesce(by_alpha, F.lit(False))).filter("by_severity or by_alpha")
 
 
+def watch_counters(briefs: DataFrame, watchlist: DataFrame) -> DataFrame:
+    """Checks, alerts and the severity of the newest brief of each watched company that has briefs."""
+    fired = alerts(briefs, watchlist).select("company_id", "run_id", F.lit(1).alias("_fired"))
+    rows = briefs.join(watchlist.select("company_id"), "company_id", "left_semi").join(fired, ["company_id", "run_id"], "left")
+    newest = F.struct("run_date", "run_id")
+    return rows.groupBy("company_id").agg(F.count("*").alias("checks"), F.count("_fired").alias("alerts"), F.max(newest).alias("last"), F.max_by("severity", newest).alias("last_severity")).select(
+        "company_id", "checks", "alerts", "last.run_date", "last.run_id", "last_severity")
+
+
+def merged_counters(parts: DataFrame) -> DataFrame:
+    """Counters of several batches as one row a company."""
+    newest = F.struct("run_date", "run_id")
+    return parts.groupBy("company_id").agg(F.sum("checks").alias("checks"), F.sum("alerts").alias("alerts"), F.max_by("last_severity", newest).alias("last_severity"))
+
+
+def replay_rows(replayed: DataFrame, original_run_id: str, *, as_of: dt.datetime) -> DataFrame:
+    """One stored row per replayed company: the run it repeats, the day, the versions and settings in force, and how many signals it gave."""
+    settings = {"corroboration": V.CORROBORATION_MULTIPLIER, "alpha_weights": V.ALPHA_WEIGHTS, "review_alpha": V.REVIEW_ALPHA, "weak_news": V.WEAK_NEWS}
+    rows = replayed.groupBy("company_id").agg(F.count("*").alias("n_signals"), F.max("alpha").alias("top_alpha"))
+    return rows.select(
+        "company_id", F.lit(original_run_id).alias("original_run_id"), F.lit(as_of).cast("date").alias("replay_date"), F.lit(V.RULESET_VERSION).alias("ruleset_version"),
+        F.lit(V.SCORING_VERSION).alias("scoring_version"), F.lit(json.dumps(settings, sort_keys=True)).alias("config_snapshot"), "n_signals", "top_alpha")
+
+
+def run_contents(runs: DataFrame, run_signals: DataFrame, filings: DataFrame, news: DataFrame, days: int = 30) -> DataFrame:
+    """Per run its signals with the alphabetically last severity, and the filings and news items of its company in the ``days`` up to it.
+
+    Runs and documents of a company are ordered by day once; a moving sum over the days counts, so no run is paired with documents.
+    """
+    one = lambda rows, day, what: rows.select("company_id", F.datediff(F.col(day), F.lit(dt.date(1970, 1, 1))).alias("day"), F.lit(what).alias("what"), (F.col("run_id") if what == "run" else F.lit(None).cast("long")).alias("run_id"))
+    every = one(runs, "run_date", "run").unionByName(one(filings, "filing_date", "filing")).unionByName(one(news, "published_date", "news"))
+    span = Window.partitionBy("company_id").orderBy("day").rangeBetween(-days, 0)
+    near = lambda what: F.sum((F.col("what") == what).cast("long")).over(span)
+    counted = every.select("run_id", "what", near("filing").alias("n_filings"), near("news").alias("n_news")).filter("what = 'run'").drop("what")
+    signals = run_signals.groupBy("run_id").agg(F.count("signal_type").alias("n_signals"), F.max("severity").alias("worst_name"))
+    return counted.join(signals, "run_id", "left").select("run_id", F.coalesce("n_signals", F.lit(0)).alias("n_signals"), "worst_name", "n_filings", "n_news")
+
+
 def upsert(rows: DataFrame, changes: DataFrame, keys: Sequence[str], removed: DataFrame | None = None) -> DataFrame:
     """Rows of ``changes`` win over those of ``rows`` with the same keys; ``removed`` keys leave."""
     both = rows.withColumn("_v", F.lit(0)).unionByName(changes.withColumn("_v", F.lit(1)))

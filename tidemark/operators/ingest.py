@@ -70,22 +70,24 @@ def fallback(primary: DataFrame, secondary: DataFrame, key: str = "company_id")
     return primary.unionByName(secondary.join(primary.select(key).distinct(), key, "left_anti"))
 
 
-def link_extract(pages: DataFrame, *, min_len: int = 15, max_len: int = 300, most: int = 8, keywords: Sequence[str] | None = None) -> DataFrame:
-    """Links of listing pages: text of the anchor without tags, length and letter tests, absolute address, optional keywords, the first ``most`` per page."""
+def link_extract(pages: DataFrame, *, min_len: int = 15, max_len: int = 300, most: int = 8, keywords: Sequence[str] | None = None, company: str | None = None) -> DataFrame:
+    """Links of listing pages: text of the anchor without tags, length and letter tests, absolute address, the first ``most`` per page. With
+    ``keywords``, the text must hold one of them, or the name in the pages' column ``company`` if that is given."""
     anchor = r"(?is)<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
     links = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("inner"))
-    rows = pages.select("page_id", "url", F.posexplode(links).alias("pos", "l"))
+    name = F.lit(None).cast("string") if company is None else F.lower(F.trim(company))
+    rows = pages.select("page_id", "url", name.alias("_company"), F.posexplode(links).alias("pos", "l"))
     title = F.trim(F.regexp_replace("l.inner", "<[^>]+>", " "))
     base = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
     href = F.trim("l.href")
-    rows = rows.select("page_id", "pos", title.alias("title"), F.when(href.startswith("/"), F.concat(base, href)).when(href.startswith("http"), href).alias("link"))
+    rows = rows.select("page_id", "_company", "pos", title.alias("title"), F.when(href.startswith("/"), F.concat(base, href)).when(href.startswith("http"), href).alias("link"))
     rows = rows.filter(F.length("title").between(min_len, max_len) & F.col("title").rlike(r"\p{L}") & F.col("link").isNotNull())
     if keywords is not None:
-        hit = F.lit(False)
+        hit = F.coalesce((F.col("_company") != "") & F.lower("title").contains(F.col("_company")), F.lit(False))
         for k in keywords:
             hit = hit | F.lower("title").contains(k)
         rows = rows.filter(hit)
-    return first_rows(rows, ["page_id"], ["pos"], most)
+    return first_rows(rows.drop("_company"), ["page_id"], ["pos"], most)
 
 
 def html_text(html: Column, most: int = 4000) -> Column:
@@ -128,6 +130,15 @@ def dedup_first(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFr
     return first_rows(rows, keys, order, 1, "_first").drop("_first")
 
 
+def merge_filings(sources: Sequence[DataFrame], keys: Sequence[str] = ("company_id",)) -> DataFrame:
+    """Filings of several sources in their order: the first of each accession number, or address where there is none."""
+    rows = sources[0].withColumn("priority", F.lit(0))
+    for i, s in enumerate(sources[1:], 1):
+        rows = rows.unionByName(s.withColumn("priority", F.lit(i)))
+    own = F.coalesce(F.when(F.col("accession_number") != "", F.col("accession_number")), F.col("document_url"), F.lit(""))
+    return dedup_first(rows.withColumn("_key", own), [*keys, "_key"], ["priority", "filing_date", "doc_no"]).drop("_key")
+
+
 def merge_news(sources: Sequence[DataFrame]) -> DataFrame:
     """Items of several sources by priority: one per company and title, from the earliest source."""
     rows = sources[0].withColumn("priority", F.lit(0))
@@ -146,8 +157,9 @@ def explain_guard(replies: DataFrame, candidates: DataFrame) -> DataFrame:
     return rows.join(held, ["company_id", "signal_type"]).select("reply_no", "company_id", "signal_type", "headline", "severity", "confidence")
 
 
-def clauses(docs: DataFrame, text: str, key: str, max_per_type: int = 2) -> DataFrame:
-    """Clauses of each document: distinct clause texts, at most ``max_per_type`` per kind, ranked by confidence, then kind, pattern and place."""
+def clauses(docs: DataFrame, text: str, key: str, max_per_type: int = 2, location: str = "filing") -> DataFrame:
+    """Clauses of each document: distinct clause texts, at most ``max_per_type`` per kind, ranked by confidence, then kind, pattern and place; ``location``
+    names where the texts are from."""
     column = F.col(text)
     rows = docs.filter(F.length(column) >= V.CLAUSE_LEAST_TEXT).select(key, F.inline(X.clauses(column)))
     rows = dedup_first(rows, [key, "clause"], ["kind_no", "pattern_no", "start"])
@@ -156,7 +168,7 @@ def clauses(docs: DataFrame, text: str, key: str, max_per_type: int = 2) -> Data
     first = lambda p: F.trim(F.regexp_extract("context", p, 0))
     return rows.select(
         key, "kind", "confidence", "rank", "start", F.left("clause", F.lit(V.CLAUSE_CHARS)).alias("clause"), F.left("context", F.lit(V.CLAUSE_CONTEXT_CHARS)).alias("context"),
-        first("(?i)" + V.CLAUSE_AMOUNT).alias("amount"), first("(?i)" + V.CLAUSE_TIME).alias("time"), first(V.CLAUSE_COMPANY).alias("subject"),
+        first("(?i)" + V.CLAUSE_AMOUNT).alias("amount"), first("(?i)" + V.CLAUSE_TIME).alias("time"), first(V.CLAUSE_COMPANY).alias("subject"), F.lit(location).alias("location"),
     )
 
 

@@ -63,7 +63,7 @@ def sector_factor(sector: Column, kind: Column) -> Column:
 def adaptive_calibrate(candidates: DataFrame, company: DataFrame, stats: DataFrame) -> DataFrame:
     """As ``calibrate``, with the precision (from 10 votes on) and the false-positive rate (from the first) of the type's feedback, and its sector."""
     rows = candidates.join(company.select("company_id", "sector"), "company_id", "left")
-    known = stats.select("signal_type", F.col("total").alias("_n"), F.col("precision").alias("_precision"), F.col("fp_rate").alias("_fp"))  # one row per signal type
+    known = stats.filter(F.col("signal_type").isin(*V.SIGNAL_TYPES)).select("signal_type", F.col("total").alias("_n"), F.col("precision").alias("_precision"), F.col("fp_rate").alias("_fp"))  # at most 8 rows
     rows = rows.join(F.broadcast(known), "signal_type", "left")
     precision = F.when(F.coalesce("_n", F.lit(0)) < 10, 1.0).otherwise(F.greatest(F.lit(0.7), F.least(F.lit(1.3), 0.5 + F.col("_precision"))))
     penalty = F.greatest(F.lit(0.60), 1.0 - F.coalesce("_fp", F.lit(0.0)) * 0.5)
@@ -120,6 +120,14 @@ def score(found: DataFrame, company: DataFrame, *, as_of: dt.datetime, complianc
     return rows.withColumn("review_reason", reason).withColumn("review", reason.isNotNull())
 
 
+def score_all(found: DataFrame, candidates: DataFrame, company: DataFrame, *, as_of: dt.datetime, compliance: bool = False) -> DataFrame:
+    """Scores of signals (company_id, signal_type, severity, confidence) by their candidates; a signal without one is kept, without a score or a review."""
+    own = candidates.select(*KEY, "source_name", "corroboration", "doc_date", F.lit(True).alias("_has"))
+    rows = score(found.select(*KEY, "severity", "confidence").join(own, KEY, "left"), company, as_of=as_of, compliance=compliance)
+    has = F.col("_has").isNotNull()
+    return rows.withColumns({"alpha": F.when(has, F.col("alpha")), "review_reason": F.when(has, F.col("review_reason"))}).withColumn("review", F.col("review_reason").isNotNull()).drop("_has")
+
+
 def compliance_split(found: DataFrame, least: float = V.REVIEW_CONFIDENCE) -> DataFrame:
     """Per company how many signals stay and how many low-confidence ones are suppressed."""
     kept = F.col("confidence") >= least
@@ -201,13 +209,13 @@ def brief(boosted: DataFrame, found: DataFrame, candidates: DataFrame, filings:
 def confidence_parts(candidates: DataFrame, stats: DataFrame, learned: DataFrame, *, as_of: dt.datetime, calibration_adjustment: float = 1.0) -> DataFrame:
     """The seven parts of confidence, their weighted sum and what lowers it."""
     w = V.CONFIDENCE_WEIGHTS
-    rows = candidates.join(F.broadcast(stats.select("signal_type", F.col("total").alias("_n"), F.col("precision").alias("_p"))), "signal_type", "left")  # one row per type
+    rows = candidates.join(F.broadcast(stats.filter(F.col("signal_type").isin(*V.SIGNAL_TYPES)).select("signal_type", F.col("total").alias("_n"), F.col("precision").alias("_p"))), "signal_type", "left")  # at most 8 rows
     rows = rows.join(learned.select("source_name", F.col("reliability").alias("_learned")), "source_name", "left")
     fixed = X.lookup(F.col("source_name"), V.CREDIBILITY, V.DEFAULT_CREDIBILITY)
     strength = F.when(F.col("source_type") == "filing", X.lookup(F.col("source_name"), V.FILING_STRENGTH, V.OTHER_FILING_STRENGTH)).when(F.col("source_type") == "pe_source", V.FILING_STRENGTH["pe_source"]).otherwise(V.FILING_STRENGTH["news"])
     n, m = F.size("entities"), F.size("patterns")
     rows = rows.withColumns({
-        "source_reliability": F.round(0.70 * fixed + 0.30 * F.coalesce("_learned", fixed), 4),
+        "source_reliability": X.rounded(0.70 * fixed + 0.30 * F.coalesce("_learned", fixed), 4),
         "corroboration_part": F.round(1.0 - 1.0 / (1.0 + 0.9 * F.col("corroboration")), 4),
         "filing_strength": strength,
         "historical_precision": F.when(F.coalesce("_n", F.lit(0)) < 5, 0.60).otherwise(F.round("_p", 4)),
@@ -219,11 +227,11 @@ def confidence_parts(candidates: DataFrame, stats: DataFrame, learned: DataFrame
     total = sum((F.col(c) * w[k] for k, c in parts.items()), F.lit(0.0))
     why = F.concat_ws(
         ", ",
-        F.when(F.col("source_reliability") < 0.60, F.concat(F.lit("low source reliability ("), F.round(F.col("source_reliability") * 100, 0).cast("int").cast("string"), F.lit("%)"))),
+        F.when(F.col("source_reliability") < 0.60, F.concat(F.lit("low source reliability ("), X.rounded(F.col("source_reliability") * 100, 0).cast("int").cast("string"), F.lit("%)"))),
         F.when(F.col("corroboration_part") < 0.55, F.concat(F.lit("single-source ("), F.col("corroboration").cast("string"), F.lit(" corroboration)"))),
         F.when(F.col("historical_precision") < 0.50, F.lit("limited historical precision data")),
         F.when(F.col("temporal_relevance") < 0.50, F.lit("signal age reducing temporal relevance")),
     )
-    return rows.withColumn("final_confidence", F.round(F.least(total * calibration_adjustment, F.lit(1.0)), 4)).withColumn(
+    return rows.withColumn("final_confidence", X.rounded(F.least(total * calibration_adjustment, F.lit(1.0)), 4)).withColumn(
         "reasoning", F.when(why == "", F.lit("All components within normal range.")).otherwise(F.concat(F.lit("Confidence reduced by: "), why))
     ).select(*KEY, *parts.values(), "final_confidence", "reasoning")

@@ -52,6 +52,8 @@ def multiplier(n: str) -> str:
     return f"CASE {n} " + " ".join(f"WHEN {k} THEN {double(m)}" for k, m in V.CORROBORATION_MULTIPLIER.items()) + f" ELSE {double(V.MOST_CORROBORATION_MULTIPLIER)} END"
 
 
+ALERT = "SELECT company_id, run_id, run_date, by_severity, by_alpha FROM (SELECT r.*, " + severity_rank("severity") + " >= " + severity_rank("alert_severity") + " AS by_severity, coalesce(top_alpha <> 0 AND top_alpha >= alert_alpha, false) AS by_alpha FROM v_run r JOIN v_watch USING (company_id)) WHERE by_severity OR by_alpha"
+
 LIQUIDITY = (
     "CASE WHEN coalesce(ticker, '') = '' THEN 'private' WHEN upper(ticker) IN (" + ", ".join(map(text, V.LARGE_CAPS)) + ") THEN 'large_cap' "
     "WHEN contains(upper(exchange), 'NYSE') OR contains(upper(exchange), 'NASDAQ') OR contains(upper(exchange), 'JSE') THEN 'mid_cap' "
@@ -118,7 +120,7 @@ STEPS: dict[str, str] = {
     "rules": "SELECT * FROM (VALUES " + ", ".join(f"({text(t)}, {double(s)}, {i}, {j}, {text(p)})" for i, (t, s, ps) in enumerate(V.RULES) for j, p in enumerate(ps)) + ") AS r(type, score, r_no, p_no, pat)",
     "bands": "SELECT * FROM (VALUES " + ", ".join(f"({text(t)}, {double(a)}, {double(b)}, {double(r)}, {text(s)})" for t, bs in V.BANDS.items() for a, b, r, s in bs) + ") AS b(type, lo, hi, rate, severity)",
     "moves": "SELECT * FROM (VALUES " + ", ".join(f"({text(t)}, {text(s)}, {text(m[0])}, {double(m[1])}, {double(m[2])}, {m[3]}, {text(m[4])})" for (t, s), m in V.MOVES.items()) + ") AS m(mtype, msev, direction, low_pct, high_pct, comparable_n, move_confidence)",
-    "inter": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {text(t)}, {len(ts)}, {text(k)}, {double(e)}, {text(r)}, {double(m)})" for i, (ts, k, e, r, m, _) in enumerate(V.INTERACTIONS) for t in ts) + ") AS i(rule_no, signal_type, need, kind, escalation, systemic_risk, multiplier)",
+    "inter": "SELECT * FROM (VALUES " + ", ".join(f"({i}, {text(t)}, {len(ts)}, {text(k)}, {double(e)}, {text(r)}, {double(m)}, {text(' + '.join(ts))}, {text(why)})" for i, (ts, k, e, r, m, why) in enumerate(V.INTERACTIONS) for t in ts) + ") AS i(rule_no, signal_type, need, kind, escalation, systemic_risk, multiplier, types, reasoning)",
     "hits": _hits(""),
     "cand": _cand("hits"),
     "cal": _calibrated(f"SELECT *, least(raw_score * ({multiplier('corroboration')}), {double(1)}) AS adj FROM cand", double(1)),
@@ -141,10 +143,16 @@ LEFT JOIN (SELECT company_id, count(*) AS n FROM cand GROUP BY company_id) k USI
     "adaptive": _calibrated(
         f"SELECT *, least(raw_score * precision_factor * fp_factor * sector_factor * ({multiplier('corroboration')}), {double(1)}) AS adj FROM (SELECT cand.*, CASE WHEN coalesce(total, 0) < 10 THEN {double(1)} ELSE greatest({double(0.7)}, least({double(1.3)}, 0.5 + precision)) END AS precision_factor, greatest({double(0.60)}, 1 - coalesce(fp_rate, 0) * 0.5) AS fp_factor, "
         + "CASE " + " ".join(f"WHEN contains(lower(sector), {text(k)}) THEN {exact('cand.signal_type', by, 1.0)}" for k, by in V.SECTOR_PRECISION.items()) + f" ELSE {double(1)} END AS sector_factor FROM cand LEFT JOIN v_company USING (company_id) LEFT JOIN stats ON stats.signal_type = cand.signal_type)", "precision_factor"),
-    "parts": f"""SELECT company_id, c.signal_type, round(0.70::DOUBLE * fixed + 0.30::DOUBLE * coalesce(reliability, fixed), 4) AS source_reliability, round(1 - 1 / (1 + 0.9::DOUBLE * corroboration), 4) AS corroboration_part,
+    "parts": f"""SELECT company_id, c.signal_type, {half_up("0.70::DOUBLE * fixed + 0.30::DOUBLE * coalesce(reliability, fixed)", 4)} AS source_reliability, round(1 - 1 / (1 + 0.9::DOUBLE * corroboration), 4) AS corroboration_part,
   CASE WHEN source_type = 'filing' THEN {exact('c.source_name', V.FILING_STRENGTH, V.OTHER_FILING_STRENGTH)} ELSE {double(V.FILING_STRENGTH['news'])} END AS filing_strength, CASE WHEN coalesce(total, 0) < 5 THEN 0.60 ELSE round(precision, 4) END AS historical_precision,
-  round(greatest(pow(0.5::DOUBLE, (epoch(TIMESTAMP '2024-02-01') - epoch(doc_date::TIMESTAMP)) / 86400.0 / 21), 0.35::DOUBLE), 4) AS temporal_relevance, CASE WHEN n_patterns >= 3 THEN 0.92 WHEN n_patterns = 2 THEN 0.80 ELSE 0.65 END AS extraction
-FROM (SELECT *, {exact('source_name', V.CREDIBILITY, V.DEFAULT_CREDIBILITY)} AS fixed FROM cand) c LEFT JOIN learned USING (source_name) LEFT JOIN stats ON stats.signal_type = c.signal_type""",
+  round(greatest(pow(0.5::DOUBLE, (epoch(TIMESTAMP '2024-02-01') - epoch(doc_date::TIMESTAMP)) / 86400.0 / 21), 0.35::DOUBLE), 4) AS temporal_relevance, CASE WHEN n_patterns >= 3 THEN 0.92 WHEN n_patterns = 2 THEN 0.80 ELSE 0.65 END AS extraction, CASE ents.n WHEN 0 THEN 0.30 WHEN 1 THEN 0.55 WHEN 2 THEN 0.72 ELSE 0.88 END AS entity_match, corroboration
+FROM (SELECT *, {exact('source_name', V.CREDIBILITY, V.DEFAULT_CREDIBILITY)} AS fixed FROM cand) c JOIN ents ON ents.txt = c.source_text LEFT JOIN learned USING (source_name) LEFT JOIN stats ON stats.signal_type = c.signal_type""",
+    "ents": f"""SELECT txt, least(len(list_distinct(list_transform(list_concat(list_concat(regexp_extract_all(txt, $${V.ENTITY_COMPANY}$$), regexp_extract_all(txt, $$(?i){V.ENTITY_AMOUNT}$$)), regexp_extract_all(txt, $${V.ENTITY_PERCENT}$$)), lambda x: trim(x)))), {V.MOST_ENTITIES}) AS n FROM (SELECT DISTINCT source_text AS txt FROM cand)""",
+    "confidence": f"""SELECT *, CASE WHEN why = '' THEN 'All components within normal range.' ELSE 'Confidence reduced by: ' || why END AS reasoning FROM (
+  SELECT *, {half_up("least(source_reliability * 0.22::DOUBLE + corroboration_part * 0.20::DOUBLE + filing_strength * 0.18::DOUBLE + historical_precision * 0.15::DOUBLE + entity_match * 0.10::DOUBLE + temporal_relevance * 0.10::DOUBLE + extraction * 0.05::DOUBLE, 1)", 4)} AS final_confidence,
+    concat_ws(', ', CASE WHEN source_reliability < 0.60 THEN 'low source reliability (' || {half_up("source_reliability * 100", 0)}::INT || '%)' END, CASE WHEN corroboration_part < 0.55 THEN 'single-source (' || corroboration || ' corroboration)' END,
+      CASE WHEN historical_precision < 0.50 THEN 'limited historical precision data' END, CASE WHEN temporal_relevance < 0.50 THEN 'signal age reducing temporal relevance' END) AS why FROM parts)""",
+    "rescored": _scored("(SELECT c.*, w.severity, 0.5 AS confidence FROM cand c JOIN (SELECT company_id, signal_type, arg_max(severity, (run_date, run_id)) AS severity FROM v_run_signal GROUP BY ALL) w USING (company_id, signal_type))", "ticker", "2024-02-01"),
     "outcome": "SELECT *, CASE WHEN p10 IS NOT NULL THEN (CASE WHEN p10 > 0 THEN 'positive' WHEN p10 < 0 THEN 'negative' ELSE 'neutral' END) = expected_direction END AS direction_correct, CASE WHEN p10 IS NOT NULL THEN round(abs(abs(p10) - (expected_low + expected_high) / 2), 2) END AS magnitude_error FROM v_outcome",
     "steps": f"""SELECT company_id, run_date, run_id, {double(0)} AS place, '' AS key, 'run' AS dim, greatest({_RISK('severity')}, CASE WHEN coalesce(top_alpha, 0) <> 0 THEN top_alpha * 0.9 ELSE 0 END) AS value, top_alpha AS alpha, coalesce(n, 0)::DOUBLE AS n
 FROM v_run LEFT JOIN (SELECT run_id, count(*) AS n FROM v_run_signal GROUP BY run_id) USING (run_id)
@@ -152,10 +160,10 @@ UNION ALL SELECT company_id, run_date, run_id, 1000 - coalesce(alpha, 0), signal
     "folded": f"""SELECT company_id, {_ema("dim IN ('run', 'rolling')")} AS rolling, {_ema("dim = 'governance'")} AS governance, {_ema("dim = 'credit'")} AS credit, {_ema("dim = 'regulatory'")} AS regulatory,
   list_reduce(list_prepend({double(0)}, list(n ORDER BY run_date, run_id) FILTER (WHERE dim = 'run')), lambda a, x: round(CAST(a + 0.25 * (x - a) AS DECIMAL(20, 8)), 2)::DOUBLE) AS velocity,
   list_reduce(list_prepend({double(0)}, coalesce(list(value ORDER BY run_date, run_id, place, key) FILTER (WHERE dim IN ('run', 'rolling') AND (run_date, run_id) < (last_date, last_run)), [])), lambda a, x: round(CAST(a + 0.25 * (x - a) AS DECIMAL(20, 8)), 2)::DOUBLE) AS before,
-  arg_max(alpha, (run_date, run_id)) FILTER (WHERE dim = 'run' AND run_id = last_run) AS last_alpha, count_if(dim = 'run') AS runs, count_if(dim <> 'run') AS n_signals
+  arg_max(alpha, (run_date, run_id)) FILTER (WHERE dim = 'run' AND run_id = last_run) AS last_alpha, count_if(dim = 'run') AS runs, count_if(dim <> 'run') AS n_signals, count_if(key = 'leadership_change') AS leadership_changes, count_if(key = 'debt_restructuring') AS debt_restructures, count_if(key = 'regulatory_action') AS regulatory_actions
 FROM (SELECT *, max(run_date) OVER (PARTITION BY company_id) AS last_date, arg_max(run_id, (run_date, run_id)) OVER (PARTITION BY company_id) AS last_run FROM steps) GROUP BY company_id""",
     "memory": f"""SELECT company_id, {_CLAMP.format('rolling')} AS rolling, {_CLAMP.format('governance')} AS governance, {_CLAMP.format('credit')} AS credit, {_CLAMP.format('regulatory')} AS regulatory, velocity, round(CAST(rolling - before AS DECIMAL(20, 8)), 2)::DOUBLE AS risk_delta,
-  CASE WHEN rolling - before > 5 THEN 'deteriorating' WHEN rolling - before < -5 THEN 'improving' ELSE 'stable' END AS trend, {_CLAMP.format('round(CAST(velocity * 10 + coalesce(last_alpha, 0) * 0.3 AS DECIMAL(20, 8)), 1)::DOUBLE')} AS attention, runs, n_signals FROM folded""",
+  CASE WHEN rolling - before > 5 THEN 'deteriorating' WHEN rolling - before < -5 THEN 'improving' ELSE 'stable' END AS trend, {_CLAMP.format('round(CAST(velocity * 10 + coalesce(last_alpha, 0) * 0.3 AS DECIMAL(20, 8)), 1)::DOUBLE')} AS attention, runs, n_signals, leadership_changes, debt_restructures, regulatory_actions FROM folded""",
     "hits_then": _hits("WHERE {} <= DATE '2024-01-15'"),
     "cand_then": _cand("hits_then"),
     "cal_then": _calibrated(f"SELECT *, least(raw_score * ({multiplier('corroboration')}), {double(1)}) AS adj FROM cand_then", double(1)),
@@ -167,7 +175,12 @@ FROM (SELECT *, max(run_date) OVER (PARTITION BY company_id) AS last_date, arg_m
     "near": "SELECT company, other, min(hops) AS hops FROM (SELECT company, other, 1 AS hops FROM distressed JOIN both_ways ON node = company UNION ALL SELECT d.company, y.other, 2 FROM distressed d JOIN both_ways x ON x.node = d.company JOIN both_ways y ON y.node = x.other) WHERE other <> company GROUP BY ALL",
 }
 
-NEAR = ""
+NEAR_CLASSES = """WITH co AS (SELECT node_id FROM v_node WHERE node_type = 'company'), hub AS (SELECT node FROM both_ways WHERE other IN (SELECT node_id FROM co) GROUP BY node HAVING count(*) >= 256),
+two AS (SELECT d.company, y.other, 2 AS hops FROM distressed d JOIN both_ways x ON x.node = d.company JOIN both_ways y ON y.node = x.other WHERE x.other NOT IN (SELECT node FROM hub)
+  UNION ALL SELECT company, other, 1 FROM distressed JOIN both_ways ON node = company)
+SELECT 'pair' AS what, company, other, min(hops)::INT AS hops FROM two WHERE other <> company AND other IN (SELECT node_id FROM co) GROUP BY ALL
+UNION ALL SELECT 'holds', company, other, NULL FROM distressed JOIN both_ways ON node = company WHERE other IN (SELECT node FROM hub)
+UNION ALL SELECT 'member', other, node, NULL FROM both_ways WHERE node IN (SELECT node FROM hub) AND other IN (SELECT node_id FROM co)"""
 CONTAGION = """SELECT d.company, CASE WHEN coalesce(r.connected, 0) > 5 OR coalesce(n.lenders, 0) > 2 THEN 'systemic' WHEN coalesce(n.lenders, 0) > 0 OR coalesce(n.board_links, 0) > 0 THEN 'contained' ELSE 'isolated' END AS risk_level,
   coalesce(n.lenders, 0) AS lenders, coalesce(n.board_links, 0) AS board_links, coalesce(n.regulators, 0) AS regulators, coalesce(r.connected, 0) AS connected, coalesce(r.second_order, '') AS second_order
 FROM distressed d LEFT JOIN (SELECT node, count_if(edge_type = 'lends_to' OR coalesce(node_type = 'lender', false)) AS lenders, count_if(edge_type = 'board_overlap') AS board_links, count_if(coalesce(node_type = 'regulator', false)) AS regulators FROM both_ways LEFT JOIN v_node ON node_id = other GROUP BY node) n ON n.node = d.company
@@ -178,10 +191,14 @@ AUDIT_SQL = """WITH RECURSIVE c AS (SELECT chain, seq, 'GENESIS' AS prev_hash, s
 SELECT chain, seq, prev_hash, data_hash FROM c"""
 
 
-def clauses(document: str) -> str:
-    """The steps ``docs`` to ``ranked`` for the clauses of texts derived from filings."""
+def clause_details(context: str) -> str:
+    return f"trim(regexp_extract({context}, $$(?i){V.CLAUSE_AMOUNT}$$)) AS amount, trim(regexp_extract({context}, $$(?i){V.CLAUSE_TIME}$$)) AS \"time\", trim(regexp_extract({context}, $${V.CLAUSE_COMPANY}$$)) AS subject"
+
+
+def clauses(document: str, view: str = "v_filing", day: str = "filing_date") -> str:
+    """The steps ``docs`` to ``ranked`` for the clauses of texts derived from filings or news."""
     table = ", ".join(f"({k}, {j}, {text(kind)}, {double(c)}, {text(p)})" for k, (kind, c, ps) in enumerate(V.CLAUSES) for j, p in enumerate(ps))
-    return f"""WITH docs AS (SELECT doc_no, company_id, filing_date, {document} AS text FROM v_filing), tpl(kind_no, pattern_no, kind, confidence, pat) AS (VALUES {table}),
+    return f"""WITH docs AS (SELECT doc_no, company_id, {day} AS filing_date, {document} AS text FROM {view}), tpl(kind_no, pattern_no, kind, confidence, pat) AS (VALUES {table}),
 m AS (SELECT doc_no, text, kind_no, pattern_no, kind, confidence, unnest(regexp_extract_all(text, pat, 0, 'i')) AS clause FROM docs JOIN tpl ON length(text) >= {V.CLAUSE_LEAST_TEXT} AND regexp_matches(text, pat, 'i')),
 s AS (SELECT *, strpos(text, clause) - 1 AS start FROM m),
 u AS (SELECT *, row_number() OVER (PARTITION BY doc_no, clause ORDER BY kind_no, pattern_no, start) AS first FROM s),

@@ -9,7 +9,7 @@ import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
@@ -20,6 +20,7 @@ from tidemark.operators import history as H
 from tidemark.operators import ingest as I
 from tidemark.operators import score as S
 from tidemark.plans import oracle as O
+from tidemark.sources import store
 from tidemark.sources.projections import view
 from tidemark.streaming import jobs as J
 
@@ -95,9 +96,10 @@ def candidates_news(f):
     return D.news_hits(f.news).select("company_id", "doc_no", "signal_type", r6("raw_score"), "source_name")
 
 
-@query("SELECT company_id, signal_type, source_type, source_name, doc_no, " + O.half_up("raw_score", 6) + " AS raw_score, corroboration, patterns FROM cand")
+@query("SELECT company_id, signal_type, source_type, source_name, doc_no, " + O.half_up("raw_score", 6) + " AS raw_score, corroboration, patterns, row_number() OVER (PARTITION BY company_id ORDER BY raw_score DESC, signal_type) AS rank FROM cand")
 def candidate_merge(f):
-    return f.candidates.select("company_id", "signal_type", "source_type", "source_name", "doc_no", r6("raw_score"), "corroboration", F.array_join("patterns", " | ").alias("patterns"))
+    rank = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("raw_score"), "signal_type"))
+    return f.candidates.select("company_id", "signal_type", "source_type", "source_name", "doc_no", r6("raw_score"), "corroboration", F.array_join("patterns", " | ").alias("patterns"), rank.alias("rank"))
 
 
 @query("SELECT DISTINCT source AS source_name, cred FROM (SELECT source, " + O.contained_credibility("source") + " AS cred FROM v_news)")
@@ -117,10 +119,16 @@ def entities(f):
     return f.filing.select("doc_no", F.array_join(X.entities(F.col("description")), " | ").alias("entities"))
 
 
-@query("SELECT type AS signal_type, count(*)::BIGINT AS patterns, max(score) AS high, min(score) AS low, count(DISTINCT r_no)::BIGINT AS tiers FROM rules GROUP BY type")
+@query("""SELECT t.*, coalesce(n, 0) AS hits, coalesce(companies, 0) AS companies, coalesce(best, 0) AS best FROM (
+  SELECT type AS signal_type, count(*)::BIGINT AS patterns, max(score) AS high, min(score) AS low, count(DISTINCT r_no)::BIGINT AS tiers FROM rules GROUP BY type) t
+LEFT JOIN (SELECT signal_type, count(*) AS n, count(DISTINCT company_id) AS companies, count(*) FILTER (WHERE base_score = high) AS best FROM hits JOIN (SELECT type, max(score) AS high FROM rules GROUP BY type) ON type = signal_type GROUP BY signal_type) h ON h.signal_type = t.signal_type""")
 def registry(f):
-    rows = f.spark.createDataFrame([(t, s, p, i) for i, (t, s, ps) in enumerate(V.RULES) for p in ps], "signal_type string, score double, pattern string, tier int")
-    return rows.groupBy("signal_type").agg(F.count("*").alias("patterns"), F.max("score").alias("high"), F.min("score").alias("low"), F.count_distinct("tier").alias("tiers"))
+    return D.registry(D.filing_hits(f.filing).unionByName(D.news_hits(f.news)))
+
+
+@query("SELECT type AS signal_type, score, r_no AS tier, count(*) AS patterns, (SELECT count(*) FROM hits h WHERE h.signal_type = rules.type AND h.base_score = rules.score) AS hits FROM rules WHERE type = 'credit_risk' GROUP BY ALL")
+def registry_type(f):
+    return D.registry_tiers(D.filing_hits(f.filing).unionByName(D.news_hits(f.news))).filter("signal_type = 'credit_risk'")
 
 
 # ---- calibration and score -----------------------------------------------------------------------------------
@@ -146,6 +154,12 @@ def alpha_score(f):
     return f.scored.select("company_id", "signal_type", "alpha", "liquidity", "review", "review_reason")
 
 
+@query("SELECT w.company_id, w.signal_type, w.severity, s.alpha, s.review_reason, s.review_reason IS NOT NULL AS review FROM (SELECT DISTINCT company_id, signal_type, severity FROM (SELECT company_id, signal_type, severity, row_number() OVER (PARTITION BY company_id, signal_type ORDER BY run_date DESC, run_id DESC) AS r FROM v_run_signal) WHERE r = 1) w LEFT JOIN (SELECT company_id, signal_type, alpha, review_reason FROM rescored) s USING (company_id, signal_type)")
+def score_join(f):
+    newest = f.v("v_run_signal").groupBy("company_id", "signal_type").agg(F.max_by("severity", F.struct("run_date", "run_id")).alias("severity"))
+    return S.score_all(newest.withColumn("confidence", F.lit(0.5)), f.candidates, f.company, as_of=AS_OF).select("company_id", "signal_type", "severity", "alpha", "review_reason", "review")
+
+
 @query("SELECT company_id, signal_type, severity, direction, low_pct, high_pct, comparable_n, move_confidence FROM scored")
 def expected_move(f):
     return S.expected_move(f.found.select("company_id", "signal_type", "severity"))
@@ -168,8 +182,6 @@ def review_flags(f):
 
 @query("SELECT company_id, signal_type, row_number() OVER (PARTITION BY company_id ORDER BY alpha DESC NULLS LAST, signal_type) AS rank FROM scored")
 def alpha_rank(f):
-    from pyspark.sql import Window
-
     return f.scored.select("company_id", "signal_type", F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc_nulls_last("alpha"), "signal_type")).alias("rank"))
 
 
@@ -183,9 +195,9 @@ def focus_filter(f):
     return f.calibrated.filter(F.col("signal_type").isin("credit_risk", "insider_activity")).select("company_id", "signal_type", "severity")
 
 
-@query("SELECT company_id, rule_no, kind, escalation, systemic_risk, multiplier, confidence, row_number() OVER (PARTITION BY company_id ORDER BY escalation DESC, rule_no) AS rank FROM comp")
+@query("SELECT company_id, rule_no, types, kind, escalation, systemic_risk, multiplier, reasoning, confidence, row_number() OVER (PARTITION BY company_id ORDER BY escalation DESC, rule_no) AS rank FROM comp JOIN (SELECT rule_no, any_value(types) AS types, any_value(reasoning) AS reasoning FROM inter GROUP BY rule_no) USING (rule_no)")
 def compounds(f):
-    return f.compounds.select("company_id", "rule_no", "kind", "escalation", "systemic_risk", "multiplier", "confidence", "rank")
+    return f.compounds.select("company_id", "rule_no", "types", "kind", "escalation", "systemic_risk", "multiplier", "reasoning", "confidence", "rank")
 
 
 @query("SELECT company_id, signal_type, alpha, boost, boosted_alpha, alpha_rank, review OR boosted_alpha >= 70 AS review_after_compound FROM boosted")
@@ -219,26 +231,39 @@ def brief(f):
 
 @query("SELECT company_id, top_alpha, overall_severity, systemic_risk, n_signals, needs_review, rank FROM (SELECT *, row_number() OVER (ORDER BY top_alpha DESC, company_id) AS rank FROM brief) WHERE rank <= 100")
 def flagship(f):
-    from pyspark.sql import Window
-
     top = _brief(f).orderBy(F.desc("top_alpha"), "company_id").limit(100)  # a top-100 report; the window below sees 100 rows
     return top.select("company_id", "top_alpha", "overall_severity", "systemic_risk", "n_signals", "needs_review", F.row_number().over(Window.orderBy(F.desc("top_alpha"), "company_id")).alias("rank"))
 
 
-@query("SELECT company_id, signal_type, source_reliability, corroboration_part, filing_strength, historical_precision, temporal_relevance, extraction FROM parts")
+@query("SELECT company_id, signal_type, source_reliability, corroboration_part, filing_strength, historical_precision, entity_match, temporal_relevance, extraction, final_confidence, reasoning FROM confidence")
 def confidence_parts(f):
     learned = H.source_reliability(f.v("v_feedback"), FEEDBACK_ORDER)
-    return S.confidence_parts(f.candidates, f.stats, learned, as_of=AS_OF).select("company_id", "signal_type", "source_reliability", "corroboration_part", "filing_strength", "historical_precision", "temporal_relevance", "extraction")
+    return S.confidence_parts(f.candidates, f.stats, learned, as_of=AS_OF)
+
+
+_SPOILED = """SELECT company_id, signal_type, CASE company_id % 11 WHEN 0 THEN 'severe' ELSE severity END AS severity, CASE company_id % 13 WHEN 0 THEN 1.25::DOUBLE WHEN 1 THEN -0.5::DOUBLE WHEN 2 THEN NULL ELSE confidence END AS confidence,
+  CASE company_id % 17 WHEN 0 THEN raw_score + 1 ELSE raw_score END AS raw_score, CASE company_id % 19 WHEN 0 THEN 0 ELSE corroboration END AS corroboration, CASE company_id % 23 WHEN 0 THEN 'made_up' ELSE signal_type END AS kind FROM cal"""
 
 
-@query("SELECT company_id, signal_type, 'severity_domain' AS violation FROM cal WHERE severity NOT IN ('low', 'medium', 'high', 'critical') OR confidence > 1 OR raw_score > 1 OR corroboration < 1")
+@query(f"""SELECT company_id, kind AS signal_type, violation FROM ({_SPOILED}), (VALUES ('confidence_range'), ('raw_score_range'), ('corroboration_least'), ('severity_domain'), ('signal_type_domain')) v(violation)
+WHERE CASE violation WHEN 'confidence_range' THEN coalesce(confidence < 0 OR confidence > 1, true) WHEN 'raw_score_range' THEN raw_score < 0 OR raw_score > 1 WHEN 'corroboration_least' THEN corroboration < 1
+  WHEN 'severity_domain' THEN severity NOT IN ('low', 'medium', 'high', 'critical') ELSE kind NOT IN (SELECT type FROM rules) END""")
 def validate(f):
-    return H.validate(f.calibrated)
+    """The calibrated signals with values spoiled in known places."""
+    at = lambda n, k: F.col("company_id") % n == k
+    spoiled = f.calibrated.select(
+        "company_id", F.when(at(23, 0), "made_up").otherwise(F.col("signal_type")).alias("signal_type"), F.when(at(11, 0), "severe").otherwise(F.col("severity")).alias("severity"),
+        F.when(at(13, 0), 1.25).when(at(13, 1), -0.5).when(at(13, 2), None).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(at(17, 0), F.col("raw_score") + 1).otherwise(F.col("raw_score")).alias("raw_score"), F.when(at(19, 0), 0).otherwise(F.col("corroboration")).alias("corroboration"))
+    return H.validate(spoiled)
 
 
-@query()
+@query("SELECT company_id, top_alpha, liquidity, overall_severity, needs_review, review_reasons, n_signals, systemic_risk, total_sources FROM brief")
 def brief_json(f):
-    return _brief(f).select("company_id", F.to_json(F.struct("*")).alias("json"))
+    """What is read back from the briefs written as JSON."""
+    text = _brief(f).select("company_id", F.to_json(F.struct("*")).alias("json"))
+    read = "top_alpha double, liquidity string, overall_severity string, needs_review boolean, review_reasons string, n_signals bigint, systemic_risk string, total_sources bigint"
+    return text.select("company_id", F.from_json("json", read).alias("b")).select("company_id", "b.*")
 
 
 # ---- feedback and outcomes -----------------------------------------------------------------------------------
@@ -320,10 +345,13 @@ def risk_ranking(f):
     return f.memory.select("company_id", "rolling").orderBy(F.desc("rolling"), "company_id").limit(50)
 
 
-@query("SELECT key, company_id, rolling FROM (SELECT replace(trim(upper(coalesce(ticker, company_name))), ' ', '_') AS key, company_id FROM v_company) JOIN memory USING (company_id) WHERE key LIKE 'T10%'")
+@query("SELECT request_no, key, company_id, rolling FROM (SELECT o_orderkey AS request_no, CASE WHEN o_custkey % 2 = 0 THEN 'T' || o_custkey ELSE 'CUSTOMER#' || lpad(o_custkey::STRING, 9, '0') END AS key FROM orders) JOIN (SELECT replace(trim(upper(coalesce(nullif(ticker, ''), company_name))), ' ', '_') AS key, min(company_id) AS company_id FROM v_company GROUP BY ALL) USING (key) JOIN memory USING (company_id)")
 def profile_lookup(f):
-    keys = f.company.select("company_id", H.company_key(F.col("ticker"), F.col("company_name")).alias("key")).filter(F.col("key").startswith("T10"))
-    return f.memory.join(keys, "company_id").select("key", "company_id", "rolling")
+    """Profiles by key for the requests that the orders make: by ticker or by name."""
+    wanted = F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("t"), F.col("o_custkey").cast("string"))).otherwise(F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")))
+    requests = f.v("orders").select(F.col("o_orderkey").alias("request_no"), H.company_key(wanted, wanted).alias("key"))
+    keys = f.company.groupBy(H.company_key(F.col("ticker"), F.col("company_name")).alias("key")).agg(F.min("company_id").alias("company_id"))
+    return requests.join(keys, "key").join(f.memory, "company_id").select("request_no", "key", "company_id", "rolling")
 
 
 @query("SELECT company_id, signal_type, count(*) AS n FROM v_run_signal GROUP BY ALL")
@@ -331,6 +359,11 @@ def signal_density(f):
     return H.signal_density(f.v("v_run_signal"))
 
 
+@query("SELECT company_id, count(*) AS total, count_if(signal_type = 'leadership_change') AS leadership_changes, count_if(signal_type = 'debt_restructuring') AS debt_restructures, count_if(signal_type = 'regulatory_action') AS regulatory_actions FROM v_run_signal GROUP BY company_id")
+def signal_totals(f):
+    return H.signal_totals(f.v("v_run_signal"))
+
+
 @query("SELECT company_id, string_agg(signal_type, ',' ORDER BY signal_type) AS patterns FROM (SELECT company_id, signal_type, count(*) AS n FROM v_run_signal GROUP BY ALL) WHERE n >= 3 GROUP BY company_id")
 def repeated_patterns(f):
     return H.repeated_patterns(f.v("v_run_signal"))
@@ -357,10 +390,12 @@ def signal_history(f):
     return H.newest(f.v("v_run_signal"), 50, "run_date", "run_id", "signal_type").select("company_id", "run_id", "signal_type", "rank")
 
 
-@query("SELECT run_id, count(signal_type) AS n_signals, max(severity) AS worst_name FROM (SELECT v_run.run_id, s.signal_type, s.severity FROM v_run LEFT JOIN v_run_signal s USING (run_id)) GROUP BY run_id")
+@query("""SELECT r.run_id, coalesce(s.n_signals, 0) AS n_signals, s.worst_name, coalesce(fl.n, 0) AS n_filings, coalesce(nw.n, 0) AS n_news FROM v_run r
+LEFT JOIN (SELECT run_id, count(signal_type) AS n_signals, max(severity) AS worst_name FROM v_run_signal GROUP BY run_id) s ON s.run_id = r.run_id
+LEFT JOIN (SELECT run_id, count(*) AS n FROM v_run JOIN v_filing USING (company_id) WHERE filing_date BETWEEN run_date - 30 AND run_date GROUP BY run_id) fl ON fl.run_id = r.run_id
+LEFT JOIN (SELECT run_id, count(*) AS n FROM v_run JOIN v_news USING (company_id) WHERE published_date BETWEEN run_date - 30 AND run_date GROUP BY run_id) nw ON nw.run_id = r.run_id""")
 def run_contents(f):
-    rows = f.v("v_run").select("run_id").join(f.v("v_run_signal").select("run_id", "signal_type", "severity"), "run_id", "left")
-    return rows.groupBy("run_id").agg(F.count("signal_type").alias("n_signals"), F.max("severity").alias("worst_name"))
+    return H.run_contents(f.v("v_run"), f.v("v_run_signal"), f.filing, f.news)
 
 
 @query("SELECT company_id, count(*) AS n, max(filing_date) AS last FROM v_filing WHERE filing_date <= DATE '1998-06-30' GROUP BY company_id")
@@ -373,6 +408,12 @@ def replay(f):
     return H.replay(f.filing, f.news, f.company, as_of=REPLAY_AT).select("company_id", "signal_type", "severity", "alpha")
 
 
+@query("SELECT company_id, 'run-1' AS original_run_id, DATE '2024-01-15' AS replay_date, 'rules-1' AS ruleset_version, 'alpha-1' AS scoring_version, 70 AS review_alpha, count(*) AS n_signals, max(alpha) AS top_alpha FROM replayed GROUP BY company_id")
+def replay_runs(f):
+    rows = H.replay_rows(H.replay(f.filing, f.news, f.company, as_of=REPLAY_AT), "run-1", as_of=REPLAY_AT)
+    return rows.withColumn("review_alpha", F.get_json_object("config_snapshot", "$.review_alpha").cast("double").cast("int")).drop("config_snapshot")
+
+
 @query("SELECT * FROM (SELECT coalesce(a.company_id, b.company_id) AS company_id, coalesce(a.signal_type, b.signal_type) AS signal_type, CASE WHEN b.severity IS NULL THEN 'removed' WHEN a.severity IS NULL THEN 'added' WHEN a.severity <> b.severity OR abs(b.alpha - a.alpha) > 5 THEN 'modified' END AS change, round(coalesce(b.alpha, 0) - coalesce(a.alpha, 0), 1) AS alpha_delta FROM scored a FULL JOIN replayed b ON a.company_id = b.company_id AND a.signal_type = b.signal_type) WHERE change IS NOT NULL")
 def run_diff(f):
     again = H.replay(f.filing, f.news, f.company, as_of=REPLAY_AT)
@@ -387,13 +428,21 @@ def audit_build(f):
     return f.chain.select("chain", F.col("seq").cast("long").alias("seq"), "prev_hash", "data_hash")
 
 
-@query("SELECT chain, count(*) AS entries, true AS links_hold, NULL::INT AS first_break, min(CASE WHEN chain % 7 = 0 AND seq = 2 THEN 2 END)::INT AS first_change FROM v_audit GROUP BY chain")
+@query("""WITH c AS (SELECT chain, seq, chain % 7 = 0 AND seq = 2 AS changed, chain % 5 = 0 AND seq = 3 AS broken, chain % 5 = 0 AND seq = 3 AS broken_hash FROM v_audit)
+SELECT chain, count(*) AS entries, NOT bool_or(broken) AS links_hold, min(CASE WHEN broken THEN seq END)::INT AS first_break, min(CASE WHEN changed OR broken_hash THEN seq END)::INT AS first_change FROM c GROUP BY chain""")
 def audit_verify(f):
-    tampered = f.chain.withColumn("payload", F.when((F.col("chain") % 7 == 0) & (F.col("seq") == 2), F.lit("changed")).otherwise(F.col("payload")))
-    return H.audit_verify(tampered)
+    """Chains whose second payload (each seventh chain) or third link (each fifth) was tampered with."""
+    payload = F.when((F.col("chain") % 7 == 0) & (F.col("seq") == 2), F.lit("changed")).otherwise(F.col("payload"))
+    link = F.when((F.col("chain") % 5 == 0) & (F.col("seq") == 3), F.lit("forged")).otherwise(F.col("prev_hash"))
+    return H.audit_verify(f.chain.withColumns({"payload": payload, "prev_hash": link}))
 
 
-_ALERT = "SELECT company_id, run_id, run_date, by_severity, by_alpha FROM (SELECT r.*, " + O.severity_rank("severity") + " >= " + O.severity_rank("alert_severity") + " AS by_severity, coalesce(top_alpha <> 0 AND top_alpha >= alert_alpha, false) AS by_alpha FROM v_run r JOIN v_watch USING (company_id)) WHERE by_severity OR by_alpha"
+@query("SELECT chain, seq, payload FROM v_audit ORDER BY seq DESC, chain DESC LIMIT 100")
+def recent_audit(f):
+    return f.chain.orderBy(F.desc("seq"), F.desc("chain")).limit(100).select("chain", F.col("seq").cast("long").alias("seq"), "payload")
+
+
+_ALERT = O.ALERT
 
 
 @query(_ALERT)
@@ -413,13 +462,59 @@ def watchlist_upsert(f):
     return H.upsert(watch, new, ["company_id"], watch.filter("company_id % 12 = 0"))
 
 
-@query()
+def _run_tables(f) -> dict[str, DataFrame]:
+    replayed = H.replay(f.filing, f.news, f.company, as_of=REPLAY_AT)
+    return {
+        "filings": f.filing, "news_items": f.news, "signal_candidates": f.candidates.drop("text"), "detected_signals": f.scored, "compound_events": f.compounds, "analyst_briefs": _brief(f),
+        "market_outcomes": f.outcome, "replay_runs": H.replay_rows(replayed, "run-1", as_of=REPLAY_AT),
+        "scoring_history": f.scored.select("company_id", "signal_type", "alpha", "severity", "confidence"),
+    }
+
+
+@query("""SELECT 'filings' AS "table", count(*) AS rows, count(DISTINCT company_id) AS companies FROM v_filing UNION ALL SELECT 'news_items', count(*), count(DISTINCT company_id) FROM v_news UNION ALL SELECT 'signal_candidates', count(*), count(DISTINCT company_id) FROM cand
+UNION ALL SELECT 'detected_signals', count(*), count(DISTINCT company_id) FROM scored UNION ALL SELECT 'compound_events', count(*), count(DISTINCT company_id) FROM comp UNION ALL SELECT 'analyst_briefs', count(*), count(DISTINCT company_id) FROM brief
+UNION ALL SELECT 'market_outcomes', count(*), count(DISTINCT signal_type) FROM outcome UNION ALL SELECT 'replay_runs', count(DISTINCT company_id), count(DISTINCT company_id) FROM replayed UNION ALL SELECT 'scoring_history', count(*), count(DISTINCT company_id) FROM scored""")
 def warehouse_write(f):
-    folder = J.shared_folder(f.spark, "warehouse")
-    for name, rows in (("signals", f.scored), ("compounds", f.compounds), ("candidates", f.candidates)):
-        rows.withColumn("run_id", F.lit(1)).write.mode("overwrite").partitionBy("run_id").parquet(f"{folder}/{name}")
-    read = [f.spark.read.parquet(f"{folder}/{n}").groupBy().agg(F.lit(n).alias("table"), F.count("*").alias("rows")) for n in ("signals", "compounds", "candidates")]
-    return read[0].unionByName(read[1]).unionByName(read[2]).select("table", "rows")
+    """All tables of a run, stored twice under one run id and beside an older run; counted as read back."""
+    folder, out = store.shared_folder(f.spark, "warehouse"), None
+    tables = _run_tables(f)
+    store.store_run({"filings": tables["filings"], "news_items": tables["news_items"]}, folder, "run-0")
+    for _ in range(2):
+        store.store_run(tables, folder, "run-1")
+    for name in store.RUN_TABLES:
+        key = "signal_type" if name == "market_outcomes" else "company_id"
+        count = store.read_table(f.spark, folder, name, "run-1").groupBy().agg(F.count("*").alias("rows"), F.count_distinct(key).alias("companies")).select(F.lit(name).alias("table"), "rows", "companies")
+        out = count if out is None else out.unionByName(count)
+    return out
+
+
+@query("""SELECT 'feedback' AS "table", count(*) AS rows FROM v_feedback UNION ALL SELECT 'outcomes', count(*) FROM outcome UNION ALL SELECT 'profiles', count(*) FROM memory UNION ALL SELECT 'graph_nodes', count(*) FROM v_node
+UNION ALL SELECT 'graph_edges', count(*) FROM edges UNION ALL SELECT 'watchlist', count(*) FROM v_watch UNION ALL SELECT 'alerts', count(*) FROM (""" + O.ALERT + """) UNION ALL SELECT 'audit', count(*) FROM v_audit""")
+def state_tables(f):
+    """The state that lives on between runs, appended in two halves, the second one twice, and counted as read back."""
+    folder, out = store.shared_folder(f.spark, "state"), None
+    rows = {
+        "feedback": f.v("v_feedback"), "outcomes": f.outcome, "profiles": f.memory, "graph_nodes": f.nodes, "graph_edges": f.edges, "watchlist": f.v("v_watch"),
+        "alerts": H.alerts(f.v("v_run"), f.v("v_watch")), "audit": f.chain,
+    }
+    for name, df in rows.items():
+        half = F.pmod(F.xxhash64(*df.columns), F.lit(2))
+        for run, part in (("run-1", 0), ("run-2", 1), ("run-2", 1)):
+            store.save_state(name, df.filter(half == part), folder, run)
+        count = store.read_table(f.spark, folder, name).groupBy().agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
+        out = count if out is None else out.unionByName(count)
+    return out
+
+
+@query("SELECT signal_type, count(*) AS total, round(count_if(feedback_type = 'confirmed') / greatest(count_if(feedback_type = 'confirmed') + count_if(feedback_type = 'false_positive'), 1), 3) AS precision FROM (SELECT signal_type, feedback_type FROM v_feedback UNION ALL SELECT signal_type, CASE WHEN severity IN ('high', 'critical') THEN 'confirmed' ELSE 'false_positive' END FROM cal) GROUP BY signal_type")
+def feedback_submit(f):
+    """Statistics after reviewers' verdicts on the detected signals were appended to the stored feedback."""
+    folder = store.shared_folder(f.spark, "feedback")
+    verdict = F.when(F.col("severity").isin("high", "critical"), "confirmed").otherwise("false_positive")
+    store.save_state("feedback", f.v("v_feedback").select("signal_type", "feedback_type"), folder, "run-0")
+    for _ in range(2):
+        store.save_state("feedback", f.calibrated.select("signal_type", verdict.alias("feedback_type")), folder, "run-1")
+    return H.feedback_stats(store.read_table(f.spark, folder, "feedback")).select("signal_type", "total", "precision")
 
 
 # ---- graph ---------------------------------------------------------------------------------------------------
@@ -430,9 +525,19 @@ def graph_edges(f):
     return f.edges.select("a", "b", "edge_type", "detail")
 
 
-@query(O.NEAR + "SELECT company, other, hops FROM near WHERE other IN (SELECT node_id FROM v_node WHERE node_type = 'company')")
+@query("SELECT coalesce(n.node_id, 'c' || b.company_id) AS node_id, CASE WHEN b.company_id IS NOT NULL THEN 'company' ELSE node_type END AS node_type, overall_severity AS last_severity, CASE WHEN b.company_id IS NOT NULL THEN coalesce(top_alpha, 0) END AS last_alpha FROM v_node n FULL JOIN brief b ON n.node_id = 'c' || b.company_id")
+def graph_nodes(f):
+    return G.nodes_from_briefs(f.nodes, _brief(f))
+
+
+@query(O.NEAR_CLASSES)
 def connected_companies(f):
-    return G.connected_companies(f.nodes, f.edges, f.distressed).select("company", "other", "hops")
+    """Pairs within two hops, and for hubs the sources that hold them and their members once."""
+    pairs, holds, members = G.near_companies(f.nodes, f.edges, f.distressed)
+    null = F.lit(None)
+    return pairs.select(F.lit("pair").alias("what"), "company", "other", F.col("hops").cast("int").alias("hops")).unionByName(
+        holds.select(F.lit("holds").alias("what"), "company", F.col("hub").alias("other"), null.cast("int").alias("hops"))).unionByName(
+        members.select(F.lit("member").alias("what"), F.col("member").alias("company"), F.col("hub").alias("other"), null.cast("int").alias("hops")))
 
 
 @query("SELECT x.company AS company_a, y.company AS company_b, count(*) AS n, string_agg(x.executive, ',' ORDER BY x.executive) AS executives FROM execs x JOIN execs y ON x.executive = y.executive AND x.company < y.company GROUP BY ALL")
@@ -460,7 +565,10 @@ def graph_summary(f):
     return G.summary(f.nodes, f.edges)
 
 
-@query()
+@query("""WITH RECURSIVE reached(node) AS (SELECT min(node) FROM both_ways UNION SELECT b.other FROM reached r JOIN both_ways b ON b.node = r.node),
+every AS (SELECT node_id AS node FROM v_node UNION SELECT node FROM both_ways), rest AS (SELECT node FROM every WHERE node NOT IN (SELECT node FROM reached)),
+linked(root, node) AS (SELECT node, node FROM rest UNION SELECT l.root, b.other FROM linked l JOIN both_ways b ON b.node = l.node)
+SELECT (SELECT count(*) FROM every) AS nodes, 1 + (SELECT count(DISTINCT least_node) FROM (SELECT root, min(node) AS least_node FROM linked GROUP BY root)) AS components, (SELECT count(*) FROM rest) = 0 AS is_connected""")
 def graph_connected(f):
     return G.connected(f.nodes, f.edges)
 
@@ -480,7 +588,7 @@ def phrase_search(f):
     return I.phrase_search(f.filing, ("merger talks", "going concern", "profit warning"), FORMS, dt.date(1996, 1, 1), dt.date(2000, 12, 31)).select("company_id", "phrase", "accession_number", "rank")
 
 
-@query()
+@query("SELECT title, url AS link, strftime(published_at, '%a, %d %b %Y %H:%M:%S GMT') AS \"pubDate\", snippet FROM v_news")
 def feed_items(f):
     item = F.struct(F.struct("title", F.col("url").alias("link"), F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("pubDate"), F.concat(F.lit("<p>"), "snippet", F.lit("</p>")).alias("description")).alias("item"))
     text = f.news.select(F.to_xml(item).alias("xml"))
@@ -508,10 +616,10 @@ def exchange_filings(f):
     return I.exchange_filings(_items(f), _CAPS).select("company_id", "accession_number", "form_type", "cik", "filing_date")
 
 
-@query("SELECT company_id, doc_no, 'primary' AS origin FROM v_news WHERE source = 'Moneyweb' AND doc_no % 7 = 2 UNION ALL SELECT company_id, doc_no, 'fallback' FROM v_news WHERE source = 'Stears' AND company_id NOT IN (SELECT company_id FROM v_news WHERE source = 'Moneyweb' AND doc_no % 7 = 2)")
+@query("SELECT company_id, doc_no, 'primary' AS origin FROM v_news WHERE source = 'Moneyweb' UNION ALL SELECT company_id, doc_no, 'fallback' FROM v_news WHERE source = 'Stears' AND company_id NOT IN (SELECT company_id FROM v_news WHERE source = 'Moneyweb')")
 def exchange_fallback(f):
     of = lambda source, origin: f.news.filter(F.col("source") == source).select("company_id", "doc_no", F.lit(origin).alias("origin"))
-    return I.fallback(of("Moneyweb", "primary").filter("doc_no % 7 = 2"), of("Stears", "fallback"))
+    return I.fallback(of("Moneyweb", "primary"), of("Stears", "fallback"))
 
 
 @query(r"""SELECT * FROM (SELECT page_id, title, link, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM (
@@ -523,6 +631,17 @@ def link_extract(f):
     return I.link_extract(f.v("pages"), min_len=3).select("page_id", "title", "link", "rank")
 
 
+@query(r"""SELECT page_id, title, rank FROM (SELECT page_id, title, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM (
+  SELECT page_id, pos, company, trim(regexp_replace(inner_, '<[^>]+>', ' ', 'g')) AS title, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/]+)', 1) || href WHEN starts_with(href, 'http') THEN href END AS link FROM (
+    SELECT page_id, url, company, unnest(range(len(h))) AS pos, trim(unnest(h)) AS href, unnest(t) AS inner_ FROM (
+      SELECT page_id, url, lower(split_part(regexp_extract(url, '^https?://([^/]+)', 1), '.', 1)) AS company, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2) AS t FROM pages)))
+  WHERE length(title) BETWEEN 3 AND 300 AND regexp_matches(title, '\p{L}') AND link IS NOT NULL AND ((company <> '' AND contains(lower(title), company)) OR contains(lower(title), 'ab') OR contains(lower(title), 'con') OR contains(lower(title), 'the'))) WHERE rank <= 8""")
+def link_extract_company(f):
+    """Links whose text names the page's own site or holds a keyword."""
+    site = F.lower(F.substring_index(F.regexp_extract("url", "^https?://([^/]+)", 1), ".", 1))
+    return I.link_extract(f.v("pages").withColumn("company", site), min_len=3, keywords=("ab", "con", "the"), company="company").select("page_id", "title", "rank")
+
+
 @query(r"SELECT page_id, left(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 4000) AS text FROM pages")
 def html_text(f):
     return f.v("pages").select("page_id", I.html_text(F.col("html")).alias("text"))
@@ -540,9 +659,16 @@ def doc_url(f):
     return f.filing.select("doc_no", I.document_url(F.col("cik"), F.col("accession_number")).alias("url"))
 
 
-@query("SELECT 'filing' AS origin, company_id, doc_no, form_type AS name FROM v_filing UNION ALL SELECT 'news', company_id, doc_no, source FROM v_news")
+@query("SELECT 'filing' AS origin, company_id, doc_no, form_type AS name, NULL AS error FROM v_filing UNION ALL SELECT 'news', company_id, doc_no, source, NULL FROM v_news UNION ALL SELECT 'regional', NULL, NULL, NULL, 'AnalysisException'")
 def source_union(f):
-    return f.filing.select(F.lit("filing").alias("origin"), "company_id", "doc_no", F.col("form_type").alias("name")).unionByName(f.news.select(F.lit("news").alias("origin"), "company_id", "doc_no", F.col("source").alias("name")))
+    """Three sources, of which one is missing: its failure is a row of its own."""
+    readers = {
+        "filing": lambda: f.filing.select("company_id", "doc_no", F.col("form_type").alias("name")), "news": lambda: f.news.select("company_id", "doc_no", F.col("source").alias("name")),
+        "regional": lambda: f.spark.read.parquet(f"{f.dir}/no_such_source.parquet"),
+    }
+    rows, errors = store.gather(f.spark, readers, {"company_id": "bigint", "doc_no": "bigint", "name": "string"})
+    none = F.lit(None)
+    return rows.withColumn("error", none.cast("string")).unionByName(errors.select(F.col("source").alias("origin"), none.cast("bigint").alias("company_id"), none.cast("bigint").alias("doc_no"), none.cast("string").alias("name"), "error"))
 
 
 @query("SELECT origin, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT 'filing' AS origin, form_type AS name FROM v_filing UNION ALL SELECT 'news', source FROM v_news) GROUP BY origin")
@@ -572,9 +698,15 @@ def region_flag(f):
     return rows.select(F.col("c_custkey").alias("company_id"), I.is_regional(F.concat_ws(" ", "c_name", "n_name"), F.col("r_name")).alias("regional"))
 
 
-@query("SELECT company_id, doc_no FROM (SELECT company_id, doc_no, row_number() OVER (PARTITION BY company_id, form_type, description ORDER BY filing_date, doc_no) AS r FROM v_filing) WHERE r = 1")
+@query("""SELECT company_id, doc_no, priority FROM (SELECT *, row_number() OVER (PARTITION BY company_id, key ORDER BY priority, filing_date, doc_no) AS r FROM (
+  SELECT *, CASE WHEN doc_no % 5 = 0 THEN 'u' || doc_no ELSE accession_number END AS key, 0 AS priority FROM v_filing UNION ALL SELECT *, CASE WHEN doc_no % 5 = 0 THEN 'u' || doc_no ELSE accession_number END, 1 FROM v_filing WHERE doc_no % 3 = 0
+  UNION ALL SELECT * REPLACE (doc_no + 1000000000 AS doc_no), 'X' || doc_no, 1 FROM v_filing WHERE doc_no % 3 = 1)) WHERE r = 1""")
 def filing_dedup(f):
-    return I.dedup_first(f.filing, ["company_id", "form_type", "description"], ["filing_date", "doc_no"]).select("company_id", "doc_no")
+    """Filings of two sources; the second repeats some of the first, and some have no accession number."""
+    lacks = F.col("doc_no") % 5 == 0
+    own = f.filing.select("company_id", "doc_no", "filing_date", F.when(~lacks, F.col("accession_number")).alias("accession_number"), F.concat(F.lit("u"), F.col("doc_no").cast("string")).alias("document_url"))
+    new = own.filter("doc_no % 3 = 1").withColumns({"accession_number": F.concat(F.lit("X"), F.col("doc_no").cast("string")), "doc_no": F.col("doc_no") + 1_000_000_000})
+    return I.merge_filings([own, own.filter("doc_no % 3 = 0").unionByName(new)]).select("company_id", "doc_no", "priority")
 
 
 @query("SELECT company_id, doc_no, priority FROM (SELECT *, row_number() OVER (PARTITION BY company_id, title ORDER BY priority, published_date, doc_no) AS r FROM (SELECT *, CASE WHEN source IN ('Reuters', 'Bloomberg') THEN 0 ELSE 1 END AS priority FROM v_news)) WHERE r = 1")
@@ -588,6 +720,20 @@ def news_topk(f):
     return I.first_rows(f.news, ["company_id"], [F.desc("relevance_score"), "published_date", "doc_no"], 30).select("company_id", "doc_no", "rank")
 
 
+@query("SELECT * FROM (SELECT company_id, doc_no, row_number() OVER (PARTITION BY company_id ORDER BY relevance_score DESC, doc_no) AS rank FROM v_news WHERE source IN ('Moneyweb', 'Stears')) WHERE rank <= 40")
+def regional_topk(f):
+    return I.first_rows(f.news.filter(F.col("source").isin("Moneyweb", "Stears")), ["company_id"], [F.desc("relevance_score"), "doc_no"], 40).select("company_id", "doc_no", "rank")
+
+
+@query("SELECT company_id, doc_no, priority, row_number() OVER (PARTITION BY company_id ORDER BY relevance_score DESC, priority, published_date, doc_no) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY company_id, title ORDER BY priority, published_date, doc_no) AS r FROM (SELECT *, CASE WHEN source IN ('Moneyweb', 'Stears') THEN 1 ELSE 0 END AS priority FROM v_news)) WHERE r = 1")
+def news_ranked(f):
+    """Global and regional news merged, then ranked again by relevance."""
+    regional = F.col("source").isin("Moneyweb", "Stears")
+    rows = I.merge_news([f.news.filter(~regional), f.news.filter(regional)])
+    rank = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("relevance_score"), "priority", "published_date", "doc_no"))
+    return rows.select("company_id", "doc_no", "priority", rank.alias("rank"))
+
+
 @query(r"""SELECT reply_no, company_id, signal_type, headline, severity, confidence FROM (
   SELECT reply_no, company_id, replace(replace(lower(j->0->>'signal_type'), ' ', '_'), '-', '_') AS signal_type, j->0->>'headline' AS headline FROM (
     SELECT reply_no, company_id, trim(regexp_replace(reply, '```json|```', '', 'g'))::JSON AS j FROM v_reply)) JOIN cal USING (company_id, signal_type)""")
@@ -605,12 +751,18 @@ def _clause_docs(f) -> DataFrame:
     return f.filing.select("doc_no", "company_id", "filing_date", F.expr(_CLAUSE_TEXT.replace("''", "\\'")).alias("text"))
 
 
-@query(O.clauses(_CLAUSE_TEXT) + "SELECT doc_no, kind, confidence, rank, start, clause, context FROM ranked")
+@query(O.clauses(_CLAUSE_TEXT) + "SELECT doc_no, kind, confidence, rank, start, clause, context, " + O.clause_details("context") + ", 'filing' AS location FROM ranked")
 def clauses(f):
-    return I.clauses(_clause_docs(f), "text", "doc_no").select("doc_no", "kind", "confidence", "rank", "start", "clause", "context")
+    return I.clauses(_clause_docs(f), "text", "doc_no")
 
 
-@query()
+@query(O.clauses("title || '. ' || snippet", "v_news", "published_date") + "SELECT doc_no, kind, confidence, rank, start, clause, 'news' AS location FROM ranked")
+def news_clauses(f):
+    docs = f.news.select("doc_no", F.concat("title", F.lit(". "), "snippet").alias("text"))
+    return I.clauses(docs, "text", "doc_no", location="news").select("doc_no", "kind", "confidence", "rank", "start", "clause", "location")
+
+
+@query(O.clauses(_CLAUSE_TEXT) + "SELECT doc_no, rank, '[' || array_to_string(list_transform(string_split(kind, '_'), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') || '] ' || clause || CASE WHEN amount <> '' THEN ' (' || amount || ')' ELSE '' END || CASE WHEN \"time\" <> '' THEN ' — ' || \"time\" ELSE '' END AS line FROM (SELECT *, " + O.clause_details("context") + " FROM ranked)")
 def clause_strings(f):
     rows = I.clauses(_clause_docs(f), "text", "doc_no")
     return rows.select("doc_no", "rank", I.clause_strings(rows).alias("line"))
@@ -640,24 +792,39 @@ def _run_stream(f) -> DataFrame:
 
 @query("SELECT company_id, signal_type, doc_no, source_name, " + O.half_up("raw_score", 6) + " AS raw_score FROM hits WHERE src_no = 1")
 def stream_hits(f):
-    return J.run(J.hits(_news_stream(f)), J.shared_folder(f.spark, "hits"))
+    return J.run(J.hits(_news_stream(f)), store.shared_folder(f.spark, "hits"))
+
+
+@query("SELECT company_id, signal_type, doc_no, source_name, " + O.half_up("raw_score", 6) + " AS raw_score FROM hits WHERE src_no = 0")
+def stream_filing_hits(f):
+    from tidemark.sources.projections import VIEWS
+
+    filings = f.spark.sql(VIEWS["v_filing"], orders=J.table_stream(f.spark, f"{f.dir}/orders.parquet"))
+    return J.run(J.filing_hits(filings), store.shared_folder(f.spark, "filing-hits"))
 
 
-@query()
+@query("SELECT DISTINCT company_id, title FROM v_news")
 def stream_dedup(f):
-    return J.run(J.dedup(_news_stream(f)), J.shared_folder(f.spark, "dedup")).select("company_id", "title")
+    """One file is one batch, so no state is dropped in between and each title of a company comes once."""
+    return J.run(J.dedup(_news_stream(f)), store.shared_folder(f.spark, "dedup")).select("company_id", "title")
 
 
-@query()
+@query("""SELECT window_start, window_start + INTERVAL 30 DAY AS window_end, company_id, signal_type, count(DISTINCT source_name)::INT AS sources, """ + O.half_up("max(raw_score)", 6) + """ AS best_score FROM (
+  SELECT h.*, date_trunc('day', n.published_at) - INTERVAL 1 DAY * unnest(range(30)) AS window_start FROM hits h JOIN (SELECT doc_no, published_at FROM v_news) n USING (doc_no) WHERE src_no = 1) GROUP BY ALL""")
 def stream_corroboration(f):
-    return J.newest_corroboration(_news_stream(f), J.shared_folder(f.spark, "corroboration"))
+    return J.newest_corroboration(_news_stream(f), store.shared_folder(f.spark, "corroboration"))
 
 
 @query("SELECT * FROM memory")
 def stream_memory(f):
-    return J.memory(_run_stream(f), f.v("v_run_signal"), J.shared_folder(f.spark, "memory"))
+    return J.memory(_run_stream(f), f.v("v_run_signal"), store.shared_folder(f.spark, "memory"))
 
 
 @query(_ALERT)
 def stream_alerts(f):
-    return J.alerts(_run_stream(f), f.v("v_watch"), J.shared_folder(f.spark, "alerts")).select("company_id", "run_id", "run_date", "by_severity", "by_alpha")
+    return J.alerts(_run_stream(f), f.v("v_watch"), store.shared_folder(f.spark, "alerts")).select("company_id", "run_id", "run_date", "by_severity", "by_alpha")
+
+
+@query("SELECT company_id, count(*) AS checks, count_if(fired) AS alerts, arg_max(severity, (run_date, run_id)) AS last_severity FROM (SELECT r.*, " + O.severity_rank("severity") + " >= " + O.severity_rank("alert_severity") + " OR coalesce(top_alpha <> 0 AND top_alpha >= alert_alpha, false) AS fired FROM v_run r JOIN v_watch USING (company_id)) GROUP BY company_id")
+def stream_watch(f):
+    return J.watch_counters(_run_stream(f), f.v("v_watch"), store.shared_folder(f.spark, "watch"))

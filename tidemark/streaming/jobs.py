@@ -6,9 +6,6 @@ State and output folders are given by the caller and must be shared by the clust
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -16,12 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tidemark.functions import text as X
 from tidemark.operators import detect as D
 from tidemark.operators import history as H
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster shares; a local one only where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from tidemark.sources.store import shared_folder
 
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -91,23 +83,32 @@ def _hit_array():
     return F.transform(found, lambda h: F.struct(h["signal_type"].alias("signal_type"), F.least(h["base_score"] * credibility * F.col("relevance_score"), F.lit(1.0)).alias("raw")))
 
 
+def filing_hits(filings: DataFrame) -> DataFrame:
+    """Rule hits of arriving filings; stateless."""
+    return D.filing_hits(filings).select("company_id", "signal_type", "doc_no", "source_name", X.rounded(F.col("raw_score"), 6).alias("raw_score"))
+
+
 def memory(runs: DataFrame, run_signals: DataFrame, folder: str) -> DataFrame:
-    """Fold arriving runs into the profile table; every batch writes a new version, so a repeated batch gives the same one."""
+    """Profiles of the companies of arriving runs, carried on from batch to batch.
+
+    Each batch writes the profiles that it changed into its own folder, in place of what a failed try of it left; the newest row of a company counts.
+    """
     spark = runs.sparkSession
-    columns = ("rolling", "governance", "credit", "regulatory", "velocity")
+
+    def newest(before: int | None = None) -> DataFrame:
+        rows = spark.read.schema(f"{H.PROFILE}, batch bigint").parquet(f"{folder}/profiles")
+        rows = rows if before is None else rows.filter(F.col("batch") < before)
+        cols = [c for c in rows.columns if c not in ("company_id", "batch")]
+        return rows.groupBy("company_id").agg(F.max_by(F.struct(*cols), "batch").alias("p")).select("company_id", "p.*")
 
     def fold(batch: DataFrame, number: int) -> None:
         own = run_signals.join(batch.select("run_id"), "run_id", "left_semi")
-        before = spark.read.parquet(f"{folder}/profiles/v{number - 1}") if number else None
-        now = H.company_memory(batch, own, before)
-        if before is not None:
-            now = now.unionByName(before.join(now.select("company_id"), "company_id", "left_anti"))
-        now.write.mode("overwrite").parquet(f"{folder}/profiles/v{number}")
+        before = newest(number).join(batch.select("company_id").distinct(), "company_id", "left_semi") if number else None
+        H.company_memory(batch, own, before).write.mode("overwrite").parquet(f"{folder}/profiles/batch={number}")
 
     query = runs.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return spark.read.parquet(f"{folder}/profiles/v{last}").select("company_id", *columns, "risk_delta", "trend", "attention", "runs", "n_signals")
+    return newest()
 
 
 def alerts(runs: DataFrame, watchlist: DataFrame, folder: str) -> DataFrame:
@@ -119,3 +120,16 @@ def alerts(runs: DataFrame, watchlist: DataFrame, folder: str) -> DataFrame:
     query = runs.writeStream.foreachBatch(emit).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return runs.sparkSession.read.parquet(f"{folder}/alerts").drop("batch")
+
+
+def watch_counters(runs: DataFrame, watchlist: DataFrame, folder: str) -> DataFrame:
+    """Checks, alerts and the last severity of each watched company, over all that has arrived.
+
+    Each batch writes its own counts; counts add up and the newest run gives the severity, so a repeated batch changes nothing.
+    """
+    def count(batch: DataFrame, number: int) -> None:
+        H.watch_counters(batch, watchlist).write.mode("overwrite").parquet(f"{folder}/counters/batch={number}")
+
+    query = runs.writeStream.foreachBatch(count).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return H.merged_counters(runs.sparkSession.read.parquet(f"{folder}/counters").drop("batch"))

@@ -37,3 +37,20 @@ def test_quality_stage_removes_shared_lines(spark):
     got = {(r["doc_id"], r["text"], r["n_chars"]) for r in corpus_pipeline.quality_stage(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     expected = {(i if i else None, t := f"{own(i)}\n{own(500 + i)}", len(t)) for i in range(30)}
     assert got == expected | {(40, f"{own(40)}\n{menu}", 7), (None, own(42), 9), (1, own(43), 9)}
+
+
+HELPERS = ("_k", "_id", "_c", "_spans", "_own", "_hits", "_content", "_gone", "_kept", "_out", "_cuts", "_position", "content", "words", "host", "line", "pos", "n", "key", "hit", "fp", "root", "base", "added", "node", "kind", "start", "end", "slot", "mix_source", "rows", "n_words", "kept", "ID", "_ID")
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:4]])
+def test_columns_of_any_name_stay(spark, stage):
+    """Each helper name as a caller's column keeps its values."""
+    from pyspark.sql import functions as F
+
+    text = lambda k: " ".join(f"own{k}x{i}" for i in range(80)) + f" mail a{k}@b.org now"
+    plain = frame(spark, [(k, text(k)) for k in range(6)] + [(None, text(9))])
+    own = plain.withColumns({f"{h}" if h not in ("ID",) else "ID": F.concat(F.lit(h), F.coalesce("doc_id", F.lit(-1)).cast("string")) for h in HELPERS if h != "_ID"})
+    got = stage(spark, own, "")
+    assert got.columns == own.columns
+    rows = got.collect()
+    assert len(rows) == 7 and all(r[h] == f"{h}{-1 if r['doc_id'] is None else r['doc_id']}" for r in rows for h in HELPERS if h != "_ID")

@@ -1,17 +1,18 @@
 """Language of words and documents by a linear-chain conditional random field.
 
-Each word has hashed features: itself (the lexicon), affixes and character n-grams of its bytes. Their weights and learned transitions
+Each word has hashed features: affixes and character n-grams of its bytes, and, in a table of their own, whole words (the lexicon). Their weights and learned transitions
 between languages label the words of a text, which may switch languages, by forward-backward; a document takes the language with
 the largest sum of word posteriors.
 
 Forward-backward is exact on whole texts and still short: a text falls into blocks of ``BLOCK`` words, each block gives its transfer matrix, the
 matrices are combined in order, and then the blocks' posteriors are found side by side. All of it is in numpy over many texts at once.
 
-Training uses a bounded sample: about ``SAMPLE_ROWS`` rows with a language outside the held-out fold, chosen by a hash of doc_id, and ``WINDOWS``
-windows of ``WINDOW`` words spread over each. Windows of different rows are put together, so switches occur and transitions are learned.
+Training uses a bounded sample: about ``SAMPLE_ROWS`` rows with a language outside the held-out fold, chosen by a hash of doc_id, with their whole
+texts in windows of ``WINDOW`` words. Windows of different rows are put together, so switches occur and transitions are learned. The model holds one row
+of weights for each language that the rows name.
 
 Defined results: a text without a letter, empty or null, gets ``und`` and score 0; rows with a null language or doc_id are not learned from; with nothing
-to learn from every text is ``und``; repeated rows get equal results; extra columns are left out.
+to learn from every text is ``und``; repeated rows get equal results; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 1_500
-WINDOWS, WINDOW, JOINED = 5, 32, 3
+SAMPLE_ROWS = 600
+WINDOW, JOINED = 32, 3
 FOLDS, HELD_OUT = 3, 1
 BITS, BLOCK = 17, 64
 #: Words that are labelled together.
@@ -40,7 +41,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_features(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(word, feature) pairs: all 2- to 4-byte runs with word ends marked - those at an end are the affixes - and whole words."""
+    """(word, feature) pairs: all 2- to 4-byte runs with word ends marked - those at an end are the affixes - and, from 2^BITS on, whole words."""
     a = np.frombuffer(b" " + b" ".join(ws) + b" ", np.uint8)
     lens = np.fromiter(map(len, ws), np.int64, len(ws))
     starts = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
@@ -59,7 +60,7 @@ def word_features(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     codes ^= codes >> np.uint64(29)
     whole = np.add.reduceat(codes, starts)
     who.append(np.arange(len(ws)))
-    what.append(whole * _STEP >> np.uint64(64 - BITS))
+    what.append((whole * _STEP >> np.uint64(64 - BITS)) + np.uint64(1 << BITS))
     return np.concatenate(who), np.concatenate(what).astype(np.int64)
 
 
@@ -128,7 +129,7 @@ def posteriors(e: np.ndarray, lens: np.ndarray, trans: np.ndarray, pairs: bool =
 
 
 def train(windows: list[tuple[int, list[bytes]]], n_lang: int, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (2^BITS, languages) and transitions by Adam on the likelihood of the windows, joined JOINED at a time in turn of language."""
+    """Weights (2 x 2^BITS, languages) and transitions by Adam on the likelihood of the windows, joined JOINED at a time in turn of language."""
     random = np.random.default_rng(7)
     by = [[w for k, w in windows if k == lang] for lang in range(n_lang)]
     most = max(map(len, by))
@@ -140,7 +141,7 @@ def train(windows: list[tuple[int, list[bytes]]], n_lang: int, rounds: int = 25)
     gold = np.array([k for s in seqs for k, ws in s for _ in ws])
     ids, vocabulary = pd.factorize(np.array(flat, dtype=object))
     who, what = word_features(list(vocabulary))
-    W, T = np.zeros((1 << BITS, n_lang)), np.zeros((n_lang, n_lang))
+    W, T = np.zeros((2 << BITS, n_lang)), np.zeros((n_lang, n_lang))
     used, what = np.unique(what, return_inverse=True)
     U = np.zeros((len(used), n_lang))
     m, v, mT, vT = np.zeros_like(U), np.zeros_like(U), np.zeros_like(T), np.zeros_like(T)
@@ -173,11 +174,9 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs, parts = [], []
         for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
             ws = words_of(text)
-            for i in range(WINDOWS if len(ws) > WINDOW else 1):
-                at = i * max(0, len(ws) - WINDOW) // max(1, WINDOWS - 1)
-                if part := b" ".join(ws[at : at + WINDOW]):
-                    langs.append(lang)
-                    parts.append(part)
+            for at in range(0, len(ws), WINDOW):
+                langs.append(lang)
+                parts.append(b" ".join(ws[at : at + WINDOW]))
         yield pd.DataFrame({"lang": langs, "part": parts})
 
 

@@ -11,8 +11,11 @@ At whole ``tau`` no block is under way, so each unit of tau is scheduled alone,
 schedule. At most 2 x sources + 1 different units exist; each is scheduled by one fold over its slots in Spark. A row finds its slot by its
 block's unit and place in it. The schedule has at most (2 x sources + 1) x sum(weights) rows, whatever the data's size, so it is broadcast.
 
+Rows of a source are numbered in hashed parts of doc_id and the columns carried, whose number grows with the rows; equal rows are counted first and
+numbered as one run, so no key and no number of equal rows meets in one part.
+
 Defined results: rows of sources without a weight (null too) form the source ``other``; repeated rows each get a position; an empty
-table gives no rows; extra columns are left out.
+table gives no rows; extra columns are left out but by ``in_order``, which keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,33 +25,41 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let
+from tidemark.llm.common import fresh_names, let
 
 OTHER = "other"
 BLOCK_ROWS = 16
 #: Largest sum of the weights, and so the longest schedule of a unit.
 MOST_SLOTS = 1024
-#: Parts of one source that are numbered in parallel.
-PARTS = 256
+#: Rows to a part that is numbered alone, and equal rows that one task writes out.
+PART_ROWS, RUN_ROWS = 50_000, 4_096
 
 
 def numbered(docs: DataFrame, weights: Mapping[str, int], carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, source, mix_source, n: place in the source from 0, and the columns to carry) and the row counts of the sources.
 
-    The order in a source is that of a hash of doc_id; parts are ranges of the hash, so they are numbered side by side and
-    shifted by the counts of the parts before: sources x parts rows, a bound that allows the broadcast.
+    The order in a source is that of a hash of doc_id, then of the row; parts are ranges of the hash, so they are numbered side by side and
+    shifted by the counts of the parts before.
     """
     mix = F.when(F.col("source").isin(*weights), F.col("source")).otherwise(F.lit(OTHER))
-    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000null")), F.lit("mix"))
-    part = F.shiftrightunsigned(draw, 56).cast("int") if PARTS == 256 else F.pmod(draw, F.lit(PARTS))
-    rows = docs.select("doc_id", "source", mix.alias("mix_source"), draw.alias("_draw"), *carry).withColumn("_part", part)
-    counts = rows.groupBy("mix_source", "_part").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy("mix_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select("mix_source", "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("mix_source", "_part").orderBy("_draw", "doc_id", *carry)) - 1
-    rows = rows.withColumn("_place", place).join(F.broadcast(shifts), ["mix_source", "_part"])
+    cols = ["doc_id", "source", *carry]
+    draw = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\u0000null")), F.lit("mix"), *carry)
+    parts = max(1, docs.count() // PART_ROWS)
+    part = F.floor(F.shiftrightunsigned(draw, 32) / F.lit((1 << 32) / parts)).cast("int")
+    rows = docs.groupBy(*cols).agg(F.count("*").alias("_copies")).withColumns({"mix_source": mix, "_draw": draw, "_part": part})
+    counts = rows.groupBy("mix_source", "_part").agg(F.sum("_copies").alias("_rows"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(F.col("mix_source").alias("_mix"), F.col("_part").alias("_own"), F.coalesce(F.sum("_rows").over(before.partitionBy("mix_source").orderBy("_part")), F.lit(0)).alias("_before"))
+    order = F.shiftrightunsigned("_draw", 1)
+    place = F.coalesce(F.sum("_copies").over(before.partitionBy("mix_source", "_part").orderBy(order, "_draw", *cols)), F.lit(0))
+    rows = rows.withColumn("_place", place).join(shifts, (F.col("mix_source") == F.col("_mix")) & (F.col("_part") == F.col("_own")))
+    rows = rows.select(*cols, "mix_source", "_copies", (F.col("_before") + F.col("_place")).alias("n"))
+    one = rows.filter("_copies = 1").drop("_copies")
+    runs = rows.filter("_copies > 1").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(RUN_ROWS).cast("long")))).repartition("doc_id", "mix_source", "_run")
+    last = F.least(F.col("_run") + RUN_ROWS, F.col("_copies")) - 1
+    more = runs.withColumn("_i", F.explode(F.sequence("_run", last))).select(*cols, "mix_source", (F.col("n") + F.col("_i")).alias("n"))
     totals = counts.groupBy("mix_source").agg(F.sum("_rows").alias("rows"))
-    return rows.select("doc_id", "source", *carry, "mix_source", (F.col("_before") + F.col("_place")).alias("n")), totals
+    return one.unionByName(more), totals
 
 
 def _weights(weights: Mapping[str, int], other: int) -> dict[str, int]:
@@ -151,6 +162,7 @@ def in_order(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_
 
     Rows that share a doc_id are placed together at the first of their positions.
     """
-    at = mix(docs, weights, other, block_rows).groupBy("doc_id").agg(F.min("position").alias("_position")).withColumnRenamed("doc_id", "_id")
-    placed = docs.join(at, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return placed.repartitionByRange("_position").sortWithinPartitions("_position").select(*docs.columns)
+    id_, position = fresh_names(docs, "id", "position")
+    at = mix(docs, weights, other, block_rows).groupBy("doc_id").agg(F.min("position").alias(position)).withColumnRenamed("doc_id", id_)
+    placed = docs.join(at, F.col("doc_id").eqNullSafe(F.col(id_)))
+    return placed.repartitionByRange(position).sortWithinPartitions(position).select(*docs.columns)

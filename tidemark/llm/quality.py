@@ -10,10 +10,10 @@ group of exact copies counts once and its lines are no boilerplate for being cop
 
 Scale: no text is shuffled. Lines travel as 64-bit hashes; distinct counts are combined map-side on
 (host, line, document) and then on (host, line), so neither a hot host nor a hot line is gathered anywhere. The frequent lines
-come back by an equi-join on (host, line), whose document side Spark can split.
+come back by ``join_hot`` on a hash of host and line.
 
 Defined results: null texts are empty; a null host is the host ``''``; repeated rows get equal verdicts; an empty table gives
-no rows; extra columns are left out.
+no rows; extra columns are left out by the reports and kept, whatever their names, by ``keep_good`` and ``clean``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, text_of, words
+from tidemark.llm.common import fresh_names, join_hot, let, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -99,9 +99,18 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DO
     )
 
 
+def _hits(docs: DataFrame, host: str, lines: DataFrame) -> DataFrame:
+    """The rows of ``line_rows`` whose line is among ``lines`` of their host."""
+    key = F.xxhash64("host", "line", F.lit("hit")).alias("hit")
+    # a line of d documents has at least d rows; all of a row's lines together are bounded by the documents of the lines
+    side = lines.groupBy(key).agg(F.max("docs").alias("n"), F.lit(True).alias("is_hit"))
+    total = docs.count()
+    return join_hot(line_rows(docs, host).withColumn("hit", key), side, "hit", total, F.struct("content", "pos")).filter("is_hit").drop("hit", "is_hit")
+
+
 def removed_words(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """doc_id, content and the words in its boilerplate lines, for documents that have any."""
-    hit = line_rows(docs, host).join(frequent_lines(docs, host, min_docs, max_share), ["host", "line"])
+    hit = _hits(docs, host, frequent_lines(docs, host, min_docs, max_share))
     once = hit.groupBy("doc_id", "content", "pos").agg(F.max("n").alias("n"))  # repeated rows count once
     return once.groupBy("doc_id", "content").agg(F.sum("n").alias("n_removed"))
 
@@ -125,7 +134,7 @@ def quality(docs: DataFrame, **limits) -> DataFrame:
 
 def strip_lines(docs: DataFrame, lines: DataFrame, host: str = "source") -> DataFrame:
     """doc_id and text without its boilerplate lines, for documents that lose any (``lines`` from ``frequent_lines``)."""
-    hit = line_rows(docs, host).join(lines.select("host", "line"), ["host", "line"]).select("doc_id", "content", "pos").distinct()
+    hit = _hits(docs, host, lines).select("doc_id", "content", "pos").distinct()
     cuts = hit.groupBy("doc_id", "content").agg(F.collect_set("pos").alias("cuts"))  # at most the lines of one document
     own = docs.select("doc_id", "text", F.xxhash64(text_of()).alias("content"))
     both = own.join(cuts.withColumnRenamed("doc_id", "_id").withColumnRenamed("content", "_c"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_c")))
@@ -135,8 +144,9 @@ def strip_lines(docs: DataFrame, lines: DataFrame, host: str = "source") -> Data
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:
     """The documents that ``quality`` keeps, with all columns. Rejected rows (doc_id and text) leave by an anti join, so Spark may broadcast them if they are few."""
-    gone = _verdicts(docs, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("_content").alias("_c")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64(text_of()) == F.col("_c")), "left_anti")
+    id_, content = fresh_names(docs, "gone", "c")
+    gone = _verdicts(docs, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("_content").alias(content)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text_of()) == F.col(content)), "left_anti")
 
 
 def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
@@ -146,13 +156,14 @@ def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_s
     its own host has the line.
     """
     gone = _verdicts(docs, host, min_docs, max_share, min_kept_share).filter(~F.col("kept")).select("doc_id", F.col("_content").alias("content"), F.lit(True).alias("gone"), F.lit(None).cast("struct<host:string,pos:int>").alias("cut"))
-    hit = line_rows(docs, host).join(frequent_lines(docs, host, min_docs, max_share), ["host", "line"])
+    hit = _hits(docs, host, frequent_lines(docs, host, min_docs, max_share))
     cuts = hit.select("doc_id", "content", F.lit(False).alias("gone"), F.struct("host", "pos").alias("cut"))
-    fate = gone.unionByName(cuts).groupBy("doc_id", "content").agg(F.max("gone").alias("_out"), F.collect_set("cut").alias("_cuts"))  # at most the lines of one document
-    fate = fate.withColumnsRenamed({"doc_id": "_id", "content": "_content"})
-    both = docs.join(fate, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text_of()) == F.col("_content")), "left").filter(~F.coalesce("_out", F.lit(False)))
-    at = F.transform(F.filter("_cuts", lambda x: x["host"] == F.coalesce(F.col(host), F.lit(""))), lambda x: x["pos"])
+    id_, content, out, at_ = fresh_names(docs, "id", "content", "out", "cuts")
+    fate = gone.unionByName(cuts).groupBy("doc_id", "content").agg(F.max("gone").alias(out), F.collect_set("cut").alias(at_))  # at most the lines of one document
+    fate = fate.withColumnsRenamed({"doc_id": id_, "content": content})
+    both = docs.join(fate, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text_of()) == F.col(content)), "left").filter(~F.coalesce(out, F.lit(False)))
+    at = F.transform(F.filter(at_, lambda x: x["host"] == F.coalesce(F.col(host), F.lit(""))), lambda x: x["pos"])
     text = let(at, lambda p: F.when(F.size(p) > 0, F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(p, i)), "\n")).otherwise(F.col("text")))
-    changed = F.coalesce(F.size("_cuts") > 0, F.lit(False))
+    changed = F.coalesce(F.size(at_) > 0, F.lit(False))
     both = both.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
     return both.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

@@ -26,7 +26,6 @@ extra columns are left out.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -47,7 +46,7 @@ ARITY = 16
 #: Units kept between batches.
 MOST_UNITS = 150_000
 #: Characters that are turned into ids at once.
-CHARS_AT_ONCE = 200_000
+CHARS_AT_ONCE = 600_000
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 
@@ -115,18 +114,22 @@ class _Edges:
                 break
             h = h[live] * self.STEP + text[at + n - 1] + np.uint64(1)
             key = _mixed(h, n)
+            may = self.starts[self._slot(key)]
+            if n == 1:  # a character that begins no piece is an unknown step; so is one that is no piece
+                starts.append(at[~may])
+            at, h, key = at[may], h[may], key[may]
             if n in self.exact:
                 known, own = self.exact[n]
                 where = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 hit = known[where] == key
-                found, piece = at[hit], own[where[hit]]
                 if n == 1:
-                    found, piece = at, np.where(hit, own[where], self.unknown)
+                    starts[0] = np.concatenate([starts[0], at[~hit]])
+                    sizes.append(np.ones(len(starts[0]), np.int64))
+                    pieces.append(np.full(len(starts[0]), self.unknown))
+                found = at[hit]
                 starts.append(found)
-                pieces.append(piece)
+                pieces.append(own[where[hit]])
                 sizes.append(np.full(len(found), n))
-            may = self.starts[self._slot(key)]
-            at, h = at[may], h[may]
         empty = np.empty(0, np.int64)
         return np.concatenate([*starts, empty]), np.concatenate([*sizes, empty]), np.concatenate([*pieces, empty])
 
@@ -280,7 +283,7 @@ class Pieces:
         start, size, piece = e.find(text, np.repeat(lens, lens) - offset)
         end = start + size  # ends and starts count within ``text``; a unit's own first place stands for "before it"
         depth = offset[start] + size
-        order = np.lexsort((-size, end, depth))
+        order = np.argsort((depth * (len(text) + 1) + end) * (e.longest + 1) - size)  # by depth, then end, then longest first
         start, end, piece, depth = start[order], end[order], piece[order], depth[order]
         weight = np.full(len(text) + 1, -np.inf)  # by the last character's place
         last, back = np.full(len(text) + 1, -1), np.zeros(len(text) + 1, np.int64)
@@ -326,12 +329,30 @@ class Pieces:
             out[u] = np.array(self.to_ids(own), np.int32).tobytes()
         return out
 
+    def _split(self, text: str) -> list[str]:
+        """The independent units of a text."""
+        if not self.breaks:
+            return [text] if text else []
+        if not self.line_breaks or SPACE * 2 in text:
+            return (_UNIT_LINE if self.line_breaks else _UNIT).findall(text)
+        out: list[str] = []
+        for n, line in enumerate(text.split("\n")):
+            if n:
+                out.append("\n")
+            if line == SPACE:
+                out.append(SPACE)
+            elif line:
+                first, *rest = line.split(SPACE)  # as the pattern does where no two spaces meet
+                if first:
+                    out.append(first)
+                out += [SPACE + w for w in rest]
+        return out
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts that begin and end at borders (spaces already replaced)."""
-        split = (_UNIT_LINE if self.line_breaks else _UNIT).findall if self.breaks else (lambda t: [t] if t else [])
-        parts = [split(t) for t in texts]
+        parts = list(map(self._split, texts))
         need = set(chain.from_iterable(parts))
-        new = sorted(need - self.units.keys())
+        new = list(need - self.units.keys())
         if len(self.units) + len(new) > MOST_UNITS:
             self.units = {u: self.units[u] for u in need if u in self.units}
         self.units.update(zip(new, self.scan(new), strict=True))
@@ -536,7 +557,7 @@ def _ids_column(arrays: list[np.ndarray]) -> pa.Array:
 
 def _traced(sent, check: bool = False):
     """ids of chunks with the columns t, lo, hi, enter, leave in place of these; the others stay. ``check`` is for whole texts: it adds whether the
-    decoded ids have the hash text_sha256."""
+    ids give the text back."""
     own = ("t", "lo", "hi", "enter", "leave")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -550,10 +571,10 @@ def _traced(sent, check: bool = False):
                 part = b.slice(at, to - at)
                 at = to
                 t, lo, hi, enter, leave = (part.column(c).to_pylist() for c in own)
-                ids = v.between([(x, a, z, (i["end"], i["piece"]), (j["end"], j["piece"])) for x, a, z, i, j in zip(t, lo, hi, enter, leave, strict=True)])
+                ids = v.between([(x.replace(" ", SPACE), a, z, (i["end"], i["piece"]), (j["end"], j["piece"])) for x, a, z, i, j in zip(t, lo, hi, enter, leave, strict=True)])
                 out, names = [*[part.column(c) for c in keep], _ids_column(ids)], [*keep, "ids"]
                 if check:
-                    same = [hashlib.sha256(v.decode(x.tolist()).encode()).hexdigest() == h for x, h in zip(ids, part.column("text_sha256").to_pylist(), strict=True)]
+                    same = [v.decode(i.tolist()) == x[v.dummy_prefix and x != "" :] for i, x in zip(ids, t, strict=True)]
                     out, names = [*out, pa.array(same, pa.bool_())], [*names, "round_trip"]
                 yield pa.RecordBatch.from_arrays(out, names)
 
@@ -566,7 +587,7 @@ def _states_of(chunks: DataFrame, sent) -> DataFrame:
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = sent.value
         for b in batches:
-            yield pd.DataFrame({"row": b["row"], "part": b["part"], "m": [_rows(p.matrix(t, lo, hi)) for t, lo, hi in zip(b["t"], b["lo"], b["hi"], strict=True)]})
+            yield pd.DataFrame({"row": b["row"], "part": b["part"], "m": [_rows(p.matrix(t.replace(" ", SPACE), lo, hi)) for t, lo, hi in zip(b["t"], b["lo"], b["hi"], strict=True)]})
 
     def up(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("part")
@@ -599,34 +620,34 @@ def _states_of(chunks: DataFrame, sent) -> DataFrame:
 
 
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, check: bool = False) -> DataFrame:
-    """doc_id, text_sha256 and ids of every document; with ``check`` also round_trip, whether decoding gives the text back."""
+    """doc_id and ids of every document; with ``check`` also round_trip, whether decoding gives the text back."""
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
     v = sent.value
     margin = v.longest
     if chunk <= 2 * margin:
         raise ValueError("chunks must be longer than two of the longest piece")
     text = F.coalesce("text", F.lit(""))
-    ready = F.when(text == "", "").otherwise(F.concat(F.lit(SPACE if v.dummy_prefix else ""), F.translate(text, " ", SPACE)))
-    rows = docs.select("doc_id", F.sha2(text, 256).alias("text_sha256"), ready.alias("t"))
+    ready = F.when(text == "", "").otherwise(F.concat(F.lit(SPACE if v.dummy_prefix else ""), text))
+    rows = docs.select("doc_id", text.alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     edge = F.struct(F.lit(0).alias("end"), F.lit("").alias("piece"))
-    one = rows.filter(F.length("t") <= chunk).select("doc_id", "text_sha256", "t", F.lit(0).alias("lo"), F.length("t").alias("hi"), edge.alias("enter"), edge.alias("leave"))
-    whole = one.mapInArrow(_traced(sent, check), f"doc_id {kind}, text_sha256 string, ids array<int>{', round_trip boolean' if check else ''}")
+    one = rows.filter(F.length("text") < chunk).select("doc_id", ready.alias("t")).select("doc_id", "t", F.lit(0).alias("lo"), F.length("t").alias("hi"), edge.alias("enter"), edge.alias("leave"))
+    whole = one.mapInArrow(_traced(sent, check), f"doc_id {kind}, ids array<int>{', round_trip boolean' if check else ''}")
     # one pass over a long text cuts it; each chunk also has the ends of its neighbours
-    several = rows.filter(F.length("t") > chunk).select("doc_id", "text_sha256", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("t", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("cells"))
+    several = rows.filter(F.length("text") >= chunk).select("doc_id", F.sha2("text", 256).alias("sha"), F.monotonically_increasing_id().alias("row"), F.regexp_extract_all(ready, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("cells"))
     cell = lambda i: F.coalesce(F.get("cells", i), F.lit(""))
     dealt = F.transform("cells", lambda c, i: F.struct(i.alias("part"), F.right(cell(i - 1), F.lit(margin)).alias("left"), c.alias("own"), F.left(cell(i + 1), F.lit(margin)).alias("right")))
-    several = several.select("doc_id", "text_sha256", "row", F.inline(dealt)).select(
-        "doc_id", "text_sha256", "row", "part", F.concat("left", "own", "right").alias("t"), F.length("left").alias("lo"), (F.length("left") + F.length("own")).alias("hi"))
+    several = several.select("doc_id", "sha", "row", F.inline(dealt)).select(
+        "doc_id", "sha", "row", "part", F.concat("left", "own", "right").alias("t"), F.length("left").alias("lo"), (F.length("left") + F.length("own")).alias("hi"))
     chunks = cut(several.repartition("row", "part"))
     if chunks.isEmpty():
         return whole
-    parts = chunks.join(_states_of(chunks, sent), ["row", "part"]).mapInArrow(_traced(sent), f"row long, part int, doc_id {kind}, text_sha256 string, ids array<int>")
-    joined = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_sha256").alias("text_sha256"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
-    joined = joined.select("doc_id", "text_sha256", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
+    parts = chunks.join(_states_of(chunks, sent), ["row", "part"]).mapInArrow(_traced(sent), f"row long, part int, doc_id {kind}, sha string, ids array<int>")
+    joined = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("sha").alias("sha"), F.array_sort(F.collect_list(F.struct("part", "ids"))).alias("parts"))
+    joined = joined.select("doc_id", "sha", F.flatten(F.transform("parts", lambda x: x["ids"])).alias("ids"))
     if check:
-        joined = decode(joined, model, "_back").select("doc_id", "text_sha256", "ids", (F.sha2("_back", 256) == F.col("text_sha256")).alias("round_trip"))
-    return whole.unionByName(joined)
+        joined = decode(joined, model, "_back").withColumn("round_trip", F.sha2("_back", 256) == F.col("sha"))
+    return whole.unionByName(joined.select(*whole.columns))
 
 
 def decode(rows: DataFrame, model: str = MODEL, to: str = "text") -> DataFrame:

@@ -2,16 +2,18 @@
 
 A text's features are the hashed character n-grams (3 to 6 characters, word ends marked) of its distinct lower-case words, counted by
 words. With p and q the smoothed document counts of a feature among toxic and other training rows, its ratio is
-``log((p / |p|) / (q / |q|))``; features of small ratio are dropped, the rest are scaled by it, and a logistic regression with an L2
-penalty gives their weights.
+``log((p / |p|) / (q / |q|))``; features that tell little - an absolute ratio under ``MIN_RATIO``, or under ``LEAST_COUNT`` rows with both
+smoothings - have weight 0, the rest are scaled by their ratio, and a logistic regression with an L2 penalty gives their weights.
 
 Training uses a bounded sample of the labelled rows: about ``SAMPLE_ROWS`` of them, chosen by a hash of doc_id, so a driver that fits weights
 handles the same size for any corpus. The sample's ids and labels (at most that many small rows) are broadcast to find their texts; features
-and counts are made on the executors. Scoring is one pass over the documents in Arrow batches, without a shuffle.
+and counts are made on the executors, from whole texts. A row sends each telling feature once with its count, so at most SAMPLE_ROWS x 2^BITS
+numbers reach the driver, whatever the texts' lengths; rows are put in order there, so the weights do not hang on how they came. Scoring is one pass
+over the documents in Arrow batches, without a shuffle.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; ids with several labels count as toxic if
 one says so; null labels and null doc_ids are not learned from; with no labelled rows of both classes every score is 0; repeated rows get equal
-results; extra columns are left out.
+results; an empty table gives no rows; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 12_000
 BITS = 20
 LENGTHS = (3, 4, 5, 6)
-MIN_RATIO = 1.5
+MIN_RATIO, LEAST_COUNT = 1.5, 5
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Byte classes: letters and bytes of other scripts stay, digits become 0, all else parts words.
@@ -84,17 +86,17 @@ def log_ratios(train: DataFrame, n_toxic: int, n_other: int) -> np.ndarray:
     p[counts["f"]] += counts["toxic"]
     q[counts["f"]] += counts["other"]
     r = np.log(p / (n_toxic + 2)) - np.log(q / (n_other + 2))
-    r[(np.abs(r) < MIN_RATIO) | (p + q < 5)] = 0
+    r[(np.abs(r) < MIN_RATIO) | (p + q < LEAST_COUNT)] = 0
     return r
 
 
-def fit_weights(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, rounds: int = 80, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights (ratio included) and bias of the logistic regression, by Adam on all sampled rows."""
+def fit_weights(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray, r: np.ndarray, rounds: int = 80, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Weights (ratio included) and bias of the logistic regression, by Adam on all sampled rows (features of a row, and how often it has each)."""
     at = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)
     row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
     used, at = np.unique(at, return_inverse=True)
     ratio = r[used]
-    scale = ratio[at]
+    scale = ratio[at] * np.concatenate([*counts, np.empty(0, np.int64)])
     w, b = np.zeros(len(used)), float(np.log(y.mean() / (1 - y.mean())))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, rounds + 1):
@@ -123,11 +125,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np
 
     def selected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            own = (features(t) for t in pdf["text"])
-            yield pd.DataFrame({"label": pdf["label"], "f": [x[sent.value[x]].astype(np.int32) for x in own]})
+            own = [np.unique(x[sent.value[x]], return_counts=True) for x in map(features, pdf["text"])]
+            yield pd.DataFrame({"label": pdf["label"], "f": [f.astype(np.int32) for f, _ in own], "n": [n.astype(np.int32) for _, n in own]})
 
-    got = train.mapInPandas(selected, "label int, f array<int>").toPandas()
-    return fit_weights([np.asarray(x, np.int64) for x in got["f"]], got["label"].to_numpy(float), ratios)
+    got = train.mapInPandas(selected, "label int, f array<int>, n array<int>").toPandas()
+    order = sorted(range(len(got)), key=lambda i: (int(got["label"].iloc[i]), np.asarray(got["f"].iloc[i], np.int32).tobytes(), np.asarray(got["n"].iloc[i], np.int32).tobytes()))
+    got = got.iloc[order]
+    return fit_weights([np.asarray(x, np.int64) for x in got["f"]], [np.asarray(x, np.int64) for x in got["n"]], got["label"].to_numpy(float), ratios)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float] | None, threshold: float = THRESHOLD) -> DataFrame:

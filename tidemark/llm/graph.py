@@ -1,7 +1,9 @@
 """Connected components of an undirected edge table by alternating large-star and small-star steps.
 
-Each step is an aggregation (least neighbour, combined map-side) and an equi-join, so no neighbourhood is ever gathered; the edges of a node that
-has very many are dealt over many tasks. Every round is cut by a reliable checkpoint. The number of rounds grows with the logarithm of the longest path.
+Each step is an aggregation (least neighbour, combined map-side) and an equi-join, so no neighbourhood is ever gathered. Only nodes that a step
+moves are joined: a node that is the least of its neighbours keeps its edges as they are, and one with a single smaller neighbour has nothing to pass
+on. So the roots of large components, whose edges are many, are no keys of the joins' small sides, which Spark then sends to the edges
+instead of dealing these by key. Every round is cut by a reliable checkpoint. The number of rounds grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -9,19 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import HOT_ROWS, cut, join_hot
+from tidemark.llm.common import cut
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Edges u > v: each larger neighbour of a node goes to the node's least neighbour."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-    return join_hot(both, least, "u", 2 * n, F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = both.groupBy("u").agg(F.min("v").alias("m")).filter("m < u").select(F.col("u").alias("_v"), "m")
+    return edges.join(moved, F.col("v") == F.col("_v"), "left").select("u", F.coalesce("m", "v").alias("v"))
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    moved = join_hot(down, least, "u", n, F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Edges u > v: each smaller neighbour of a node, and the node, go to its least neighbour."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+    several = least.filter("m < most").select(F.col("u").alias("_u"), "m")
+    moved = edges.join(several, F.col("u") == F.col("_u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
@@ -34,5 +38,4 @@ def components(edges: DataFrame) -> DataFrame:
         if print_ == seen or print_[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = print_
-        large = _large_star(now, seen[0]).distinct()  # no more edges than before
-        now = cut(_small_star(large if seen[0] < HOT_ROWS else cut(large), seen[0]).filter("u <> v").distinct())
+        now = cut(_small_star(_large_star(now).distinct()).filter("u <> v").distinct())

@@ -10,7 +10,7 @@ halves (20 to 22 bits) and the Golay key (12 bits) of a third segment agrees. So
 
 The fingerprints of a key are first compared with one of them, its hub. The verified links give components; then those of a key that lie in
 different components are compared, so each pair of a key is either compared or linked already, and a family of near copies makes about as many
-links as it has members, not all pairs. The components are those of all links.
+links as it has members, not all pairs. The second links join components, which gives the result.
 
 Scale: only distinct fingerprints are keyed (copies were merged by a map-side combined aggregation), about 96 keys each; a third part of
 one fingerprint costs one row. Links then give connected components by star contraction with checkpoints. Hot fingerprints, keys and components
@@ -141,7 +141,7 @@ def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Pairs u, v of distinct fingerprints (column fp, no repeats) within MOST_BITS bits; with them all such fingerprints are connected."""
+    """Edges u, v that connect just those distinct fingerprints (column fp, no repeats) that chains of pairs within MOST_BITS bits connect."""
     parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = fps.select("fp").repartition(parts, "fp")  # else few fingerprints would be keyed by one task
     keys = spread.mapInArrow(_emit, "key long, fp long")
@@ -152,13 +152,13 @@ def links(fps: DataFrame) -> DataFrame:
     held = keys.join(if_small(shared, size["keys"]), "key") if size["keys"] <= BROADCAST_ROWS else join_hot(keys, shared, "key", size["rows"], F.col("fp")).filter("hub is not null")
     bucket = cut(held.select("key", "fp", "hub"))
     star = cut(bucket.filter((F.col("fp") != F.col("hub")) & near("fp", "hub")).select(F.col("hub").alias("u"), F.col("fp").alias("v")).distinct())
-    roots = components(star).withColumnRenamed("node", "_node")
-    known = bucket.join(roots, F.col("fp") == F.col("_node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("part"))
+    roots = components(star)
+    known = bucket.join(roots.withColumnRenamed("node", "_node"), F.col("fp") == F.col("_node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("part"))
     mixed = known.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("key")
     left = cut(known.join(mixed, "key"))
     a, b = left.select("key", F.col("fp").alias("u"), F.col("part").alias("pu")), left.select("key", F.col("fp").alias("v"), F.col("part").alias("pv"))
-    rest = a.join(b, "key").filter((F.col("pu") < F.col("pv")) & near("u", "v")).select("u", "v").distinct()
-    return star.unionByName(cut(rest))
+    rest = a.join(b, "key").filter((F.col("pu") < F.col("pv")) & near("u", "v"))
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(cut(rest.select(F.col("pu").alias("u"), F.col("pv").alias("v")).distinct()))
 
 
 def _rooted(fps: DataFrame) -> DataFrame:

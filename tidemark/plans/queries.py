@@ -477,7 +477,7 @@ UNION ALL SELECT 'market_outcomes', count(*), count(DISTINCT signal_type) FROM o
 def warehouse_write(f):
     """All tables of a run, stored twice under one run id and beside an older run; counted as read back."""
     folder, out = store.shared_folder(f.spark, "warehouse"), None
-    tables = _run_tables(f)
+    tables = {name: store.cut(df) for name, df in _run_tables(f).items()}
     store.store_run({"filings": tables["filings"], "news_items": tables["news_items"]}, folder, "run-0")
     for _ in range(2):
         store.store_run(tables, folder, "run-1")
@@ -498,6 +498,7 @@ def state_tables(f):
         "alerts": H.alerts(f.v("v_run"), f.v("v_watch")), "audit": f.chain,
     }
     for name, df in rows.items():
+        df = store.cut(df)
         half = F.pmod(F.xxhash64(*df.columns), F.lit(2))
         for run, part in (("run-1", 0), ("run-2", 1), ("run-2", 1)):
             store.save_state(name, df.filter(half == part), folder, run)

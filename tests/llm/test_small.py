@@ -173,6 +173,70 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r["score"] for r in toxicity.classify(d, labels.limit(0)).collect()} == {0.0}
 
 
+def plain_ngrams(text):
+    """Hashes of the 3- to 6-grams of each distinct word with its ends marked, by the definition."""
+    mask, out = (1 << 64) - 1, []
+    for w in set(bytes(c if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else 32 for c in (text or "").lower().encode()).decode().split(" ")) - {""}:
+        line = f" {w} "
+        for n in toxicity.LENGTHS:
+            for i in range(len(line) - n + 1):
+                h = 0
+                for c in line[i : i + n]:
+                    h = (h * 0x100000001B3 + ord(c)) & mask
+                out.append((((h * 0x9E3779B97F4A7C15 + n) & mask) * 0x9E3779B97F4A7C15 & mask) >> (64 - toxicity.BITS))
+    return sorted(out)
+
+
+def test_toxicity_against_brute_force(spark):
+    pick = random.Random(31)
+    texts = [None, "", "a", "Ab 12-x é!"] + [" ".join("".join(pick.choice("abé1") for _ in range(pick.randint(1, 9))) for _ in range(pick.randint(0, 12))) for _ in range(76)]
+    assert all(sorted(toxicity.features(t).tolist()) == plain_ngrams(t) for t in texts)
+    y = np.array([i % 3 == 0 for i in range(len(texts))], float)
+    train = spark.createDataFrame([(int(k), t) for k, t in zip(y, texts, strict=True)], "label int, text string")
+    ratios = toxicity.log_ratios(train, int(y.sum()), int((1 - y).sum()))
+    sets = [set(plain_ngrams(t)) for t in texts]
+    for f in set().union(*sets):
+        p, q = (1 + sum(f in s for s, k in zip(sets, y, strict=True) if k == v) for v in (1, 0))
+        r = np.log(p / (y.sum() + 2)) - np.log(q / ((1 - y).sum() + 2))
+        assert ratios[f] == pytest.approx(0 if abs(r) < toxicity.MIN_RATIO or p + q < toxicity.LEAST_COUNT else r)
+    # the fit, with all features of all rows in one dense matrix
+    own = [collections.Counter(f for f in plain_ngrams(t) if ratios[f]) for t in texts]
+    cols = sorted(set().union(*own))
+    x = np.array([[c[f] * ratios[f] for f in cols] for c in own])
+    w, b, m, v, mb, vb = np.zeros(len(cols)), np.log(y.mean() / (1 - y.mean())), 0, 0, 0, 0
+    for t in range(1, 81):
+        err = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y) / len(y)
+        g, gb = x.T @ err + 1e-3 / len(y) * w, err.sum()
+        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        w = w - 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        b -= 0.03 * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-8)
+    rows = [np.array(sorted(c), np.int64) for c in own]
+    full, bias = toxicity.fit_weights(rows, [np.array([c[f] for f in sorted(c)], np.int64) for c in own], y, ratios)
+    assert len(cols) > 5 and np.allclose(full[cols], w * ratios[cols], atol=1e-4) and bias == pytest.approx(b)
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in toxicity.score(d, (full, bias)).collect():
+        z = bias + sum(float(full[f]) for f in plain_ngrams(texts[r["doc_id"]]))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30)))) and r["predicted"] == int(r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_word_features_against_brute_force():
+    mask, step, bits = (1 << 64) - 1, 0x9E3779B97F4A7C15, 64 - langid.BITS
+    words = [b"a", b"ab", "é".encode(), b"word", b"longerword"]
+    who, what = langid.word_features(words)
+    for k, w in enumerate(words):
+        line, grams = b" " + w + b" ", []
+        for n in (2, 3, 4):
+            for i in range(len(line) - n + 1):
+                h = 0
+                for c in line[i : i + n]:
+                    h = (h * 263 + c) & mask
+                grams.append((((h * step + n) & mask) * step & mask) >> bits)
+        own = what[who == k].tolist()
+        assert sorted(f for f in own if f < 1 << langid.BITS) == sorted(grams)
+        assert len([f for f in own if f >= 1 << langid.BITS]) == 1  # the word itself, in the lexicon
+    assert len({f for f in what.tolist() if f >= 1 << langid.BITS}) == len(words)
+
+
 def brute_posteriors(e, trans):
     n, k = e.shape
     paths = list(itertools.product(range(k), repeat=n))

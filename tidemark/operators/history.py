@@ -152,9 +152,12 @@ def company_memory(runs: DataFrame, run_signals: DataFrame, profiles: DataFrame
     steps = heads.select("company_id", step(F.lit(0.0), F.lit(""), F.lit("run"), run_level, F.col("top_alpha"), F.col("n_signals")).alias("s"))
     steps = steps.unionByName(run_signals.select("company_id", step(1000.0 - F.coalesce("alpha", F.lit(0.0)), F.col("signal_type"), dims[F.col("signal_type")], _risk(F.col("severity")), none, F.lit(0)).alias("s")))
     is_ = lambda kind: F.count_if(F.col("s.key") == kind)
+    # a company's steps are its runs and its signals; if they are few for all, they are listed with the counts in one aggregation
+    most = runs.select("company_id").unionByName(run_signals.select("company_id")).groupBy("company_id").count().agg(F.max("count")).first()[0] or 0
+    listed = [F.array_sort(F.collect_list("s")).alias("steps")] if most <= tail else []
     left = steps.groupBy("company_id").agg(
         F.count("*").alias("_steps"), F.coalesce(F.max("s.n"), F.lit(0.0)).alias("_most"), F.count_if(F.col("s.dim") == "run").alias("runs"), F.count_if(F.col("s.key") != "").alias("n_signals"),
-        is_("leadership_change").alias("leadership_changes"), is_("debt_restructuring").alias("debt_restructures"), is_("regulatory_action").alias("regulatory_actions"))
+        is_("leadership_change").alias("leadership_changes"), is_("debt_restructuring").alias("debt_restructures"), is_("regulatory_action").alias("regulatory_actions"), *listed)
     state = (*_DIMS, "velocity")
     if profiles is None:
         left = left.withColumns({f"_{c}": F.lit(0.0) for c in state})
@@ -179,7 +182,9 @@ def company_memory(runs: DataFrame, run_signals: DataFrame, profiles: DataFrame
     zero = dict.fromkeys(state, F.lit(0.0))
     back = F.row_number().over(Window.partitionBy("company_id").orderBy(F.desc("s")))
     done: DataFrame | None = None
-    while True:
+    if listed:
+        done = left.withColumn("p", folded({c: F.col(f"_{c}") for c in state})).drop("steps")
+    while not listed:
         some = steps.join(left.select("company_id"), "company_id", "left_semi") if done is not None else steps
         some = some.withColumn("_back", back).filter(F.col("_back") <= tail)
         ends = some.groupBy("company_id").agg(F.array_sort(F.collect_list("s")).alias("steps")).join(left, "company_id")
@@ -188,11 +193,6 @@ def company_memory(runs: DataFrame, run_signals: DataFrame, profiles: DataFrame
         ends = ends.withColumn("hi", F.when(~whole, folded(dict.fromkeys(_DIMS, F.lit(100.0)) | {"velocity": F.greatest("_most", "_velocity")})))
         known = whole | (F.exists("steps", lambda s: s["dim"] == "run") & (F.col("lo") == F.col("hi")))
         ends = ends.withColumn("p", F.when(known, F.col("lo"))).drop("steps", "lo", "hi")
-        if done is None:
-            most = left.agg(F.max("_steps")).first()[0] or 0
-            if most <= tail:  # all companies are folded whole
-                done = ends
-                break
         ends = cut(ends)
         sure = ends.filter("p is not null")
         done = sure if done is None else done.unionByName(sure)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import langid, mixing, pii, quality, sentencepiece, sharding, simhash, toxicity, urls, winnow
+from tidemark.llm import alignment, langid, mixing, packing, pii, quality, sentencepiece, sharding, simhash, spelling, toxicity, urls, winnow
 from tidemark.llm.common import table
 
 #: Target weights of the documents' sources; any other source shares the weight of ``other``.
@@ -53,8 +54,23 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(spelling.count_words(table(spark, sf_dir, "documents"), least_length=5, least_count=3, damage=97))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = {"a_file": public_tokenizers.path("byte_bpe_50k.json"), "b_file": public_tokenizers.path("piece_bpe_32k.model")}
+    return alignment.align(table(spark, sf_dir, "documents"), **files)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    limits = packing.Limits(tokens=1_024, segments=256, loss=1_024)
+    return packing.report(packing.pack(table(spark, sf_dir, "documents"), limits=limits, tokenizer=public_tokenizers.path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii, "op2_toxicity": op2_toxicity, "op3_urls": op3_urls, "op4_sentencepiece": op4_sentencepiece, "op5_simhash": op5_simhash, "op6_quality": op6_quality, "op7_winnow": op7_winnow, "op8_shard": op8_shard, "op9_mix": op9_mix, "op10_langid": op10_langid,
+    "op11_spelling": op11_spelling, "op12_alignment": op12_alignment, "op13_packing": op13_packing,
 }
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for v, h, p in urls.RULES)

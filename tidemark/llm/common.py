@@ -93,7 +93,7 @@ def if_small(df: DataFrame, rows: int) -> DataFrame:
 def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int, spread: Column) -> DataFrame:
     """``rows`` with the columns of ``side``, null where it lacks the key; no key's rows meet in one task.
 
-    ``side`` has one row for each key with ``n``, the number of its rows, which add up to ``total`` at most. Keys with a share of 1 / MOST_HOT or
+    ``side`` has one row for each key with ``n``, the number of its rows, which must add up to ``total`` at most. Keys with a share of 1 / MOST_HOT or
     more - so at most MOST_HOT of them - come by a broadcast; their rows then go through the join of the others dealt by ``spread``.
     """
     more = [c for c in side.columns if c not in (key, "n")]
@@ -112,5 +112,10 @@ def join_hot(rows: DataFrame, side: DataFrame, key: str, total: int, spread: Col
     return found.select(*rows.columns, *[own[c].alias(c) for c in more])
 
 
+def drawn(draw: Column, rows: int, of: int) -> Column:
+    """Whether a 64-bit hash is among the least ``rows`` of ``of`` evenly spread ones; all where there are no more. Exact to 62 bits, so no share is lost at any size."""
+    return F.shiftrightunsigned(draw, 2) < min(1 << 62, (rows << 62) // max(1, of))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,8 +7,8 @@ the largest sum of word posteriors.
 Forward-backward is exact on whole texts and still short: a text falls into blocks of ``BLOCK`` words, each block gives its transfer matrix, the
 matrices are combined in order, and then the blocks' posteriors are found side by side. All of it is in numpy over many texts at once.
 
-Training uses a bounded sample: about ``SAMPLE_ROWS`` rows with a language outside the held-out fold, chosen by a hash of doc_id, with their whole
-texts in windows of ``WINDOW`` words. Windows of different rows are put together, so switches occur and transitions are learned. The model holds one row
+Training uses a bounded sample: about ``SAMPLE_ROWS`` rows with a language outside the held-out fold (never over twice that and 1,000), chosen by a hash of doc_id and text, with
+``MOST_WINDOWS`` windows of ``WINDOW`` words at most, which lie all over a longer text. Windows of different rows are put together, so switches occur and transitions are learned. The model holds one row
 of weights for each language that the rows name.
 
 Defined results: a text without a letter, empty or null, gets ``und`` and score 0; rows with a null language or doc_id are not learned from; with nothing
@@ -25,8 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import drawn
+
 SAMPLE_ROWS = 600
 WINDOW, JOINED = 32, 3
+#: Windows of one text that are learned from.
+MOST_WINDOWS = 512
 FOLDS, HELD_OUT = 3, 1
 BITS, BLOCK = 17, 64
 #: Words that are labelled together.
@@ -174,7 +178,8 @@ def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs, parts = [], []
         for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
             ws = words_of(text)
-            for at in range(0, len(ws), WINDOW):
+            step = WINDOW * max(1, -(-len(ws) // (WINDOW * MOST_WINDOWS)))  # of a very long text, windows all over it
+            for at in range(0, len(ws), step):
                 langs.append(lang)
                 parts.append(b" ".join(ws[at : at + WINDOW]))
         yield pd.DataFrame({"lang": langs, "part": parts})
@@ -188,9 +193,13 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not sizes:
         return None
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1_000_000))
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, rows / len(sizes) / n)))) for lang, n in sizes.items()])
-    got = known.filter(draw < share).select("lang", "text").mapInPandas(_windows, "lang string, part binary").toPandas()
+    # drawn by id and text, so a repeated id gives no more rows than others; equal rows count once
+    content = F.xxhash64(F.coalesce("text", F.lit("")))
+    draw = F.xxhash64(F.col("doc_id").cast("string"), content, F.lit("lang"))
+    each = -(-rows // len(sizes))
+    taken = F.coalesce(*[F.when(F.col("lang") == lang, drawn(draw, each, n)) for lang, n in sizes.items()])
+    few = known.filter(taken).withColumns({"_content": content, "_draw": draw}).dropDuplicates(["doc_id", "lang", "_content"])
+    got = few.orderBy("_draw").limit(2 * rows + 1_000).select("lang", "text").mapInPandas(_windows, "lang string, part binary").toPandas()
     langs = sorted(got["lang"].unique())
     if not langs:
         return None

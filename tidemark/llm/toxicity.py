@@ -8,7 +8,7 @@ smoothings - have weight 0, the rest are scaled by their ratio, and a logistic r
 Training uses a bounded sample of the labelled rows: about ``SAMPLE_ROWS`` of them, chosen by a hash of doc_id, so a driver that fits weights
 handles the same size for any corpus. The sample's ids and labels (at most that many small rows) are broadcast to find their texts; features
 and counts are made on the executors, from whole texts. A row sends each telling feature once with its count, so at most SAMPLE_ROWS x 2^BITS
-numbers reach the driver, whatever the texts' lengths; rows are put in order there, so the weights do not hang on how they came. Scoring is one pass
+numbers reach the driver (a few different texts of an id at most, TEXTS_OF_ID, and each text once), whatever the texts' lengths; rows are put in order there, so the weights do not hang on how they came. Scoring is one pass
 over the documents in Arrow batches, without a shuffle.
 
 Defined results: null and empty texts have no features and get the score of the bias alone; ids with several labels count as toxic if
@@ -22,10 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut, drawn
+
 SAMPLE_ROWS = 12_000
+#: Different texts of one id that are learned from.
+TEXTS_OF_ID = 4
 BITS = 20
 LENGTHS = (3, 4, 5, 6)
 MIN_RATIO, LEAST_COUNT = 1.5, 5
@@ -65,8 +69,7 @@ def sample(labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id and label (0 or 1) of about ``rows`` labelled rows outside the held-out fold."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     one = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
-    share = min(1.0, rows / max(1, one.count()))
-    return one.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1_000_000)) < int(share * 1_000_000))
+    return one.filter(drawn(F.xxhash64("doc_id", F.lit("toxic")), rows, one.count()))
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,8 +118,12 @@ def fit_weights(rows: list[np.ndarray], counts: list[np.ndarray], y: np.ndarray,
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float] | None:
     """Weights and bias learned from a bounded sample; None without rows of both classes."""
-    chosen = sample(labels, rows)
-    train = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    # about that many ids; 20 standard deviations above are never reached, and would be cut off
+    chosen = sample(labels, rows).orderBy(F.xxhash64("doc_id", F.lit("toxic"))).limit(rows + 20 * int(rows**0.5) + 20)
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("_content", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # an id may have any number of rows: its first few different texts are learned from, so the sample keeps its bound
+    nth = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("_content"))
+    train = cut(own.dropDuplicates(["doc_id", "_content"]).withColumn("_nth", nth).filter(F.col("_nth") <= TEXTS_OF_ID).select("label", "text"))
     size = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if not size.get(0) or not size.get(1):
         return None

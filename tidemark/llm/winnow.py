@@ -13,14 +13,18 @@ rows each, and the first row of each range is also given to the range before it,
 levels, at most 256 coarse ones and as many in each as the data needs; their bounds are quantiles, kept in tables. Texts are shuffled once.
 
 Defined results: null texts are empty and have an empty fingerprint; the likeness of two empty fingerprints is 1; a doc_id of any type is ordered as a
-number where it is one, else as text; rows that share a doc_id are ordered by text; null ids come last; an empty table gives no rows; extra columns
+number where it is one, else as text; rows that share a doc_id are ordered by a hash of their text; null ids come last; an empty table gives no rows; extra columns
 are left out.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+from os.path import commonprefix
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tidemark.llm.common import cut, if_small, let, words
 
@@ -100,12 +104,12 @@ def _ranges(keys: DataFrame, ranges: int) -> tuple[list[int], DataFrame] | None:
     if ranges <= 1:
         return None
     coarse = min(COARSE, ranges)
-    at = keys.agg(F.percentile_approx("_key", [i / coarse for i in range(1, coarse)], 8 * coarse).alias("q")).first()["q"] if coarse > 1 else []
+    at = keys.agg(F.percentile_approx("_at", [i / coarse for i in range(1, coarse)], 8 * coarse).alias("q")).first()["q"] if coarse > 1 else []
     edges = sorted(set(at))  # at most 255 numbers
     fine = -(-ranges // coarse)
-    steps = F.array(*[F.lit(x) for x in edges]).cast("array<bigint>")
-    own = keys.select("_key", F.size(F.filter(steps, lambda b: b <= F.col("_key"))).alias("_coarse"))
-    q = F.array_sort(F.array_distinct(F.percentile_approx("_key", [i / fine for i in range(1, fine)], 8 * fine))) if fine > 1 else F.array().cast("array<bigint>")
+    steps = F.array(*[F.lit(x) for x in edges]).cast("array<double>")
+    own = keys.select("_at", F.size(F.filter(steps, lambda b: b <= F.col("_at"))).alias("_coarse"))
+    q = F.array_sort(F.array_distinct(F.percentile_approx("_at", [i / fine for i in range(1, fine)], 8 * fine))) if fine > 1 else F.array().cast("array<double>")
     found = own.groupBy("_coarse").agg(q.alias("_bounds"))
     return edges, cut(found.withColumn("_heads", F.filter("_bounds", lambda b, i: i % 64 == 63)))
 
@@ -118,28 +122,37 @@ def with_next(docs: DataFrame, derived: dict[str, Column] | None = None) -> Data
     derived = derived or {}
     low = F.lit(-(1 << 63))
     number = F.col("doc_id").try_cast("long")
-    # texts that are no number keep their order by their first seven bytes, above all numbers
-    word = F.conv(F.rpad(F.hex(F.substring(F.col("doc_id").cast("string"), 1, 7)), 14, "0"), 16, 10).try_cast("long")
+    name = F.col("doc_id").cast("string")
+    facts = docs.agg(F.count("*").alias("n"), F.min(number).alias("low"), F.min(F.when(number.isNull(), name)).alias("least"), F.max(F.when(number.isNull(), name)).alias("most")).first()
+    n = facts["n"]
+    # texts that are no number keep their order by the seven bytes behind what all of them begin with, above all numbers
+    same = len(commonprefix([(facts["least"] or "").encode(), (facts["most"] or "").encode()]))
+    word = F.conv(F.rpad(F.hex(F.substring(F.encode(name, "utf-8"), same + 1, 7)), 14, "0"), 16, 10).try_cast("long")
     key = F.coalesce(number, F.when(F.col("doc_id").isNotNull(), word + F.lit(1 << 62)), low)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_key"))
-    n = docs.count()
-    ranges = _ranges(rows.select("_key"), n // RANGE_ROWS)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), key.alias("_key"), F.coalesce(name, F.lit("")).alias("_name"))
+    rows = rows.withColumn("_content", F.shiftrightunsigned(F.xxhash64("text"), 24))
+    # where a key is an id, rows of one id are dealt by a hash of their text too; a double keeps the order, and what it makes equal stays together
+    at = F.col("_key").cast("double")
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        at = ((F.col("_key").cast("decimal(20,0)") - F.lit(Decimal(facts["low"] or 0))).cast("decimal(21,0)") * F.lit(Decimal(1 << 40)) + F.col("_content")).cast("double")
+        at = F.when(F.col("doc_id").isNull(), F.col("_content") - F.lit(float(1 << 41))).otherwise(at)
+    rows = rows.withColumn("_at", at)
+    ranges = _ranges(rows.select("_at"), n // RANGE_ROWS)
     if ranges is None:
         rows = rows.withColumns({"_coarse": F.lit(0), "_fine": F.lit(0)})
     else:
         edges, bounds = ranges
-        steps = F.array(*[F.lit(x) for x in edges]).cast("array<bigint>")
-        rows = rows.withColumn("_coarse", F.size(F.filter(steps, lambda b: b <= F.col("_key"))))
+        steps = F.array(*[F.lit(x) for x in edges]).cast("array<double>")
+        rows = rows.withColumn("_coarse", F.size(F.filter(steps, lambda b: b <= F.col("_at"))))
         rows = rows.join(F.broadcast(bounds), "_coarse")  # at most 256 rows, 8 bytes for RANGE_ROWS documents
-        block = F.size(F.filter("_heads", lambda b: b <= F.col("_key")))
-        fine = let(block, lambda c: c * 64 + F.size(F.filter(F.slice("_bounds", c * 64 + 1, F.lit(64)), lambda b: b <= F.col("_key"))))
+        block = F.size(F.filter("_heads", lambda b: b <= F.col("_at")))
+        fine = let(block, lambda c: c * 64 + F.size(F.filter(F.slice("_bounds", c * 64 + 1, F.lit(64)), lambda b: b <= F.col("_at"))))
         rows = rows.withColumn("_fine", fine).drop("_bounds", "_heads")
     # the range that takes the greatest row of each: the next higher range that has rows, the lowest for the last
-    tops = cut(rows.groupBy("_coarse", "_fine").agg(F.max("_key").alias("_top")))
+    tops = cut(rows.groupBy("_coarse", "_fine").agg(F.max(F.struct("_key", "_name", "_content")).alias("_top")))
     firsts = tops.groupBy("_coarse").agg(F.min("_fine").alias("_first"))  # at most 256 rows
-    over = Window.orderBy("_coarse")
-    onward = firsts.select(F.col("_coarse").alias("_c"), F.coalesce(F.lead("_coarse").over(over), F.min("_coarse").over(Window.partitionBy())).alias("_next_coarse"))
-    onward = onward.join(firsts.select(F.col("_coarse").alias("_next_coarse"), F.col("_first").alias("_next_fine")), "_next_coarse")
+    found = sorted(tuple(r) for r in firsts.collect())
+    onward = docs.sparkSession.createDataFrame([(c, *after) for (c, _), after in zip(found, found[1:] + found[:1], strict=True)], "_c int, _next_coarse int, _next_fine int")
     fine_next = F.lead("_fine").over(Window.partitionBy("_coarse").orderBy("_fine"))
     given = tops.withColumn("_up", fine_next).join(F.broadcast(onward), F.col("_coarse") == F.col("_c"))
     given = given.select(
@@ -149,11 +162,11 @@ def with_next(docs: DataFrame, derived: dict[str, Column] | None = None) -> Data
     own = cell(F.col("_coarse"), F.col("_fine"), False)
     copies = F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, cell(F.col("_to.c"), F.col("_to.f"), True)))
     small = if_small(given, -(-n // RANGE_ROWS) + 1)
-    dealt = rows.join(small, (F.col("_coarse") == F.col("_gc")) & (F.col("_fine") == F.col("_gf")) & (F.col("_key") == F.col("_gt")), "left").select("doc_id", "text", "_key", F.inline(copies))
-    follow = Window.partitionBy("_rc", "_rf").orderBy("_halo", F.desc("_key"), F.desc(F.col("doc_id").cast("string")), "text")
+    dealt = rows.join(small, (F.col("_coarse") == F.col("_gc")) & (F.col("_fine") == F.col("_gf")) & (F.struct("_key", "_name", "_content") == F.col("_gt")), "left").select("doc_id", "text", "_key", "_name", "_content", F.inline(copies))
+    follow = Window.partitionBy("_rc", "_rf").orderBy("_halo", F.desc("_key"), F.desc("_name"), F.desc("_content"), "text")
     seen = dealt.repartition("_rc", "_rf").withColumns(derived) if derived else dealt
     led = seen.withColumns({f"next_{c}": F.lead(c).over(follow) for c in ["text", *derived]})
-    return led.filter(~F.col("_halo")).drop("_key", "_rc", "_rf", "_halo")
+    return led.filter(~F.col("_halo")).drop("_key", "_name", "_content", "_rc", "_rf", "_halo")
 
 
 def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:

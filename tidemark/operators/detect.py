@@ -24,14 +24,19 @@ def filing_text():
     return F.concat_ws(" ", *[F.when(F.col(c) != "", F.col(c)) for c in ("description", "raw_excerpt", "form_type")])
 
 
-def filing_hits(filings: DataFrame, rules: Sequence = V.RULES) -> DataFrame:
-    """One row per filing and signal type that its text holds; venue codes count before form types."""
-    text = filing_text()
-    credibility = (
+def filing_credibility():
+    """Venue codes count before form types."""
+    return (
         F.when(F.col("cik").isin("NGX", "JSE", "NSE-KE"), 0.95)
         .when(F.col("form_type").isin("8-K", "JSE SENS", "NGX Announcement", "NSE Kenya Disclosure"), 1.00)
         .otherwise(X.contained_credibility(F.col("form_type")))
     )
+
+
+def filing_hits(filings: DataFrame, rules: Sequence = V.RULES) -> DataFrame:
+    """One row per filing and signal type that its text holds; venue codes count before form types."""
+    text = filing_text()
+    credibility = filing_credibility()
     rows = filings.select(
         "company_id", F.lit(0).alias("src_no"), F.lit(0.0).alias("rank_no"), F.col("filing_date").alias("doc_date"), "doc_no",
         F.lit("filing").alias("source_type"), F.col("form_type").alias("source_name"), F.col("accession_number").alias("ref"), credibility.alias("credibility"), text.alias("text"),
@@ -59,23 +64,24 @@ def _hit_columns(rows: DataFrame, raw) -> DataFrame:
     )
 
 
-def merge_candidates(hits: DataFrame) -> DataFrame:
-    """One candidate per company and type: the best hit, the distinct patterns in order of encounter, the count of distinct sources.
+def merge_candidates(hits: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """One candidate per company and type: the best hit, the distinct patterns in order of encounter, the count of distinct sources. ``extra`` columns are keys too.
 
     The texts are searched once. Hits are first reduced map-side to one row per company, type, source and pattern, so that what is
     listed for a company and type is bounded by its sources times the rule table, however many documents it has.
     """
+    keys = [*extra, *KEY]
     best = F.struct("source_type", "source_name", "ref", "base_score", "raw_score", "doc_date", "doc_no", "source_text", "text").alias("best")
     at = F.struct((-F.col("raw_score")).alias("least"), *ORDER).alias("at")
-    rows = hits.select(*KEY, best, at, *ORDER, F.posexplode("patterns").alias("pos", "pattern"))
-    one = rows.groupBy(*KEY, F.col("best.source_type").alias("source_type"), F.col("best.source_name").alias("source_name"), "pattern").agg(
+    rows = hits.select(*keys, best, at, *ORDER, F.posexplode("patterns").alias("pos", "pattern"))
+    one = rows.groupBy(*keys, F.col("best.source_type").alias("source_type"), F.col("best.source_name").alias("source_name"), "pattern").agg(
         F.min(F.struct(*ORDER, "pos")).alias("first"), F.min_by("best", "at").alias("best"), F.min("at").alias("at"))
-    merged = one.groupBy(*KEY).agg(
+    merged = one.groupBy(*keys).agg(
         F.min_by("best", "at").alias("best"), F.size(F.collect_set(F.struct("source_type", "source_name"))).alias("corroboration"),
         F.array_sort(F.collect_list(F.struct("first", "pattern"))).alias("listed"),
     )
     patterns = F.array_distinct(F.transform("listed", lambda x: x["pattern"]))
-    out = merged.select(*KEY, "best.*", "corroboration", patterns.alias("patterns"))
+    out = merged.select(*keys, "best.*", "corroboration", patterns.alias("patterns"))
     return out.withColumn("entities", X.entities(F.col("text"))).drop("text")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.store import cut
@@ -64,30 +64,101 @@ def near_companies(nodes: DataFrame, edges: DataFrame, sources: DataFrame, hub:
     return pairs, holds, members
 
 
-def reach(nodes: DataFrame, edges: DataFrame, sources: DataFrame, hub: int = HUB, names: int = 10) -> DataFrame:
-    """company, connected (how many companies are within two hops) and second_order (the first of their names), from the tables of ``near_companies``.
+#: Bits of one bitmap: node numbers fall into buckets of so many.
+_BITS = 32_768
 
-    Sources with the same hubs share one class: the union of the hubs' members, counted once, with its first names. To these come the pairs
-    that an anti-join finds outside the class.
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """node_id and number of each company; the numbers of a partition follow each other, so a bitmap's buckets are filled."""
+    companies = cut(nodes.filter("node_type = 'company'").select("node_id").distinct())
+    return companies.withColumn("number", F.monotonically_increasing_id() + 1)
+
+
+def _bits(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, bucket and bitmap of the numbers of each key."""
+    return rows.groupBy(*keys, F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+
+
+def _holds(bits: Column, number: Column) -> Column:
+    """Whether a bitmap of the number's bucket has its bit."""
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (at % 8).cast("int")) == 1
+
+
+def _explore(steps: DataFrame, starts: DataFrame, hubs: DataFrame, depth: int, expand: bool) -> DataFrame:
+    """start, node, hops for the nodes within ``depth`` hops of each start that paths reach without passing through a hub; hubs are reached, not passed.
+
+    ``expand``: whether a start that is a hub is passed itself. Each level is cut by a reliable checkpoint.
+    """
+    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"))
+    frontier = seen
+    for hop in range(1, depth + 1):
+        go = frontier if expand and hop == 1 else frontier.join(hubs, F.col("node") == F.col("hub"), "left_anti")
+        reached = go.join(steps, F.col("node") == F.col("_at")).select("start", F.col("_to").alias("node")).distinct()
+        frontier = cut(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def _balls(steps: DataFrame, companies: DataFrame, hubs: DataFrame, depth: int, names: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables for each hub and radius up to ``depth``: hub, radius, bucket, bits of the companies within the radius, and hub, radius, name of the first ones of them.
+
+    What paths reach from the hub without passing another one is listed once; beyond another hub lies that hub's own ball of what is left of the radius.
     """
-    pairs, holds, members = near_companies(nodes, edges, sources, hub)
-    pairs, members = cut(pairs.select("company", "other")), cut(members)
-    held = cut(holds.groupBy("company").agg(F.array_sort(F.collect_set("hub")).alias("hubs")).withColumn("cls", F.sha2(F.array_join("hubs", " "), 256)))
-    kinds = held.groupBy("cls").agg(F.first("hubs").alias("hubs")).select("cls", F.explode("hubs").alias("hub"))
-    union = kinds.join(members, "hub").select("cls", "member").distinct()
-    union = cut(union)
-    first = F.row_number().over(Window.partitionBy("cls").orderBy("member"))
-    least = union.withColumn("_r", first).filter(F.col("_r") <= names + 1).groupBy("cls").agg(F.array_sort(F.collect_list("member")).alias("class_names"))
-    classes = union.groupBy("cls").agg(F.count("*").alias("class_size")).join(least, "cls")
-    own = held.select("company", "cls").join(classes, "cls")
-    inside = union.select("cls", F.col("member").alias("company"), F.lit(1).alias("_self"))
-    own = own.join(inside, ["cls", "company"], "left")
-    outside = pairs.join(held.select("company", "cls"), "company", "left").join(union.select("cls", F.col("member").alias("other")), ["cls", "other"], "left_anti")
-    place = F.row_number().over(Window.partitionBy("company").orderBy("other"))
+    found = cut(_explore(steps, hubs.select(F.col("hub").alias("start")), hubs, depth, True))
+    own = found.join(companies, F.col("node") == F.col("node_id")).select(F.col("start").alias("hub"), "number", F.col("node").alias("name"), "hops")
+    others = found.filter("hops > 0").join(hubs.select(F.col("hub").alias("_hub")), F.col("node") == F.col("_hub")).select(F.col("start").alias("hub"), F.col("node").alias("via"), "hops")
+    bits = places = None
+    first = F.row_number().over(Window.partitionBy("hub").orderBy("name"))
+    for radius in range(1, depth + 1):
+        near = own.filter(F.col("hops") <= radius)
+        now, listed = _bits(near, "hub"), near.select("hub", "name")
+        if radius > 1:
+            left = others.withColumn("_left", radius - F.col("hops")).filter("_left > 0")
+            beyond = lambda t: left.join(t.withColumnRenamed("hub", "via").withColumnRenamed("radius", "_left"), ["via", "_left"])
+            now = now.unionByName(beyond(bits).select("hub", "bucket", "bits")).groupBy("hub", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+            listed = listed.unionByName(beyond(places).select("hub", "name")).distinct()
+        now = cut(now.withColumn("radius", F.lit(radius)))
+        listed = cut(listed.withColumn("_r", first).filter(F.col("_r") <= names + 1).drop("_r").withColumn("radius", F.lit(radius)))
+        bits, places = (now, listed) if bits is None else (bits.unionByName(now), places.unionByName(listed))
+    return bits, places
+
+
+def reach(nodes: DataFrame, edges: DataFrame, sources: DataFrame, hub: int = HUB, names: int = 10, depth: int = 2) -> DataFrame:
+    """company, connected (how many companies are within ``depth`` hops) and second_order (the first of their names).
+
+    The companies near a hub are one bitmap for each radius. A source's own paths stop at hubs; what lies beyond is the bitmap of what is left of the depth. Sources with
+    the same hubs at the same distances share a class: its bitmaps are joined by OR and counted once, so no class lists its members, and rows grow with
+    the edges. To a class come the source's own pairs whose bit it lacks.
+    """
+    steps = cut(both_ways(edges).select(F.col("node").alias("_at"), F.col("other").alias("_to")))
+    companies = cut(_numbered(nodes))
+    degree = steps.join(companies.select("node_id"), F.col("_to") == F.col("node_id"), "left_semi").groupBy("_at").agg(F.count("*").alias("n"))
+    hubs = cut(degree.filter(F.col("n") >= hub).select(F.col("_at").alias("hub")))
+    found = cut(_explore(steps, sources.select(F.col("company").alias("start")), hubs, depth, False).withColumnRenamed("start", "company"))
+    pairs = found.filter("hops > 0").join(companies, F.col("node") == F.col("node_id")).select("company", F.col("node").alias("other"), "number")
+    bits, places = _balls(steps, companies, hubs, depth, names)
+    left = found.join(hubs, F.col("node") == F.col("hub")).select("company", "hub", (depth - F.col("hops")).alias("radius")).filter("radius > 0")
+    held = left.groupBy("company").agg(F.array_sort(F.collect_set(F.struct("hub", "radius"))).alias("hubs"))
+    held = cut(held.withColumn("cls", F.sha2(F.to_json("hubs"), 256)))
+    kinds = cut(held.groupBy("cls").agg(F.first("hubs").alias("hubs")).select("cls", F.inline("hubs")))
+    union = cut(kinds.join(bits, ["hub", "radius"]).groupBy("cls", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+    sizes = union.groupBy("cls").agg(F.sum(F.bitmap_count("bits")).alias("class_size"))
+    listed = kinds.join(places, ["hub", "radius"]).select("cls", "name").distinct()
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("name"))
+    least = listed.withColumn("_r", place).filter(F.col("_r") <= names + 1).groupBy("cls").agg(F.array_sort(F.collect_list("name")).alias("class_names"))
+    own = held.select("company", "cls").join(sizes, "cls").join(least, "cls")
+    # whether a source is itself in its class, and which of its own pairs are not
+    me = held.select("company", "cls").join(companies, F.col("company") == F.col("node_id")).select("company", "cls", "number", F.bitmap_bucket_number("number").alias("bucket"))
+    inside = me.join(union, ["cls", "bucket"]).filter(_holds(F.col("bits"), F.col("number"))).select("company", F.lit(1).alias("_self"))
+    beside = pairs.filter("company <> other").join(held.select("company", "cls"), "company", "left").withColumn("bucket", F.bitmap_bucket_number("number"))
+    outside = cut(beside.join(union, ["cls", "bucket"], "left").filter(F.col("bits").isNull() | ~_holds(F.col("bits"), F.col("number"))).select("company", "other"))
     more = outside.groupBy("company").agg(F.count("*").alias("n"))
-    listed = outside.withColumn("_r", place).filter(F.col("_r") <= names).groupBy("company").agg(F.collect_list("other").alias("names"))
+    nearest = F.row_number().over(Window.partitionBy("company").orderBy("other"))
+    shown = outside.withColumn("_r", nearest).filter(F.col("_r") <= names).groupBy("company").agg(F.collect_list("other").alias("names"))
     none = F.array().cast("array<string>")
-    out = sources.select("company").join(own, "company", "left").join(more, "company", "left").join(listed, "company", "left")
+    out = sources.select("company").join(own, "company", "left").join(inside, "company", "left").join(more, "company", "left").join(shown, "company", "left")
     both = F.array_sort(F.concat(F.filter(F.coalesce("class_names", none), lambda m: m != F.col("company")), F.coalesce("names", none)))
     count = F.coalesce("class_size", F.lit(0)) - F.coalesce("_self", F.lit(0)) + F.coalesce("n", F.lit(0))
     return out.select("company", count.cast("long").alias("connected"), F.array_join(F.slice(both, 1, names), ",").alias("second_order")).filter("connected > 0")
@@ -101,8 +172,23 @@ def nodes_from_briefs(nodes: DataFrame, briefs: DataFrame, prefix: str = "c") ->
 
 def shared_executives(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Pairs of companies (company_a < company_b) with the number and names of the executives they share."""
+    return _sharing(_held(nodes, edges))
+
+
+def shared_executive_classes(nodes: DataFrame, edges: DataFrame, busy: int = BUSY) -> tuple[DataFrame, DataFrame]:
+    """``shared_executives`` without a row for each two companies of an executive of many: the pairs that executives of under ``busy`` companies give, and the members
+    (executive, company) of the others. Two companies share what their pair says and every executive that both are members of; rows grow with the edges."""
+    held = cut(_held(nodes, edges))
+    many = held.groupBy("executive").agg(F.count("*").alias("n")).filter(F.col("n") >= busy).select("executive")
+    return _sharing(held.join(many, "executive", "left_anti")), held.join(many, "executive", "left_semi")
+
+
+def _held(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     executives = nodes.filter("node_type = 'executive'").select("node_id")
-    held = both_ways(edges).join(executives, F.col("node") == F.col("node_id"), "left_semi").select(F.col("node").alias("executive"), F.col("other").alias("company"))
+    return both_ways(edges).join(executives, F.col("node") == F.col("node_id"), "left_semi").select(F.col("node").alias("executive"), F.col("other").alias("company"))
+
+
+def _sharing(held: DataFrame) -> DataFrame:
     # an executive of one company shares it with none; the others meet by degree, so that no task holds all pairs of a busy one
     busy = held.groupBy("executive").agg(F.count("*").alias("n")).filter("n > 1")
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / BUSY)).cast("int")
@@ -123,6 +209,24 @@ def acquisitions(edges: DataFrame) -> DataFrame:
     return both_ways(edges).filter("edge_type = 'acquired'").select(F.col("node").alias("company"), "other", F.col("detail").alias("status"))
 
 
+def acquisition_chains(edges: DataFrame) -> DataFrame:
+    """company, other, hops for all companies that a company acquired, or that these acquired, and so on; a cycle leads back to none but the others in it.
+
+    Paths double in length each round - what is known to lie within n hops, joined to itself, gives all within 2n - so the rounds grow with the logarithm of
+    the longest chain; each is cut by a reliable checkpoint and the loop ends when nothing is added or gets nearer.
+    """
+    known = cut(edges.filter("edge_type = 'acquired'").select(F.col("src").alias("company"), F.col("dst").alias("other"), F.lit(1).alias("hops")).distinct())
+    while True:
+        on = known.select(F.col("company").alias("_via"), F.col("other").alias("_to"), F.col("hops").alias("_more"))
+        longer = known.join(on, F.col("other") == F.col("_via")).filter(F.col("company") != F.col("_to")).select("company", F.col("_to").alias("other"), (F.col("hops") + F.col("_more")).alias("hops"), F.lit(0).alias("_old"))
+        both = known.select("company", "other", "hops", F.lit(1).alias("_old")).unionByName(longer)
+        now = cut(both.groupBy("company", "other").agg(F.min("hops").alias("hops"), F.min(F.when(F.col("_old") == 1, F.col("hops"))).alias("_was")))
+        done = now.filter("_was is null or hops < _was").isEmpty()
+        known = now.drop("_was")
+        if done:
+            return known
+
+
 def contagion(nodes: DataFrame, edges: DataFrame, distressed: DataFrame, depth: int = 2) -> DataFrame:
     """Lenders, board links, regulators and second-order companies of each distressed company, and the level of risk.
 
@@ -134,10 +238,7 @@ def contagion(nodes: DataFrame, edges: DataFrame, distressed: DataFrame, depth:
     by = near.groupBy(F.col("node").alias("company")).agg(
         F.count_if(F.coalesce(lender, F.lit(False))).alias("lenders"), F.count_if(F.col("edge_type") == "board_overlap").alias("board_links"), F.count_if(F.coalesce(F.col("node_type") == "regulator", F.lit(False))).alias("regulators"),
     )
-    if depth == 2:
-        near_ones = reach(nodes, edges, distressed)
-    else:
-        near_ones = connected_companies(nodes, edges, distressed, depth).groupBy("company").agg(F.count("*").alias("connected"), F.array_join(F.slice(F.array_sort(F.collect_list("other")), 1, 10), ",").alias("second_order"))
+    near_ones = reach(nodes, edges, distressed, depth=depth)
     out = distressed.join(by, "company", "left").join(near_ones, "company", "left").join(nodes.select(F.col("node_id").alias("company"), F.lit(True).alias("_in")), "company", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     level = F.when(F.col("_in").isNull() & F.col("lenders").isNull(), "unknown").when((zero("connected") > 5) | (zero("lenders") > 2), "systemic").when((zero("lenders") > 0) | (zero("board_links") > 0), "contained").otherwise("isolated")

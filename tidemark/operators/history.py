@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import values as V
-from tidemark.functions.text import once, rounded
+from tidemark.functions import text as X
+from tidemark.functions.text import rounded
 from tidemark.operators import detect as D
 from tidemark.operators import score as S
 from tidemark.sources.store import cut
@@ -36,12 +39,14 @@ def feedback_stats(feedback: DataFrame) -> DataFrame:
 
 
 def calibration_report(feedback: DataFrame) -> DataFrame:
-    """Feedback of all signal types, also of those without any, and the factors that calibration would use."""
+    """Feedback of all signal types, also of those without any, the factors that calibration would use, and their product."""
     types = feedback.sparkSession.createDataFrame([(t,) for t in V.SIGNAL_TYPES], "signal_type string")
     rows = types.join(feedback_stats(feedback), "signal_type", "left")
     n = F.coalesce("total", F.lit(0))
     precision = F.when(n < 10, 1.0).otherwise(F.greatest(F.lit(0.7), F.least(F.lit(1.3), 0.5 + F.col("precision"))))
-    return rows.select("signal_type", n.alias("total"), "precision", F.coalesce("fp_rate", F.lit(0.0)).alias("fp_rate"), precision.alias("precision_factor"), F.greatest(F.lit(0.60), 1.0 - F.coalesce("fp_rate", F.lit(0.0)) * 0.5).alias("fp_factor"), (n >= 10).alias("adaptive"))
+    penalty = F.greatest(F.lit(0.60), 1.0 - F.coalesce("fp_rate", F.lit(0.0)) * 0.5)
+    return rows.select("signal_type", n.alias("total"), "precision", F.coalesce("fp_rate", F.lit(0.0)).alias("fp_rate"), precision.alias("precision_factor"), penalty.alias("fp_factor"), X.rounded(precision * penalty, 3).alias("net_factor"),
+                       F.when(n == 0, "insufficient data").alias("note"), (n >= 10).alias("adaptive"))
 
 
 def ema_fold(values: Column, start: float, alpha: float, digits: int) -> Column:
@@ -88,14 +93,29 @@ def outcome_record(outcomes: DataFrame) -> DataFrame:
         "magnitude_error", F.when(known & F.col("expected_low").isNotNull() & F.col("expected_high").isNotNull(), F.round(F.abs(F.abs("p10") - mid), 2)))
 
 
-def outcome_accuracy(records: DataFrame, by_type: bool = False) -> DataFrame:
-    """Confirmation rate, direction accuracy over known directions, mean magnitude error over known ones; overall or by signal type."""
-    keys = ["signal_type"] if by_type else []
+def _accuracy(error: Column) -> list[Column]:
     has = F.count("direction_correct")
-    return records.groupBy(*keys).agg(
+    return [
         F.count("*").alias("total"), F.round(F.count_if("event_confirmed") / F.greatest(F.count("*"), F.lit(1)), 3).alias("confirmation_rate"),
-        F.round(F.count_if("direction_correct") / F.greatest(has, F.lit(1)), 3).alias("direction_accuracy"), F.round(F.avg("magnitude_error"), 2).alias("avg_magnitude_error"),
-    )
+        F.round(F.count_if("direction_correct") / F.greatest(has, F.lit(1)), 3).alias("direction_accuracy"), error.alias("avg_magnitude_error"),
+    ]
+
+
+def outcome_accuracy(records: DataFrame, by_type: bool = False) -> DataFrame:
+    """Confirmation rate, direction accuracy over known directions, mean magnitude error over known ones; overall or by signal type. Without any
+    known error the mean is null overall and 0 for a type."""
+    mean = F.round(F.avg("magnitude_error"), 2)
+    return records.groupBy(*(["signal_type"] if by_type else [])).agg(*_accuracy(F.coalesce(mean, F.lit(0.0)) if by_type else mean))
+
+
+def outcome_report(records: DataFrame) -> DataFrame:
+    """``outcome_accuracy`` overall (scope ``all``, no type) and by signal type (scope ``type``), in one aggregation over grouping sets.
+
+    A record without a type is a type of its own; ``grouping_id`` tells it from the overall row.
+    """
+    overall, mean = F.grouping_id() == 1, F.round(F.avg("magnitude_error"), 2)
+    rows = records.rollup("signal_type").agg(overall.alias("_all"), *_accuracy(F.when(overall, mean).otherwise(F.coalesce(mean, F.lit(0.0)))))
+    return rows.withColumn("scope", F.when(F.col("_all"), "all").otherwise("type")).drop("_all")
 
 
 def outcome_accuracy_all_rows(records: DataFrame) -> DataFrame:
@@ -136,7 +156,8 @@ _COUNTS = ("runs", "n_signals", "leadership_changes", "debt_restructures", "regu
 
 
 def company_memory(runs: DataFrame, run_signals: DataFrame, profiles: DataFrame | None = None, tail: int = 1_024) -> DataFrame:
-    """Profile of each company after its runs in order (run_date, run_id), or from stored ``profiles`` on, whose counts go on too.
+    """Profile of each company after its runs in order (run_date, run_id), or from stored ``profiles`` on, whose counts go on too. A new
+    company starts with ``PROFILE_START``.
 
     Within a run the run itself comes first, then its signals by alpha descending and type, as rolling risk is touched by both. Each
     exponential mean (weight 0.25) is rounded at each step and is therefore folded in order over one company's own steps. Of a company with more
@@ -160,10 +181,10 @@ def company_memory(runs: DataFrame, run_signals: DataFrame, profiles: DataFrame
         is_("leadership_change").alias("leadership_changes"), is_("debt_restructuring").alias("debt_restructures"), is_("regulatory_action").alias("regulatory_actions"), *listed)
     state = (*_DIMS, "velocity")
     if profiles is None:
-        left = left.withColumns({f"_{c}": F.lit(0.0) for c in state})
+        left = left.withColumns({f"_{c}": F.lit(V.PROFILE_START[c]) for c in state})
     else:
         stored = profiles.select("company_id", *[F.col(c).alias(f"_{c}") for c in (*state, *_COUNTS)])
-        left = left.join(stored, "company_id", "left").withColumns({f"_{c}": F.coalesce(f"_{c}", F.lit(0.0)) for c in state})
+        left = left.join(stored, "company_id", "left").withColumns({f"_{c}": F.coalesce(f"_{c}", F.lit(V.PROFILE_START[c])) for c in state})
         left = left.withColumns({c: F.col(c) + F.coalesce(f"_{c}", F.lit(0)) for c in _COUNTS}).drop(*[f"_{c}" for c in _COUNTS])
     to = lambda a, x: rounded(a + 0.25 * (x - a), 2)
 
@@ -245,6 +266,12 @@ def scoring_trend(runs: DataFrame, limit: int = 100) -> DataFrame:
     return runs.withColumn("rank", F.row_number().over(w)).withColumn("delta", F.col("top_alpha") - F.lag("top_alpha").over(w)).filter(F.col("rank") <= limit).select("company_id", "run_id", "run_date", "top_alpha", "delta", "rank")
 
 
+def replay_inputs(filings: DataFrame, news: DataFrame, *, as_of: dt.datetime) -> DataFrame:
+    """The documents (origin, company_id, doc_no, day) that were known at ``as_of``: filings and news dated up to then."""
+    of = lambda rows, origin, day: rows.filter(F.col(day) <= F.lit(as_of).cast("date")).select(F.lit(origin).alias("origin"), "company_id", "doc_no", F.col(day).alias("day"))
+    return of(filings, "filing", "filing_date").unionByName(of(news, "news", "published_date"))
+
+
 def replay(filings: DataFrame, news: DataFrame, company: DataFrame, *, as_of: dt.datetime) -> DataFrame:
     """What the engine would have found at ``as_of``: the same functions over rows dated up to then, with static calibration and no ticker."""
     day = F.lit(as_of).cast("date")
@@ -252,11 +279,37 @@ def replay(filings: DataFrame, news: DataFrame, company: DataFrame, *, as_of: dt
     return S.score(found, company.withColumn("ticker", F.lit(None).cast("string")), as_of=as_of)
 
 
+def scored_as_of(filings: DataFrame, news: DataFrame, company: DataFrame, days: Mapping[str, tuple[dt.datetime, dt.datetime | None]], listed: Sequence[str] = ()) -> DataFrame:
+    """Scored signals as they stood on several days, with the day's name in ``horizon``: the texts are searched once.
+
+    ``days``: name to (moment that ages are measured from, last day of documents that count or None for all). Each hit goes to the days that know its
+    document; candidates are merged for each. Horizons of ``listed`` are scored with the companies' tickers, the others as replays, without.
+    """
+    hits = D.filing_hits(filings).unionByName(D.news_hits(news))
+    table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(None if last is None else last.date()).cast("date").alias("last")) for name, (_, last) in days.items()])
+    knows = F.transform(F.filter(table, lambda d: d["last"].isNull() | (F.col("doc_date") <= d["last"])), lambda d: d["name"])
+    found = S.signals(S.calibrate(D.merge_candidates(hits.withColumn("horizon", F.explode(knows)), extra=("horizon",))))
+    as_of = None
+    for name, (at, _) in days.items():
+        as_of = F.when(F.col("horizon") == name, F.lit(at)) if as_of is None else as_of.when(F.col("horizon") == name, F.lit(at))
+    return S.score(found, company, as_of=as_of, ticker=F.when(F.col("horizon").isin(*listed), F.col("ticker")))
+
+
+def horizon_diff(scored: DataFrame, a: str, b: str, keys: Sequence[str] = ("company_id", "signal_type")) -> DataFrame:
+    """``run_diff`` of two horizons of one frame, by one aggregation."""
+    own = lambda name: F.max(F.when(F.col("horizon") == name, F.struct("severity", "alpha")))  # noqa: E731  one row a key and horizon
+    rows = scored.filter(F.col("horizon").isin(a, b)).groupBy(*keys).agg(own(a).alias("_a"), own(b).alias("_b"))
+    return _changes(rows.select(*keys, *[F.col(f"_{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("severity", "alpha")]))
+
+
 def run_diff(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("company_id", "signal_type")) -> DataFrame:
     """Signals removed, added or modified (severity differs, or alpha by more than 5) from ``a`` to ``b``."""
     left = a.select(*keys, F.col("severity").alias("severity_a"), F.col("alpha").alias("alpha_a"))
     right = b.select(*keys, F.col("severity").alias("severity_b"), F.col("alpha").alias("alpha_b"))
-    both = left.join(right, list(keys), "full_outer")
+    return _changes(left.join(right, list(keys), "full_outer"))
+
+
+def _changes(both: DataFrame) -> DataFrame:
     delta = F.coalesce("alpha_b", F.lit(0.0)) - F.coalesce("alpha_a", F.lit(0.0))
     change = F.when(F.col("severity_b").isNull(), "removed").when(F.col("severity_a").isNull(), "added").when((F.col("severity_a") != F.col("severity_b")) | (F.abs(delta) > 5), "modified")
     return both.withColumn("change", change).withColumn("alpha_delta", F.round(delta, 1)).filter(F.col("change").isNotNull())
@@ -265,32 +318,54 @@ def run_diff(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("company_id", "s
 # ---- audit chains --------------------------------------------------------------------------------------------
 
 
-def audit_build(events: DataFrame, block: int = 256) -> DataFrame:
+def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries (chain, seq, payload, head) in order of chain and seq, with the hashes that link them; all that is kept is the last hash."""
+    chain, last, begun = None, "", False
+    for batch in batches:
+        chains, payloads, heads = (batch.column(i).to_pylist() for i in (0, 2, 3))
+        before, own = [], []
+        for c, payload, head in zip(chains, payloads, heads, strict=True):
+            if not begun or c != chain:
+                chain, last, begun = c, head, True
+            before.append(last)
+            # a null payload makes a null hash, and what follows it has none either
+            last = None if payload is None or last is None else hashlib.sha256(f"{payload}|{last}".encode()).hexdigest()
+            own.append(last)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(before, pa.string()), pa.array(own, pa.string())], ["chain", "seq", "payload", "prev_hash", "data_hash"])
+
+
+def audit_build(events: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """Chain the payloads of each ``chain`` in order of ``seq``: data_hash is the SHA-256 of the payload and the hash before it.
 
-    A chain is sequential by its nature. Its entries are folded in blocks; a block's list is added once, so the work grows with the chain's length.
+    ``heads`` (chain, data_hash), as ``audit_heads`` gives them, are the last entries stored before; chains that it lacks begin with GENESIS. A chain is sequential by its nature: its
+    entries pass one task in order, of which no more than a batch is in memory at a time, and other chains pass other tasks.
     """
-    entry = "struct<seq:int,payload:string,prev_hash:string,data_hash:string>"
-    lists = events.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct(F.col("seq").cast("int").alias("seq"), "payload"))).alias("events"))
-    state = lambda last, done: F.struct(last.alias("last"), done.alias("done"))
+    kind = events.schema["chain"].dataType.simpleString()
+    rows = events.select("chain", F.col("seq").cast("int").alias("seq"), "payload")
+    start = F.lit("GENESIS")
+    if heads is not None:
+        rows = rows.join(heads.select(F.col("chain").alias("_chain"), F.col("data_hash").alias("_head")), F.col("chain").eqNullSafe(F.col("_chain")), "left")
+        start = F.coalesce("_head", start)
+    ordered = rows.select("chain", "seq", "payload", start.alias("head")).repartition("chain").sortWithinPartitions("chain", "seq")
+    return ordered.mapInArrow(_chained, f"chain {kind}, seq int, payload string, prev_hash string, data_hash string")
 
-    def link(acc: Column, e: Column) -> Column:
-        made = F.struct(e["seq"].alias("seq"), e["payload"].alias("payload"), acc["last"].alias("prev_hash"), F.sha2(F.concat(e["payload"], F.lit("|"), acc["last"]), 256).alias("data_hash"))
-        return once(made, lambda m: state(m["data_hash"], F.concat(acc["done"], F.array(m))))
 
-    def add(acc: Column, part: Column) -> Column:
-        own = F.aggregate(part, state(acc["last"], F.array().cast(f"array<{entry}>")), link)
-        return once(own, lambda o: state(o["last"], F.concat(acc["done"], F.array(o["done"]))))
+def audit_heads(chain: DataFrame) -> DataFrame:
+    """The last entry of each chain: chain, seq, data_hash."""
+    return chain.groupBy("chain").agg(F.max_by(F.struct("seq", "data_hash"), "seq").alias("e")).select("chain", "e.*")
 
-    blocks = F.transform(F.sequence(F.lit(0), F.size("events") - 1, F.lit(block)), lambda at: F.slice("events", at + 1, F.lit(block)))
-    chained = F.aggregate(blocks, state(F.lit("GENESIS"), F.array().cast(f"array<array<{entry}>>")), add, lambda acc: F.flatten(acc["done"]))
-    return lists.select("chain", F.inline(chained))
 
+def audit_verify(chain: DataFrame, heads: DataFrame | None = None) -> DataFrame:
+    """Per chain its length, whether all links hold, the first broken link and the first row whose stored hash does not fit its content.
 
-def audit_verify(chain: DataFrame) -> DataFrame:
-    """Per chain its length, whether all links hold, the first broken link and the first row whose stored hash does not fit its content."""
+    With ``heads`` the first entry of each chain must follow the last one of the batches before it.
+    """
     w = Window.partitionBy("chain").orderBy("seq")
-    before = F.coalesce(F.lag("data_hash").over(w), F.lit("GENESIS"))
+    start = F.lit("GENESIS")
+    if heads is not None:
+        chain = chain.join(heads.select(F.col("chain").alias("_chain"), F.col("data_hash").alias("_head")), F.col("chain").eqNullSafe(F.col("_chain")), "left")
+        start = F.coalesce("_head", start)
+    before = F.coalesce(F.lag("data_hash").over(w), start)
     rows = chain.withColumn("_broken", F.col("prev_hash") != before).withColumn("_changed", F.col("data_hash") != F.sha2(F.concat("payload", F.lit("|"), "prev_hash"), 256))
     return rows.groupBy("chain").agg(F.count("*").alias("entries"), (~F.bool_or("_broken")).alias("links_hold"), F.min(F.when(F.col("_broken"), F.col("seq"))).alias("first_break"), F.min(F.when(F.col("_changed"), F.col("seq"))).alias("first_change"))
 
@@ -352,6 +427,13 @@ def upsert(rows: DataFrame, changes: DataFrame, keys: Sequence[str], removed: Da
     return out if removed is None else out.join(removed.select(*keys), list(keys), "left_anti")
 
 
+def out_of_range(rows: DataFrame, table: str, *keys: str) -> DataFrame:
+    """Violations of the ranges of a stored table: its keys, the column, and what it holds; a null is none."""
+    columns = V.RANGES[table]
+    at = F.filter(F.array(*[F.when(~F.col(c).between(lo, hi), F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))) for c, (lo, hi) in columns.items()]), lambda x: x.isNotNull())
+    return rows.select(F.lit(table).alias("table"), *keys, F.explode(at).alias("_x")).select("table", *keys, "_x.*")
+
+
 def validate(found: DataFrame) -> DataFrame:
     """Violations of the ranges of scores and of the domains of names, one row each."""
     rules = {

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions import values as V
+from tidemark.sources.store import cut
 
 
 def first_rows(rows: DataFrame, keys: Sequence[str], order: Sequence, n: int, name: str = "rank") -> DataFrame:
@@ -36,10 +37,61 @@ def phrase_search(filings: DataFrame, phrases: Sequence[str], forms: Sequence[st
     return first_rows(rows, ["company_id", "phrase"], [F.desc("filing_date"), "accession_number"], most)
 
 
-def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """RSS items of landed feed files."""
-    rows = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, pubDate string, description string").load(path)
-    return feed_items(rows)
+def phrase_hits(docs: DataFrame, phrases: DataFrame, key: str, text: str) -> DataFrame:
+    """key and phrase for the texts that contain a phrase, case aside; for more phrases than an expression can hold (a table with a column ``phrase``).
+
+    Texts and phrases fall into words at single spaces. A text that contains a phrase has the phrase's inner words whole, its first word as the end of a word and its
+    last one as the beginning of one; the word of a one-word phrase lies anywhere in a word. So each phrase is looked up by the one of its words that the fewest texts
+    have: the dictionary of the texts says which words can be that one, an equi-join on words gives the candidates, and ``contains`` decides. Blank phrases are left out.
+    """
+    low = docs.select(F.col(key), F.lower(F.coalesce(text, F.lit(""))).alias("_low"))
+    each = F.explode(F.array_distinct(F.split("_low", " "))).alias("word")
+    own = phrases.filter(F.trim("phrase") != "").select("phrase", F.lower("phrase").alias("_p")).distinct()
+    words = cut(low.select(each).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n")))
+    parts = own.select("_p", F.posexplode(F.split("_p", " ")).alias("at", "part"), F.size(F.split("_p", " ")).alias("of")).filter("part <> ''").distinct()
+    place = F.when(F.col("of") == 1, "any").when(F.col("at") == 0, "end").when(F.col("at") == F.col("of") - 1, "start").otherwise("whole")
+    parts = cut(parts.select("_p", "at", "part", place.alias("place")))
+    # lengths of the phrases' words, so that only these pieces of the dictionary's words are made; no more than the longest phrase has letters
+    sizes = {r["place"]: r["k"] for r in parts.groupBy("place").agg(F.collect_set(F.length("part")).alias("k")).collect()}
+    pieces = {
+        "whole": lambda k: F.array("word"), "end": lambda k: F.array(F.right("word", k)), "start": lambda k: F.array(F.left("word", k)),
+        "any": lambda k: F.transform(F.sequence(F.lit(1), F.length("word") - k + 1), lambda a: F.substring("word", a, k)),
+    }
+    looks = None
+    for name, lengths in sizes.items():
+        fit = F.filter(F.array(*map(F.lit, lengths)), lambda k: k <= F.length("word"))
+        made = F.array("word") if name == "whole" else F.flatten(F.transform(fit, pieces[name]))
+        found = words.select("word", "n", F.explode(F.array_distinct(made)).alias("part")).join(parts.filter(F.col("place") == name), "part").select("_p", "at", "word", "n")
+        looks = found if looks is None else looks.unionByName(found)
+    if looks is None:
+        return low.select(key, F.col("_low").alias("phrase")).limit(0)
+    looks = cut(looks)
+    rarest = looks.groupBy("_p", "at").agg(F.sum("n").alias("n")).groupBy("_p").agg(F.min_by("at", F.struct("n", "at")).alias("at"))
+    index = looks.join(rarest, ["_p", "at"]).select("word", "_p").distinct()
+    found = low.select(key, "_low", each).join(index, "word").filter(F.contains("_low", "_p")).select(key, "_p").distinct()
+    return found.join(own, "_p").select(key, "phrase")
+
+
+def phrase_filings(filings: DataFrame, phrases: DataFrame, forms: Sequence[str], start: dt.date, end: dt.date, most: int = 3) -> DataFrame:
+    """``phrase_search`` for a table of phrases."""
+    rows = filings.filter(F.col("form_type").isin(*forms) & F.col("filing_date").between(start, end))
+    found = phrase_hits(rows, phrases, "doc_no", "description")
+    return first_rows(rows.join(found, "doc_no"), ["company_id", "phrase"], [F.desc("filing_date"), "accession_number"], most)
+
+
+def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """RSS items of landed feed files, and the errors (error, detail): items that are no XML, and what is left of an item at a file's end.
+
+    A feed file is read as a whole; its items are parsed one by one, so a spoiled one leaves the others.
+    """
+    schema = "title string, link string, pubDate string, description string, _corrupt string"
+    files = spark.read.text(path, wholetext=True)
+    item = F.lit(r"(?s)<item(?:\s[^>]*)?>.*?</item>")
+    whole = files.select(F.explode(F.regexp_extract_all("value", item, F.lit(0))).alias("text")).select("text", F.from_xml("text", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    rest = files.select(F.regexp_extract(F.regexp_replace("value", item, F.lit("")), r"(?s)<item(?:\s[^>]*)?>.*", 0).alias("detail")).filter("detail <> ''")
+    bad = F.col("r._corrupt").isNotNull() | F.col("r").isNull()
+    errors = whole.filter(bad).select(F.col("text").alias("detail")).unionByName(rest).select(F.lit("corrupt row").alias("error"), "detail")
+    return feed_items(whole.filter(~bad).select("r.*").drop("_corrupt")), errors
 
 
 def feed_items(rows: DataFrame) -> DataFrame:
@@ -54,15 +106,23 @@ def feed_date(text: Column, as_of: dt.datetime) -> Column:
     return F.to_date(F.coalesce(*tries, F.lit(as_of)))
 
 
-def exchange_filings(items: DataFrame, caps: dict[str, int]) -> DataFrame:
-    """Announcements (company_id, venue, title, text, link, day) as filings: synthetic id from the link's and title's MD5, form and venue code by venue."""
-    form = {"JSE": "JSE SENS", "NGX": "NGX Announcement", "NSE-KE": "NSE Kenya Disclosure", "GSE": "Ghana Stock Exchange"}
-    cap = X.lookup(F.col("venue"), caps, 0)
-    rows = items.withColumn("_rank", F.row_number().over(Window.partitionBy("company_id", "venue").orderBy(F.desc("day"), "link"))).filter(F.col("_rank") <= cap)
-    return rows.select(
-        "company_id", F.concat(F.col("venue"), F.lit("-"), F.left(F.md5(F.concat_ws("|", "link", "title")), F.lit(12))).alias("accession_number"),
-        X.lookup(F.col("venue"), form, "other").alias("form_type"), F.col("venue").alias("cik"), F.col("day").alias("filing_date"), "title", F.left("text", F.lit(300)).alias("raw_excerpt"),
+def exchange_filings(items: DataFrame, feeds: Mapping[str, tuple[str, str, str, int]] = V.EXCHANGE_FEEDS, spare: Mapping[str, str] = V.EXCHANGE_FALLBACK) -> DataFrame:
+    """Announcements (company_id, feed, pos in the feed, title, text, link, day) as filings: the first ones of each feed, those without a title aside.
+
+    A feed gives venue code, form, the prefix of the synthetic number (with the title's MD5) and how many items of a company count. A feed of ``spare`` counts
+    for companies of which the other one gives no filing.
+    """
+    of = lambda i: X.lookup(F.col("feed"), {k: v[i] for k, v in feeds.items()}, None)
+    rows = first_rows(items.filter(F.col("feed").isin(*feeds)), ["company_id", "feed"], ["pos"], max(v[3] for v in feeds.values()), "_rank")
+    rows = rows.filter((F.col("_rank") <= of(3)) & (F.coalesce("title", F.lit("")) != ""))
+    rows = rows.select(
+        "company_id", "feed", F.concat(of(2), F.lit("-"), F.left(F.md5("title"), F.lit(12))).alias("accession_number"), of(1).alias("form_type"), of(0).alias("cik"), F.col("day").alias("filing_date"),
+        F.col("link").alias("document_url"), F.col("title").alias("description"), F.left(F.coalesce("text", F.lit("")), F.lit(300)).alias("raw_excerpt"),
     )
+    # one window over the filings of a company tells which of its feeds have any
+    held = F.collect_set("feed").over(Window.partitionBy("company_id"))
+    first = X.lookup(F.col("feed"), dict(spare), None)
+    return rows.withColumn("_held", held).filter(first.isNull() | ~F.array_contains("_held", F.coalesce(first, F.lit("")))).drop("_held")
 
 
 def fallback(primary: DataFrame, secondary: DataFrame, key: str = "company_id") -> DataFrame:
@@ -72,7 +132,7 @@ def fallback(primary: DataFrame, secondary: DataFrame, key: str = "company_id")
 
 def link_extract(pages: DataFrame, *, min_len: int = 15, max_len: int = 300, most: int = 8, keywords: Sequence[str] | None = None, company: str | None = None) -> DataFrame:
     """Links of listing pages: text of the anchor without tags, length and letter tests, absolute address, the first ``most`` per page. With
-    ``keywords``, the text must hold one of them, or the name in the pages' column ``company`` if that is given."""
+    ``keywords``, the text must hold one of them, or the name in the pages' column ``company`` if that is given, or a part of it of over 3 characters."""
     anchor = r"(?is)<a[^>]+href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
     links = F.arrays_zip(F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("inner"))
     name = F.lit(None).cast("string") if company is None else F.lower(F.trim(company))
@@ -83,7 +143,8 @@ def link_extract(pages: DataFrame, *, min_len: int = 15, max_len: int = 300, mos
     rows = rows.select("page_id", "_company", "pos", title.alias("title"), F.when(href.startswith("/"), F.concat(base, href)).when(href.startswith("http"), href).alias("link"))
     rows = rows.filter(F.length("title").between(min_len, max_len) & F.col("title").rlike(r"\p{L}") & F.col("link").isNotNull())
     if keywords is not None:
-        hit = F.coalesce((F.col("_company") != "") & F.lower("title").contains(F.col("_company")), F.lit(False))
+        part = F.exists(F.split("_company", r"\s+"), lambda p: (F.length(p) > 3) & F.lower("title").contains(p))
+        hit = F.coalesce((F.col("_company") != "") & (F.lower("title").contains(F.col("_company")) | part), F.lit(False))
         for k in keywords:
             hit = hit | F.lower("title").contains(k)
         rows = rows.filter(hit)
@@ -117,12 +178,25 @@ def is_regional(title: Column, snippet: Column) -> Column:
     return out
 
 
-def news_relevance(news: DataFrame, company: DataFrame, keywords=V.NEWS_KEYWORDS, least: float = 0.1, floor: float | None = None) -> DataFrame:
-    """News with the relevance to its own company, without what is below ``least``; with a ``floor`` kept items have at least that."""
+def news_relevance(news: DataFrame, company: DataFrame, keywords=V.NEWS_KEYWORDS, least: float = 0.1) -> DataFrame:
+    """News with the relevance to its own company, without what is below ``least``."""
+    return _relevance(news, company, keywords).filter(F.col("relevance") >= least)
+
+
+def regional_relevance(news: DataFrame, company: DataFrame) -> DataFrame:
+    """News of regional sources: any mention counts, so the limit is lower."""
+    return news_relevance(news, company, V.REGIONAL_KEYWORDS, V.REGIONAL_LEAST)
+
+
+def institutional_relevance(news: DataFrame, company: DataFrame) -> DataFrame:
+    """Items of institutional sources: all are kept, and those of hardly any relevance are lifted to a floor."""
+    weak = F.col("relevance") < V.INSTITUTIONAL_WEAK
+    return _relevance(news, company, V.REGIONAL_KEYWORDS).withColumn("relevance", F.when(weak, V.INSTITUTIONAL_FLOOR).otherwise(F.col("relevance")))
+
+
+def _relevance(news: DataFrame, company: DataFrame, keywords) -> DataFrame:
     rows = news.join(company.select("company_id", "company_name"), "company_id")
-    score = X.relevance(F.col("title"), F.col("snippet"), F.col("company_name"), keywords)
-    rows = rows.withColumn("relevance", F.round(score, 2)).filter(F.col("relevance") >= least)
-    return rows if floor is None else rows.withColumn("relevance", F.greatest("relevance", F.lit(floor)))
+    return rows.withColumn("relevance", F.round(X.relevance(F.col("title"), F.col("snippet"), F.col("company_name"), keywords), 2))
 
 
 def dedup_first(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
@@ -148,13 +222,29 @@ def merge_news(sources: Sequence[DataFrame]) -> DataFrame:
 
 
 def explain_guard(replies: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Explanations out of reply texts (a JSON array or object, maybe fenced) that name a candidate of their company; others are dropped."""
+    """Explanations out of reply texts (a JSON array or object, maybe fenced) that name a candidate of their company; others are dropped.
+
+    A reply without a headline gets the type's own; evidence is a list, empty where there is none, and reasoning a text.
+    """
     bare = F.trim(F.regexp_replace("reply", "```json|```", ""))
     array = F.when(bare.startswith("["), bare).when(bare.startswith("{"), F.concat(F.lit("["), bare, F.lit("]"))).otherwise(F.regexp_extract(bare, r"(?s)\[.*\]", 0))
-    rows = replies.select("reply_no", "company_id", F.inline(F.from_json(array, "array<struct<signal_type:string,headline:string>>")))
+    rows = replies.select("reply_no", "company_id", F.inline(F.from_json(array, "array<struct<signal_type:string,headline:string,evidence:array<string>,reasoning:string>>")))
     rows = rows.withColumn("signal_type", F.replace(F.replace(F.lower("signal_type"), F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_")))
     held = candidates.select("company_id", "signal_type", "severity", "confidence")
-    return rows.join(held, ["company_id", "signal_type"]).select("reply_no", "company_id", "signal_type", "headline", "severity", "confidence")
+    own = F.coalesce("headline", F.concat(X.title_case(F.col("signal_type")), F.lit(" detected")))
+    return rows.join(held, ["company_id", "signal_type"]).select(
+        "reply_no", "company_id", "signal_type", own.alias("headline"), F.coalesce("evidence", F.array().cast("array<string>")).alias("evidence"), F.coalesce("reasoning", F.lit("")).alias("reasoning"), "severity", "confidence")
+
+
+def evidence(filing_clauses: DataFrame, news_clauses: DataFrame) -> DataFrame:
+    """The first clauses of a company: some of each of its first filings, then one of each of its first news items.
+
+    Inputs: company_id, nth (place of the document for the company), rank (place of the clause in it) and any columns that both have.
+    """
+    most = V.EVIDENCE
+    some = lambda rows, origin, no, docs, each: rows.filter((F.col("nth") <= docs) & (F.col("rank") <= each)).withColumns({"origin": F.lit(origin), "_no": F.lit(no)})
+    rows = some(filing_clauses, "filing", 0, most["filings"], most["of_filing"]).unionByName(some(news_clauses, "news", 1, most["news"], most["of_news"]))
+    return first_rows(rows, ["company_id"], ["_no", "nth", "rank"], most["most"], "place").drop("_no")
 
 
 def clauses(docs: DataFrame, text: str, key: str, max_per_type: int = 2, location: str = "filing") -> DataFrame:

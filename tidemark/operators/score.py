@@ -77,8 +77,8 @@ def signals(calibrated: DataFrame) -> DataFrame:
     return calibrated.withColumn("headline", F.concat(X.title_case(F.col("signal_type")), F.lit(" -- deterministic detection"))).withColumn("evidence", F.left("source_text", F.lit(200)))
 
 
-def decay(at: Column, as_of: dt.datetime, half_life: float, floor: float) -> Column:
-    seconds = F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp(at.cast("timestamp"))
+def decay(at: Column, as_of: dt.datetime | Column, half_life: float, floor: float) -> Column:
+    seconds = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(at.cast("timestamp"))
     return F.greatest(F.pow(F.lit(0.5), seconds / 86400.0 / half_life), F.lit(floor))
 
 
@@ -99,16 +99,21 @@ def expected_move(rows: DataFrame) -> DataFrame:
     return joined.withColumns({f: F.coalesce(f, F.lit(d)) for f, d in zip(fields, V.NO_MOVE, strict=True)})
 
 
-def score(found: DataFrame, company: DataFrame, *, as_of: dt.datetime, compliance: bool = False) -> DataFrame:
-    """Add alpha (0 to 100), its parts, the expected move and the review flag with its reason."""
+def score(found: DataFrame, company: DataFrame, *, as_of: dt.datetime | Column, compliance: bool = False, ticker: Column | None = None) -> DataFrame:
+    """Add alpha (0 to 100), its parts, the expected move and the review flag with its reason. ``ticker``: an expression in place of the company's own."""
     w = V.ALPHA_WEIGHTS
     rows = found.join(company.select("company_id", "ticker", "exchange"), "company_id", "left")
+    if ticker is not None:
+        rows = rows.withColumn("ticker", ticker)
     rows = rows.withColumn("liquidity", liquidity_tier(F.col("ticker"), F.col("exchange")))
     # a tenth more or less can decide on a review, so the sum is rounded as a decimal
+    rows = rows.withColumns({
+        "severity_part": X.lookup(F.col("severity"), V.SEVERITY_WEIGHT, 0.28), "credibility_part": X.lookup(F.col("source_name"), V.CREDIBILITY, V.DEFAULT_CREDIBILITY),
+        "corroboration_part": 1.0 - 1.0 / (1.0 + 0.8 * F.col("corroboration")), "recency_part": decay(F.col("doc_date"), as_of, V.RECENCY_HALF_LIFE, V.RECENCY_FLOOR),
+    })
     raw = (
-        X.lookup(F.col("severity"), V.SEVERITY_WEIGHT, 0.28) * w["severity"] + X.lookup(F.col("source_name"), V.CREDIBILITY, V.DEFAULT_CREDIBILITY) * w["credibility"]
-        + (1.0 - 1.0 / (1.0 + 0.8 * F.col("corroboration"))) * w["corroboration"]
-        + decay(F.col("doc_date"), as_of, V.RECENCY_HALF_LIFE, V.RECENCY_FLOOR) * w["recency"] + X.lookup(F.col("liquidity"), V.LIQUIDITY_WEIGHT, 0.2) * w["liquidity"]
+        F.col("severity_part") * w["severity"] + F.col("credibility_part") * w["credibility"] + F.col("corroboration_part") * w["corroboration"] + F.col("recency_part") * w["recency"]
+        + X.lookup(F.col("liquidity"), V.LIQUIDITY_WEIGHT, 0.2) * w["liquidity"]
     )
     rows = expected_move(rows.withColumn("alpha", X.rounded(raw * 100, 1)))
     low = F.lit(compliance) & (F.col("confidence") < V.REVIEW_CONFIDENCE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from tidemark.functions import values as V
@@ -108,9 +109,9 @@ _TITLE = "list_reduce(list_transform(string_split(signal_type, '_'), lambda x: u
 _RISK = lambda c: exact(c, V.SEVERITY_RISK, 0)
 
 
-def _ema(dim: str) -> str:
-    """Folded values of one dimension from 0 on."""
-    return f"list_reduce(list_prepend({double(0)}, coalesce(list(value ORDER BY run_date, run_id, place, key) FILTER (WHERE {dim}), [])), lambda a, x: round(CAST(a + 0.25 * (x - a) AS DECIMAL(20, 8)), 2)::DOUBLE)"
+def _ema(dim: str, start: float = 0) -> str:
+    """Folded values of one dimension."""
+    return f"list_reduce(list_prepend({double(start)}, coalesce(list(value ORDER BY run_date, run_id, place, key) FILTER (WHERE {dim}), [])), lambda a, x: round(CAST(a + 0.25 * (x - a) AS DECIMAL(20, 8)), 2)::DOUBLE)"
 
 
 _DIM = "CASE signal_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.RISK_DIMENSION.items()) + " END"
@@ -157,7 +158,7 @@ FROM (SELECT *, {exact('source_name', V.CREDIBILITY, V.DEFAULT_CREDIBILITY)} AS
     "steps": f"""SELECT company_id, run_date, run_id, {double(0)} AS place, '' AS key, 'run' AS dim, greatest({_RISK('severity')}, CASE WHEN coalesce(top_alpha, 0) <> 0 THEN top_alpha * 0.9 ELSE 0 END) AS value, top_alpha AS alpha, coalesce(n, 0)::DOUBLE AS n
 FROM v_run LEFT JOIN (SELECT run_id, count(*) AS n FROM v_run_signal GROUP BY run_id) USING (run_id)
 UNION ALL SELECT company_id, run_date, run_id, 1000 - coalesce(alpha, 0), signal_type, {_DIM}, {_RISK('severity')}, NULL, 0 FROM v_run_signal""",
-    "folded": f"""SELECT company_id, {_ema("dim IN ('run', 'rolling')")} AS rolling, {_ema("dim = 'governance'")} AS governance, {_ema("dim = 'credit'")} AS credit, {_ema("dim = 'regulatory'")} AS regulatory,
+    "folded": f"""SELECT company_id, {_ema("dim IN ('run', 'rolling')")} AS rolling, {_ema("dim = 'governance'", 50)} AS governance, {_ema("dim = 'credit'")} AS credit, {_ema("dim = 'regulatory'")} AS regulatory,
   list_reduce(list_prepend({double(0)}, list(n ORDER BY run_date, run_id) FILTER (WHERE dim = 'run')), lambda a, x: round(CAST(a + 0.25 * (x - a) AS DECIMAL(20, 8)), 2)::DOUBLE) AS velocity,
   list_reduce(list_prepend({double(0)}, coalesce(list(value ORDER BY run_date, run_id, place, key) FILTER (WHERE dim IN ('run', 'rolling') AND (run_date, run_id) < (last_date, last_run)), [])), lambda a, x: round(CAST(a + 0.25 * (x - a) AS DECIMAL(20, 8)), 2)::DOUBLE) AS before,
   arg_max(alpha, (run_date, run_id)) FILTER (WHERE dim = 'run' AND run_id = last_run) AS last_alpha, count_if(dim = 'run') AS runs, count_if(dim <> 'run') AS n_signals, count_if(key = 'leadership_change') AS leadership_changes, count_if(key = 'debt_restructuring') AS debt_restructures, count_if(key = 'regulatory_action') AS regulatory_actions
@@ -186,6 +187,20 @@ CONTAGION = """SELECT d.company, CASE WHEN coalesce(r.connected, 0) > 5 OR coale
 FROM distressed d LEFT JOIN (SELECT node, count_if(edge_type = 'lends_to' OR coalesce(node_type = 'lender', false)) AS lenders, count_if(edge_type = 'board_overlap') AS board_links, count_if(coalesce(node_type = 'regulator', false)) AS regulators FROM both_ways LEFT JOIN v_node ON node_id = other GROUP BY node) n ON n.node = d.company
 LEFT JOIN (SELECT company, count(*) AS connected, array_to_string(list_slice(list_sort(list(other)), 1, 10), ',') AS second_order FROM near WHERE other IN (SELECT node_id FROM v_node WHERE node_type = 'company') GROUP BY company) r ON r.company = d.company"""
 
+CONTAGION_THIRD = """WITH co AS (SELECT node_id FROM v_node WHERE node_type = 'company'), one AS (SELECT company, other FROM distressed JOIN both_ways ON node = company),
+two AS (SELECT company, other FROM one UNION SELECT o.company, b.other FROM one o JOIN both_ways b ON b.node = o.other), three AS (SELECT company, other FROM two UNION SELECT t.company, b.other FROM two t JOIN both_ways b ON b.node = t.other)
+SELECT company, count(*) AS connected, array_to_string(list_slice(list_sort(list(other)), 1, 10), ',') AS second_order FROM three WHERE other <> company AND other IN (SELECT node_id FROM co) GROUP BY company"""
+ACQUISITION_CHAINS = """WITH RECURSIVE own AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type = 'acquired'), c(company, other, hops) AS (SELECT src, dst, 1 FROM own UNION SELECT c.company, o.dst, c.hops + 1 FROM c JOIN own o ON o.src = c.other WHERE c.hops < 60 AND o.dst <> c.company)
+SELECT company, other, min(hops)::INT AS hops FROM c GROUP BY ALL"""
+#: Days whose knowledge one pass tells.
+DAYS = (dt.date(1996, 6, 30), dt.date(1999, 12, 31), dt.date(2024, 1, 15))
+for _i, _day in enumerate(DAYS):
+    STEPS |= {
+        f"hits_{_i}": _hits(f"WHERE {{}} <= DATE '{_day}'"), f"cand_{_i}": _cand(f"hits_{_i}"),
+        f"cal_{_i}": _calibrated(f"SELECT *, least(raw_score * ({multiplier('corroboration')}), {double(1)}) AS adj FROM cand_{_i}", double(1)), f"scored_{_i}": _scored(f"cal_{_i}", "NULL::STRING", str(_day)),
+    }
+AS_OF_DAYS = " UNION ALL ".join(f"SELECT '{d}' AS horizon, signal_type, count(*) AS n, max(alpha) AS top_alpha, count_if(review) AS reviews FROM scored_{i} GROUP BY signal_type" for i, d in enumerate(DAYS))
+
 AUDIT_SQL = """WITH RECURSIVE c AS (SELECT chain, seq, 'GENESIS' AS prev_hash, sha256(payload || '|GENESIS') AS data_hash FROM v_audit WHERE seq = 1
   UNION ALL SELECT a.chain, a.seq, c.data_hash, sha256(a.payload || '|' || c.data_hash) FROM c JOIN v_audit a ON a.chain = c.chain AND a.seq = c.seq + 1)
 SELECT chain, seq, prev_hash, data_hash FROM c"""

@@ -258,6 +258,37 @@ def validate(f):
     return H.validate(spoiled)
 
 
+_RANGED = {
+    "news": ("SELECT company_id, doc_no AS key, 'relevance_score' AS \"column\", CASE doc_no % 29 WHEN 0 THEN 1.5 ELSE relevance_score END AS value, 0 AS lo, 1 AS hi FROM v_news"),
+    "alpha": ("SELECT company_id, 0, 'alpha', CASE company_id % 7 WHEN 0 THEN alpha + 100 ELSE alpha END, 0, 100 FROM scored"),
+    "compounds": ("SELECT company_id, rule_no, 'multiplier', CASE company_id % 5 WHEN 0 THEN 0.25 ELSE multiplier END, 0.5, 3 FROM comp"),
+    "confidence": ("SELECT company_id, 0, 'entity_match', CASE company_id % 9 WHEN 0 THEN -0.1 ELSE entity_match END, 0, 1 FROM confidence"),
+    "profiles": ("SELECT company_id, 0, 'governance', CASE company_id % 3 WHEN 0 THEN governance + 200 ELSE governance END, 0, 100 FROM memory"),
+}
+
+
+@query("SELECT \"table\", company_id, key, \"column\", value::DOUBLE AS value FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS \"table\", * FROM ({sql})" for t, sql in _RANGED.items()) + ") WHERE value < lo OR value > hi")
+def validate_ranges(f):
+    """Five stored tables with values spoiled in known places."""
+    at = lambda n: F.col("company_id") % n == 0
+    spoil = lambda rows, column, when, value: rows.withColumn(column, F.when(when, value).otherwise(F.col(column)))
+    zero = F.lit(0).cast("long")
+    learned = H.source_reliability(f.v("v_feedback"), FEEDBACK_ORDER)
+    parts = S.confidence_parts(f.candidates, f.stats, learned, as_of=AS_OF).withColumn("calibration_adjustment", F.lit(1.0))
+    spoiled = {
+        "news": spoil(f.news.withColumn("key", F.col("doc_no")), "relevance_score", F.col("doc_no") % 29 == 0, F.lit(1.5)),
+        "alpha": spoil(f.scored.withColumn("key", zero), "alpha", at(7), F.col("alpha") + 100),
+        "compounds": spoil(f.compounds.withColumn("key", F.col("rule_no").cast("long")), "multiplier", at(5), F.lit(0.25)),
+        "confidence": spoil(parts.withColumn("key", zero), "entity_match", at(9), F.lit(-0.1)),
+        "profiles": spoil(f.memory.withColumn("key", zero), "governance", at(3), F.col("governance") + 200),
+    }
+    out = None
+    for table, rows in spoiled.items():
+        found = H.out_of_range(rows, table, "company_id", "key")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("SELECT company_id, top_alpha, liquidity, overall_severity, needs_review, review_reasons, n_signals, systemic_risk, total_sources FROM brief")
 def brief_json(f):
     """What is read back from the briefs written as JSON."""
@@ -284,7 +315,7 @@ def source_reliability(f):
     return H.source_reliability(f.v("v_feedback"), FEEDBACK_ORDER)
 
 
-@query("SELECT types.type AS signal_type, coalesce(total, 0) AS total, precision, coalesce(fp_rate, 0) AS fp_rate, CASE WHEN coalesce(total, 0) < 10 THEN 1.0 ELSE greatest(0.7, least(1.3, 0.5 + precision)) END AS precision_factor, greatest(0.60, 1.0 - coalesce(fp_rate, 0) * 0.5) AS fp_factor, coalesce(total, 0) >= 10 AS adaptive FROM (SELECT DISTINCT type FROM rules) types LEFT JOIN stats ON stats.signal_type = types.type")
+@query("SELECT types.type AS signal_type, coalesce(total, 0) AS total, precision, coalesce(fp_rate, 0) AS fp_rate, CASE WHEN coalesce(total, 0) < 10 THEN 1.0 ELSE greatest(0.7, least(1.3, 0.5 + precision)) END AS precision_factor, greatest(0.60, 1.0 - coalesce(fp_rate, 0) * 0.5) AS fp_factor, " + O.half_up("CASE WHEN coalesce(total, 0) < 10 THEN 1.0 ELSE greatest(0.7, least(1.3, 0.5 + precision)) END * greatest(0.60, 1.0 - coalesce(fp_rate, 0) * 0.5)", 3) + " AS net_factor, CASE WHEN coalesce(total, 0) = 0 THEN 'insufficient data' END AS note, coalesce(total, 0) >= 10 AS adaptive FROM (SELECT DISTINCT type FROM rules) types LEFT JOIN stats ON stats.signal_type = types.type")
 def calibration_report(f):
     return H.calibration_report(f.v("v_feedback"))
 
@@ -307,11 +338,20 @@ def outcome_accuracy(f):
     return H.outcome_accuracy(f.outcome)
 
 
-@query(f"SELECT signal_type, {_ACC} FROM outcome GROUP BY signal_type")
+_BY_TYPE = f"SELECT * REPLACE (coalesce(avg_magnitude_error, 0) AS avg_magnitude_error) FROM (SELECT signal_type, {_ACC} FROM outcome GROUP BY signal_type)"
+
+
+@query(_BY_TYPE)
 def outcome_by_type(f):
     return H.outcome_accuracy(f.outcome, by_type=True)
 
 
+@query(f"SELECT 'type' AS scope, * FROM ({_BY_TYPE}) UNION ALL SELECT 'all', NULL, {_ACC} FROM outcome")
+def outcome_report(f):
+    """Accuracy overall and by type from one scan of the outcomes."""
+    return H.outcome_report(f.outcome)
+
+
 @query("SELECT count(*) AS total, round(count_if(event_confirmed) / count(*), 3) AS confirmation_rate, round(count_if(direction_correct) / count(*), 3) AS direction_accuracy, round(avg(abs(coalesce(magnitude_error, 0))), 2) AS avg_magnitude_error FROM outcome")
 def outcome_accuracy_wh(f):
     return H.outcome_accuracy_all_rows(f.outcome)
@@ -398,9 +438,10 @@ def run_contents(f):
     return H.run_contents(f.v("v_run"), f.v("v_run_signal"), f.filing, f.news)
 
 
-@query("SELECT company_id, count(*) AS n, max(filing_date) AS last FROM v_filing WHERE filing_date <= DATE '1998-06-30' GROUP BY company_id")
+@query("SELECT origin, company_id, count(*) AS n, max(day) AS last FROM (SELECT 'filing' AS origin, company_id, filing_date AS day FROM v_filing UNION ALL SELECT 'news', company_id, published_date FROM v_news) WHERE day <= DATE '2024-01-15' GROUP BY origin, company_id")
 def replay_inputs(f):
-    return f.filing.filter(F.col("filing_date") <= F.lit(dt.date(1998, 6, 30))).groupBy("company_id").agg(F.count("*").alias("n"), F.max("filing_date").alias("last"))
+    rows = H.replay_inputs(f.filing, f.news, as_of=REPLAY_AT)
+    return rows.groupBy("origin", "company_id").agg(F.count("*").alias("n"), F.max("day").alias("last"))
 
 
 @query("SELECT company_id, signal_type, severity, alpha FROM replayed")
@@ -416,8 +457,17 @@ def replay_runs(f):
 
 @query("SELECT * FROM (SELECT coalesce(a.company_id, b.company_id) AS company_id, coalesce(a.signal_type, b.signal_type) AS signal_type, CASE WHEN b.severity IS NULL THEN 'removed' WHEN a.severity IS NULL THEN 'added' WHEN a.severity <> b.severity OR abs(b.alpha - a.alpha) > 5 THEN 'modified' END AS change, round(coalesce(b.alpha, 0) - coalesce(a.alpha, 0), 1) AS alpha_delta FROM scored a FULL JOIN replayed b ON a.company_id = b.company_id AND a.signal_type = b.signal_type) WHERE change IS NOT NULL")
 def run_diff(f):
-    again = H.replay(f.filing, f.news, f.company, as_of=REPLAY_AT)
-    return H.run_diff(f.scored, again).select("company_id", "signal_type", "change", "alpha_delta")
+    """Two days of one detection."""
+    days = {"now": (AS_OF, None), "then": (REPLAY_AT, REPLAY_AT)}
+    return H.horizon_diff(H.scored_as_of(f.filing, f.news, f.company, days, listed=["now"]), "now", "then").select("company_id", "signal_type", "change", "alpha_delta")
+
+
+@query(O.AS_OF_DAYS)
+def as_of_days(f):
+    """What was known on three days, from one search of the texts: candidates and their best score by type."""
+    days = {str(d): (dt.datetime.combine(d, dt.time()), dt.datetime.combine(d, dt.time())) for d in O.DAYS}
+    rows = H.scored_as_of(f.filing, f.news, f.company, days)
+    return rows.groupBy("horizon", "signal_type").agg(F.count("*").alias("n"), F.max("alpha").alias("top_alpha"), F.count_if("review").alias("reviews"))
 
 
 # ---- audit, alerts, tables -----------------------------------------------------------------------------------
@@ -437,6 +487,16 @@ def audit_verify(f):
     return H.audit_verify(f.chain.withColumns({"payload": payload, "prev_hash": link}))
 
 
+@query("SELECT * FROM (" + O.AUDIT_SQL + ") WHERE seq > 3")
+def audit_append(f):
+    """Entries of a third batch: each goes on from the heads that the two batches before it left in the stored table."""
+    folder, whole = store.shared_folder(f.spark, "audit"), f.v("v_audit")
+    for run, own in (("run-1", "seq <= 2"), ("run-2", "seq = 3"), ("run-3", "seq > 3")):
+        heads = None if run == "run-1" else H.audit_heads(store.read_table(f.spark, folder, "audit"))
+        store.save_state("audit", H.audit_build(whole.filter(own), heads), folder, run)
+    return store.read_table(f.spark, folder, "audit", "run-3").select("chain", F.col("seq").cast("long").alias("seq"), "prev_hash", "data_hash")
+
+
 @query("SELECT chain, seq, payload FROM v_audit ORDER BY seq DESC, chain DESC LIMIT 100")
 def recent_audit(f):
     return f.chain.orderBy(F.desc("seq"), F.desc("chain")).limit(100).select("chain", F.col("seq").cast("long").alias("seq"), "payload")
@@ -546,6 +606,16 @@ def shared_execs(f):
     return G.shared_executives(f.nodes, f.edges)
 
 
+@query("""WITH n AS (SELECT executive FROM execs GROUP BY executive HAVING count(*) >= 3), few AS (SELECT * FROM execs WHERE executive NOT IN (SELECT executive FROM n))
+SELECT 'pair' AS what, x.company AS company_a, y.company AS company_b, string_agg(x.executive, ',' ORDER BY x.executive) AS executives FROM few x JOIN few y ON x.executive = y.executive AND x.company < y.company GROUP BY ALL
+UNION ALL SELECT 'member', company, NULL, executive FROM execs WHERE executive IN (SELECT executive FROM n)""")
+def shared_exec_classes(f):
+    """Pairs by executives of two companies; those of three and more as classes."""
+    pairs, members = G.shared_executive_classes(f.nodes, f.edges, busy=3)
+    return pairs.select(F.lit("pair").alias("what"), "company_a", "company_b", "executives").unionByName(
+        members.select(F.lit("member").alias("what"), F.col("company").alias("company_a"), F.lit(None).cast("string").alias("company_b"), F.col("executive").alias("executives")))
+
+
 @query("SELECT node AS lender, other AS company, coalesce(detail, 'unknown') AS facility FROM both_ways WHERE edge_type = 'lends_to' AND node IN (SELECT node_id FROM v_node WHERE node_type = 'lender')")
 def lender_exposure(f):
     return G.lender_exposure(f.nodes, f.edges)
@@ -561,6 +631,17 @@ def contagion(f):
     return G.contagion(f.nodes, f.edges, f.distressed)
 
 
+@query(O.CONTAGION_THIRD)
+def contagion_third(f):
+    """Companies within three hops of distressed ones, hubs as classes."""
+    return G.reach(f.nodes, f.edges, f.distressed, depth=3)
+
+
+@query(O.ACQUISITION_CHAINS)
+def acquisition_chains(f):
+    return G.acquisition_chains(f.edges)
+
+
 @query("SELECT 'edge' AS what, edge_type AS type, count(*) AS n FROM edges GROUP BY edge_type UNION ALL SELECT 'node', coalesce(node_type, 'unknown'), count(*) FROM (SELECT a AS e FROM edges UNION SELECT b FROM edges) FULL JOIN v_node ON e = node_id GROUP BY ALL")
 def graph_summary(f):
     return G.summary(f.nodes, f.edges)
@@ -589,6 +670,20 @@ def phrase_search(f):
     return I.phrase_search(f.filing, ("merger talks", "going concern", "profit warning"), FORMS, dt.date(1996, 1, 1), dt.date(2000, 12, 31)).select("company_id", "phrase", "accession_number", "rank")
 
 
+#: Phrases out of the filings' own words, and names that none of them holds.
+_PHRASES = """SELECT DISTINCT concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS phrase FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT string_split(description, ' ') AS w FROM v_filing))
+UNION SELECT DISTINCT substr(description, 3, 6) FROM v_filing UNION SELECT p_name FROM part"""
+
+
+@query(f"SELECT * FROM (SELECT company_id, phrase, accession_number, row_number() OVER (PARTITION BY company_id, phrase ORDER BY filing_date DESC, accession_number) AS rank FROM v_filing JOIN ({_PHRASES}) p ON contains(lower(description), lower(phrase)) AND trim(phrase) <> '' WHERE form_type IN ('8-K', '10-K', 'SC 13D') AND filing_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31') WHERE rank <= 3")
+def phrase_table(f):
+    """Phrases from a table: three-word windows of the filings, pieces of words, and the names of all parts."""
+    w = F.split("description", " ")
+    windows = f.filing.select(F.explode(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))).alias("phrase"))
+    phrases = windows.unionByName(f.filing.select(F.substring("description", 3, 6).alias("phrase"))).unionByName(f.v("part").select(F.col("p_name").alias("phrase"))).distinct()
+    return I.phrase_filings(f.filing, phrases, FORMS, dt.date(1996, 1, 1), dt.date(2000, 12, 31)).select("company_id", "phrase", "accession_number", "rank")
+
+
 @query("SELECT title, url AS link, strftime(published_at, '%a, %d %b %Y %H:%M:%S GMT') AS \"pubDate\", snippet FROM v_news")
 def feed_items(f):
     item = F.struct(F.struct("title", F.col("url").alias("link"), F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss 'GMT'").alias("pubDate"), F.concat(F.lit("<p>"), "snippet", F.lit("</p>")).alias("description")).alias("item"))
@@ -603,18 +698,25 @@ def feed_dates(f):
     return f.news.select("doc_no", text.alias("t")).select("doc_no", I.feed_date(F.col("t"), AS_OF).alias("day"))
 
 
-_ITEMS = "SELECT *, published_date AS day, CASE doc_no % 4 WHEN 0 THEN 'JSE' WHEN 1 THEN 'NGX' WHEN 2 THEN 'NSE-KE' ELSE 'GSE' END AS venue FROM v_news"
-_CAPS = {"JSE": 3, "NGX": 8, "NSE-KE": 4, "GSE": 4}
+_FEEDS = ("ngx_announcement", "ngx_disclosure", "jse_sens", "jse_news", "nse_kenya")
+_ITEMS = "SELECT company_id, feed, row_number() OVER (PARTITION BY company_id, feed ORDER BY published_date DESC, doc_no) AS pos, CASE doc_no % 11 WHEN 0 THEN '' ELSE title || ' ' || doc_no % 7 END AS title, snippet, url, published_date FROM (SELECT *, CASE WHEN doc_no % 5 = 2 AND company_id % 3 = 0 THEN 'other' ELSE CASE doc_no % 5 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_FEEDS)) + " END END AS feed FROM v_news)"
 
 
 def _items(f) -> DataFrame:
-    venue = F.element_at(F.array(*map(F.lit, ("JSE", "NGX", "NSE-KE", "GSE"))), (F.col("doc_no") % 4 + 1).cast("int"))
-    return f.news.select("company_id", venue.alias("venue"), "title", F.col("snippet").alias("text"), F.col("url").alias("link"), F.col("published_date").alias("day"))
-
-
-@query(f"SELECT company_id, venue || '-' || left(md5(url || '|' || title), 12) AS accession_number, CASE venue WHEN 'JSE' THEN 'JSE SENS' WHEN 'NGX' THEN 'NGX Announcement' WHEN 'NSE-KE' THEN 'NSE Kenya Disclosure' ELSE 'Ghana Stock Exchange' END AS form_type, venue AS cik, day AS filing_date FROM (SELECT *, row_number() OVER (PARTITION BY company_id, venue ORDER BY day DESC, url) AS rank FROM ({_ITEMS})) WHERE rank <= CASE venue WHEN 'JSE' THEN 3 WHEN 'NGX' THEN 8 ELSE 4 END")
+    """Items of five feeds in their order; each third company has none in one of them, and some items have no title."""
+    feed = F.element_at(F.array(*map(F.lit, _FEEDS)), (F.col("doc_no") % 5 + 1).cast("int"))
+    rows = f.news.withColumn("feed", F.when((F.col("doc_no") % 5 == 2) & (F.col("company_id") % 3 == 0), "other").otherwise(feed))
+    title = F.when(F.col("doc_no") % 11 == 0, "").otherwise(F.concat("title", F.lit(" "), (F.col("doc_no") % 7).cast("string")))
+    pos = F.row_number().over(Window.partitionBy("company_id", "feed").orderBy(F.desc("published_date"), "doc_no"))
+    return rows.select("company_id", "feed", pos.alias("pos"), title.alias("title"), F.col("snippet").alias("text"), F.col("url").alias("link"), F.col("published_date").alias("day"))
+
+
+@query(f"""WITH items AS ({_ITEMS}), own AS (SELECT * FROM items WHERE title <> '' AND pos <= CASE feed WHEN 'ngx_announcement' THEN 3 WHEN 'ngx_disclosure' THEN 3 WHEN 'jse_sens' THEN 8 WHEN 'other' THEN 0 ELSE 4 END)
+SELECT company_id, CASE feed WHEN 'jse_sens' THEN 'SENS' WHEN 'jse_news' THEN 'JSE' WHEN 'nse_kenya' THEN 'NSE' ELSE 'NGX' END || '-' || left(md5(title), 12) AS accession_number,
+  CASE feed WHEN 'jse_sens' THEN 'JSE SENS' WHEN 'jse_news' THEN 'JSE Announcement' WHEN 'nse_kenya' THEN 'NSE Kenya Disclosure' ELSE 'NGX Announcement' END AS form_type, CASE feed WHEN 'jse_sens' THEN 'JSE' WHEN 'jse_news' THEN 'JSE' WHEN 'nse_kenya' THEN 'NSE-KE' ELSE 'NGX' END AS cik,
+  published_date AS filing_date, title AS description, left(snippet, 300) AS raw_excerpt FROM own WHERE feed <> 'jse_news' OR company_id NOT IN (SELECT company_id FROM own WHERE feed = 'jse_sens')""")
 def exchange_filings(f):
-    return I.exchange_filings(_items(f), _CAPS).select("company_id", "accession_number", "form_type", "cik", "filing_date")
+    return I.exchange_filings(_items(f)).select("company_id", "accession_number", "form_type", "cik", "filing_date", "description", "raw_excerpt")
 
 
 @query("SELECT company_id, doc_no, 'primary' AS origin FROM v_news WHERE source = 'Moneyweb' UNION ALL SELECT company_id, doc_no, 'fallback' FROM v_news WHERE source = 'Stears' AND company_id NOT IN (SELECT company_id FROM v_news WHERE source = 'Moneyweb')")
@@ -632,15 +734,27 @@ def link_extract(f):
     return I.link_extract(f.v("pages"), min_len=3).select("page_id", "title", "link", "rank")
 
 
-@query(r"""SELECT page_id, title, rank FROM (SELECT page_id, title, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS rank FROM (
-  SELECT page_id, pos, company, trim(regexp_replace(inner_, '<[^>]+>', ' ', 'g')) AS title, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/]+)', 1) || href WHEN starts_with(href, 'http') THEN href END AS link FROM (
-    SELECT page_id, url, company, unnest(range(len(h))) AS pos, trim(unnest(h)) AS href, unnest(t) AS inner_ FROM (
-      SELECT page_id, url, lower(split_part(regexp_extract(url, '^https?://([^/]+)', 1), '.', 1)) AS company, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a[^>]+href=["'']([^"'']+)["''][^>]*>(.*?)</a>', 2) AS t FROM pages)))
-  WHERE length(title) BETWEEN 3 AND 300 AND regexp_matches(title, '\p{L}') AND link IS NOT NULL AND ((company <> '' AND contains(lower(title), company)) OR contains(lower(title), 'ab') OR contains(lower(title), 'con') OR contains(lower(title), 'the'))) WHERE rank <= 8""")
+#: Listing pages of companies: a link for each of their news items, and a short one.
+_NAMED = "CASE company_id % 4 WHEN 0 THEN 'Delta Holdings plc' WHEN 1 THEN 'Target Corp' WHEN 2 THEN 'Nowhere Ltd' ELSE company_name END"
+
+
+def _listings(f) -> DataFrame:
+    link = F.concat(F.lit("<li><a class='x' href='"), F.when(F.col("doc_no") % 5 == 0, F.lit("#top")).otherwise(F.concat(F.lit("/n/"), F.col("doc_no").cast("string"))), F.lit("'>"), "title", F.lit(" <b>today</b></a></li>"))
+    html = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_no", link.alias("link")))), lambda x: x["link"]), "")
+    pages = f.news.groupBy("company_id").agg(html.alias("html")).join(f.company, "company_id")
+    return pages.select(F.col("company_id").alias("page_id"), F.lit("https://listing.example/all").alias("url"), F.expr(_NAMED).alias("company"), F.concat(F.lit("<a href='/nav'>Home page</a>"), "html").alias("html"))
+
+
+_SIGNAL_WORDS = " OR ".join(f"contains(lower(title), {O.text(w)})" for ws in V.REGIONAL_KEYWORDS.values() for w in ws)
+
+
+@query(f"""WITH pages_of AS (SELECT company_id AS page_id, lower({_NAMED}) AS company FROM v_company), t AS (SELECT company_id AS page_id, doc_no, trim(title || '  today ') AS title, 'https://listing.example/n/' || doc_no AS link FROM v_news WHERE doc_no % 5 <> 0)
+SELECT * FROM (SELECT page_id, title, link, row_number() OVER (PARTITION BY page_id ORDER BY doc_no) AS rank FROM t JOIN pages_of USING (page_id)
+  WHERE length(title) BETWEEN 15 AND 300 AND (contains(lower(title), company) OR len(list_filter(string_split(company, ' '), lambda p: length(p) > 3 AND contains(lower(title), p))) > 0 OR {_SIGNAL_WORDS})) WHERE rank <= 8""")
 def link_extract_company(f):
-    """Links whose text names the page's own site or holds a keyword."""
-    site = F.lower(F.substring_index(F.regexp_extract("url", "^https?://([^/]+)", 1), ".", 1))
-    return I.link_extract(f.v("pages").withColumn("company", site), min_len=3, keywords=("ab", "con", "the"), company="company").select("page_id", "title", "rank")
+    """Links of listing pages whose text names the company, or a part of its name, or holds a keyword."""
+    words = [w for ws in V.REGIONAL_KEYWORDS.values() for w in ws]
+    return I.link_extract(_listings(f), keywords=words, company="company").select("page_id", "title", "link", "rank")
 
 
 @query(r"SELECT page_id, left(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 4000) AS text FROM pages")
@@ -672,6 +786,25 @@ def source_union(f):
     return rows.withColumn("error", none.cast("string")).unionByName(errors.select(F.col("source").alias("origin"), none.cast("bigint").alias("company_id"), none.cast("bigint").alias("doc_no"), none.cast("string").alias("name"), "error"))
 
 
+@query("""SELECT 'feed' AS origin, doc_no, NULL AS error FROM v_news WHERE doc_no % 17 > 1 UNION ALL SELECT 'feed', NULL, 'corrupt row' FROM v_news WHERE doc_no % 17 <= 1 UNION ALL SELECT 'table', doc_no, NULL FROM v_filing
+UNION ALL SELECT 'table', NULL, 'no rows could be read' UNION ALL SELECT 'gone', NULL, 'AnalysisException'""")
+def source_errors(f):
+    """Landed JSON with spoiled records, a Parquet folder with a spoiled file, and a source that is not there: what can be read, and an error for each."""
+    folder = store.shared_folder(f.spark, "landed")
+    record = F.to_json(F.struct("company_id", "doc_no"))
+    cut_off, wrong = F.left(record, F.length(record) - 3), F.concat(F.lit('{"company_id": "none", "doc_no": '), F.col("doc_no").cast("string"), F.lit("}"))
+    f.news.select(F.when(F.col("doc_no") % 17 == 0, cut_off).when(F.col("doc_no") % 17 == 1, wrong).otherwise(record)).write.text(f"{folder}/feed")
+    f.filing.select("company_id", "doc_no").write.parquet(f"{folder}/table")
+    f.spark.range(1).select(F.lit("not a table")).write.mode("append").text(f"{folder}/table")
+    kind = "company_id bigint, doc_no bigint"
+    readers = {
+        "feed": lambda: store.landed(f.spark, f"{folder}/feed", "json", kind), "table": lambda: store.landed(f.spark, f"{folder}/table", "parquet", kind),
+        "gone": lambda: f.spark.read.parquet(f"{folder}/no_such_source"),
+    }
+    rows, errors = store.gather(f.spark, readers, {"doc_no": "bigint"})
+    return rows.withColumn("error", F.lit(None).cast("string")).unionByName(errors.select(F.col("source").alias("origin"), F.lit(None).cast("bigint").alias("doc_no"), "error"))
+
+
 @query("SELECT origin, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM (SELECT 'filing' AS origin, form_type AS name FROM v_filing UNION ALL SELECT 'news', source FROM v_news) GROUP BY origin")
 def collection_summary(f):
     rows = f.filing.select(F.lit("filing").alias("origin"), F.col("form_type").alias("name")).unionByName(f.news.select(F.lit("news").alias("origin"), F.col("source").alias("name")))
@@ -688,9 +821,17 @@ def news_relevance(f):
     return I.news_relevance(f.news, f.company).select("doc_no", "relevance")
 
 
-@query("SELECT doc_no, greatest(relevance, 0.25) AS relevance FROM (SELECT doc_no, round(" + O.relevance(V.REGIONAL_KEYWORDS) + ", 2) AS relevance FROM v_news JOIN v_company USING (company_id)) WHERE relevance >= 0.05")
+_REGIONAL = "SELECT doc_no, round(" + O.relevance(V.REGIONAL_KEYWORDS) + ", 2) AS relevance FROM v_news JOIN v_company USING (company_id)"
+
+
+@query(f"SELECT doc_no, relevance FROM ({_REGIONAL}) WHERE relevance >= 0.08")
 def regional_relevance(f):
-    return I.news_relevance(f.news, f.company, V.REGIONAL_KEYWORDS, 0.05, 0.25).select("doc_no", "relevance")
+    return I.regional_relevance(f.news, f.company).select("doc_no", "relevance")
+
+
+@query(f"SELECT doc_no, CASE WHEN relevance < 0.05 THEN 0.25 ELSE relevance END AS relevance FROM ({_REGIONAL})")
+def institutional_relevance(f):
+    return I.institutional_relevance(f.news, f.company).select("doc_no", "relevance")
 
 
 @query("SELECT c_custkey AS company_id, " + " OR ".join(f"contains(lower(c_name || ' ' || n_name || ' ' || r_name), {O.text(w.lower())})" for w in (*V.REGION_COUNTRIES, *V.REGION_WORDS)) + " AS regional FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -735,11 +876,13 @@ def news_ranked(f):
     return rows.select("company_id", "doc_no", "priority", rank.alias("rank"))
 
 
-@query(r"""SELECT reply_no, company_id, signal_type, headline, severity, confidence FROM (
-  SELECT reply_no, company_id, replace(replace(lower(j->0->>'signal_type'), ' ', '_'), '-', '_') AS signal_type, j->0->>'headline' AS headline FROM (
+@query(r"""SELECT reply_no, company_id, signal_type, coalesce(headline, list_reduce(list_transform(string_split(signal_type, '_'), lambda x: upper(left(x, 1)) || substr(x, 2)), lambda a, b: a || ' ' || b) || ' detected') AS headline,
+  coalesce(array_to_string(evidence, '; '), '') AS evidence, coalesce(reasoning, '') AS reasoning, severity, confidence FROM (
+  SELECT reply_no, company_id, replace(replace(lower(j->0->>'signal_type'), ' ', '_'), '-', '_') AS signal_type, j->0->>'headline' AS headline, (j->0->'evidence')::VARCHAR[] AS evidence, j->0->>'reasoning' AS reasoning FROM (
     SELECT reply_no, company_id, trim(regexp_replace(reply, '```json|```', '', 'g'))::JSON AS j FROM v_reply)) JOIN cal USING (company_id, signal_type)""")
 def explain_guard(f):
-    return I.explain_guard(f.v("v_reply"), f.calibrated)
+    rows = I.explain_guard(f.v("v_reply"), f.calibrated)
+    return rows.withColumn("evidence", F.array_join("evidence", "; "))
 
 
 # ---- clauses -------------------------------------------------------------------------------------------------
@@ -769,11 +912,22 @@ def clause_strings(f):
     return rows.select("doc_no", "rank", I.clause_strings(rows).alias("line"))
 
 
-@query(O.clauses(_CLAUSE_TEXT) + "SELECT company_id, doc_no, clause, place FROM (SELECT company_id, doc_no, clause, row_number() OVER (PARTITION BY company_id ORDER BY nth, rank) AS place FROM ranked JOIN (SELECT doc_no, company_id, row_number() OVER (PARTITION BY company_id ORDER BY filing_date, doc_no) AS nth FROM v_filing) USING (doc_no) WHERE nth <= 5) WHERE place <= 3")
+def _told(docs: str, text: str, day: str, view: str, docs_order: str, n: int, each: int) -> str:
+    return O.clauses(text, view, day) + f"SELECT company_id, doc_no, '{docs}' AS origin, clause, nth, rank FROM ranked JOIN (SELECT doc_no, company_id, row_number() OVER (PARTITION BY company_id ORDER BY {docs_order}) AS nth FROM {view}) USING (doc_no) WHERE nth <= {n} AND rank <= {each}"
+
+
+@query("SELECT company_id, doc_no, origin, clause, place FROM (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY origin, nth, rank) AS place FROM (SELECT * FROM ("
+       + _told("filing", _CLAUSE_TEXT, "filing_date", "v_filing", "filing_date, doc_no", 5, 2) + ") UNION ALL SELECT * FROM (" + _told("news", "title || '. ' || snippet", "published_date", "v_news", "relevance_score DESC, published_date, doc_no", 3, 1) + "))) WHERE place <= 3")
 def evidence(f):
-    docs = I.first_rows(_clause_docs(f), ["company_id"], ["filing_date", "doc_no"], 5, "nth")
-    rows = I.clauses(docs, "text", "doc_no").join(docs.select("doc_no", "company_id", "nth"), "doc_no")
-    return I.first_rows(rows, ["company_id"], ["nth", "rank"], 3, "place").select("company_id", "doc_no", "clause", "place")
+    """Clauses of the first five filings (two each) and the three most relevant news items (one each) of a company, the first three of all."""
+    def told(docs, order, n, location):
+        few = I.first_rows(docs, ["company_id"], order, n, "nth")
+        return I.clauses(few, "text", "doc_no", location=location).join(few.select("doc_no", "company_id", "nth"), "doc_no").select("company_id", "doc_no", "nth", "rank", "clause")
+
+    filings = told(_clause_docs(f), ["filing_date", "doc_no"], V.EVIDENCE["filings"], "filing")
+    news = f.news.withColumn("text", F.concat("title", F.lit(". "), "snippet"))
+    items = told(news, [F.desc("relevance_score"), "published_date", "doc_no"], V.EVIDENCE["news"], "news")
+    return I.evidence(filings, items).select("company_id", "doc_no", "origin", "clause", "place")
 
 
 # ---- streams -------------------------------------------------------------------------------------------------
@@ -816,9 +970,24 @@ def stream_corroboration(f):
     return J.newest_corroboration(_news_stream(f), store.shared_folder(f.spark, "corroboration"))
 
 
+@query("""WITH both_hits AS (SELECT company_id, signal_type, 'filing:' || source_name AS source, doc_date::TIMESTAMP AS seen_at, raw_score FROM hits WHERE src_no = 0
+  UNION ALL SELECT company_id, signal_type, 'news:' || source_name, published_at AS seen_at, raw_score FROM hits JOIN (SELECT doc_no, published_at FROM v_news) USING (doc_no) WHERE src_no = 1)
+SELECT window_start, window_start + INTERVAL 30 DAY AS window_end, company_id, signal_type, count(DISTINCT source)::INT AS sources, """ + O.half_up("max(raw_score)", 6) + """ AS best_score FROM (
+  SELECT *, TIMESTAMP '1970-01-01' + INTERVAL 1 DAY * (floor(epoch(seen_at) / 864000)::INT * 10 - unnest(range(0, 30, 10)))::INT AS window_start FROM both_hits) GROUP BY ALL""")
+def stream_corroboration_both(f):
+    """Filings and news in one stream of windows."""
+    from tidemark.sources.projections import VIEWS
+
+    filings = f.spark.sql(VIEWS["v_filing"], orders=J.table_stream(f.spark, f"{f.dir}/orders.parquet"))
+    return J.newest_windows(J.corroboration_of_both(filings, _news_stream(f), slide="10 days"), store.shared_folder(f.spark, "both"))
+
+
 @query("SELECT * FROM memory")
 def stream_memory(f):
-    return J.memory(_run_stream(f), f.v("v_run_signal"), store.shared_folder(f.spark, "memory"))
+    """Runs with their signals, landed as files and folded into keyed state in order of the day."""
+    folder = store.shared_folder(f.spark, "memory")
+    J.briefs(f.v("v_run"), f.v("v_run_signal")).write.parquet(f"{folder}/briefs")
+    return J.memory(J.table_stream(f.spark, f"{folder}/briefs"), folder)
 
 
 @query(_ALERT)

@@ -117,7 +117,7 @@ SELECT o_custkey AS chain, row_number() OVER (PARTITION BY o_custkey ORDER BY o_
     "v_watch": """
 SELECT c_custkey AS company_id, CASE c_custkey % 3 WHEN 0 THEN 'medium' WHEN 1 THEN 'high' ELSE 'critical' END AS alert_severity, CAST(40 + c_custkey % 50 AS DOUBLE) AS alert_alpha FROM {customer} WHERE c_custkey % 4 = 0""",
     "v_reply": f"""
-SELECT o_orderkey AS reply_no, o_custkey AS company_id, concat('```json [{{{{"signal_type": "', CASE o_orderkey % 4 WHEN 0 THEN 'Credit-Risk' WHEN 1 THEN 'm_and_a activity' WHEN 2 THEN 'insider activity' ELSE 'made_up' END, '", "headline": "H', CAST(o_orderkey AS STRING), '"}}}}]```') AS reply FROM {{orders}} WHERE o_orderkey % 5 = 0""",
+SELECT o_orderkey AS reply_no, o_custkey AS company_id, concat('```json [{{{{"signal_type": "', CASE o_orderkey % 4 WHEN 0 THEN 'Credit-Risk' WHEN 1 THEN 'm_and_a activity' WHEN 2 THEN 'insider activity' ELSE 'made_up' END, '"', CASE o_orderkey % 3 WHEN 0 THEN '' ELSE concat(', "headline": "H', CAST(o_orderkey AS STRING), '"') END, CASE o_orderkey % 4 WHEN 2 THEN ', "evidence": ["a fact", "another"], "reasoning": "Because."' ELSE '' END, '}}}}]```') AS reply FROM {{orders}} WHERE o_orderkey % 5 = 0""",
 }
 
 

@@ -1,15 +1,18 @@
 """Stored tables: the tables of a run, the state that lives on between runs, and the folder that a cluster shares.
 
-A run's rows lie in the partition of its ``run_id``; a run written again replaces its own partition and no other. Plain Parquet has no
-transaction over several tables: a run that failed half way is completed by writing it again.
+A run's rows lie in the partition of its ``run_id``, in versions of which the newest whole one counts; a run written again replaces its own rows and no others.
+Plain Parquet has no transaction over several tables: a run that failed half way is completed by writing it again.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,9 +39,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _versions(spark: SparkSession, folder: str, table: str) -> dict[str, int]:
+    """The newest stored version of each run of a table."""
+    try:
+        files = spark.read.parquet(f"{folder}/{table}").inputFiles()
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return {}
+    out: dict[str, int] = {}
+    for run_id, version in re.findall(r"/run_id=([^/]+)/version=(\d+)/", "\n".join(files)):
+        out[unquote(run_id)] = max(out.get(unquote(run_id), 0), int(version))
+    return out
+
+
 def write_partition(rows: DataFrame, folder: str, table: str, run_id: str) -> None:
-    """Put rows into the run's partition of a table in place of what it held; an empty result leaves an empty partition."""
-    rows.drop("run_id").write.mode("overwrite").parquet(f"{folder}/{table}/run_id={run_id}")
+    """Put rows into the run's partition of a table in place of what it held; an empty result leaves an empty partition.
+
+    The rows are written as a new version beside the last one, and readers take the newest version that was written to its end: a rewrite that fails leaves the
+    run as it was. Older versions are left for readers that have begun.
+    """
+    last = _versions(rows.sparkSession, folder, table).get(run_id, 0)
+    rows.drop("run_id", "version").write.mode("overwrite").parquet(f"{folder}/{table}/run_id={run_id}/version={last + 1}")
 
 
 def store_run(tables: Mapping[str, DataFrame], folder: str, run_id: str) -> None:
@@ -59,24 +81,52 @@ def save_state(name: str, rows: DataFrame, folder: str, run_id: str) -> None:
 
 def read_table(spark: SparkSession, folder: str, name: str, run_id: str | None = None) -> DataFrame:
     """A stored table with its ``run_id``, of one run or of all."""
-    rows = spark.read.option("basePath", f"{folder}/{name}").parquet(f"{folder}/{name}").withColumn("run_id", F.col("run_id").cast("string"))
+    top = f"{folder}/{name}"
+    places = [f"{top}/run_id={run}/version={version}" for run, version in _versions(spark, folder, name).items()]
+    rows = spark.read.option("basePath", top).parquet(*places).drop("version").withColumn("run_id", F.col("run_id").cast("string"))
     return rows if run_id is None else rows.filter(F.col("run_id") == run_id)
 
 
-def gather(spark: SparkSession, readers: Mapping[str, Callable[[], DataFrame]], columns: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
-    """Rows of several sources with the columns (name: type), and the errors (source, error) of those that could not be read.
+def landed(spark: SparkSession, path: str, kind: str, schema: str, **options: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of landed files (json or csv lines, or parquet), and the errors (error, detail) of what could not be read; neither stops the other.
 
-    A source that fails gives no rows and one error; the others are not touched by it. Files are read when a source is opened only as far as
-    their schema needs.
+    A record that does not parse, or does not fit the schema, is an error of its own with its text. Of Parquet files those that cannot be opened are
+    errors with their path; a file that breaks off later gives the rows before. A file without rows counts as one that gave nothing, an error too.
+    """
+    if kind == "parquet":
+        rows = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+        plain = lambda c: F.regexp_replace(c, "^file:/+", "/").alias("detail")
+        read = rows.select(plain(F.col("_metadata.file_path"))).distinct()
+        files = spark.read.format("binaryFile").load(path).select(plain(F.col("path")))  # the contents are not read
+        return rows, files.join(read, "detail", "left_anti").select(F.lit("no rows could be read").alias("error"), "detail")
+    parse = {"json": F.from_json, "csv": F.from_csv}[kind]
+    own = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"} | options
+    lines = spark.read.text(path).filter(F.trim("value") != "").select("value", parse("value", f"{schema}, _corrupt string", own).alias("r"))
+    bad = F.col("r._corrupt").isNotNull() | F.col("r").isNull()
+    return lines.filter(~bad).select("r.*").drop("_corrupt"), lines.filter(bad).select(F.lit("corrupt row").alias("error"), F.col("value").alias("detail"))
+
+
+def gather(spark: SparkSession, readers: Mapping[str, Callable[[], DataFrame | tuple[DataFrame, DataFrame]]], columns: Mapping[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Rows of several sources with the columns (name: type), and the errors (source, error, detail) of what could not be read.
+
+    A source that fails when it is opened gives no rows and one error. A source read by ``landed`` also gives an error for each corrupt row and file,
+    which are found while the rows are read. The others are not touched by either.
     """
     schema = ", ".join(f"{n} {t}" for n, t in columns.items())
     rows = spark.createDataFrame([], f"origin string, {schema}")
-    errors: list[tuple[str, str]] = []
+    failed: list[tuple[str, str, str]] = []
+    broken: DataFrame | None = None
     for name, read in readers.items():
         try:
-            found = read().select(F.lit(name).alias("origin"), *[F.col(n).cast(t).alias(n) for n, t in columns.items()])
+            found = read()
+            found, errors = found if isinstance(found, tuple) else (found, None)
+            found = found.select(F.lit(name).alias("origin"), *[F.col(n).cast(t).alias(n) for n, t in columns.items()])
         except Exception as e:  # any failure of one source must leave the others alone
-            errors.append((name, type(e).__name__))
+            failed.append((name, type(e).__name__, str(e).partition("\n")[0]))
             continue
         rows = rows.unionByName(found)
-    return rows, spark.createDataFrame(errors, "source string, error string")
+        if errors is not None:
+            errors = errors.select(F.lit(name).alias("source"), "error", "detail")
+            broken = errors if broken is None else broken.unionByName(errors)
+    out = spark.createDataFrame(failed, "source string, error string, detail string")
+    return rows, out if broken is None else out.unionByName(broken)

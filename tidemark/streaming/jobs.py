@@ -6,11 +6,18 @@ State and output folders are given by the caller and must be shared by the clust
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.functions import text as X
+from tidemark.functions import values as V
 from tidemark.operators import detect as D
 from tidemark.operators import history as H
 from tidemark.sources.store import shared_folder
@@ -18,18 +25,30 @@ from tidemark.sources.store import shared_folder
 
 def table_stream(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table - a folder of files, or one file - as a stream of its files."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
-    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema)
+    parent, _, name = path.rstrip("/").rpartition("/")
+    one = table.select(F.col("_metadata.file_path").alias("file")).first()
+    if one is None or one["file"].rpartition("/")[2] != name:  # the files of a folder have other names than it
         return reader.parquet(path)
-    return reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
+    return reader.option("pathGlobFilter", name).parquet(parent)
+
+
+def saved(spark: SparkSession, folder: str, schema: str | StructType) -> DataFrame:
+    """What batches have written below a folder; nothing, with the schema, where none has come."""
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def run(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Run a stream to its end into Parquet and read the result."""
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start(f"{folder}/out")
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    return saved(stream.sparkSession, f"{folder}/out", stream.schema)
 
 
 def hits(news: DataFrame) -> DataFrame:
@@ -49,21 +68,40 @@ def dedup(news: DataFrame, delay: str = "1 day") -> DataFrame:
 
 def corroboration(news: DataFrame, delay: str = "1 day", length: str = "30 days", slide: str = "1 day") -> DataFrame:
     """Distinct sources and best score per company, type and sliding window; on a stream, rows later than the watermark are dropped."""
-    rows = _event_time(news).withWatermark("published_at", delay).withColumn("_hit", F.explode(_hit_array()))
-    rows = rows.filter(F.col("_hit.raw") >= 0.2)
-    out = rows.groupBy(F.window("published_at", length, slide).alias("w"), "company_id", F.col("_hit.signal_type").alias("signal_type")).agg(
-        F.size(F.collect_set("source")).alias("sources"), X.rounded(F.max("_hit.raw"), 6).alias("best_score"))
+    return _windows(_scored_hits(news, delay), length, slide)
+
+
+def corroboration_of_both(filings: DataFrame, news: DataFrame, delays: tuple[str, str] = ("7 days", "1 day"), length: str = "30 days", slide: str = "1 day") -> DataFrame:
+    """``corroboration`` of filings and news together, each with its own delay.
+
+    The streams are watermarked before they meet, and windows close by the slower one (policy ``min`` of spark.sql.streaming.multipleWatermarkPolicy, which
+    must hold): while one source is behind, the other's rows wait in the state, and a row is only late if both have passed it.
+    """
+    if news.isStreaming and news.sparkSession.conf.get("spark.sql.streaming.multipleWatermarkPolicy", "min") != "min":
+        raise ValueError("the watermark must be that of the slower source")
+    at = filings.withColumn("published_at", F.col("filing_date").cast("timestamp")).withWatermark("published_at", delays[0])
+    found = at.withColumn("_hit", F.explode(X.rule_hits("concat_ws(' ', nullif(description, ''), nullif(raw_excerpt, ''), nullif(form_type, ''))")))
+    score = F.least(F.col("_hit.base_score") * D.filing_credibility(), F.lit(1.0))
+    own = found.select("published_at", "company_id", F.col("_hit.signal_type").alias("signal_type"), F.concat(F.lit("filing:"), "form_type").alias("source"), score.alias("raw"))
+    return _windows(own.unionByName(_scored_hits(news, delays[1]).withColumn("source", F.concat(F.lit("news:"), "source"))), length, slide)
+
+
+def _scored_hits(news: DataFrame, delay: str) -> DataFrame:
+    rows = _event_time(news).withWatermark("published_at", delay).withColumn("_hit", F.explode(_hit_array())).filter(F.col("_hit.raw") >= V.WEAK_NEWS)
+    return rows.select("published_at", "company_id", F.col("_hit.signal_type").alias("signal_type"), "source", F.col("_hit.raw").alias("raw"))
+
+
+def _windows(hits: DataFrame, length: str, slide: str) -> DataFrame:
+    out = hits.groupBy(F.window("published_at", length, slide).alias("w"), "company_id", "signal_type").agg(F.size(F.collect_set("source")).alias("sources"), X.rounded(F.max("raw"), 6).alias("best_score"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "company_id", "signal_type", "sources", "best_score")
 
 
-def newest_corroboration(news: DataFrame, folder: str, **windows) -> DataFrame:
-    """``corroboration`` of all that has arrived, windows that are still open included.
+def newest_windows(rows: DataFrame, folder: str) -> DataFrame:
+    """The windows of a stream of ``corroboration`` with all that has arrived, those that are still open included.
 
     Each batch writes the rows it changed (update mode) into its own folder, so a repeated batch adds none; the newest row of a
     window, company and type counts.
     """
-    spark = news.sparkSession
-    rows = corroboration(news, **windows)
     key = ["window_start", "window_end", "company_id", "signal_type"]
 
     def save(batch: DataFrame, number: int) -> None:
@@ -71,12 +109,35 @@ def newest_corroboration(news: DataFrame, folder: str, **windows) -> DataFrame:
 
     query = rows.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    schema = StructType([*rows.schema.fields, StructField("batch", LongType())])
-    saved = spark.read.schema(schema).parquet(f"{folder}/rows")
-    last = saved.groupBy(*key).agg(F.max_by(F.struct("sources", "best_score"), "batch").alias("r"))
+    found = saved(rows.sparkSession, f"{folder}/rows", StructType([*rows.schema.fields, StructField("batch", LongType())]))
+    last = found.groupBy(*key).agg(F.max_by(F.struct("sources", "best_score"), "batch").alias("r"))
     return last.select(*key, "r.sources", "r.best_score")
 
 
+def newest_corroboration(news: DataFrame, folder: str, **windows) -> DataFrame:
+    return newest_windows(corroboration(news, **windows), folder)
+
+
+def late_rows(rows: DataFrame, folder: str, column: str = "published_at", delay: str = "1 day") -> DataFrame:
+    """Rows of a stream that came later than its watermark allows, with the watermark they missed: those that windows drop without a word.
+
+    A batch is held against the newest event time of the batches before it, which is kept beside its rows: one row a batch is read back.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumn(column, F.col(column).cast("timestamp"))
+
+    def split(batch: DataFrame, number: int) -> None:
+        before = saved(spark, f"{folder}/newest", "newest timestamp, batch bigint").filter(F.col("batch") < number).agg((F.max("newest") - F.expr(f"INTERVAL {delay}")).alias("watermark"))
+        mark = before.first()["watermark"]  # one moment
+        late = batch.withColumn("watermark", F.lit(mark).cast("timestamp")).filter(F.col(column) < F.col("watermark"))
+        late.write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        batch.agg(F.max(column).alias("newest")).write.mode("overwrite").parquet(f"{folder}/newest/batch={number}")
+
+    query = rows.writeStream.foreachBatch(split).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return saved(spark, f"{folder}/late", StructType([*rows.schema.fields, *spark.createDataFrame([], "watermark timestamp, batch bigint").schema.fields])).drop("batch")
+
+
 def _hit_array():
     found = X.rule_hits("concat_ws(' ', title, snippet)")
     credibility = X.contained_credibility(F.col("source"))
@@ -88,27 +149,66 @@ def filing_hits(filings: DataFrame) -> DataFrame:
     return D.filing_hits(filings).select("company_id", "signal_type", "doc_no", "source_name", X.rounded(F.col("raw_score"), 6).alias("raw_score"))
 
 
-def memory(runs: DataFrame, run_signals: DataFrame, folder: str) -> DataFrame:
-    """Profiles of the companies of arriving runs, carried on from batch to batch.
-
-    Each batch writes the profiles that it changed into its own folder, in place of what a failed try of it left; the newest row of a company counts.
+def _half_up(x: float, digits: int) -> float:
+    """As ``text.rounded``: to eight places, then to the wanted ones, halves up."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-8), ROUND_HALF_UP).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
+_MEANS = ("rolling", "governance", "credit", "regulatory", "velocity")
+_COUNTED = ("leadership_change", "debt_restructuring", "regulatory_action")
+_STATE = ", ".join(f"{c} double" for c in _MEANS) + ", runs long, n_signals long, leadership_changes long, debt_restructures long, regulatory_actions long"
+
+
+def _fold_company(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The new runs of one company on top of its state; the state is ten numbers, however many runs made it."""
+    values = list(state.get) if state.exists else [*(V.PROFILE_START[c] for c in _MEANS), 0, 0, 0, 0, 0]
+    means, counts = dict(zip(_MEANS, values[:5], strict=True)), values[5:]
+    to = lambda a, x: _half_up(a + 0.25 * (x - a), 2)
+    before, alpha = means["rolling"], None
+    for row in pd.concat(batches).sort_values(["run_date", "run_id"]).itertuples():
+        before, alpha = means["rolling"], None if pd.isna(row.top_alpha) else row.top_alpha
+        level = max(V.SEVERITY_RISK.get(row.severity, 0.0), alpha * 0.9 if alpha else 0.0)
+        means["rolling"], means["velocity"] = to(means["rolling"], level), to(means["velocity"], len(row.signals))
+        for s in sorted(row.signals, key=lambda s: (-(s["alpha"] or 0.0), s["signal_type"])):
+            dim = V.RISK_DIMENSION.get(s["signal_type"])
+            if dim is not None and s["severity"] in V.SEVERITY_RISK:
+                means[dim] = to(means[dim], V.SEVERITY_RISK[s["severity"]])
+            for i, kind in enumerate(_COUNTED):
+                counts[2 + i] += s["signal_type"] == kind
+        counts[0] += 1
+        counts[1] += len(row.signals)
+    state.update((*means.values(), *counts))
+    clamp = lambda x: min(100.0, max(0.0, x))
+    delta = means["rolling"] - before
+    yield pd.DataFrame([{
+        "company_id": key[0], **{c: clamp(means[c]) for c in _MEANS[:4]}, "velocity": means["velocity"], "risk_delta": _half_up(delta, 2), "trend": "deteriorating" if delta > 5 else "improving" if delta < -5 else "stable",
+        "attention": clamp(_half_up(means["velocity"] * 10 + (alpha or 0.0) * 0.3, 1)), "runs": counts[0], "n_signals": counts[1], "leadership_changes": counts[2], "debt_restructures": counts[3], "regulatory_actions": counts[4],
+    }])
+
+
+def briefs(runs: DataFrame, run_signals: DataFrame) -> DataFrame:
+    """Runs with their signals in each row, as they are handed on when a run ends: what ``memory`` takes."""
+    kept = F.collect_list(F.struct("signal_type", "severity", "alpha"))
+    return runs.join(run_signals.groupBy("run_id").agg(kept.alias("signals")), "run_id", "left").withColumn("signals", F.coalesce("signals", F.array().cast("array<struct<signal_type:string,severity:string,alpha:double>>")))
+
+
+def memory(arriving: DataFrame, folder: str) -> DataFrame:
+    """Profiles of the companies of arriving ``briefs``, carried on from batch to batch in keyed state.
+
+    A batch reads its own runs and the state of their companies, never what earlier batches wrote; runs of one batch are folded in order of their day and id, runs of
+    a later batch after them. Each batch writes the profiles that it changed into its own folder, in place of what a failed try of it left; the newest row of a company counts.
     """
-    spark = runs.sparkSession
-
-    def newest(before: int | None = None) -> DataFrame:
-        rows = spark.read.schema(f"{H.PROFILE}, batch bigint").parquet(f"{folder}/profiles")
-        rows = rows if before is None else rows.filter(F.col("batch") < before)
-        cols = [c for c in rows.columns if c not in ("company_id", "batch")]
-        return rows.groupBy("company_id").agg(F.max_by(F.struct(*cols), "batch").alias("p")).select("company_id", "p.*")
+    rows = arriving.select("company_id", "run_id", "run_date", "severity", "top_alpha", "signals")
+    changed = rows.groupBy("company_id").applyInPandasWithState(_fold_company, H.PROFILE, _STATE, "update", GroupStateTimeout.NoTimeout)
 
-    def fold(batch: DataFrame, number: int) -> None:
-        own = run_signals.join(batch.select("run_id"), "run_id", "left_semi")
-        before = newest(number).join(batch.select("company_id").distinct(), "company_id", "left_semi") if number else None
-        H.company_memory(batch, own, before).write.mode("overwrite").parquet(f"{folder}/profiles/batch={number}")
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/profiles/batch={number}")
 
-    query = runs.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = changed.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return newest()
+    found = saved(arriving.sparkSession, f"{folder}/profiles", f"{H.PROFILE}, batch bigint")
+    cols = [c for c in found.columns if c not in ("company_id", "batch")]
+    return found.groupBy("company_id").agg(F.max_by(F.struct(*cols), "batch").alias("p")).select("company_id", "p.*")
 
 
 def alerts(runs: DataFrame, watchlist: DataFrame, folder: str) -> DataFrame:
@@ -119,7 +219,7 @@ def alerts(runs: DataFrame, watchlist: DataFrame, folder: str) -> DataFrame:
 
     query = runs.writeStream.foreachBatch(emit).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return runs.sparkSession.read.parquet(f"{folder}/alerts").drop("batch")
+    return saved(runs.sparkSession, f"{folder}/alerts", StructType([*H.alerts(_empty(runs), watchlist).schema.fields, StructField("batch", LongType())])).drop("batch")
 
 
 def watch_counters(runs: DataFrame, watchlist: DataFrame, folder: str) -> DataFrame:
@@ -132,4 +232,8 @@ def watch_counters(runs: DataFrame, watchlist: DataFrame, folder: str) -> DataFr
 
     query = runs.writeStream.foreachBatch(count).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return H.merged_counters(runs.sparkSession.read.parquet(f"{folder}/counters").drop("batch"))
+    return H.merged_counters(saved(runs.sparkSession, f"{folder}/counters", H.watch_counters(_empty(runs), watchlist).schema).drop("batch"))
+
+
+def _empty(stream: DataFrame) -> DataFrame:
+    return stream.sparkSession.createDataFrame([], stream.schema)

@@ -8,7 +8,7 @@ gives the same word, so only the first one is joined with inserted places and no
 
 Scale: words are counted in each task before the shuffle; all that follows grows with the dictionary, not with the text. No prefix is written out: a node is known
 by the 128-bit hash of its string, made step by step, until it has its number, so a word takes rows in proportion to its length. Roots are number 0 by
-rule, and nodes of very many words are joined by ``join_hot``. A pair of nodes with a skipped code point has at most as many words as the alphabet has
+rule, nodes of one word are left out, as no other word can share a pair with it, and nodes of very many words are joined by ``join_hot``. A pair of nodes with a skipped code point has at most as many words as the alphabet has
 letters, one with an inserted place has one, so no key of the last join is large. Forms are followed by doubling: a form occurs at least twice as often as its
 variant, so chains are short and there are no cycles.
 
@@ -92,70 +92,66 @@ def count_words(docs: DataFrame, *, id: str = "doc_id", text: str = "text", leas
     return parts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count)
 
 
-_PLACES = "word_id long, kind string, before binary, behind binary, at_front boolean, at_end boolean, first boolean"
+#: Kinds of places: inserted, skipped, and skipped at the first of equal code points.
+GAP, SKIP, FIRST_SKIP = 0, 1, 2
+_PLACES = "word_id long, kind int, before binary, behind binary"
 
 
 def _places(columns: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Skipped and inserted places of words, with the hashes of what lies before and behind them."""
+    """Skipped and inserted places of words, with the hashes of what lies before and behind them; null for nothing."""
     names = [x.split()[0] for x in _PLACES.split(", ")]
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
-    def hashes(cs: list[bytes]) -> list[bytes]:
-        h, out = xxhash.xxh3_128(), []
-        out.append(h.digest())
+    def hashes(cs: list[bytes]) -> list[bytes | None]:
+        h, out = xxhash.xxh3_128(), [None]
         for c in cs:
             h.update(c)
             out.append(h.digest())
         return out
 
     for batch in columns:
-        cells: list[list] = [[] for _ in names]
-
-        def add(*row) -> None:
-            for cell, x in zip(cells, row, strict=True):
-                cell.append(x)
-
-        def out() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.bool_())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], names)
-
+        rows: list[tuple] = []
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)  # noqa: B023, E731
         for number, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             cs = [c.encode("utf-32-le", "surrogatepass") for c in word]
-            n = len(cs)
             before, behind = hashes(cs), hashes(cs[::-1])[::-1]  # of word[:i] and word[i:]
-            for i in range(n + 1):
-                add(number, "gap", before[i], behind[i], i == 0, i == n, None)
-                if i < n:
-                    add(number, "skip", before[i], behind[i + 1], i == 0, i + 1 == n, i == 0 or cs[i] != cs[i - 1])
-                if len(cells[0]) >= ROWS_AT_ONCE:
+            for i in range(len(cs) + 1):
+                rows.append((number, GAP, before[i], behind[i]))
+                if i < len(cs):
+                    rows.append((number, FIRST_SKIP if i == 0 or cs[i] != cs[i - 1] else SKIP, before[i], behind[i + 1]))
+                if len(rows) >= ROWS_AT_ONCE:
                     yield out()
-                    cells = [[] for _ in names]
-        if cells[0]:
+                    rows = []
+        if rows:
             yield out()
 
 
-def _numbered(places: DataFrame, node: str, root: str, total: int) -> DataFrame:
-    """``places`` with the number of the trie's node in place of its hash; the root's is 0."""
-    rest = places.filter(~F.col(root))
-    nodes = cut(rest.groupBy(node).agg(F.count("*").alias("n"))).withColumn(f"{node}_no", F.monotonically_increasing_id() + 1)
-    found = join_hot(rest, nodes, node, total, F.col("word_id"))
-    return found.unionByName(places.filter(root).withColumn(f"{node}_no", F.lit(0).cast("long"))).drop(node, root)
+def _numbered(places: DataFrame, node: str, total: int) -> DataFrame:
+    """``places`` with the number of the trie's node in place of its hash: 0 for the root; places at a node that one word alone has, and so no neighbour, are left out.
+
+    A word has each node at one inserted place, and at one skipped place at most.
+    """
+    held = places.filter((F.col("kind") == GAP) & F.col(node).isNotNull()).groupBy(node).agg((2 * F.count("*")).alias("n"))
+    nodes = cut(held.filter("n > 2")).withColumn(f"{node}_no", F.monotonically_increasing_id() + 1)
+    found = join_hot(places.filter(F.col(node).isNotNull()), nodes, node, total, F.col("word_id")).filter(F.col(f"{node}_no").isNotNull())
+    return found.unionByName(places.filter(F.col(node).isNull()).withColumn(f"{node}_no", F.lit(0).cast("long"))).drop(node)
 
 
 def pairs_of(words: DataFrame) -> DataFrame:
-    """word_id, kind (skip or gap), front, back (numbers of the nodes before and behind a place) and first, for words (word_id, word)."""
+    """word_id, kind, front and back (numbers of the nodes before and behind a place) of words (word_id, word), where other words have both nodes too."""
     places = cut(words.select("word_id", "word").mapInArrow(_places, _PLACES))
-    total = places.count()
-    out = _numbered(_numbered(places, "before", "at_front", total), "behind", "at_end", total)
-    return out.select("word_id", "kind", F.col("before_no").alias("front"), F.col("behind_no").alias("back"), "first")
+    total = 2 * (words.agg(F.coalesce(F.sum(F.length("word") + 1), F.lit(0)).alias("n")).first()["n"])
+    out = _numbered(_numbered(places, "before", total), "behind", total)
+    return out.select("word_id", "kind", F.col("before_no").alias("front"), F.col("behind_no").alias("back"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """word_id, other (the id of a word at one insertion, deletion or replacement), both ways, each once."""
     pairs = cut(pairs_of(words))
-    skips = pairs.filter("kind = 'skip'")
+    skips = pairs.filter(F.col("kind") != GAP)
     side = lambda rows, name: rows.select("front", "back", F.col("word_id").alias(name))
     replaced = side(skips, "word_id").join(side(skips, "other"), ["front", "back"]).filter("word_id <> other").select("word_id", "other")
-    longer = side(skips.filter("first"), "word_id").join(side(pairs.filter("kind = 'gap'"), "other"), ["front", "back"]).select("word_id", "other")
+    longer = side(pairs.filter(F.col("kind") == FIRST_SKIP), "word_id").join(side(pairs.filter(F.col("kind") == GAP), "other"), ["front", "back"]).select("word_id", "other")
     return replaced.unionByName(longer).unionByName(longer.select(F.col("other").alias("word_id"), F.col("word_id").alias("other")))
 
 

@@ -240,7 +240,7 @@ def test_feed_files(spark, tmp_path):
     good = "<item><title>{}</title><link>http://x/{}</link><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate><description>&lt;b&gt;A deal&lt;/b&gt;</description></item>"
     (tmp_path / "a.xml").write_text("<rss><channel>" + good.format("one", 1) + "<item><title>two</link></item>" + good.format("three", 3) + "</channel></rss>")
     (tmp_path / "b.xml").write_text("<rss><channel>" + good.format("four", 4) + "<item><title>cut o")
-    items, errors = I.read_feed(spark, str(tmp_path))
+    items, errors = I.landed_feed(spark, str(tmp_path))
     assert sorted((r["title"], r["link"], r["snippet"]) for r in items.collect()) == [(t, f"http://x/{n}", "A deal") for t, n in (("four", 4), ("one", 1), ("three", 3))]
     assert sorted(r["detail"] for r in errors.collect()) == ["<item><title>cut o", "<item><title>two</link></item>"]
 

@@ -79,7 +79,12 @@ def phrase_filings(filings: DataFrame, phrases: DataFrame, forms: Sequence[str],
     return first_rows(rows.join(found, "doc_no"), ["company_id", "phrase"], [F.desc("filing_date"), "accession_number"], most)
 
 
-def read_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """RSS items of landed feed files, those that can be read."""
+    return landed_feed(spark, path)[0]
+
+
+def landed_feed(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """RSS items of landed feed files, and the errors (error, detail): items that are no XML, and what is left of an item at a file's end.
 
     A feed file is read as a whole; its items are parsed one by one, so a spoiled one leaves the others.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
+from re import _parser as regex
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,11 +15,51 @@ def sql_string(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def needed(pattern: str) -> frozenset[str] | None:
+    """Lower-case texts of which every match of a pattern, case aside, holds at least one; None if there are none to tell.
+
+    Read off the parsed pattern: a run of letters, what a group needs, or one need of each branch. Of several needs the one whose shortest text is longest.
+    """
+    def of(nodes) -> frozenset[str] | None:
+        found: list[frozenset[str]] = []
+        run = ""
+        for op, value in [*nodes, (None, None)]:
+            if op is regex.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append(frozenset([run.lower()]))
+                run = ""
+            inner = None
+            if op is regex.SUBPATTERN:
+                inner = of(value[3])
+            elif op is regex.BRANCH:
+                each = [of(branch) for branch in value[1]]
+                inner = frozenset().union(*each) if all(each) else None
+            elif op in (regex.MAX_REPEAT, regex.MIN_REPEAT, regex.POSSESSIVE_REPEAT) and value[0] > 0:
+                inner = of(value[2])
+            if inner:
+                found.append(inner)
+        return max(found, key=lambda f: (min(map(len, f)), -len(f)), default=None)
+
+    try:
+        return of(regex.parse(pattern))
+    except (re.error, OverflowError, RecursionError):  # what only Java reads is searched without
+        return None
+
+
+def needed_of_any(patterns: Sequence[str]) -> list[str] | None:
+    """``needed`` of a match of any of the patterns."""
+    each = [needed(p) for p in patterns]
+    return sorted(frozenset().union(*each)) if each and all(each) else None
+
+
 def rule_hits(text: str, rules: Sequence = V.RULES) -> Column:
     """array of (signal_type, base_score, patterns): for each type its best rule that matches and that rule's matching patterns.
 
     ``text`` is a column's name or an SQL expression. Patterns are literals, so each compiles once per task, and lower rules are only
-    searched if no better one matches. Of rules with equal scores the earlier one wins. A null text has no hits. The body is a
+    searched if no better one matches. Patterns are slow beside plain search, so a rule is only tried on texts that hold one of the words its matches need, or
+    characters beyond ASCII, whose cases are not that plain. Of rules with equal scores the earlier one wins. A null text has no hits. The body is a
     lambda over the lower-cased text, which is computed once and keeps the long body out of the generated code; it is given as SQL text, as that
     is read in one step.
     """
@@ -26,10 +68,12 @@ def rule_hits(text: str, rules: Sequence = V.RULES) -> Column:
         best = []
         for _, score, patterns in sorted((r for r in rules if r[0] == kind), key=lambda r: -r[1]):
             any_ = sql_string("(?iUd)(?:" + "|".join(f"(?:{p})" for p in patterns) + ")")
-            found = ", ".join(f"if(t rlike {sql_string('(?iUd)' + p)}, {sql_string(p)}, null)" for p in patterns)
-            best.append(f"if(t rlike {any_}, named_struct('signal_type', {sql_string(kind)}, 'base_score', double({score}), 'patterns', filter(array({found}), p -> p is not null)), null)")
+            found = ", ".join(f"if(s.t rlike {sql_string('(?iUd)' + p)}, {sql_string(p)}, null)" for p in patterns)
+            words = needed_of_any(patterns)
+            held = "" if words is None else "(s.wide or " + " or ".join(f"contains(s.t, {sql_string(w)})" for w in words) + ") and "
+            best.append(f"if({held}s.t rlike {any_}, named_struct('signal_type', {sql_string(kind)}, 'base_score', double({score}), 'patterns', filter(array({found}), p -> p is not null)), null)")
         hits.append(f"coalesce({', '.join(best)})")
-    return F.expr(f"element_at(transform(array(lower({text})), t -> filter(array({', '.join(hits)}), h -> h is not null)), 1)")
+    return F.expr(f"element_at(transform(transform(array(lower({text})), t -> named_struct('t', t, 'wide', t rlike '[^\\\\x00-\\\\x7F]')), s -> filter(array({', '.join(hits)}), h -> h is not null)), 1)")
 
 
 def once(value: Column, body) -> Column:
@@ -103,11 +147,13 @@ def clauses(text: Column, templates: Sequence = V.CLAUSES) -> Column:
     A text is tested once for each kind; only where it holds one are the kind's patterns searched. Running sums of the lengths of the matches and of
     the pieces between them give the offsets, in characters.
     """
-    return once(text, lambda t: _placed(t, _matches(t, templates)))
+    each = F.struct(text.alias("t"), F.lower(text).alias("low"), text.rlike(r"[^\x00-\x7F]").alias("wide"))
+    return once(each, lambda s: _placed(s["t"], _matches(s["t"], s["low"], s["wide"], templates)))
 
 
-def _matches(text: Column, templates: Sequence) -> Column:
-    """array of (kind_no, pattern_no, kind, confidence, found, gaps) of the patterns that match, with the lengths of the pieces before each match."""
+def _matches(text: Column, low: Column, wide: Column, templates: Sequence) -> Column:
+    """array of (kind_no, pattern_no, kind, confidence, found, gaps) of the patterns that match, with the lengths of the pieces before each match; ``low`` is the
+    lower-cased text, ``wide`` whether it goes beyond ASCII."""
     out = []
     for k, (kind, confidence, patterns) in enumerate(templates):
         own = []
@@ -118,7 +164,14 @@ def _matches(text: Column, templates: Sequence) -> Column:
                 F.regexp_extract_all(text, rx, F.lit(0)).alias("found"), F.transform(F.split(text, "(?iUd)" + pattern, -1), F.length).alias("gaps"),
             )
             own.append(F.when(F.rlike(text, rx), row))
-        out.append(F.when(text.rlike("(?iUd)" + "|".join(f"(?:{p})" for p in patterns)), F.array(*own)))
+        words = needed_of_any(patterns)
+        held = text.rlike("(?iUd)" + "|".join(f"(?:{p})" for p in patterns))
+        if words is not None:
+            may = wide
+            for w in words:
+                may = may | low.contains(w)
+            held = may & held
+        out.append(F.when(held, F.array(*own)))
     return F.filter(F.flatten(F.filter(F.array(*out), lambda a: a.isNotNull())), lambda m: m.isNotNull())
 
 

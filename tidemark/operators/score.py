@@ -118,9 +118,9 @@ def score(found: DataFrame, company: DataFrame, *, as_of: dt.datetime | Column,
     rows = expected_move(rows.withColumn("alpha", X.rounded(raw * 100, 1)))
     low = F.lit(compliance) & (F.col("confidence") < V.REVIEW_CONFIDENCE)
     reason = (
-        F.when(F.col("alpha") >= V.REVIEW_ALPHA, F.concat(F.lit("Alpha score "), F.round("alpha", 0).cast("int").cast("string"), F.lit(" ≥ threshold 70")))
-        .when(F.col("severity") == "critical", F.lit("Severity CRITICAL requires mandatory review"))
-        .when(low, F.concat(F.lit("Compliance mode: confidence "), F.round(F.col("confidence") * 100, 0).cast("int").cast("string"), F.lit("% below threshold")))
+        F.when(F.col("alpha") >= V.REVIEW_ALPHA, F.format_string(V.REVIEW_TEXT["alpha"], F.round("alpha", 0).cast("int")))
+        .when(F.col("severity") == "critical", F.lit(V.REVIEW_TEXT["critical"]))
+        .when(low, F.format_string(V.REVIEW_TEXT["confidence"], F.round(F.col("confidence") * 100, 0).cast("int")))
     )
     return rows.withColumn("review_reason", reason).withColumn("review", reason.isNotNull())
 
@@ -232,11 +232,11 @@ def confidence_parts(candidates: DataFrame, stats: DataFrame, learned: DataFrame
     total = sum((F.col(c) * w[k] for k, c in parts.items()), F.lit(0.0))
     why = F.concat_ws(
         ", ",
-        F.when(F.col("source_reliability") < 0.60, F.concat(F.lit("low source reliability ("), X.rounded(F.col("source_reliability") * 100, 0).cast("int").cast("string"), F.lit("%)"))),
-        F.when(F.col("corroboration_part") < 0.55, F.concat(F.lit("single-source ("), F.col("corroboration").cast("string"), F.lit(" corroboration)"))),
-        F.when(F.col("historical_precision") < 0.50, F.lit("limited historical precision data")),
-        F.when(F.col("temporal_relevance") < 0.50, F.lit("signal age reducing temporal relevance")),
+        F.when(F.col("source_reliability") < 0.60, F.format_string(V.CONFIDENCE_TEXT["source"], X.rounded(F.col("source_reliability") * 100, 0).cast("int"))),
+        F.when(F.col("corroboration_part") < 0.55, F.format_string(V.CONFIDENCE_TEXT["corroboration"], F.col("corroboration"))),
+        F.when(F.col("historical_precision") < 0.50, F.lit(V.CONFIDENCE_TEXT["precision"])),
+        F.when(F.col("temporal_relevance") < 0.50, F.lit(V.CONFIDENCE_TEXT["age"])),
     )
     return rows.withColumn("final_confidence", X.rounded(F.least(total * calibration_adjustment, F.lit(1.0)), 4)).withColumn(
-        "reasoning", F.when(why == "", F.lit("All components within normal range.")).otherwise(F.concat(F.lit("Confidence reduced by: "), why))
+        "reasoning", F.when(why == "", F.lit(V.CONFIDENCE_TEXT["normal"])).otherwise(F.format_string(V.CONFIDENCE_TEXT["reduced"], why))
     ).select(*KEY, *parts.values(), "final_confidence", "reasoning")

@@ -106,7 +106,7 @@ def _balls(steps: DataFrame, companies: DataFrame, hubs: DataFrame, depth: int,
 
     What paths reach from the hub without passing another one is listed once; beyond another hub lies that hub's own ball of what is left of the radius.
     """
-    found = cut(_explore(steps, hubs.select(F.col("hub").alias("start")), hubs, depth, True))
+    found = _explore(steps, hubs.select(F.col("hub").alias("start")), hubs, depth, True)
     own = found.join(companies, F.col("node") == F.col("node_id")).select(F.col("start").alias("hub"), "number", F.col("node").alias("name"), "hops")
     others = found.filter("hops > 0").join(hubs.select(F.col("hub").alias("_hub")), F.col("node") == F.col("_hub")).select(F.col("start").alias("hub"), F.col("node").alias("via"), "hops")
     bits = places = None
@@ -133,16 +133,16 @@ def reach(nodes: DataFrame, edges: DataFrame, sources: DataFrame, hub: int = HUB
     the edges. To a class come the source's own pairs whose bit it lacks.
     """
     steps = cut(both_ways(edges).select(F.col("node").alias("_at"), F.col("other").alias("_to")))
-    companies = cut(_numbered(nodes))
+    companies = _numbered(nodes)
     degree = steps.join(companies.select("node_id"), F.col("_to") == F.col("node_id"), "left_semi").groupBy("_at").agg(F.count("*").alias("n"))
     hubs = cut(degree.filter(F.col("n") >= hub).select(F.col("_at").alias("hub")))
-    found = cut(_explore(steps, sources.select(F.col("company").alias("start")), hubs, depth, False).withColumnRenamed("start", "company"))
+    found = _explore(steps, sources.select(F.col("company").alias("start")), hubs, depth, False).withColumnRenamed("start", "company")
     pairs = found.filter("hops > 0").join(companies, F.col("node") == F.col("node_id")).select("company", F.col("node").alias("other"), "number")
     bits, places = _balls(steps, companies, hubs, depth, names)
     left = found.join(hubs, F.col("node") == F.col("hub")).select("company", "hub", (depth - F.col("hops")).alias("radius")).filter("radius > 0")
     held = left.groupBy("company").agg(F.array_sort(F.collect_set(F.struct("hub", "radius"))).alias("hubs"))
     held = cut(held.withColumn("cls", F.sha2(F.to_json("hubs"), 256)))
-    kinds = cut(held.groupBy("cls").agg(F.first("hubs").alias("hubs")).select("cls", F.inline("hubs")))
+    kinds = held.groupBy("cls").agg(F.first("hubs").alias("hubs")).select("cls", F.inline("hubs"))
     union = cut(kinds.join(bits, ["hub", "radius"]).groupBy("cls", "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
     sizes = union.groupBy("cls").agg(F.sum(F.bitmap_count("bits")).alias("class_size"))
     listed = kinds.join(places, ["hub", "radius"]).select("cls", "name").distinct()

@@ -10,7 +10,8 @@ group of exact copies counts once and its lines are no boilerplate for being cop
 
 Scale: no text is shuffled. Lines travel as 64-bit hashes; distinct counts are combined map-side on
 (host, line, document) and then on (host, line), so neither a hot host nor a hot line is gathered anywhere. The frequent lines
-come back by ``join_hot`` on a hash of host and line.
+come back by ``join_hot`` on a hash of host and line. Lines are made twice: to count them, and to find the frequent ones; what is found is written once
+(a checkpoint) and gives both the counts and the cuts. Very long texts are held as the lines of one row.
 
 Defined results: null texts are empty; a null host is the host ``''``; repeated rows get equal verdicts; an empty table gives
 no rows; extra columns are left out by the reports and kept, whatever their names, by ``keep_good`` and ``clean``.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_names, join_hot, let, text_of, words
+from tidemark.llm.common import cut, fresh_names, join_hot, let, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -89,35 +90,36 @@ def line_rows(docs: DataFrame, host: str) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host, line (hash) and docs of the lines above their host's limit."""
-    per_line = line_rows(docs, host).groupBy("host", "line", "content").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("docs"))
+    """host, line (hash), docs and rows (how often all documents have it, copies included) of the lines above their host's limit."""
+    per_line = line_rows(docs, host).groupBy("host", "line", "content").agg(F.count("*").alias("rows")).groupBy("host", "line").agg(F.count("*").alias("docs"), F.sum("rows").alias("rows"))
     contents = docs.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.xxhash64(text_of()).alias("content"))
     per_host = contents.groupBy("host", "content").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
     return (
         per_line.filter(F.col("docs") >= min_docs).join(per_host, "host")
-        .filter(F.col("docs") >= F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("host_docs"))).select("host", "line", "docs")
+        .filter(F.col("docs") >= F.greatest(F.lit(float(min_docs)), F.lit(max_share) * F.col("host_docs"))).select("host", "line", "docs", "rows")
     )
 
 
-def _hits(docs: DataFrame, host: str, lines: DataFrame) -> DataFrame:
-    """The rows of ``line_rows`` whose line is among ``lines`` of their host."""
+def hit_lines(docs: DataFrame, host: str, lines: DataFrame) -> DataFrame:
+    """doc_id, host, content, pos and n of the lines of ``docs`` that are among ``lines`` of their host (from ``frequent_lines``)."""
     key = F.xxhash64("host", "line", F.lit("hit")).alias("hit")
-    # a line of d documents has at least d rows; all of a row's lines together are bounded by the documents of the lines
-    side = lines.groupBy(key).agg(F.max("docs").alias("n"), F.lit(True).alias("is_hit"))
-    total = docs.count()
-    return join_hot(line_rows(docs, host).withColumn("hit", key), side, "hit", total, F.struct("content", "pos")).filter("is_hit").drop("hit", "is_hit")
+    side = cut(lines.groupBy(key).agg(F.max("rows").alias("n"), F.lit(True).alias("is_hit")))
+    total = side.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    every = line_rows(docs, host).withColumn("hit", key)
+    if not total:  # no line is frequent, so the texts need not be read again
+        return every.drop("hit", "line").limit(0)
+    return join_hot(every, side, "hit", total, F.struct("content", "pos")).filter("is_hit").drop("hit", "is_hit", "line")
 
 
-def removed_words(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """doc_id, content and the words in its boilerplate lines, for documents that have any."""
-    hit = _hits(docs, host, frequent_lines(docs, host, min_docs, max_share))
-    once = hit.groupBy("doc_id", "content", "pos").agg(F.max("n").alias("n"))  # repeated rows count once
-    return once.groupBy("doc_id", "content").agg(F.sum("n").alias("n_removed"))
+def boilerplate(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """The boilerplate lines of the documents, as ``hit_lines`` gives them: found once, for counts and cuts."""
+    return cut(hit_lines(docs, host, frequent_lines(docs, host, min_docs, max_share)))
 
 
-def _verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
+def _verdicts(docs: DataFrame, hit: DataFrame, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     rows = base_rules(docs.select("doc_id", "text", F.xxhash64(text_of()).alias("_content")), ["doc_id", "_content"])
-    gone = removed_words(docs, host, min_docs, max_share).select(F.col("doc_id").alias("_id"), F.col("content").alias("_c"), "n_removed")
+    once = hit.groupBy("doc_id", "content", "pos").agg(F.max("n").alias("n"))  # repeated rows count once
+    gone = once.groupBy(F.col("doc_id").alias("_id"), F.col("content").alias("_c")).agg(F.sum("n").alias("n_removed"))
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_content") == F.col("_c")), "left")
     left = F.col("n_words") - F.coalesce("n_removed", F.lit(0))
     return joined.select(
@@ -127,14 +129,14 @@ def _verdicts(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, m
     )
 
 
-def quality(docs: DataFrame, **limits) -> DataFrame:
+def quality(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """doc_id, the base counts, base_failed, n_removed (words in boilerplate lines) and kept of every document."""
-    return _verdicts(docs, **limits).drop("_content")
+    return _verdicts(docs, boilerplate(docs, host, min_docs, max_share), min_kept_share).drop("_content")
 
 
 def strip_lines(docs: DataFrame, lines: DataFrame, host: str = "source") -> DataFrame:
     """doc_id and text without its boilerplate lines, for documents that lose any (``lines`` from ``frequent_lines``)."""
-    hit = _hits(docs, host, lines).select("doc_id", "content", "pos").distinct()
+    hit = hit_lines(docs, host, lines).select("doc_id", "content", "pos").distinct()
     cuts = hit.groupBy("doc_id", "content").agg(F.collect_set("pos").alias("cuts"))  # at most the lines of one document
     own = docs.select("doc_id", "text", F.xxhash64(text_of()).alias("content"))
     both = own.join(cuts.withColumnRenamed("doc_id", "_id").withColumnRenamed("content", "_c"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_c")))
@@ -142,10 +144,10 @@ def strip_lines(docs: DataFrame, lines: DataFrame, host: str = "source") -> Data
     return both.select("doc_id", F.array_join(kept, "\n").alias("text"))
 
 
-def keep_good(docs: DataFrame, **limits) -> DataFrame:
+def keep_good(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_kept_share: float = MIN_KEPT_SHARE) -> DataFrame:
     """The documents that ``quality`` keeps, with all columns. Rejected rows (doc_id and text) leave by an anti join, so Spark may broadcast them if they are few."""
     id_, content = fresh_names(docs, "gone", "c")
-    gone = _verdicts(docs, **limits).filter(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("_content").alias(content)).distinct()
+    gone = _verdicts(docs, boilerplate(docs, host, min_docs, max_share), min_kept_share).filter(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("_content").alias(content)).distinct()
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64(text_of()) == F.col(content)), "left_anti")
 
 
@@ -155,8 +157,8 @@ def clean(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_s
     Rejections and cuts come back in one join on doc_id and text hash, so texts are shuffled once. A row is cut only where
     its own host has the line.
     """
-    gone = _verdicts(docs, host, min_docs, max_share, min_kept_share).filter(~F.col("kept")).select("doc_id", F.col("_content").alias("content"), F.lit(True).alias("gone"), F.lit(None).cast("struct<host:string,pos:int>").alias("cut"))
-    hit = _hits(docs, host, frequent_lines(docs, host, min_docs, max_share))
+    hit = boilerplate(docs, host, min_docs, max_share)
+    gone = _verdicts(docs, hit, min_kept_share).filter(~F.col("kept")).select("doc_id", F.col("_content").alias("content"), F.lit(True).alias("gone"), F.lit(None).cast("struct<host:string,pos:int>").alias("cut"))
     cuts = hit.select("doc_id", "content", F.lit(False).alias("gone"), F.struct("host", "pos").alias("cut"))
     id_, content, out, at_ = fresh_names(docs, "id", "content", "out", "cuts")
     fate = gone.unionByName(cuts).groupBy("doc_id", "content").agg(F.max("gone").alias(out), F.collect_set("cut").alias(at_))  # at most the lines of one document

@@ -15,7 +15,8 @@ Rows of a source are numbered in hashed parts of doc_id and the columns carried,
 numbered as one run, so no key and no number of equal rows meets in one part.
 
 Defined results: rows of sources without a weight (null too) form the source ``other``; repeated rows each get a position; an empty
-table gives no rows; extra columns are left out but by ``in_order``, which keeps all, whatever their names.
+table gives no rows; extra columns are left out but by ``placed`` and ``in_order``, which keep all, whatever their names (their types must be ones that rows can be grouped
+by). The sum of the weights is at most MOST_SLOTS: weights are shares, to be scaled to integers of such a sum. Very long texts are only carried.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fresh_names, let
+from tidemark.llm.common import cut, fresh_names, let
 
 OTHER = "other"
 BLOCK_ROWS = 16
@@ -36,7 +37,8 @@ PART_ROWS, RUN_ROWS = 50_000, 4_096
 
 
 def numbered(docs: DataFrame, weights: Mapping[str, int], carry: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, source, mix_source, n: place in the source from 0, and the columns to carry) and the row counts of the sources.
+    """Rows (doc_id, source, mix_source, n: place in the source from 0, copies: its equal rows, run: where its run of RUN_ROWS of them begins, and the columns to carry) and the row counts
+    of the sources.
 
     The order in a source is that of a hash of doc_id, then of the row; parts are ranges of the hash, so they are numbered side by side and
     shifted by the counts of the parts before.
@@ -54,10 +56,10 @@ def numbered(docs: DataFrame, weights: Mapping[str, int], carry: Sequence[str] =
     place = F.coalesce(F.sum("_copies").over(before.partitionBy("mix_source", "_part").orderBy(order, "_draw", *cols)), F.lit(0))
     rows = rows.withColumn("_place", place).join(shifts, (F.col("mix_source") == F.col("_mix")) & (F.col("_part") == F.col("_own")))
     rows = rows.select(*cols, "mix_source", "_copies", (F.col("_before") + F.col("_place")).alias("n"))
-    one = rows.filter("_copies = 1").drop("_copies")
+    one = rows.filter("_copies = 1").select(*cols, "mix_source", "n", F.lit(0).cast("long").alias("run"), F.col("_copies").alias("copies"))
     runs = rows.filter("_copies > 1").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1, F.lit(RUN_ROWS).cast("long")))).repartition("doc_id", "mix_source", "_run")
     last = F.least(F.col("_run") + RUN_ROWS, F.col("_copies")) - 1
-    more = runs.withColumn("_i", F.explode(F.sequence("_run", last))).select(*cols, "mix_source", (F.col("n") + F.col("_i")).alias("n"))
+    more = runs.withColumn("_i", F.explode(F.sequence("_run", last))).select(*cols, "mix_source", (F.col("n") + F.col("_i")).alias("n"), F.col("_run").alias("run"), F.col("_copies").alias("copies")).select(*one.columns)
     totals = counts.groupBy("mix_source").agg(F.sum("_rows").alias("rows"))
     return one.unionByName(more), totals
 
@@ -128,7 +130,7 @@ def schedule(totals: DataFrame, weights: Mapping[str, int], other: int = 1, bloc
     return rows.join(F.broadcast(names), F.col("job.ord") == F.col("ord")).select("mix_source", "weight", F.col("job.j").alias("j"), "tau_from", "tau_to", "slot_from", "unit_slots", "at", F.col("job.deadline").alias("unit_deadline"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows: int = BLOCK_ROWS, carry: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows: int = BLOCK_ROWS, carry: Sequence[str] = (), runs: bool = False) -> DataFrame:
     """doc_id, source, mix_source, block, slot, deadline and position (gapless from 0) of every row, and the columns to carry.
 
     Rows of one doc_id are told apart, and so ordered, by the columns carried.
@@ -154,15 +156,33 @@ def mix(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows:
     found = found.join(F.broadcast(lacks), F.col("mix_source") == F.col("_m"))  # sources x sources entries
     lacking = F.aggregate(F.filter("lacks", lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["lack"])
     position = F.col("slot") * block_rows + F.pmod(F.col("n"), F.lit(block_rows)) - lacking
-    return found.select("doc_id", "source", "mix_source", "block", "slot", "deadline", position.cast("long").alias("position"), *carry)
+    return found.select("doc_id", "source", "mix_source", "block", "slot", "deadline", position.cast("long").alias("position"), *carry, *(["run", "copies"] if runs else []))
 
 
-def in_order(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """All documents with all columns, dealt over ranges of their mixed positions and sorted in each, so that files hold the mixed order.
+def placed(docs: DataFrame, weights: Mapping[str, int], names: Sequence[str], other: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All documents with all columns and, under the two ``names``, their position and slot in the mixed order; each row has its own.
 
-    Rows that share a doc_id are placed together at the first of their positions.
+    Places are found without the texts, by a key of doc_id, source and 128-bit hashes of the text and of the other columns. Rows of one key are counted before they
+    travel, and each key's columns are dealt once. Where a key has more than RUN_ROWS rows, each run of them gets the columns apart, so no number of
+    equal rows meets in one task.
     """
-    id_, position = fresh_names(docs, "id", "position")
-    at = mix(docs, weights, other, block_rows).groupBy("doc_id").agg(F.min("position").alias(position)).withColumnRenamed("doc_id", id_)
-    placed = docs.join(at, F.col("doc_id").eqNullSafe(F.col(id_)))
-    return placed.repartitionByRange(position).sortWithinPartitions(position).select(*docs.columns)
+    key, row, copies, run = fresh_names(docs, "key", "row", "copies", "run")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    none = F.lit("\u0000null")
+    name = lambda c: F.coalesce(c.cast("string"), none)
+    rest = [name(c) for c, n in zip(columns, docs.columns, strict=True) if n not in ("doc_id", "source", "text")]
+    own = docs.withColumn(key, F.concat_ws("\u0001", name(F.col("doc_id")), name(F.col("source")), F.md5(name(F.col("text"))), F.md5(F.concat_ws("\u0001", *rest, F.lit("")))))
+    at = mix(own.select("doc_id", "source", F.col(key)), weights, other, block_rows, carry=[key], runs=True)
+    at = cut(at.select(F.col(key), F.col("run").alias(run), F.col("copies").alias("_many"), F.col("position").alias(names[0]), F.col("slot").alias(names[1])))
+    whole = own.groupBy(key).agg(F.first(F.struct(*columns)).alias(row), F.count("*").alias(copies))
+    few = whole.filter(F.col(copies) <= RUN_ROWS).join(at.filter(F.col("_many") <= RUN_ROWS), key)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col(copies) - 1, F.lit(RUN_ROWS).cast("long"))).alias(run)
+    many = whole.filter(F.col(copies) > RUN_ROWS).select(key, row, starts).join(at.filter(F.col("_many") > RUN_ROWS), [key, run])
+    shown = lambda rows: rows.select(*[F.col(row)[c].alias(c) for c in docs.columns], *names)
+    return shown(few).unionByName(shown(many))
+
+
+def in_order(docs: DataFrame, weights: Mapping[str, int], other: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """All documents with all columns, dealt over ranges of their mixed positions and sorted in each, so that files hold the mixed order."""
+    names = fresh_names(docs, "position", "slot")
+    return placed(docs, weights, names, other, block_rows).repartitionByRange(names[0]).sortWithinPartitions(names[0]).select(*[F.col(f"`{c}`") for c in docs.columns])

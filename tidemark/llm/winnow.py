@@ -144,7 +144,8 @@ def with_next(docs: DataFrame, derived: dict[str, Column] | None = None) -> Data
         edges, bounds = ranges
         steps = F.array(*[F.lit(x) for x in edges]).cast("array<double>")
         rows = rows.withColumn("_coarse", F.size(F.filter(steps, lambda b: b <= F.col("_at"))))
-        rows = rows.join(F.broadcast(bounds), "_coarse")  # at most 256 rows, 8 bytes for RANGE_ROWS documents
+        bounds = bounds.withColumnRenamed("_coarse", "_own")
+        rows = rows.join(F.broadcast(bounds), F.abs("_coarse") == F.abs("_own")).drop("_own")  # at most 256 rows, 8 bytes for RANGE_ROWS documents
         block = F.size(F.filter("_heads", lambda b: b <= F.col("_at")))
         fine = let(block, lambda c: c * 64 + F.size(F.filter(F.slice("_bounds", c * 64 + 1, F.lit(64)), lambda b: b <= F.col("_at"))))
         rows = rows.withColumn("_fine", fine).drop("_bounds", "_heads")
@@ -153,8 +154,10 @@ def with_next(docs: DataFrame, derived: dict[str, Column] | None = None) -> Data
     firsts = tops.groupBy("_coarse").agg(F.min("_fine").alias("_first"))  # at most 256 rows
     found = sorted(tuple(r) for r in firsts.collect())
     onward = docs.sparkSession.createDataFrame([(c, *after) for (c, _), after in zip(found, found[1:] + found[:1], strict=True)], "_c int, _next_coarse int, _next_fine int")
+    # equality of a function of both: what the optimizer knows of a range's number from doc_id, it would else put on the other side, which has no doc_id
+    same = lambda a, b: F.abs(a) == F.abs(b)
     fine_next = F.lead("_fine").over(Window.partitionBy("_coarse").orderBy("_fine"))
-    given = tops.withColumn("_up", fine_next).join(F.broadcast(onward), F.col("_coarse") == F.col("_c"))
+    given = tops.withColumn("_up", fine_next).join(F.broadcast(onward), same("_coarse", "_c"))
     given = given.select(
         F.col("_coarse").alias("_gc"), F.col("_fine").alias("_gf"), F.col("_top").alias("_gt"),
         F.when(F.col("_up").isNull(), F.struct(F.col("_next_coarse").alias("c"), F.col("_next_fine").alias("f"))).otherwise(F.struct(F.col("_coarse").alias("c"), F.col("_up").alias("f"))).alias("_to"))
@@ -162,7 +165,7 @@ def with_next(docs: DataFrame, derived: dict[str, Column] | None = None) -> Data
     own = cell(F.col("_coarse"), F.col("_fine"), False)
     copies = F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, cell(F.col("_to.c"), F.col("_to.f"), True)))
     small = if_small(given, -(-n // RANGE_ROWS) + 1)
-    dealt = rows.join(small, (F.col("_coarse") == F.col("_gc")) & (F.col("_fine") == F.col("_gf")) & (F.struct("_key", "_name", "_content") == F.col("_gt")), "left").select("doc_id", "text", "_key", "_name", "_content", F.inline(copies))
+    dealt = rows.join(small, same("_coarse", "_gc") & same("_fine", "_gf") & (F.struct("_key", "_name", "_content") == F.col("_gt")), "left").select("doc_id", "text", "_key", "_name", "_content", F.inline(copies))
     follow = Window.partitionBy("_rc", "_rf").orderBy("_halo", F.desc("_key"), F.desc("_name"), F.desc("_content"), "text")
     seen = dealt.repartition("_rc", "_rf").withColumns(derived) if derived else dealt
     led = seen.withColumns({f"next_{c}": F.lead(c).over(follow) for c in ["text", *derived]})

@@ -105,6 +105,17 @@ def test_spelling_of_a_dense_dictionary(spark):
     assert any(v[0] not in (None, v[1]) for v in got.values())  # chains of more than one form
 
 
+def test_spelling_of_words_with_no_other_beginnings_or_ends(spark):
+    pick = random.Random(1)
+    words = {"abcde": 10, "xbcde": 3, "information": 10, "infoxmation": 3}
+    for _ in range(60):
+        w = "".join(pick.choice("abcdefgh") for _ in range(pick.randint(5, 9)))
+        at = pick.randrange(len(w))
+        words |= {w: pick.randint(3, 40), w[:at] + pick.choice(["", "z", "é", "ab"]) + w[at + 1 :]: pick.randint(3, 40)}
+    got = found(spelling.group(spark.createDataFrame(list(words.items()), "word string, n long")))
+    assert got == grouped(words) and got["infoxmation"][:2] == ("information", "information")
+
+
 def test_no_pair_of_words_meets_twice(spark):
     words = spark.createDataFrame([(i, w) for i, w in enumerate(["aaaa", "aaaaa", "aaab", "abab", "abbb", "bb", "b", ""])], "word_id long, word string")
     pairs = [tuple(r) for r in spelling.neighbours(words).select("word_id", "other").collect()]

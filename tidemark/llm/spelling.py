@@ -126,22 +126,23 @@ def _places(columns: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out()
 
 
-def _numbered(places: DataFrame, node: str, total: int) -> DataFrame:
-    """``places`` with the number of the trie's node in place of its hash: 0 for the root; places at a node that one word alone has, and so no neighbour, are left out.
+def _numbered(rows: DataFrame, places: DataFrame, node: str, total: int) -> DataFrame:
+    """``rows`` with the number of the trie's node in place of its hash: 0 for the root; rows at a node that one word alone has, and so no neighbour, are left out.
 
-    A word has each node at one inserted place, and at one skipped place at most.
+    ``places`` has the places of all words: a word has each node at one inserted place, and at one skipped place at most. What is left of them after the other
+    side's nodes would not do: words that differ at a place have no node in common just before what they share behind it.
     """
     held = places.filter((F.col("kind") == GAP) & F.col(node).isNotNull()).groupBy(node).agg((2 * F.count("*")).alias("n"))
     nodes = cut(held.filter("n > 2")).withColumn(f"{node}_no", F.monotonically_increasing_id() + 1)
-    found = join_hot(places.filter(F.col(node).isNotNull()), nodes, node, total, F.col("word_id")).filter(F.col(f"{node}_no").isNotNull())
-    return found.unionByName(places.filter(F.col(node).isNull()).withColumn(f"{node}_no", F.lit(0).cast("long"))).drop(node)
+    found = join_hot(rows.filter(F.col(node).isNotNull()), nodes, node, total, F.col("word_id")).filter(F.col(f"{node}_no").isNotNull())
+    return found.unionByName(rows.filter(F.col(node).isNull()).withColumn(f"{node}_no", F.lit(0).cast("long"))).drop(node)
 
 
 def pairs_of(words: DataFrame) -> DataFrame:
     """word_id, kind, front and back (numbers of the nodes before and behind a place) of words (word_id, word), where other words have both nodes too."""
     places = cut(words.select("word_id", "word").mapInArrow(_places, _PLACES))
     total = 2 * (words.agg(F.coalesce(F.sum(F.length("word") + 1), F.lit(0)).alias("n")).first()["n"])
-    out = _numbered(_numbered(places, "before", total), "behind", total)
+    out = _numbered(_numbered(places, places, "before", total), places, "behind", total)
     return out.select("word_id", "kind", F.col("before_no").alias("front"), F.col("behind_no").alias("back"))
 
 

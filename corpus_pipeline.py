@@ -2,7 +2,7 @@
 
 Each stage is written as Parquet in the shared folder and read again by the next. All but the last return the columns of ``documents``.
 Quality drops documents that break its rules and removes boilerplate lines from the others (``n_chars`` follows); near duplicates leave one
-document of each group of texts linked by a five-word Jaccard similarity of at least 0.8; personal data is masked in the
+document of each group of texts linked by a five-word Jaccard similarity of at least 0.8 (SimHash and Golay keys, verified links, then an exact check of what shares no key); personal data is masked in the
 texts (``n_chars`` follows); mixing keeps every document and stores them in mixed order; the last stage gives each document's token ids
 and its position and slot in the mixed order.
 """
@@ -24,6 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Op5's method with five words: SimHash, Golay keys, links verified by similarity, components; an exact check adds the similar texts that share no key."""
     return simhash.keep_least(docs, similar.classes(docs))
 
 

@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import BROADCAST_ROWS, cut, fresh_names, if_small, join_hot, text_of
@@ -47,6 +47,8 @@ COMBOS = [(((j, 0), (j, 1)), i) for j in range(3) for i in range(3) if i != j] +
 GENERATOR = 0b110001110101
 #: Room for the bits of two exact halves; a key is the combination, these bits and 12 bits of codeword index.
 EXACT_BITS = 22
+#: Bits of a key: 5 for the combination, the exact bits, and 12; the fingerprint's number stands above them.
+KEY_BITS = 5 + EXACT_BITS + 12
 
 
 def simhash(text: str | None, n: int = SHINGLE) -> int:
@@ -66,6 +68,20 @@ def simhash(text: str | None, n: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > last, bitorder="little").view("<i8")[0])
 
 
+def set_prints(hashes: np.ndarray, n: int) -> np.ndarray:
+    """n fingerprints, as longs, of a set of 64-bit shingle hashes: SimHash over the set, each with its own bits of every hash."""
+    out, h = np.zeros(n, np.int64), hashes
+    for k in range(n):
+        if k:  # a bijection, so as good as another seed
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+            h = h ^ (h >> np.uint64(29))
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 15):
+            counts += np.unpackbits(h[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * counts > len(h), bitorder="little").view("<i8")[0]
+    return out
+
+
 def _simhash_column(texts: pd.Series) -> pd.Series:
     return pd.Series([simhash(t) for t in texts], dtype="int64")
 
@@ -110,8 +126,8 @@ def _bits(fp: np.ndarray, first: int, n: int) -> np.ndarray:
     return (fp >> np.uint64(first) & np.uint64((1 << n) - 1)).astype(np.int64)
 
 
-def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fp) of unsigned fingerprints."""
+def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of unsigned fingerprints: the row is the fingerprint's place in ``fp``."""
     golay = []
     for (a, n), (_, m) in HALVES:
         keys = golay_keys(_bits(fp, a, n + m))
@@ -128,10 +144,40 @@ def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             head = head << n | _bits(fp, first, n)
         head |= c << EXACT_BITS
         row, index = golay[segment]
-        out.append((head[row] << 12 | index, fp[row].view(np.int64)))
+        out.append((head[row] << 12 | index, row))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def key_rows(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, fp) of unsigned fingerprints."""
+    key, row = keys_of(fp)
+    return key, fp[row].view(np.int64)
+
+
+def _emit_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            few = batch.slice(at, 1000)
+            node = few.column(0).to_numpy(zero_copy_only=False)
+            fp = few.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(node), -1)
+            for k in range(fp.shape[1]):
+                key, row = keys_of(np.ascontiguousarray(fp[:, k]))
+                yield pa.RecordBatch.from_arrays([pa.array(key | k << KEY_BITS), pa.array(node[row])], ["token", "node"])
+
+
+def shared_keys(nodes: DataFrame) -> DataFrame:
+    """token, node and hub for the Golay keys that two or more of ``nodes`` (node, prints: arrays of fingerprints) have.
+
+    Of P fingerprints that differ in 5 P - 1 bits at most, one pair differs in MOST_BITS at most and so shares a key; most pairs some bits further apart share one too.
+    A key's hub is the node of least hash, the same for most keys of a family.
+    """
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = nodes.select("node", "prints").repartition(parts, "node").mapInArrow(_emit_nodes, "token long, node long").repartition(parts, "token")
+    near = Window.partitionBy("token")
+    held = keys.withColumns({"_hub": F.min(F.struct(F.xxhash64("node").alias("h"), "node")).over(near), "_n": F.count("*").over(near)}).filter("_n > 1")
+    return cut(held.select("token", "node", F.col("_hub.node").alias("hub")))
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)

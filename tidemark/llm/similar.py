@@ -1,16 +1,19 @@
-"""Near copies by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
+"""Near copies by SimHash and Golay keys, verified: texts whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-No candidate is left to chance. In any one order of all shingles, two sets of similarity ``t`` share a shingle among the first
-``n - ceil(t n) + 1`` of each (prefix filter), so texts that share none of these are never linked. The order puts shingles that
-many texts hold last; it rests on counts in a table of fixed size, which only affect the cost. Pairs are verified on whole sets.
+Candidates come from op5's keys (``simhash.shared_keys``) of PRINTS fingerprints of 64 bits of each set. No limit of bits follows: all texts that share a key
+are candidates, which reaches further than the 4 bits of each fingerprint that the keys guarantee. A key's texts are first compared with its hub; the verified links give components,
+and then those of a key that lie in different components are compared. Links are pairs verified on whole sets, never fingerprints alone.
 
-Large groups: the texts of one prefix shingle are first compared with HUBS of them, picked by hashes. The verified links give components.
-Then all texts of a shingle that lie in different components are compared, so each pair of a shingle is either compared or linked already,
-and a group of g near copies makes about g pairs, not g x g. A group whose members are mostly just under the similarity is not held together by
-hubs; its pairs are told apart where they are joined, by sketches: a set's sketch is a bitmap of the parities of its hashes' cells, and two sketches
-differ in at most as many bits as their sets in shingles, so no similar pair is lost and few others leave the join.
+An exact check follows, as texts of a similarity near 0.8 differ by some 10 of 64 bits and may share no key: texts in different components are also compared by their
+rarest shingles. In any one order of all shingles, two sets of similarity ``t`` share a shingle among the first
+``n - ceil(t n) + 1`` of each (prefix filter), so no similar pair is left out. The order puts shingles that
+many texts hold last; it rests on counts in a table of fixed size, which only affect the cost.
 
-Scale: texts with equal sets are merged first. Shingles travel as 64-bit hashes; a text sends about a fifth of its own. Sets are
+Large groups: each pair of a key or shingle is either compared or linked already, so a group of g near copies makes about g pairs, not g x g. A group whose
+members are mostly just under the similarity is not held together by links; its pairs are told apart where they are joined, by sketches: a set's sketch is a bitmap of the
+parities of its hashes' cells, and two sketches differ in at most as many bits as their sets in shingles, so no similar pair is lost and few others leave the join.
+
+Scale: texts with equal sets are merged first. Shingles travel as 64-bit hashes; a text sends about a fifth of its own, and 96 keys for each fingerprint. Sets are
 built again from the texts for the texts of candidate pairs only.
 
 Defined results: null and blank texts have the empty set and are linked with each other only; a text under five words is one shingle; rows
@@ -29,14 +32,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, if_small, text_of
 from tidemark.llm.graph import components
+from tidemark.llm.simhash import set_prints, shared_keys
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Cells of the table of counts that orders the shingles; a bound for what the driver holds.
 CELLS = 1 << 18
 #: Cells of the bitmap of texts whose sets are wanted; it only spares the others the way through a shuffle.
 WANTED = 1 << 22
-#: Texts of a shingle that the others are compared with first.
-HUBS = 3
+#: SimHash fingerprints of 64 bits of each set.
+PRINTS = 3
 #: Bits of a sketch, as longs; texts of up to some 2,000 words are told apart by it, longer ones by whole sets alone.
 SKETCH = 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -87,16 +91,16 @@ def _count(n: int):
 
 
 def _nodes(n: int):
-    """doc_id, content (hash of the text), node (hash of the shingle set), size and sketch of the set of each row."""
+    """doc_id, content (hash of the text), node (hash of the shingle set), size, sketch and fingerprints of the set of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.num_rows
-            node, size, bits = np.empty(rows, np.uint64), np.empty(rows, np.int32), np.empty((rows, SKETCH), np.int64)
+            node, size, bits, prints = np.empty(rows, np.uint64), np.empty(rows, np.int32), np.empty((rows, SKETCH), np.int64), np.empty((rows, PRINTS), np.int64)
             for i, t in enumerate(batch.column(2)):
                 s = shingles(t.as_py(), n)
-                node[i], size[i], bits[i] = xxhash.xxh64_intdigest(s.tobytes()), len(s), sketch(s)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * SKETCH), pa.array(bits.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(size), lists], ["doc_id", "content", "node", "size", "sketch"])
+                node[i], size[i], bits[i], prints[i] = xxhash.xxh64_intdigest(s.tobytes()), len(s), sketch(s), set_prints(s, PRINTS)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (bits, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.view(np.int64)), pa.array(size), *lists], ["doc_id", "content", "node", "size", "sketch", "prints"])
 
     return run
 
@@ -191,35 +195,43 @@ def _linked(bucket: DataFrame, links: DataFrame) -> DataFrame:
     return bucket.join(roots, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("root", "node")).drop("_node", "root")
 
 
+def _across(bucket: DataFrame, links: DataFrame, docs: DataFrame, reps: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Verified pairs of nodes that share a token of ``bucket`` (token, node, size, place) and lie in different components of ``links``."""
+    known = _linked(bucket, links)
+    mixed = known.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
+    left = cut(known.join(mixed, "token").join(reps.select("node", "sketch"), "node"))
+    side = lambda s: left.select("token", F.col("part").alias(f"part_{s}"), F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "place", "sketch")])
+    rest = side("u").join(side("v"), "token").filter((F.col("part_u") < F.col("part_v")) & _possible(similarity) & _may_differ_by(similarity)).select("u", "v")
+    return _verified(rest, docs, reps, n, similarity)
+
+
+def key_links(docs: DataFrame, reps: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified pairs u, v of nodes that connect all similar nodes of ``reps`` (node, size, sketch, prints, content) that share a Golay key."""
+    bucket = shared_keys(reps)
+    ends = bucket.filter("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
+    for s in "uv":
+        ends = ends.join(reps.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.lit(0).alias(f"place_{s}"), F.col("sketch").alias(f"sketch_{s}")), s)
+    found = _verified(ends.filter(_possible(similarity) & _may_differ_by(similarity)), docs, reps, n, similarity)
+    sized = bucket.select("token", "node").join(reps.select("node", "size", F.lit(0).alias("place")), "node")
+    return found.unionByName(_across(sized, found, docs, reps, n, similarity))
+
+
 def links(docs: DataFrame, rows: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs u, v of nodes; with them every two similar nodes are connected."""
+    """Verified pairs u, v of nodes; with them every two similar nodes are connected: those of the keys, then what the exact check adds."""
+    reps = cut(rows.groupBy("node").agg(F.min("content").alias("content"), *[F.first(c).alias(c) for c in ("size", "sketch", "prints")]))
+    found = key_links(docs, reps, n, similarity)
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = text.mapInArrow(_count(n), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     order = np.zeros(CELLS, np.int64)
     order[counts["cell"].to_numpy()] = counts["n"].to_numpy()
-    reps = cut(rows.groupBy("node").agg(F.min("content").alias("content"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = text.mapInArrow(_prefixes(n, similarity, order), "token long, node long, size int, place int").repartition(parts, "token")
     own = own.groupBy("token", "node").agg(F.first("size").alias("size"), F.first("place").alias("place"))
-    near = Window.partitionBy("token")
-    hubs = F.array(*[F.min(F.struct(F.xxhash64("token", "node", F.lit(k)).alias("h"), "node", "size", "place")).over(near) for k in range(HUBS)])
-    bucket = own.withColumns({"_hubs": hubs, "_n": F.count("*").over(near)}).filter("_n > 1")
-    bucket = cut(bucket.select("token", "node", "size", "place", F.transform("_hubs", lambda x: x.dropFields("h")).alias("hubs")))
-    star = bucket.select(F.col("node").alias("u"), F.col("size").alias("size_u"), F.col("place").alias("place_u"), F.explode("hubs").alias("hub")).select(
-        "u", "size_u", "place_u", F.col("hub.node").alias("v"), F.col("hub.size").alias("size_v"), F.col("hub.place").alias("place_v")).filter("u <> v")
-    ends = star.filter(_possible(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    for s in "uv":
-        ends = ends.join(reps.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.col("sketch").alias(f"sketch_{s}")), s)
-    found = _verified(ends.filter(_may_differ_by(similarity)), docs, reps, n, similarity)
-    known = _linked(bucket.select("token", "node", "size", "place"), found)
-    mixed = known.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
-    left = cut(known.join(mixed, "token").join(reps.select("node", "sketch"), "node"))
-    side = lambda s: left.select("token", F.col("part").alias(f"part_{s}"), F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "place", "sketch")])
-    rest = side("u").join(side("v"), "token").filter((F.col("part_u") < F.col("part_v")) & _possible(similarity) & _may_differ_by(similarity)).select("u", "v")
-    return found.unionByName(_verified(rest, docs, reps, n, similarity))
+    bucket = cut(own.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).filter("_n > 1").drop("_n"))
+    return found.unionByName(_across(bucket, found, docs, reps, n, similarity))
 
 
 def classes(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, content and root (a node of the component) of every row."""
-    rows = cut(docs.select("doc_id", F.xxhash64(text_of()).alias("content"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_nodes(n), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content long, node long, size int, sketch array<long>"))
+    rows = cut(docs.select("doc_id", F.xxhash64(text_of()).alias("content"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_nodes(n), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content long, node long, size int, sketch array<long>, prints array<long>"))
     return _linked(rows, links(docs, rows, n, similarity)).select("doc_id", "content", F.col("part").alias("root"))

@@ -9,7 +9,8 @@ rarest shingles. In any one order of all shingles, two sets of similarity ``t``
 ``n - ceil(t n) + 1`` of each (prefix filter), so no similar pair is left out. The order puts shingles that
 many texts hold last; it rests on counts in a table of fixed size, which only affect the cost.
 
-Large groups: each pair of a key or shingle is either compared or linked already, so a group of g near copies makes about g pairs, not g x g. A group whose
+Large groups: each pair of a key or shingle is either compared or linked already, so a group of g near copies makes at most one pair for each key of a member, not g x g; later
+steps get its component as g - 1 edges. A group whose
 members are mostly just under the similarity is not held together by links; its pairs are told apart where they are joined, by sketches: a set's sketch is a bitmap of the
 parities of its hashes' cells, and two sketches differ in at most as many bits as their sets in shingles, so no similar pair is lost and few others leave the join.
 
@@ -189,15 +190,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, n: int, simila
     return cut(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_similar(similarity), "u long, v long"))
 
 
-def _linked(bucket: DataFrame, links: DataFrame) -> DataFrame:
+def _linked(bucket: DataFrame, roots: DataFrame) -> DataFrame:
     """``bucket`` with the component of each node."""
-    roots = components(links).withColumnRenamed("node", "_node")
-    return bucket.join(roots, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("root", "node")).drop("_node", "root")
+    return bucket.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("root", "node")).drop("_node", "root")
 
 
-def _across(bucket: DataFrame, links: DataFrame, docs: DataFrame, reps: DataFrame, n: int, similarity: float) -> DataFrame:
-    """Verified pairs of nodes that share a token of ``bucket`` (token, node, size, place) and lie in different components of ``links``."""
-    known = _linked(bucket, links)
+def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links u, v: a component comes as one edge for each node, whatever number of links made it."""
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(links))
+
+
+def _across(bucket: DataFrame, roots: DataFrame, docs: DataFrame, reps: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Verified pairs of nodes that share a token of ``bucket`` (token, node, size, place) and lie in different components, of which ``roots`` gives the roots."""
+    known = _linked(bucket, roots)
     mixed = known.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi").select("token")
     left = cut(known.join(mixed, "token").join(reps.select("node", "sketch"), "node"))
     side = lambda s: left.select("token", F.col("part").alias(f"part_{s}"), F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("size", "place", "sketch")])
@@ -205,21 +210,29 @@ def _across(bucket: DataFrame, links: DataFrame, docs: DataFrame, reps: DataFram
     return _verified(rest, docs, reps, n, similarity)
 
 
-def key_links(docs: DataFrame, reps: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs u, v of nodes that connect all similar nodes of ``reps`` (node, size, sketch, prints, content) that share a Golay key."""
+def _by_keys(docs: DataFrame, reps: DataFrame, n: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Verified pairs of nodes and hubs, the roots of their components, and the verified pairs across these."""
     bucket = shared_keys(reps)
     ends = bucket.filter("node <> hub").select(F.least("node", "hub").alias("u"), F.greatest("node", "hub").alias("v")).distinct()
     for s in "uv":
         ends = ends.join(reps.select(F.col("node").alias(s), F.col("size").alias(f"size_{s}"), F.lit(0).alias(f"place_{s}"), F.col("sketch").alias(f"sketch_{s}")), s)
     found = _verified(ends.filter(_possible(similarity) & _may_differ_by(similarity)), docs, reps, n, similarity)
     sized = bucket.select("token", "node").join(reps.select("node", "size", F.lit(0).alias("place")), "node")
-    return found.unionByName(_across(sized, found, docs, reps, n, similarity))
+    roots = components(found)
+    return found, roots, _across(sized, roots, docs, reps, n, similarity)
+
+
+def key_links(docs: DataFrame, reps: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Verified pairs u, v of nodes that connect all similar nodes of ``reps`` (node, size, sketch, prints, content) that share a Golay key."""
+    found, _, more = _by_keys(docs, reps, n, similarity)
+    return found.unionByName(more)
 
 
-def links(docs: DataFrame, rows: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified pairs u, v of nodes; with them every two similar nodes are connected: those of the keys, then what the exact check adds."""
+def all_roots(docs: DataFrame, rows: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """node, root of the components of all similar nodes, roots left out: by verified pairs of the keys, then by those that the exact check adds."""
     reps = cut(rows.groupBy("node").agg(F.min("content").alias("content"), *[F.first(c).alias(c) for c in ("size", "sketch", "prints")]))
-    found = key_links(docs, reps, n, similarity)
+    _, roots, more = _by_keys(docs, reps, n, similarity)
+    roots = _grown(roots, more)
     text = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     counts = text.mapInArrow(_count(n), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     order = np.zeros(CELLS, np.int64)
@@ -228,10 +241,10 @@ def links(docs: DataFrame, rows: DataFrame, n: int = SHINGLE, similarity: float
     own = text.mapInArrow(_prefixes(n, similarity, order), "token long, node long, size int, place int").repartition(parts, "token")
     own = own.groupBy("token", "node").agg(F.first("size").alias("size"), F.first("place").alias("place"))
     bucket = cut(own.withColumn("_n", F.count("*").over(Window.partitionBy("token"))).filter("_n > 1").drop("_n"))
-    return found.unionByName(_across(bucket, found, docs, reps, n, similarity))
+    return _grown(roots, _across(bucket, roots, docs, reps, n, similarity))
 
 
 def classes(docs: DataFrame, n: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, content and root (a node of the component) of every row."""
     rows = cut(docs.select("doc_id", F.xxhash64(text_of()).alias("content"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_nodes(n), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, content long, node long, size int, sketch array<long>, prints array<long>"))
-    return _linked(rows, links(docs, rows, n, similarity)).select("doc_id", "content", F.col("part").alias("root"))
+    return _linked(rows, all_roots(docs, rows, n, similarity)).select("doc_id", "content", F.col("part").alias("root"))

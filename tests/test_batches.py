@@ -236,6 +236,18 @@ def test_spoiled_rows_and_files_leave_the_others(spark, tmp_path):
     assert told[0][2] == "x,b" and told[3][2].endswith("part-9.parquet")
 
 
+def test_whole_files_without_rows_are_no_errors(spark, tmp_path):
+    """A first partition without rows is a Parquet file of its own."""
+    folder, some = str(tmp_path / "a table [1]"), spark.createDataFrame([(7, "p"), (8, "q")], "k long, v string")
+    for part in (some.limit(0), some.coalesce(1), some.limit(0).withColumn("k", F.lit("x")), spark.range(1, 40, 1, 2).select(F.col("id").alias("k"), F.lit("r").alias("v")).filter("k > 30")):
+        part.write.mode("append").parquet(folder)
+    for name, text in (("part-9.parquet", b"PAR1 this is none PAR1"), ("part-a.parquet", b"not a table")):
+        (tmp_path / "a table [1]" / name).write_bytes(text)
+    rows, errors = store.landed(spark, folder.replace("[", "\\[").replace("]", "\\]"), "parquet", "k bigint, v string")
+    assert sorted(r["k"] for r in rows.collect()) == [7, 8, *range(31, 40)]
+    assert sorted(r["detail"].rpartition("/")[2] for r in errors.collect()) == ["part-9.parquet", "part-a.parquet"]
+
+
 def test_feed_files(spark, tmp_path):
     good = "<item><title>{}</title><link>http://x/{}</link><pubDate>Mon, 01 Jan 2024 00:00:00 GMT</pubDate><description>&lt;b&gt;A deal&lt;/b&gt;</description></item>"
     (tmp_path / "a.xml").write_text("<rss><channel>" + good.format("one", 1) + "<item><title>two</link></item>" + good.format("three", 3) + "</channel></rss>")

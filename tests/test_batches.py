@@ -106,6 +106,34 @@ def test_reach_equals_all_pairs(spark, hub, depth):
     assert got == {c: (len(o), ",".join(sorted(o)[:10])) for c, o in near.items()}
 
 
+@pytest.mark.parametrize(("hub", "giant", "depth"), [(2, 1, 3), (3, 2, 3), (2, 3, 4), (4, 1, 2)])
+def test_reach_with_giants_equals_all_pairs(spark, monkeypatch, hub, giant, depth):
+    """Lists pass through hubs behind the first hop, but not through giants; unions are made in small pieces."""
+    monkeypatch.setattr(G, "GIANT", giant)
+    monkeypatch.setattr(G, "_SALT", 2)
+    nodes, edges = random_graph(spark, seed=30 + hub + giant)
+    sources = nodes.select(nodes["node_id"].alias("company"))
+    near = {}
+    for r in G.connected_companies(nodes, edges, sources, depth).collect():
+        near.setdefault(r["company"], set()).add(r["other"])
+    got = {r["company"]: (r["connected"], r["second_order"]) for r in G.reach(nodes, edges, sources, hub=hub, depth=depth).collect()}
+    assert got == {c: (len(o), ",".join(sorted(o)[:10])) for c, o in near.items()}
+
+
+def test_reach_makes_no_row_a_pair(spark, monkeypatch):
+    """30 lenders of 30 companies each: 300 companies have 22,000 pairs within two hops, and far more nodes within three; the rows grow with the edges."""
+    pick, sizes = random.Random(2), []
+    cut = G.cut
+    monkeypatch.setattr(G, "cut", lambda df: sizes.append(cut(df)) or sizes[-1])
+    nodes = spark.createDataFrame([(f"c{i:03}", "company") for i in range(300)] + [(f"s{i}", "lender") for i in range(30)], "node_id string, node_type string")
+    links = [(f"c{i:03}", f"s{k}") for i in range(300) for k in pick.sample(range(30), 3)]
+    edges = spark.createDataFrame([(a, b, b, a, "lends_to", "x") for a, b in links], "a string, b string, src string, dst string, edge_type string, detail string")
+    for depth in (2, 3):
+        got = G.reach(nodes, edges, nodes.filter("node_type = 'company'").selectExpr("node_id company"), depth=depth)
+        assert got.agg(F.sum("connected")).first()[0] > 20_000
+    assert max(df.count() for df in sizes) <= 2 * len(links)
+
+
 def test_hub_classes_do_not_list_members(spark):
     """Three hubs a company out of twelve, 4,500 edges: 220 classes at most, and every one has a few bitmaps, not its members."""
     pick = random.Random(1)

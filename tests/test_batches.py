@@ -120,6 +120,34 @@ def test_reach_with_giants_equals_all_pairs(spark, monkeypatch, hub, giant, dept
     assert got == {c: (len(o), ",".join(sorted(o)[:10])) for c, o in near.items()}
 
 
+@pytest.mark.parametrize(("hub", "giant"), [(1000, 16), (4, 16), (4, 1)])
+def test_near_companies_equal_all_pairs(spark, monkeypatch, hub, giant):
+    monkeypatch.setattr(G, "GIANT", giant)
+    monkeypatch.setattr(G, "BLOCK", 7)
+    nodes, edges = random_graph(spark, seed=70 + giant)
+    sources = nodes.select(nodes["node_id"].alias("company")).unionByName(spark.createDataFrame([("c99",)], "company string"))
+    pairs, holds, members = G.near_companies(nodes, edges, sources, hub=hub)
+    of = lambda rows: [tuple(r) for r in rows.collect()]
+    listed, inside = of(pairs), {}
+    for h, m in of(members):
+        inside.setdefault(h, set()).add(m)
+    got, near = {(c, o): n for c, o, n in listed}, {(r["company"], r["other"]): r["hops"] for r in G.connected_companies(nodes, edges, sources).collect()}
+    assert len(got) == len(listed) and got.items() <= near.items()
+    behind = {(c, m) for c, h in of(holds) for m in inside[h] if m != c}
+    assert got.keys() | behind == near.keys()
+    assert {p for p, n in near.items() if n == 1} <= got.keys() and (bool(behind) == (hub == 4))
+
+
+def test_pairs_are_not_exchanged(spark):
+    """No exchange comes after a neighbour's list is met with its sources but the one by blocks, unless a source is wide."""
+    nodes, edges = random_graph(spark, seed=5)
+    pairs, _, _ = G.near_companies(nodes, edges, nodes.select(nodes["node_id"].alias("company")), hub=1000)
+    blocks = [line for line in pairs._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    by_pair = [line for line in blocks if "(company#" in line and ", other#" in line]
+    assert len(by_pair) == 1 and pairs.filter("hops = 2").count() > 0  # that of the wide ones, of which there are none
+    assert any("hashpartitioning(_block#" in line for line in blocks) and not any("(_block#" in line and ", company#" in line for line in blocks)
+
+
 def test_reach_makes_no_row_a_pair(spark, monkeypatch):
     """30 lenders of 30 companies each: 300 companies have 22,000 pairs within two hops, and far more nodes within three; the rows grow with the edges."""
     pick, sizes = random.Random(2), []
